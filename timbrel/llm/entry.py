@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from timbrel.llm import decontamination
+from timbrel.llm import decontamination, quality
 
 QUERIES = {
+    "op3_quality_rules": quality.query,
     "op8_benchmark_decontamination": decontamination.query,
 }
 
