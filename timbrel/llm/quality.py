@@ -167,14 +167,18 @@ def viterbi(features: np.ndarray, row: np.ndarray, field: Field) -> np.ndarray:
     return label
 
 
-def fit(features: np.ndarray, row: np.ndarray, label: np.ndarray, steps: int = 200, rate: float = 0.2, ridge: float = 1e-3) -> Field:
-    """Maximum conditional likelihood by forward-backward and Adam; long chains are cut at 64 lines."""
+def fit(features: np.ndarray, row: np.ndarray, label: np.ndarray, steps: int = 200, rate: float = 0.2, ridge: float = 1e-3, ridge_move: float = 3e-2) -> Field:
+    """Maximum conditional likelihood by forward-backward and Adam; long chains are cut at 64 lines.
+
+    Moves are shrunk more than emissions: most texts are of one label throughout, and unchecked
+    moves would let one repeated line take a short text along.
+    """
     first, length = _chains(row, 64)
     active = np.searchsorted(-length, -np.arange(int(length[0]) + 1), "left")
     longest = int(length[0])
     theta = np.zeros(features.shape[1] + 4)
     mean, var = np.zeros_like(theta), np.zeros_like(theta)
-    moved = np.zeros((2, 2))
+    moved, shrink = np.zeros((2, 2)), np.append(np.full(features.shape[1], ridge), np.full(4, ridge_move))
     for t in range(1, longest):
         k = active[t]
         np.add.at(moved, (label[first[:k] + t - 1], label[first[:k] + t]), 1)
@@ -202,7 +206,7 @@ def fit(features: np.ndarray, row: np.ndarray, label: np.ndarray, steps: int = 2
             k = active[t]
             whole[first[:k] + t] = total[:k]
         content = np.exp(ahead[:, 1] + behind[:, 1] - whole)
-        slope = (wanted - np.concatenate([features.T @ content, expected.ravel()])) / n - ridge * theta
+        slope = (wanted - np.concatenate([features.T @ content, expected.ravel()])) / n - shrink * theta
         mean = 0.9 * mean + 0.1 * slope
         var = 0.99 * var + 0.01 * slope**2
         theta += rate * (mean / (1 - 0.9**step)) / (np.sqrt(var / (1 - 0.99**step)) + 1e-8)
