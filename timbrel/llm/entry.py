@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from timbrel.llm import decontamination, quality
+from timbrel.llm import decontamination, languages, quality, toxicity
 
 QUERIES = {
     "op3_quality_rules": quality.query,
+    "op4_language_id": languages.query,
     "op8_benchmark_decontamination": decontamination.query,
+    "op10_toxicity": toxicity.query,
 }
 
 ORACLES = {
