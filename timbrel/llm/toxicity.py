@@ -106,12 +106,12 @@ def fit(texts, positive: np.ndarray, prior: float, steps: int = 400, rate: float
     mean, var = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, steps + 1):
         f = np.clip(np.bincount(row, weights=w[at], minlength=n) + w[-1], -40, 40)
-        as_negative = np.logaddexp(0, f)
-        rest = as_negative[~p].sum() / n_unl - prior * as_negative[p].sum() / n_pos
         s = 1 / (1 + np.exp(-f))
-        slope = np.where(p, -prior * s / n_pos, s / n_unl)
+        rest = s[~p].sum() / n_unl - prior * s[p].sum() / n_pos
+        bend = s * (1 - s)
+        slope = np.where(p, -prior * bend / n_pos, bend / n_unl)
         # the positives' own risk counts too, unless the bracket is negative: then that alone is ascended
-        slope = -slope if rest < 0 else slope - np.where(p, prior * (1 - s) / n_pos, 0)
+        slope = -slope if rest < 0 else slope - np.where(p, prior * bend / n_pos, 0)
         g = np.append(np.bincount(at, weights=slope[row], minlength=n_features), slope.sum())
         g[:-1] += ridge * w[:-1]
         mean = 0.9 * mean + 0.1 * g
