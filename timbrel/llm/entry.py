@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from timbrel.llm import decontamination, languages, quality, toxicity
+from timbrel.llm import decontamination, languages, packing, quality, toxicity
 
 QUERIES = {
     "op3_quality_rules": quality.query,
     "op4_language_id": languages.query,
+    "op7_best_fit_packing": packing.query,
     "op8_benchmark_decontamination": decontamination.query,
     "op10_toxicity": toxicity.query,
 }
