@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from timbrel.llm import decontamination, languages, packing, quality, toxicity
+from timbrel.llm import conversations, decontamination, languages, packing, quality, secrets, toxicity
 
 QUERIES = {
+    "op1_secret_scans": secrets.query,
     "op3_quality_rules": quality.query,
     "op4_language_id": languages.query,
+    "op5_chat_formatting": conversations.query,
     "op7_best_fit_packing": packing.query,
     "op8_benchmark_decontamination": decontamination.query,
     "op10_toxicity": toxicity.query,
 }
 
 ORACLES = {
+    "op5_chat_formatting": conversations.SQL,
     "op8_benchmark_decontamination": decontamination.SQL,
 }
