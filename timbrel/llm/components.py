@@ -1,0 +1,37 @@
+"""Connected components of an edge table, by alternating large-star and small-star steps."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from timbrel.llm.store import forget, settle
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+    """(node, root): the smallest node of each component, for every node that has an edge.
+
+    Each round links every node's neighbours to its smallest one and writes the edges down, so
+    lineage stays short; the number of rounds grows with the logarithm of a component's size.
+    Edges of one node are pre-aggregated to its minimum; no neighbour list is ever gathered.
+    """
+    now = settle(edges.select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")).where("lo <> hi").distinct())
+    for _ in range(rounds):
+        # large star: neighbours above a node go to its smallest neighbour (itself included)
+        both = now.select(F.col("lo").alias("u"), F.col("hi").alias("v")).unionByName(now.select(F.col("hi").alias("u"), F.col("lo").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("m").alias("lo"), F.col("v").alias("hi")).distinct()
+        # small star: neighbours below a node, and the node, go to its smallest neighbour
+        down = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        small = large.join(down, "hi").select(F.col("m").alias("lo"), F.explode(F.array("lo", "hi")).alias("hi")).where("lo <> hi").distinct()
+        after = settle(small)
+        # done when every node has one root and no root has one
+        loose = after.groupBy("hi").agg(F.count("*").alias("n")).where("n > 1").limit(1).count() or after.select("hi").join(after.select(F.col("lo").alias("hi")).distinct(), "hi", "left_semi").limit(1).count()
+        forget(now)
+        now = after
+        if not loose:
+            break
+    else:
+        raise RuntimeError("components did not settle")
+    roots = now.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct()
+    return roots.unionByName(now.select(F.col("hi").alias("node"), F.col("lo").alias("root")))
