@@ -62,11 +62,14 @@ def _features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate(rows), np.concatenate(found)
 
 
-def _counted(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows, feature hashes and the number of distinct words behind each."""
+def _counted(texts, among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, feature hashes and the number of distinct words behind each; only features in the sorted ``among``, if given."""
     out = [(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))]
     for begin, _, data, at in tk.chunks(texts):
         row, hashes = _features(data, at)
+        if among is not None:
+            known = _known(hashes, among)
+            row, hashes = row[known], hashes[known]
         order = np.lexsort((hashes, row))
         row, hashes = row[order], hashes[order]
         first = np.ones(len(row), bool)
@@ -76,6 +79,20 @@ def _counted(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def _known(values: np.ndarray, table: np.ndarray) -> np.ndarray:
+    if not len(table):
+        return np.zeros(len(values), bool)
+    return table[np.minimum(np.searchsorted(table, values), len(table) - 1)] == values
+
+
+def _frequent(texts) -> np.ndarray:
+    """Features that MIN_DOCS of the texts have, sorted."""
+    _, word, _ = _counted(texts)
+    word.sort()
+    far = word[MIN_DOCS - 1 :] == word[: len(word) - MIN_DOCS + 1]
+    return np.unique(word[: len(far)][far])
+
+
 def fit(texts, positive: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, ridge: float = 1e-4, contrast: float = CONTRAST, most: int = MAX_FEATURES) -> Model:
     """``positive`` marks the confirmed toxic among ``texts``; all others are unlabelled.
 
@@ -83,8 +100,9 @@ def fit(texts, positive: np.ndarray, prior: float, steps: int = 400, rate: float
     least.  Those are used whose share among the positives stands ``contrast`` standard errors
     above that among the unlabelled, the ``most`` telling ones at most.
     """
-    row, word, times = _counted(texts)
     n, p = len(positive), positive.astype(bool)
+    # no feature passes that few positives have, so only theirs are counted among the unlabelled
+    row, word, times = _counted(texts, _frequent(texts.filter(pa.array(p))))
     n_pos, n_unl = max(1, int(p.sum())), max(1, int((~p).sum()))
     vocabulary, at = np.unique(word, return_inverse=True)
     row, at = (np.concatenate(x) for x in zip(*[(row[times > k], at[times > k] * LEVELS + k) for k in range(LEVELS)], strict=True))
