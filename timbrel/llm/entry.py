@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from timbrel.llm import conversations, decontamination, languages, packing, quality, secrets, toxicity
+from timbrel.llm import conversations, decontamination, jaccard, languages, packing, quality, secrets, toxicity
 
 QUERIES = {
     "op1_secret_scans": secrets.query,
     "op3_quality_rules": quality.query,
     "op4_language_id": languages.query,
     "op5_chat_formatting": conversations.query,
+    "op6_ngram_jaccard_join": jaccard.query,
     "op7_best_fit_packing": packing.query,
     "op8_benchmark_decontamination": decontamination.query,
     "op10_toxicity": toxicity.query,
