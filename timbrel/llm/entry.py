@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from timbrel.llm import conversations, decontamination, jaccard, languages, packing, quality, secrets, toxicity
+from timbrel.llm import conversations, decontamination, jaccard, languages, packing, quality, repeats, secrets, toxicity
 
 QUERIES = {
     "op1_secret_scans": secrets.query,
+    "op2_suffix_array_dedup": repeats.query,
     "op3_quality_rules": quality.query,
     "op4_language_id": languages.query,
     "op5_chat_formatting": conversations.query,
