@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from timbrel.llm import conversations, decontamination, jaccard, languages, packing, quality, repeats, secrets, toxicity
+from timbrel.llm import backoff, conversations, decontamination, jaccard, languages, packing, quality, repeats, secrets, toxicity
 
 QUERIES = {
     "op1_secret_scans": secrets.query,
@@ -13,10 +13,12 @@ QUERIES = {
     "op6_ngram_jaccard_join": jaccard.query,
     "op7_best_fit_packing": packing.query,
     "op8_benchmark_decontamination": decontamination.query,
+    "op9_lm_scoring": backoff.query,
     "op10_toxicity": toxicity.query,
 }
 
 ORACLES = {
+    "op9_lm_scoring": backoff.SQL,
     "op5_chat_formatting": conversations.SQL,
     "op8_benchmark_decontamination": decontamination.SQL,
 }
