@@ -1,0 +1,27 @@
+"""Tables written once to the folder that all machines share."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def scratch(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir; a temporary folder only for a local master without one."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder shared by all machines")
+    own = "file://" + tempfile.mkdtemp(prefix="timbrel-")
+    spark.conf.set("spark.checkpoint.dir", own)
+    return own
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Written down and read again: cuts lineage in iterative plans."""
+    path = f"{scratch(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
