@@ -18,6 +18,8 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op1_secret_scans": secrets.SQL,
+    "op6_ngram_jaccard_join": jaccard.SQL,
     "op9_lm_scoring": backoff.SQL,
     "op5_chat_formatting": conversations.SQL,
     "op8_benchmark_decontamination": decontamination.SQL,

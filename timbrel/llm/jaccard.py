@@ -359,3 +359,19 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def query(spark, sf_dir: str) -> DataFrame:
     return jaccard_classes(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+t AS (SELECT text, min(doc_id) AS rep, count(*) AS n_copies, any_value(w) AS w FROM d WHERE len(w) > 0 GROUP BY text),
+s AS (SELECT DISTINCT rep, array_to_string(w[i:i + least(5, len(w)) - 1], ' ') AS g FROM (SELECT rep, w, unnest(generate_series(1, len(w) - least(5, len(w)) + 1)) AS i FROM t)),
+z AS (SELECT rep, count(*) AS n FROM s GROUP BY rep),
+p AS (SELECT a.rep AS a, b.rep AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.rep < b.rep GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN z za ON za.rep = a JOIN z zb ON zb.rep = b WHERE 5 * k >= 4 * (za.n + zb.n - k)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT rep AS x, rep AS y FROM t UNION SELECT r.x, e.b FROM r JOIN e ON r.y = e.a),
+c AS (SELECT x AS rep, min(y) AS class_id FROM r GROUP BY x),
+n AS (SELECT a AS rep, count(*) AS n_links FROM e GROUP BY a)
+SELECT d.doc_id, coalesce(c.class_id, d.doc_id) AS class_id, coalesce(n.n_links, 0) AS n_links, coalesce(t.n_copies, 1) AS n_copies
+FROM d LEFT JOIN t ON t.text = d.text LEFT JOIN c ON c.rep = t.rep LEFT JOIN n ON n.rep = t.rep
+"""

@@ -24,8 +24,8 @@ ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]{32,}"
 KINDS = ("assign", "access", "hex", "entropy")
 
-#: What is no secret, however random: placeholders, identifiers in the 8-4-4-4-12 form, runs of the alphabet, links' paths.
-ALLOW = r"(?i)example|placeholder|changeme|x{6,}|^[0-9a-f]{8}-([0-9a-f]{4}-){3}[0-9a-f]{12}$|abcdefghij|0123456789|(.)\1{7,}"
+#: What is no secret, however random: placeholders, identifiers in the 8-4-4-4-12 form, runs of the alphabet or of one character.
+ALLOW = r"(?i)example|placeholder|changeme|x{6,}|^[0-9a-f]{8}-([0-9a-f]{4}-){3}[0-9a-f]{12}$|abcdefghij|0123456789|" + "|".join(c + "{8,}" for c in "abcdefghijklmnopqrstuvwxyz0123456789")
 
 
 @dataclass(frozen=True)
@@ -157,3 +157,38 @@ def query(spark, sf_dir: str) -> DataFrame:
     found = scan(docs)
     count = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long")
     return found.select("doc_id", *[count(i).alias(f"n_{KINDS[i]}") for i in range(3)], F.sha2(spelled("base_spans"), 256).alias("base_sha256"), spelled("secret_spans").alias("spans"))
+
+
+def _sql_spans(name: str, kind: int, pattern: str, test: str) -> str:
+    quoted_pattern = pattern.replace("'", "''")
+    return f"""{name} AS (
+  SELECT doc_id, {kind} AS kind, e - length(m) AS s, e, m FROM (
+    SELECT doc_id, m, sum(length(gap) + coalesce(length(m), 0)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM (
+      SELECT doc_id, unnest(string_split_regex(text, '{quoted_pattern}')) AS gap, unnest(regexp_extract_all(text, '{quoted_pattern}')) AS m,
+             unnest(generate_series(1, len(regexp_extract_all(text, '{quoted_pattern}')) + 1)) AS i FROM d))
+  WHERE m IS NOT NULL AND {test})"""
+
+
+def _sql() -> str:
+    long_enough = f"length(regexp_extract(m, '{ASSIGN.replace(chr(39), chr(39) * 2)}', 2)) >= 8"
+    parts = [_sql_spans("k0", 0, ASSIGN, long_enough), _sql_spans("k1", 1, ACCESS, "length(m) >= 16"), _sql_spans("k2", 2, HEX, "length(m) >= 32"), "base AS (SELECT doc_id, kind, s, e FROM k0 UNION ALL SELECT doc_id, kind, s, e FROM k1 UNION ALL SELECT doc_id, kind, s, e FROM k2)"]
+    for i, c in enumerate(CLASSES):
+        parts.append(_sql_spans(f"c{i}", 3, c.candidates, f"regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]') AND NOT regexp_matches(m, '{ALLOW}')"))
+        parts.append(f"""h{i} AS (
+  SELECT doc_id, s, w, log2({c.width}) - sum(n * log2(n)) / {c.width} AS bits FROM (
+    SELECT doc_id, s, w, ch, count(*) AS n FROM (
+      SELECT doc_id, s, w, unnest(string_split(substr(m, w + 1, {c.width}), '')) AS ch FROM (
+        SELECT doc_id, s, m, unnest(generate_series(0, length(m) - {c.width})) AS w FROM c{i}
+        WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = c{i}.doc_id AND b.s <= c{i}.s AND b.e >= c{i}.e)))
+    GROUP BY ALL) GROUP BY doc_id, s, w)""")
+        parts.append(f"s{i} AS (SELECT doc_id, 3 AS kind, s + min(w) AS s, s + max(w) + {c.width} AS e FROM (SELECT doc_id, s, w FROM h{i} WHERE bits >= {c.bits} - 1e-9) GROUP BY doc_id, s)")
+    named = "['assign', 'access', 'hex', 'entropy'][kind + 1] || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT)"
+    every = " UNION ALL ".join(["SELECT doc_id, kind, s, e FROM base", *(f"SELECT doc_id, kind, s, e FROM s{i}" for i in range(len(CLASSES)))])
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), {", ".join(parts)},
+b AS (SELECT doc_id, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex, string_agg({named}, ',' ORDER BY s, kind) AS spelled FROM base GROUP BY doc_id),
+a AS (SELECT doc_id, string_agg({named}, ',' ORDER BY s, kind, e) AS spelled FROM (SELECT DISTINCT * FROM ({every})) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(b.spelled, '')) AS base_sha256, coalesce(a.spelled, '') AS spans
+FROM d LEFT JOIN b USING (doc_id) LEFT JOIN a USING (doc_id)"""
+
+
+SQL = _sql()
