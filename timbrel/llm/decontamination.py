@@ -59,44 +59,56 @@ def _member(values: np.ndarray, table: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Fingerprints and windows of a block of benchmark items."""
+    """Fingerprints and windows of a block of benchmark items, as flat arrays: some 50 bytes a word."""
 
     span: int
     gram: int
     items: list[str]
     prints: np.ndarray
-    #: window length in words -> (sorted window hashes, bounds into owners, owners, folded words of one window each)
-    windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]] = field(default_factory=dict)
+    #: all items' folded words, one space between, and where each word starts and ends in it
+    spelled: bytes
+    start: np.ndarray
+    end: np.ndarray
+    #: window length in words -> (sorted window hashes, bounds into owners, owners, first word of one occurrence of each)
+    windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
 
     @staticmethod
     def build(items: list[tuple[str, str]], span: int, gram: int) -> Index:
-        texts = pa.array([t for _, t in items], pa.large_string())
-        prints: list[np.ndarray] = []
-        found: dict[int, dict[int, tuple[bytes, set[int]]]] = {}
-        for first, _, data, at in tk.chunks(texts):
-            start, end, hashes, row = tk.words(data, at, tk.ALNUM_TABLE)
+        prints, words, hashes, rows = [np.zeros(0, np.uint64)], [], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for first, _, data, at in tk.chunks(pa.array([t for _, t in items], pa.large_string())):
+            start, end, h, row = tk.words(data, at, tk.ALNUM_TABLE)
             folded = tk.ALNUM_TABLE[data].tobytes()
-            prints.append(fingerprints(hashes, row, span, gram)[0])
-            each = np.bincount(row, minlength=len(at) - 1)
-            for length in sorted({min(span, int(x)) for x in each if x}):
-                values = tk.grams(hashes, length)
-                same = row[: len(values)] == row[length - 1 :]
-                fits = np.minimum(each[row[: len(values)]], span) == length
-                for i in np.flatnonzero(same & fits):
-                    entry = found.setdefault(length, {}).setdefault(int(values[i]), (b" ".join(folded[a:b] for a, b in zip(start[i : i + length], end[i : i + length], strict=True)), set()))
-                    entry[1].add(first + int(row[i]))
-        out = Index(span, gram, [i for i, _ in items], np.unique(np.concatenate(prints)) if prints else np.zeros(0, np.uint64))
-        for length, table in found.items():
-            keys = sorted(table)
-            owners = [sorted(table[k][1]) for k in keys]
-            out.windows[length] = (np.array(keys, np.uint64), np.cumsum([0, *map(len, owners)]), np.array([x for o in owners for x in o], np.int64), [table[k][0] for k in keys])
+            words += [folded[a:b] for a, b in zip(start, end, strict=True)]
+            prints.append(fingerprints(h, row, span, gram)[0])
+            hashes.append(h)
+            rows.append(row + first)
+        h, row = np.concatenate(hashes), np.concatenate(rows)
+        size = np.array([len(w) for w in words], np.int64)
+        end = np.cumsum(size + 1) - 1
+        out = Index(span, gram, [i for i, _ in items], np.unique(np.concatenate(prints)), b" ".join(words), end - size, end)
+        fits = np.minimum(np.bincount(row, minlength=len(items)), span)
+        for length in sorted({int(n) for n in fits if n}):
+            value = tk.grams(h, length)
+            place = np.flatnonzero((row[: len(value)] == row[length - 1 :]) & (fits[row[: len(value)]] == length))
+            value, owner = value[place], row[place]
+            order = np.lexsort((place, owner, value))
+            value, owner, place = value[order], owner[order], place[order]
+            fresh = np.concatenate([[True], value[1:] != value[:-1]])
+            once = fresh | np.concatenate([[True], owner[1:] != owner[:-1]])
+            table = value[fresh]
+            bounds = np.append(np.flatnonzero(fresh[once]), int(once.sum()))
+            out.windows[length] = (table, bounds, owner[once].astype(np.int32), place[fresh])
         return out
 
+    def window(self, length: int, which: int) -> bytes:
+        first = int(self.windows[length][3][which])
+        return self.spelled[self.start[first] : self.end[first + length - 1]]
+
     def matches(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray, row: np.ndarray) -> list[tuple[int, int, int]]:
         """(first word, length, window number) of each occurrence of a window in the words given."""
         out = []
         folded = b""
-        for length, (table, _, _, texts) in self.windows.items():
+        for length, (table, _, _, _) in self.windows.items():
             if len(hashes) < length:
                 continue
             if length == self.span:
@@ -120,7 +132,7 @@ class Index:
                 folded = folded or tk.ALNUM_TABLE[data].tobytes()
             for i in ok:
                 s = begin[i]
-                if b" ".join(folded[a:b] for a, b in zip(start[s : s + length], end[s : s + length], strict=True)) == texts[which[i]]:
+                if b" ".join(folded[a:b] for a, b in zip(start[s : s + length], end[s : s + length], strict=True)) == self.window(length, int(which[i])):
                     out.append((int(s), length, int(which[i])))
         return out
 
