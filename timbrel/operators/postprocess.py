@@ -50,17 +50,20 @@ def absorb_minor(df: DataFrame, least: int = MIN_CLUSTER) -> DataFrame:
     """
     sizes = minor_major(df, least)
     majors = centroids(df).join(sizes.where("not is_minor").select("clust"), "clust").select(F.col("clust").alias("major"), "cv")
-    small = majors.count() <= MAX_LABELS
     minor = df.join(sizes.where("is_minor").select("clust"), "clust").select("id", "v")
-    side = F.broadcast(majors) if small else majors
-    scored = minor.crossJoin(side).select("id", "major", V.cosine(V.doubles("v"), F.col("cv")).alias("c")) if small else _nearest_by_blocks(minor, majors)
+    scored = scored_against(minor, majors)
     nearest = scored.groupBy("id").agg(F.max_by("major", F.struct("c", (-F.col("major")).alias("low"))).alias("to"))
     return df.join(nearest, "id", "left").select("id", F.coalesce("to", "clust").alias("clust"))
 
 
-def _nearest_by_blocks(points: DataFrame, centres: DataFrame) -> DataFrame:
-    """Scores of each point and centroid where there are too many labels to broadcast: a shuffled block grid."""
-    blocks = 64
+def scored_against(points: DataFrame, centres: DataFrame, blocks: int = 64) -> DataFrame:
+    """(id, major, c): cosine of each point (id, v) and centre (major, cv).
+
+    Centres are broadcast where their count is MAX_LABELS at most; more are dealt into blocks that
+    each point visits, one shuffle, no broadcast.
+    """
+    if centres.count() <= MAX_LABELS:
+        return points.crossJoin(F.broadcast(centres)).select("id", "major", V.cosine(V.doubles("v"), F.col("cv")).alias("c"))
     a = points.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     b = centres.withColumn("b", F.pmod(F.xxhash64("major"), F.lit(blocks)).cast("int"))
     return a.join(b, "b").select("id", "major", V.cosine(V.doubles("v"), F.col("cv")).alias("c"))

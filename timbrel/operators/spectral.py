@@ -47,6 +47,8 @@ def lanczos_spectrum(edges: DataFrame, ids: DataFrame, vectors: int, steps: int
 
     Each step is one distributed product of the edge table with a vector column; only the small
     tridiagonal matrix (``steps`` squared) comes to the driver.  Bases are written down each step.
+    From one start vector a repeated eigenvalue may be found once only, so a graph of several
+    components can show fewer zeros than it has.
     """
     from timbrel.plans.tables import settle
 

@@ -152,9 +152,8 @@ def vocab_invert(spark, sf_dir):
 
 def diarize_frames(spark, sf_dir):
     p = _points(spark, sf_dir)
-    c = postprocess.centroids(p).select(F.col("clust").alias("name"), "cv")
-    scored = p.select("id", "v").crossJoin(F.broadcast(c))  # one row a label, ten here; absorb_minor checks its table's size
-    sims = scored.select(F.concat(F.lit("s"), F.col("name").cast("string")).alias("name"), F.col("id").alias("frame"), F.round(V.cosine(F.col("v"), F.col("cv")), 9).alias("sim"))
+    scored = postprocess.scored_against(p.select("id", "v"), postprocess.centroids(p).select(F.col("clust").alias("major"), "cv"))
+    sims = scored.select(F.concat(F.lit("s"), F.col("major").cast("string")).alias("name"), F.col("id").alias("frame"), F.round("c", 9).alias("sim"))
     return series.diarize(sims).select("frame", "name", V.tidy(F.col("sim")).alias("sim"), "status")
 
 
