@@ -92,6 +92,16 @@ def shown(assigned: DataFrame, clust: int | None = None, selected: str | None =
     return out if selected is None else out.where(F.col("filename") == selected)
 
 
+def with_audio(assigned: DataFrame, base: str = "http://localhost:8080/") -> DataFrame:
+    """Viewer rows with the address each file is played from."""
+    return assigned.withColumn("url", F.concat(F.lit(base), F.col("filename")))
+
+
+def frame_rate(first, second):
+    """Frames a second from the mid-times of two slices; null where they are equal."""
+    return F.try_divide(F.lit(1.0), second - first)
+
+
 def heat_map(pairs: DataFrame, low: float = 0.4, high: float = 1.0) -> DataFrame:
     """(i, j, c, shade): similarity triples with the value clipped to the colour limits, 0 to 1."""
     return pairs.select("i", "j", "c", F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("c") - low) / (high - low))).alias("shade"))

@@ -178,6 +178,10 @@ def viewer_rows(spark, sf_dir):
     return series.shown(_assigned(spark, sf_dir), clust=4).select("filename", "clust", V.tidy(F.col("x")).alias("x"), V.tidy(F.col("y")).alias("y"))
 
 
+def viewer_audio(spark, sf_dir):
+    return series.with_audio(_assigned(spark, sf_dir)).select("filename", "url")
+
+
 def cluster_centers_2d(spark, sf_dir):
     return project.centers(_assigned(spark, sf_dir)).select("clust", V.tidy(F.col("x")).alias("x"), V.tidy(F.col("y")).alias("y"))
 
@@ -224,7 +228,7 @@ QUERIES = {
     for f in (
         cosine_pairs, knn_prune, sym_affinity, degree, laplacian_triples, heat_map, l2_normalize, speaker_embedding, cluster_sizes, minor_major, centroids, absorb_minor,
         centroid_affinity, best_merge_pair, merge_by_cosine, small_n_fallback, eigen_gaps, partial_slices, slice_mid_times, mix_concat, transcript_semi_join, cache_misses,
-        route_plan, kick_filter, url_basename, vocab_invert, diarize_frames, trailing_frame, density_histogram, group_median, viewer_palette, viewer_rows, cluster_centers_2d,
+        route_plan, kick_filter, url_basename, vocab_invert, diarize_frames, trailing_frame, density_histogram, group_median, viewer_palette, viewer_rows, viewer_audio, cluster_centers_2d,
         embedding_heat_map, nmin_sweep, spectral_cluster, hdbscan, umap_hdbscan, project_2d, project_tsne, flagship,
     )
 }
@@ -270,6 +274,7 @@ ORACLES = {
     "group_median": "SELECT event_type, round(quantile_cont(value, 0.5), 6) + 0.0 AS median FROM events GROUP BY 1",
     "viewer_palette": "SELECT DISTINCT label AS clust, round(360.0::DOUBLE / ((SELECT max(label) FROM embeddings) + 1) * label, 6) + 0.0 AS hue FROM embeddings",
     "viewer_rows": f"WITH {_A} SELECT filename, clust, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y FROM a WHERE clust = 4",
+    "viewer_audio": f"WITH {_A} SELECT filename, 'http://localhost:8080/' || filename AS url FROM a",
     "cluster_centers_2d": f"WITH {_A} SELECT clust, round(avg(x), 6) + 0.0 AS x, round(avg(y), 6) + 0.0 AS y FROM a GROUP BY clust",
     "embedding_heat_map": f"WITH {_E}, f AS (SELECT id, unnest(v) AS x, unnest(generate_series(0, len(v) - 1)) AS pos, CAST(floor(sqrt(len(v))) AS BIGINT) AS h, len(v) AS n FROM e) SELECT id AS vec_id, CAST(pos // (n // h) AS INTEGER) AS \"row\", CAST(pos % (n // h) AS INTEGER) AS col, round(x, 6) + 0.0 AS x FROM f",
     # one merge at this threshold and scale (labels 2 and 5), unrolled: a second is tested for and would join too
