@@ -137,8 +137,9 @@ def spelled(spans: str) -> Column:
 
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with ``mark`` in place of each secret; overlapping secrets get one mark."""
-    scanned = scan(docs, text)
+    """``docs`` with ``mark`` in place of each secret; overlapping secrets get one mark.  All other columns stay as they are."""
+    aside = {c: f"__own_{c}" for c in docs.columns if c in ("base_spans", "secret_spans")}
+    scanned = scan(docs.withColumnsRenamed(aside), text)
     value = F.coalesce(quoted(text), F.lit(""))
     zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
 
@@ -149,7 +150,7 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataF
 
     rebuilt = F.aggregate("secret_spans", zero, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(value, (s["at"] + 1).cast("int"), F.lit(2147483647))))
     cleaned = F.when(F.size("secret_spans") > 0, rebuilt).otherwise(quoted(text))
-    return scanned.withColumn(text, cleaned).select(*[quoted(c) for c in docs.columns])
+    return scanned.withColumn(text, cleaned).select(*[quoted(aside.get(c, c)).alias(c) for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
