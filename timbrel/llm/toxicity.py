@@ -62,10 +62,9 @@ def _features(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate(rows), np.concatenate(found)
 
 
-def _counted(texts, among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows, feature hashes and the number of distinct words behind each; only features in the sorted ``among``, if given."""
-    out = [(np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))]
-    for begin, _, data, at in tk.chunks(texts):
+def _counted(texts, among: np.ndarray | None = None):
+    """Chunk by chunk: rows, feature hashes and the number of distinct words behind each; only features in the sorted ``among``, if given."""
+    for begin, _, data, at in tk.chunks(texts, 1 << 19):
         row, hashes = _features(data, at)
         if among is not None:
             known = _known(hashes, among)
@@ -75,8 +74,7 @@ def _counted(texts, among: np.ndarray | None = None) -> tuple[np.ndarray, np.nda
         first = np.ones(len(row), bool)
         first[1:] = (row[1:] != row[:-1]) | (hashes[1:] != hashes[:-1])
         at_first = np.flatnonzero(first)
-        out.append((begin + row[at_first], hashes[at_first], np.diff(np.append(at_first, len(row)))))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+        yield begin + row[at_first], hashes[at_first], np.diff(np.append(at_first, len(row)))
 
 
 def _known(values: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -87,28 +85,37 @@ def _known(values: np.ndarray, table: np.ndarray) -> np.ndarray:
 
 def _frequent(texts) -> np.ndarray:
     """Features that MIN_DOCS of the texts have, sorted."""
-    _, word, _ = _counted(texts)
+    word = np.concatenate([np.zeros(0, np.uint64), *(h for _, h, _ in _counted(texts))])
     word.sort()
     far = word[MIN_DOCS - 1 :] == word[: len(word) - MIN_DOCS + 1]
     return np.unique(word[: len(far)][far])
 
 
+def _levels(texts, table: np.ndarray):
+    """Chunk by chunk: rows and numbers (place in the table * LEVELS + level) of the features present."""
+    for row, hashes, times in _counted(texts, table):
+        place = np.searchsorted(table, hashes)
+        for k in range(LEVELS):
+            yield row[times > k], place[times > k] * LEVELS + k
+
+
 def fit(texts, positive: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, ridge: float = 1e-4, contrast: float = CONTRAST, most: int = MAX_FEATURES) -> Model:
     """``positive`` marks the confirmed toxic among ``texts``; all others are unlabelled.
 
     A feature is a word or prefix that 1, 2 or 3 (LEVELS) distinct words of the text have, at
     least.  Those are used whose share among the positives stands ``contrast`` standard errors
-    above that among the unlabelled, the ``most`` telling ones at most.
+    above that among the unlabelled, the ``most`` telling ones at most.  Features are counted and
+    then gathered in two passes, so only those used are ever held for all texts.
     """
     n, p = len(positive), positive.astype(bool)
     # no feature passes that few positives have, so only theirs are counted among the unlabelled
-    row, word, times = _counted(texts, _frequent(texts.filter(pa.array(p))))
+    vocabulary = _frequent(texts.filter(pa.array(p)))
     n_pos, n_unl = max(1, int(p.sum())), max(1, int((~p).sum()))
-    vocabulary, at = np.unique(word, return_inverse=True)
-    row, at = (np.concatenate(x) for x in zip(*[(row[times > k], at[times > k] * LEVELS + k) for k in range(LEVELS)], strict=True))
     size = len(vocabulary) * LEVELS
-    in_pos = np.bincount(at, weights=p[row], minlength=size)
-    in_unl = np.bincount(at, weights=~p[row], minlength=size)
+    in_pos, in_unl = np.zeros(size), np.zeros(size)
+    for row, at in _levels(texts, vocabulary):
+        in_pos += np.bincount(at[p[row]], minlength=size)
+        in_unl += np.bincount(at[~p[row]], minlength=size)
     pooled = (in_pos + in_unl + 1) / (n + 2)
     z = (in_pos / n_pos - in_unl / n_unl) / np.sqrt(pooled * (1 - pooled) * (1 / n_pos + 1 / n_unl))
     z[in_pos < MIN_DOCS] = 0
@@ -116,9 +123,10 @@ def fit(texts, positive: np.ndarray, prior: float, steps: int = 400, rate: float
     best = np.argsort(-z, kind="stable")[:most]
     chosen[best[z[best] >= contrast]] = True
     number = np.cumsum(chosen) - 1
-    keep = chosen[at]
-    row, at = row[keep], number[at[keep]]
     n_features = int(chosen.sum())
+    held = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    held += [(row[chosen[at]], number[at[chosen[at]]]) for row, at in _levels(texts, vocabulary)]
+    row, at = (np.concatenate(x) for x in zip(*held, strict=True))
     w = np.zeros(n_features + 1)
     w[-1] = np.log(prior / (1 - prior))
     mean, var = np.zeros_like(w), np.zeros_like(w)
