@@ -219,6 +219,7 @@ def test_folder_flow(spark, wavs, tmp_path):
 
 def test_routing(spark, wavs, tmp_path):
     files = readers.listing(spark, wavs).select(F.col("path").alias("filename"), F.when(F.col("path").contains("u0"), 0).otherwise(1).alias("clust"))
+    files = spark.createDataFrame(files.collect(), files.schema)  # moved files leave a live listing
     plan = writers.route_plan(files, str(tmp_path / "out"))
     assert not any(r["done"] for r in writers.execute(plan).collect()) and not (tmp_path / "out").exists()
     writers.execute(plan, dry_run=False).collect()

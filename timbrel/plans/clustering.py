@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timbrel.operators import density, postprocess, project, series, slices, spectral
+from timbrel.plans.tables import settle
 from timbrel.sources import readers, writers
 
 METHODS = ("spectral", "umap_hdbscan")
@@ -64,7 +65,7 @@ def embed_folder(spark: SparkSession, folder: str, encoder: str = "timbre", spea
 
 def split(spark: SparkSession, folder: str, out: str | None = None, encoder: str = "timbre", method: str = "spectral", reducer: str = "tsne", speaker: str = "", cache: str | None = None, **options) -> DataFrame:
     """The assignment table of a folder of recordings; written as CSV where ``out`` is given."""
-    points = embed_folder(spark, folder, encoder, speaker, cache).cache()
+    points = settle(embed_folder(spark, folder, encoder, speaker, cache))
     labels = cluster(points, method, **options)
     assigned = assign(points, labels, project.project(points, reducer))
     if out:
@@ -74,7 +75,7 @@ def split(spark: SparkSession, folder: str, out: str | None = None, encoder: str
 
 def load_matrix(spark: SparkSession, path: str, vocabulary: str | None = None, reducer: str = "tsne", out: str | None = None) -> DataFrame:
     """(token, clust, x, y) of a .npy matrix, tokens named by a vocabulary where given; the token CSV is written first."""
-    matrix = readers.npy_matrix(spark, path).cache()
+    matrix = readers.npy_matrix(spark, path)
     names = None if vocabulary is None else series.invert_vocabulary(readers.vocabulary(spark, vocabulary))
     named = series.tokens(matrix, names)
     if out:
