@@ -30,7 +30,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Keeps the document of the smallest id of each class; of rows repeated whole, one."""
     classes = settle(jaccard.jaccard_classes(docs))
     others = classes.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("other")).distinct()
-    kept = docs.join(others, F.col("doc_id") == F.col("other"), "left_anti")
+    # one plan at every size: the list of ids to drop grows with the corpus, so it is never broadcast
+    kept = docs.join(others.hint("merge"), F.col("doc_id") == F.col("other"), "left_anti")
     leaders = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id")))
     if leaders.groupBy("doc_id").count().where("count > 1").limit(1).count():
         kept = kept.dropDuplicates(["doc_id", "text"])
