@@ -97,7 +97,11 @@ class Block:
     def receive(self, n: int, answers: dict[int, np.ndarray]) -> None:
         """``answers``: totals by part, in the order sent."""
         last, gram = self._candidates(n)
-        distinct = np.unique(gram)
+        order = np.argsort(gram)
+        gram = gram[order]
+        head = np.ones(len(gram), bool)
+        head[1:] = gram[1:] != gram[:-1]
+        distinct = gram[head]
         totals = np.zeros(len(distinct), np.int64)
         cut = np.searchsorted(distinct, self._bounds())
         for part, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
@@ -106,8 +110,7 @@ class Block:
                     raise ValueError("totals do not belong to this block's texts")
                 totals[a:b] = answers[part]
         self.total[n] = np.zeros(len(self.words), np.int64)
-        if len(distinct):
-            self.total[n][last] = totals[np.searchsorted(distinct, gram)]
+        self.total[n][last[order]] = totals[np.cumsum(head) - 1]
 
     def scores(self, order: int, alpha: float, n_corpus: int) -> tuple[np.ndarray, np.ndarray]:
         """Sum of log10 scores of each text, and how many of its words the highest order saw."""
