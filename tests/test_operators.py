@@ -87,6 +87,16 @@ def test_lanczos_agrees(spark):
     assert np.allclose(dense, sparse, atol=1e-6)
 
 
+def test_lanczos_of_components(spark):
+    x, truth = planted(5, each=60)
+    edges, ids = similarity.affinity(frame(spark, x)).cache(), frame(spark, x).select("id").cache()
+    dense = spectral.dense_spectrum(edges, ids, 15).first()["values"]
+    solved = spectral.lanczos_spectrum(edges, ids, 15).cache()
+    assert sum(abs(v) < 1e-9 for v in dense) >= 5 and np.allclose(dense, solved.first()["values"], atol=1e-6)
+    u = np.array([r["u"] for r in solved.orderBy("id").collect()])
+    assert np.allclose(u.T @ u, np.eye(15), atol=1e-6)
+
+
 def test_choose_k():
     assert spectral.choose_k([0, 1, 1.1, 3], 1, 14) == 3
     assert spectral.choose_k([0, 1, 2, 3], 1, 14) == 1

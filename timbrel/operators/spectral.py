@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -16,6 +17,11 @@ MIN_SPEAKERS, MAX_SPEAKERS = 1, 14
 #: Points up to which the Laplacian is solved densely in one task (N * N doubles); Lanczos beyond.
 DENSE_LIMIT = 5000
 
+TILE = pa.schema([("p", pa.int32()), ("q", pa.int32()), ("i", pa.binary()), ("j", pa.binary()), ("w", pa.binary())])
+PART = pa.schema([("p", pa.int32()), ("i", pa.binary()), ("y", pa.binary())])
+#: A block of nodes with its rows of the basis, of the basis times L, and of the vectors that join next.
+BASIS = pa.schema([("p", pa.int32()), ("ids", pa.binary()), ("d", pa.binary()), ("v", pa.binary()), ("lv", pa.binary()), ("x", pa.binary())])
+
 
 def dense_spectrum(edges: DataFrame, ids: DataFrame, vectors: int) -> DataFrame:
     """(id, values, u): all nodes' rows of the first ``vectors`` eigenvectors; values are the eigenvalues."""
@@ -42,56 +48,148 @@ def _signed(u: np.ndarray) -> np.ndarray:
     return u * np.where(u[top, np.arange(u.shape[1])] < 0, -1.0, 1.0)
 
 
-def lanczos_spectrum(edges: DataFrame, ids: DataFrame, vectors: int, steps: int = 60, seed: int = 7) -> DataFrame:
-    """As ``dense_spectrum`` for large graphs: bottom eigenpairs of L as the top ones of 2 * max degree * I - L.
+def _cells(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, np.float64).reshape(n, -1)
+
+
+def _tile(key: tuple, rows: pa.Table) -> pa.Table:
+    return pa.table({"p": [key[0].as_py()], "q": [key[1].as_py()], **{c: [rows.column(c).to_numpy().tobytes()] for c in "ijw"}}, TILE)
+
+
+def _first(seed: int, width: int):
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        p, rows = key[0].as_py(), rows.sort_by("id")
+        x = np.random.default_rng([seed, p]).normal(size=(rows.num_rows, width))
+        return pa.table({"p": [p], "ids": [rows.column("id").to_numpy().tobytes()], "d": [rows.column("d").to_numpy().tobytes()], "v": [b""], "lv": [b""], "x": [x.tobytes()]}, BASIS)
+
+    return run
+
+
+def _multiply(batches):
+    for batch in batches:
+        for r in batch.to_pylist():
+            ids = np.frombuffer(r["ids"], np.int64)
+            x, at = _cells(r["x"], len(ids)), np.searchsorted(ids, np.frombuffer(r["j"], np.int64))
+            nodes, row = np.unique(np.frombuffer(r["i"], np.int64), return_inverse=True)
+            w = np.frombuffer(r["w"], np.float64)
+            y = np.stack([np.bincount(row, w * c[at], len(nodes)) for c in np.ascontiguousarray(x.T)], axis=1)
+            yield pa.RecordBatch.from_pylist([{"p": r["p"], "i": nodes.tobytes(), "y": y.tobytes()}], PART)
+
+
+def _append(key: tuple, own: pa.Table, parts: pa.Table) -> pa.Table:
+    """The block's vectors x and their products with L join its basis."""
+    r = own.to_pylist()[0]
+    ids, d = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["d"], np.float64)
+    x = _cells(r["x"], len(ids))
+    y = d[:, None] * x
+    for part in parts.to_pylist():
+        nodes = np.frombuffer(part["i"], np.int64)
+        y[np.searchsorted(ids, nodes)] -= _cells(part["y"], len(nodes))
+    r |= {"v": np.hstack([_cells(r["v"], len(ids)), x]).tobytes(), "lv": np.hstack([_cells(r["lv"], len(ids)), y]).tobytes(), "x": b""}
+    return pa.Table.from_pylist([r], BASIS)
+
+
+def _mixed(turn: np.ndarray | None, mix: np.ndarray):
+    """x = [v, lv] mix for each block; then ``turn`` makes the basis smaller, if given."""
+
+    def run(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                n = len(r["ids"]) // 8
+                v, lv = _cells(r["v"], n), _cells(r["lv"], n)
+                r["x"] = (np.hstack([v, lv]) @ mix).tobytes()
+                if turn is not None:
+                    r["v"], r["lv"] = (v @ turn).tobytes(), (lv @ turn).tobytes()
+                yield pa.RecordBatch.from_pylist([r], BASIS)
+
+    return run
+
+
+def _inner(basis: DataFrame, mix: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """v'v and v'lv; with ``mix`` x'x and v'x of x = [v, lv] mix.  Each task adds up its blocks."""
+
+    def run(batches):
+        sums = None
+        for batch in batches:
+            for r in batch.to_pylist():
+                n = len(r["ids"]) // 8
+                v, lv = _cells(r["v"], n), _cells(r["lv"], n)
+                x = v if mix is None else np.hstack([v, lv]) @ mix
+                now = [x.T @ x, v.T @ (lv if mix is None else x)]
+                sums = now if sums is None else [a + b for a, b in zip(sums, now, strict=True)]
+        if sums is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([s.tobytes()], pa.binary()) for s in sums], names=["a", "b"])
+
+    found = basis.mapInArrow(run, "a binary, b binary").collect()
+    a, b = (sum(np.frombuffer(r[c]) for r in found) for c in ("a", "b"))
+    width = round(len(a) ** 0.5)
+    return a.reshape(width, width), b.reshape(-1, width)
+
+
+def _spelled(values: list[float], mix: np.ndarray):
+    def run(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                ids = np.frombuffer(r["ids"], np.int64)
+                u = _cells(r["v"], len(ids)) @ mix
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([values] * len(ids), pa.list_(pa.float64())), pa.array(u.tolist(), pa.list_(pa.float64()))], names=["id", "values", "u"])
+
+    return run
+
+
+def lanczos_spectrum(edges: DataFrame, ids: DataFrame, vectors: int, steps: int = 60, seed: int = 7, tolerance: float = 1e-7, rounds: int = 1000) -> DataFrame:
+    """As ``dense_spectrum`` for large graphs, by block Lanczos with thick restarts.
 
-    Each step is one distributed product of the edge table with a vector column; only the small
-    tridiagonal matrix (``steps`` squared) comes to the driver.  Bases are written down each step.
-    From one start vector a repeated eigenvalue may be found once only, so a graph of several
-    components can show fewer zeros than it has.
+    A block has as many vectors as are asked for, so an eigenvalue repeated that often is found that
+    often: the zeros of a graph of several components are all there.  Rounds go on until each
+    residual is at most ``tolerance`` times the bound 2 * max degree of the spectrum; RuntimeError
+    after ``rounds``.  A basis of over ``steps`` vectors (eight blocks at least) is restarted from its
+    best three blocks.  Each round is one distributed product of edge tiles with the block's vectors;
+    only small matrices come to the driver.  Bases are written down each round.
     """
     from timbrel.plans.tables import settle
 
-    degrees = ids.join(similarity.degree(edges).withColumnRenamed("i", "id"), "id", "left").select("id", F.coalesce("d", F.lit(0.0)).alias("d"))
-    degrees = settle(degrees)
-    shift = 2.0 * (degrees.agg(F.max("d")).first()[0] or 0.0) or 1.0
-    n = degrees.count()
-    steps = min(steps, n)
-    start = F.hash(F.col("id"), F.lit(seed)).cast("double") / F.lit(float(1 << 31))
-    basis = settle(degrees.select("id", "d", F.array(start).alias("q")))
-    size = basis.agg(F.sqrt(F.sum(F.col("q")[0] * F.col("q")[0]))).first()[0]
-    basis = settle(basis.select("id", "d", F.transform("q", lambda x: x / F.lit(size)).alias("q")))
-    small = np.zeros((steps, steps))
-    for k in range(steps):
-        now = basis.select(F.col("id").alias("j"), F.col("q")[k].alias("x"))
-        pulled = edges.join(now, "j").groupBy("i").agg(F.sum(F.col("w") * F.col("x")).alias("y"))
-        moved = basis.join(pulled.withColumnRenamed("i", "id"), "id", "left").withColumn("y", (F.lit(shift) - F.col("d")) * F.col("q")[k] + F.coalesce("y", F.lit(0.0)))
-        moved = settle(moved)
-        for _ in range(2):  # full orthogonalisation, twice
-            parts = moved.agg(*[F.sum(F.col("q")[i] * F.col("y")).alias(f"p{i}") for i in range(k + 1)]).first()
-            small[k, : k + 1] += np.array([parts[f"p{i}"] for i in range(k + 1)])
-            taken = F.lit(0.0)
-            for i in range(k + 1):
-                taken = taken + F.lit(float(parts[f"p{i}"])) * F.col("q")[i]
-            moved = settle(moved.withColumn("y", F.col("y") - taken))
-        rest = moved.agg(F.sqrt(F.sum(F.col("y") * F.col("y")))).first()[0]
-        if k + 1 == steps or rest < 1e-10 * shift:
-            steps = k + 1
+    n = ids.count()
+    blocks = max(1, -(-n // similarity.BLOCK))
+    block_of = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
+    degrees = settle(ids.join(similarity.degree(edges).withColumnRenamed("i", "id"), "id", "left").select("id", F.coalesce("d", F.lit(0.0)).alias("d")))
+    bound = 2.0 * (degrees.agg(F.max("d")).first()[0] or 0.0) or 1.0
+    tiles = settle(edges.select(block_of("i").alias("p"), block_of("j").alias("q"), "i", "j", F.col("w").cast("double").alias("w")).groupBy("p", "q").applyInArrow(_tile, "p int, q int, i binary, j binary, w binary"))
+    kind = "p int, ids binary, d binary, v binary, lv binary, x binary"
+    vectors = min(vectors, n)
+    basis = degrees.withColumn("p", block_of("id")).groupBy("p").applyInArrow(_first(seed, vectors), kind)
+    for _ in range(rounds):
+        basis = settle(basis)
+        parts = tiles.join(basis.select(F.col("p").alias("q"), "ids", "x"), "q").mapInArrow(_multiply, "p int, i binary, y binary")
+        basis = settle(basis.groupBy("p").cogroup(parts.groupBy("p")).applyInArrow(_append, kind))
+        gram, product = _inner(basis)
+        size = len(gram)
+        half = np.linalg.inv(np.linalg.cholesky(gram))
+        product = half @ (product + product.T) @ half.T / 2
+        values, turn = np.linalg.eigh(product)
+        turn = half.T @ turn
+        mix = np.vstack([-turn[:, :vectors] * values[:vectors], turn[:, :vectors]])
+        length = np.sqrt(np.diag(_inner(basis, mix)[0]))
+        open_ = length > tolerance * bound
+        if not open_.any() or size >= n:
             break
-        basis = settle(moved.select("id", "d", F.concat("q", F.array(F.col("y") / F.lit(rest))).alias("q")))
-    small = small[:steps, :steps]
-    small = np.tril(small) + np.tril(small, -1).T
-    for i in range(steps - 1):
-        small[i, i + 1] = small[i + 1, i]
-    values, mix = np.linalg.eigh((small + small.T) / 2)
-    order = np.argsort(-values)[: min(vectors, steps)]
-    eigen = (shift - values[order]).tolist()
-    rows = F.array(*[sum((F.lit(float(mix[s, o])) * F.col("q")[s] for s in range(steps)), F.lit(0.0)) for o in order])
-    return basis.select("id", F.array(*map(F.lit, eigen)).alias("values"), rows.alias("u"))
+        mix = mix[:, open_] / length[open_]
+        ortho = np.vstack([turn @ turn.T, np.zeros((size, size))])
+        for _ in range(2):  # orthogonal to the basis, then to each other
+            square, shadow = _inner(basis, mix)
+            mix = mix - ortho @ shadow
+            root, way = np.linalg.eigh(square - shadow.T @ turn @ turn.T @ shadow)
+            real = root > 1e-12 * root[-1]
+            mix = mix @ way[:, real][:, -(n - size) :] / np.sqrt(root[real][-(n - size) :])
+        kept = turn[:, : 3 * vectors] if size + vectors > max(steps, 8 * vectors) else None
+        basis = basis.mapInArrow(_mixed(kept, mix), kind)
+    else:
+        raise RuntimeError(f"the spectrum did not converge: residuals {length[open_].tolist()} of a bound of {bound}")
+    return basis.mapInArrow(_spelled(values[:vectors].tolist(), turn[:, :vectors]), "id long, values array<double>, u array<double>")
 
 
 def spectrum(edges: DataFrame, ids: DataFrame, vectors: int = MAX_SPEAKERS + 1) -> DataFrame:
-    """(id, values, u), dense up to DENSE_LIMIT nodes (the count is checked), Lanczos beyond."""
+    """(id, values, u), dense up to DENSE_LIMIT nodes (the count is checked), block Lanczos beyond."""
     return dense_spectrum(edges, ids, vectors) if ids.count() <= DENSE_LIMIT else lanczos_spectrum(edges, ids, vectors)
 
 
