@@ -127,6 +127,20 @@ def test_redaction(spark):
     assert got[2]["text"] is None and got[3]["text"] == "clean"
 
 
+def test_redaction_of_random_strings(spark):
+    rng = random.Random(5)
+    upper, lower, digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    kinds = [(a, n) for a in (upper + lower + digits, lower + digits, digits + "abcdef") for n in (20, 24, 40)]
+    rows = [(i, "of " + "".join(rng.choice(a) for _ in range(n)) + " end") for i, (a, n) in enumerate(kinds * 60)]
+    got = [r["text"] for r in secrets.redact(table(spark, rows)).collect()]
+    assert sum(t == "of [SECRET] end" for t in got) >= 0.98 * len(rows) and {t for t in got if "[" in t} == {"of [SECRET] end"}
+    token = "q8Zr2LxV7mTkP0sWy4NcB9dH"
+    fine = ["550e8400-e29b-41d4-a716-446655440000", "abcdefghijklmnopqrstuvwxyz0123456789", "internationalizationService", "see /2024/how-to-see-the-sea-and-the-tree", "x" * 40 + "1", "9" * 30]
+    odd_ones = [(1, f"example-{token} é"), (2, f"{token}xxxxxxxx"), *enumerate(fine, 3)]
+    got = {r["doc_id"]: r["text"] for r in secrets.redact(table(spark, odd_ones)).collect()}
+    assert token not in got[1] + got[2] and [got[i] for i in range(3, 3 + len(fine))] == fine
+
+
 # 2 repeats
 
 

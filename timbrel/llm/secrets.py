@@ -43,6 +43,16 @@ CLASSES = (
     CharacterClass("base64", r"[A-Za-z0-9+/_=-]{24,}", 24, 4.1),
 )
 
+#: What redact() looks for: any string as random as 99.5 % of those drawn evenly from its class at the window's width (simulated).
+WIDE = (
+    CharacterClass("hex", r"[0-9A-Fa-f]{16,}", 16, 2.6),
+    CharacterClass("one case", r"[0-9a-z]{16,}|[0-9A-Z]{16,}", 16, 3.05),
+    CharacterClass("base62", r"[A-Za-z0-9]{16,}", 16, 3.3),
+    CharacterClass("base64", r"[A-Za-z0-9+/_=-]{24,}", 24, 3.85),
+)
+#: Letters and digits, or a case that changes as names of several words do not.
+MIXED = r"[0-9].*[A-Za-z]|[A-Za-z].*[0-9]|([a-z][^a-z]*[A-Z][^A-Z]*){4}"
+
 _SPAN = "array<struct<start:long,end:long,kind:int>>"
 
 
@@ -115,10 +125,24 @@ def entropy_spans(text: Column, spans: Column, kind: CharacterClass, allow: str)
     return F.when(text.rlike(kind.candidates), F.filter(F.transform(found, look), lambda s: s["kind"].isNotNull())).otherwise(F.array().cast(_SPAN))
 
 
-def scan(docs: DataFrame, text: str = "text", classes: tuple[CharacterClass, ...] = CLASSES, allow: str = ALLOW) -> DataFrame:
+def whole_spans(text: Column, spans: Column, kind: CharacterClass, allow: str) -> Column:
+    """As ``entropy_spans``, but a hit marks its whole candidate, and what is allowed is taken out of a candidate before it is judged."""
+    found = located(text, kind.candidates, 1, 3)
+
+    def hit(c: Column) -> Column:
+        word = F.substring(text, (c["start"] + 1).cast("int"), (c["end"] - c["start"]).cast("int"))
+        rest = F.regexp_replace(word, allow, "")
+        covered = F.exists(spans, lambda b: (b["start"] <= c["start"]) & (b["end"] >= c["end"]))
+        return F.coalesce(F.when(rest.rlike(MIXED) & ~covered, hot_stretch(rest, kind.width, kind.bits)["first"] >= 0), F.lit(False))
+
+    return F.when(text.rlike(kind.candidates), F.filter(found, hit)).otherwise(F.array().cast(_SPAN))
+
+
+def scan(docs: DataFrame, text: str = "text", classes: tuple[CharacterClass, ...] = CLASSES, allow: str = ALLOW, whole: bool = False) -> DataFrame:
     """``docs`` with base_spans and secret_spans: arrays of (start, end, kind), in code points, end exclusive, by start, then kind.
 
-    kind numbers KINDS.  secret_spans holds the base spans and those the entropy windows add.
+    kind numbers KINDS.  secret_spans holds the base spans and those the entropy windows add, with
+    ``whole`` the whole candidates in which they found something.
     Null texts are empty; repeated rows are scanned alike; an empty table stays empty; input
     columns of the results' names are replaced.  One pass of expressions, no shuffle.
     """
@@ -126,7 +150,7 @@ def scan(docs: DataFrame, text: str = "text", classes: tuple[CharacterClass, ...
     value = F.coalesce(quoted(text), F.lit(""))
     base = F.concat(located(value, ASSIGN, 8, 0, 2), located(value, ACCESS, 16, 1), located(value, HEX, 32, 2))
     docs = docs.drop("base_spans", "secret_spans").withColumn("base_spans", order(base))
-    added = [entropy_spans(value, F.col("base_spans"), c, allow) for c in classes]
+    added = [(whole_spans if whole else entropy_spans)(value, F.col("base_spans"), c, allow) for c in classes]
     return docs.withColumn("secret_spans", order(F.array_distinct(F.concat("base_spans", *added))))
 
 
@@ -137,9 +161,9 @@ def spelled(spans: str) -> Column:
 
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with ``mark`` in place of each secret; overlapping secrets get one mark.  All other columns stay as they are."""
+    """``docs`` with ``mark`` in place of each secret, those of the WIDE classes whole; overlapping secrets get one mark.  All other columns stay as they are."""
     aside = {c: f"__own_{c}" for c in docs.columns if c in ("base_spans", "secret_spans")}
-    scanned = scan(docs.withColumnsRenamed(aside), text)
+    scanned = scan(docs.withColumnsRenamed(aside), text, WIDE, whole=True)
     value = F.coalesce(quoted(text), F.lit(""))
     zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
 
