@@ -264,6 +264,17 @@ def test_languages_odd(spark):
     assert {r["lang_pred"] for r in languages.identify(odd(spark), None).collect()} == {"und"}
 
 
+def test_foreign_texts_go(spark):
+    import corpus_pipeline as p
+
+    rng = random.Random(3)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    alphabets = ["абвгдежзийклмнопрстуфхцчшщыьэюя", "αβγδεζηθικλμνξοπρστυφχψω", "的一是不了人我在有他这中大来上国个到说们", "ابتثجحخدذرزسشصضطظعغفقكلمنهوي", "bcdfghjklmnpqrstvwxz"]
+    strange = [(90000 + i, " ".join("".join(rng.choice(a) for _ in range(rng.randint(2, 9))) for _ in range(40)), None, "s", 0) for i, a in enumerate(alphabets * 20)]
+    kept = {r["doc_id"] for r in p.language_id(spark, docs.unionByName(spark.createDataFrame(strange, docs.schema)), "").select("doc_id").collect()}
+    assert kept == {r["doc_id"] for r in docs.collect() if any(map(str.isalpha, r["text"] or ""))}
+
+
 # 5 conversations
 
 

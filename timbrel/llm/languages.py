@@ -27,6 +27,8 @@ UNKNOWN = "und"
 #: Least lead of the best codeword's probability over the second's.
 LEAD = 0.2
 ROWS = 256
+#: Slots of the table of 3-grams met in fitting.
+KNOWN = 1 << 20
 
 #: Letters fold to lower case, all else that is ASCII to a space.
 _FOLD = np.full(256, 32, np.uint32)
@@ -78,6 +80,23 @@ def vectors(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
+def trigrams(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(slot, row) of every byte 3-gram of the texts, a space put before and after each; those with no letter are left out."""
+    x = np.insert(_FOLD[data], np.repeat(at, 2)[1:-1], 32)
+    row = np.repeat(np.arange(len(at) - 1), np.diff(at) + 2)
+    value = (x[:-2] * np.uint32(0x01000193) + x[1:-1]) * np.uint32(0x01000193) + x[2:]
+    keep = (row[:-2] == row[2:]) & ((x[:-2] != 32) | (x[1:-1] != 32) | (x[2:] != 32))
+    return ((value[keep] * np.uint32(0x9E3779B1)) >> np.uint32(12)).astype(np.int64), row[:-2][keep]
+
+
+def known_share(known: np.ndarray, data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Share of each text's 3-grams that ``known`` has; 1 for a text with none."""
+    slot, row = trigrams(data, at)
+    n = len(at) - 1
+    total = np.bincount(row, minlength=n)
+    return np.where(total > 0, np.bincount(row, weights=known[slot], minlength=n) / np.maximum(total, 1), 1.0)
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -85,6 +104,9 @@ class Model:
     weights: np.ndarray
     bias: np.ndarray
     trust: np.ndarray
+    #: 3-grams met in fitting, and for each language the share of them under which a text is foreign.
+    known: np.ndarray | None = None
+    floor: np.ndarray | None = None
 
     def decode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Index of the nearest codeword, its probability and its lead over the second."""
@@ -136,7 +158,24 @@ def fit_languages(docs: DataFrame, per_language: int = PER_LANGUAGE, parts: int
         return None
     texts = pa.array([r["text"] for r in rows], pa.large_string())
     x = np.concatenate([vectors(data[: at[-1]], at) for _, _, data, at in row_chunks(texts)])
-    return fit(x, np.array([languages.index(r["lang"]) for r in rows]), languages)
+    model = fit(x, np.array([languages.index(r["lang"]) for r in rows]), languages)
+    model.known, model.floor = _familiar(texts, np.array([languages.index(r["lang"]) for r in rows]), len(languages))
+    return model
+
+
+def _familiar(texts: pa.Array, y: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The 3-grams of all texts, and each language's floor: half the share that 99 % of its texts reach
+    when only every other text is known; 0 for a language of one text, which tells nothing."""
+    half = np.zeros((2, KNOWN), bool)
+    for begin, end, data, at in row_chunks(texts):
+        slot, row = trigrams(data[: at[-1]], at)
+        half[(row + begin) % 2, slot] = True
+    share = np.zeros(len(y))
+    for begin, end, data, at in row_chunks(texts):
+        both = np.stack([known_share(h, data[: at[-1]], at) for h in half])
+        share[begin:end] = both[1 - np.arange(begin, end) % 2, np.arange(end - begin)]
+    floor = [0.5 * np.quantile(share[y == k], 0.01) if (y == k).sum() > 1 else 0.0 for k in range(n)]
+    return half[0] | half[1], np.array(floor)
 
 
 def row_chunks(texts, limit: int = ROWS):
@@ -179,6 +218,24 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", lead: flo
     return append(docs, lambda: _kernel(sent.value, lead), FIELDS, (text,), keep)
 
 
+def foreign(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """``identify`` with a column foreign: und, or fewer known 3-grams than the floor of the language predicted."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        judge = _kernel(sent.value, LEAD)
+
+        def run(texts) -> list:
+            names, scores, unsure = judge(texts)
+            share = np.concatenate([np.zeros(0), *(known_share(sent.value.known, data, at) for _, _, data, at in row_chunks(texts))])
+            floor = dict(zip(sent.value.languages, sent.value.floor, strict=True))
+            return [names, scores, unsure, [bool(s < floor.get(name, 2.0)) for s, name in zip(share, names, strict=True)]]
+
+        return run
+
+    return append(docs, make, T.StructType([*FIELDS, T.StructField("foreign", T.BooleanType())]), (text,))
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = identify(docs.select("doc_id", "text"), fit_languages(docs), keep=["doc_id"])
