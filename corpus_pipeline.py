@@ -29,13 +29,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of each class; of rows repeated whole, one."""
+    """Keeps the document of the smallest id of each class, by id and text, null ids last; of rows repeated whole, one."""
     classes = settle(jaccard.jaccard_classes(docs))
-    others = classes.where(~F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("other")).distinct()
-    # one plan at every size: the list of ids to drop grows with the corpus, so it is never broadcast
-    kept = docs.join(others.hint("merge"), F.col("doc_id") == F.col("other"), "left_anti")
-    leaders = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id")))
-    if leaders.groupBy("doc_id").count().where("count > 1").limit(1).count():
+    others = classes.where(~F.col("leads")).select(F.col("doc_id").alias("other"), F.col("digest").alias("other_text")).distinct()
+    # one plan at every size: the list of rows to drop grows with the corpus, so it is never broadcast
+    kept = docs.join(others.hint("merge"), (jaccard.digest_of() == F.col("other_text")) & F.col("doc_id").eqNullSafe(F.col("other")), "left_anti")
+    leaders = classes.where("leads")
+    if leaders.groupBy("doc_id", "digest").count().where("count > 1").limit(1).count():
         kept = kept.dropDuplicates(["doc_id", "text"])
     return kept
 

@@ -349,6 +349,18 @@ def test_near_duplicates(spark, options):
     assert rows_of(jaccard.jaccard_classes(table(spark, rows), **options), "doc_id", "class_id", "n_links", "n_copies") == brute_classes(rows)
 
 
+def test_near_duplicates_by_row(spark):
+    import corpus_pipeline as p
+
+    say = lambda c, n=40: " ".join(f"{c}{i}" for i in range(n))
+    rows = [(1, say("a")), (5, say("a") + " z"), (5, say("b")), (None, say("b") + " z"), (None, say("c")), (None, say("c") + " z"), (None, say("d")), (None, ""), (7, say("e")), (7, say("e") + " z"), (8, say("f")), (8, say("f"))]
+    classes = jaccard.jaccard_classes(table(spark, rows)).join(table(spark, rows).select(F.md5("text").alias("digest"), "text").distinct(), "digest").collect()
+    assert all(r["n_links"] == (r["text"][:1] in ("a", "b", "c", "e")) for r in classes) and len(classes) == len(rows)
+    kept = [(r["doc_id"], r["text"]) for r in p.near_duplicates(spark, table(spark, rows), "").collect()]
+    assert {t[:1] for _, t in kept} == set("abcdef") | {""} and len(kept) == 7
+    assert (1, say("a")) in kept and (5, say("b")) in kept and (None, say("d")) in kept
+
+
 def test_near_duplicates_empty(spark):
     assert jaccard.jaccard_classes(table(spark, []).withColumn("keys", F.lit(1))).count() == 0
 

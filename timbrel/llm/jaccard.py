@@ -299,20 +299,26 @@ def _shingle_sets(size: int):
     return run
 
 
+def digest_of(text: str = "text"):
+    return F.md5(F.coalesce(quoted(text), F.lit("")))
+
+
 def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, shingle: int = SHINGLE, recall: float = RECALL, run: int = RUN, tile_texts: int = TILE_TEXTS, tile_shingles: int = TILE_SHINGLES) -> DataFrame:
-    """doc_id, class_id, n_links, n_copies for each row of ``docs``.
+    """doc_id, class_id, n_links, n_copies, digest, leads for each row of ``docs``.
 
     Texts are linked if their sets of ``shingle`` consecutive words (split at ASCII white space)
     have a Jaccard similarity of ``threshold`` or more; a class is what links and copies connect,
     named by its smallest doc_id.  n_links counts the other texts linked to a row's text, n_copies
-    the rows of the same text.  Texts of fewer words are one shingle.  Null, empty and blank texts
+    the rows of the same text.  leads tells the rows whose text and doc_id a class keeps if it keeps
+    one: the smallest doc_id, of its texts that of the smallest digest; null ids come after all
+    others.  Texts of fewer words are one shingle.  Null, empty and blank texts
     are linked to nothing, each row a class of its own.  Repeated rows are copies; extra columns
     are ignored; an empty table gives an empty one.
     """
     spark = docs.sparkSession
     source = docs.select(quoted(doc_id).alias("doc_id"), quoted(text).alias("text"))
     depth = prefix_depth(threshold, recall)
-    signed = settle(append(source.withColumn("digest", F.md5(F.coalesce("text", F.lit("")))), lambda: _sign(depth, shingle), SIGNED, ("text",), ["doc_id", "digest"]))
+    signed = settle(append(source.withColumn("digest", digest_of()), lambda: _sign(depth, shingle), SIGNED, ("text",), ["doc_id", "digest"]))
     worded = signed.where("n_shingles > 0")
 
     # texts that share a prefix of the shortened depth with another
@@ -337,7 +343,8 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     # exact comparison within each tied set, by tiles
     ones = worded.join(sets.select(F.col("node").alias("digest"), "root"), "digest").groupBy("digest", "root").agg(F.min("doc_id").alias("doc_id"))
-    texts = source.join(ones, "doc_id").where(F.md5("text") == F.col("digest")).select("digest", "root", "text")
+    ones = ones.select(F.col("digest").alias("own"), "root", F.col("doc_id").alias("one"))
+    texts = source.withColumn("digest", digest_of()).join(ones, (F.col("digest") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("one"))).select("digest", "root", "text")
     spelled = append(texts, lambda: _shingle_sets(shingle), T.StructType([T.StructField("shingles", T.BinaryType())]), ("text",), ["digest", "root"]).dropDuplicates(["digest"])
     spelled = settle(spelled)
     volume = spelled.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / tile_texts), F.ceil(F.sum(F.octet_length("shingles")) / (8 * tile_shingles))).cast("int").alias("tiles"))
@@ -350,15 +357,16 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # copies are counted by text, then texts by class
     by_text = worded.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_copies"))
     by_text = by_text.join(classes.withColumnRenamed("node", "digest"), "digest", "left").join(links, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-    named = by_text.groupBy("root").agg(F.min("least").alias("class_id"))
-    of_text = by_text.join(named, "root").select("digest", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
-    rows = worded.select("doc_id", "digest").join(of_text, "digest").select("doc_id", "class_id", "n_links", "n_copies")
-    blank = signed.where("n_shingles = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
+    named = by_text.groupBy("root").agg(F.min("least").alias("class_id"), F.min(F.struct(F.col("least").isNull().alias("none"), "least", "digest"))["digest"].alias("leader"))
+    of_text = by_text.join(named, "root").select("digest", "class_id", (F.col("digest") == F.col("leader")).alias("leader"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
+    leads = (F.col("leader") & F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("leads")
+    rows = worded.select("doc_id", "digest").join(of_text, "digest").select("doc_id", "class_id", "n_links", "n_copies", "digest", leads)
+    blank = signed.where("n_shingles = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"), "digest", F.lit(True).alias("leads"))
     return rows.unionByName(blank)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return jaccard_classes(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return jaccard_classes(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).drop("digest", "leads")
 
 
 SQL = r"""
