@@ -3,8 +3,8 @@
 Each language gets a codeword; one binary classifier over hashed byte n-grams predicts each bit.
 Loss-weighted decoding picks the codeword with the least sum of logistic losses, each bit weighted
 by how well its classifier separates the training texts; a small lead over the second best flags
-ambiguity.  Classifiers are fitted on a bounded sample (``per_language`` documents, those of the
-smallest id hash).
+ambiguity.  Classifiers are fitted on a bounded sample (``per_language`` documents and
+``max_bytes`` of text of each language, drawn by a hash of id and text).
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from timbrel.llm import textkit as tk
 from timbrel.llm.rows import append
+from timbrel.llm.sampling import MAX_BYTES, draw_labelled
 
 #: Training documents of each language, at most.
 PER_LANGUAGE = 400
@@ -141,25 +142,22 @@ def _folds(id_column: str, parts: int):
     return F.pmod(F.crc32(F.col(id_column).cast("string")), F.lit(parts))
 
 
-def fit_languages(docs: DataFrame, per_language: int = PER_LANGUAGE, parts: int = 5, held_out: int = 0) -> Model | None:
-    """A model from text and lang of the documents outside the held-out fold; None if no language is known."""
+def fit_languages(docs: DataFrame, per_language: int = PER_LANGUAGE, parts: int = 5, held_out: int = 0, max_bytes: int = MAX_BYTES) -> Model | None:
+    """A model from text and lang of the documents outside the held-out fold; None if no language is known.
+
+    At most ``per_language`` documents and ``max_bytes`` of text of each language are collected.
+    """
     known = docs.where(F.col("lang").isNotNull() & (_folds("doc_id", parts) != held_out))
-    count = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not count:
-        return None
-    draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1 << 30))
-    share = F.create_map(*[F.lit(v) for k, n in count.items() for v in (k, int(min(1.0, 1.2 * per_language / n + 20 / n) * (1 << 30)))])
-    drawn = known.withColumn("draw", draw).where(F.col("draw") < share[F.col("lang")]).where("text is not null").select("lang", "draw", "text").collect()
-    rows: list = []
-    for lang in sorted(count):
-        rows += sorted((r for r in drawn if r["lang"] == lang), key=lambda r: (r["draw"], r["text"]))[:per_language]
-    languages = sorted({r["lang"] for r in rows})
+    rows = draw_labelled(known.select(F.col("lang").alias("label"), "doc_id", "text"), per_language, max_bytes)
+    languages = sorted({lang for lang, _ in rows})
     if not languages:
         return None
-    texts = pa.array([r["text"] for r in rows], pa.large_string())
+    rows.sort(key=lambda r: r[0])
+    texts = pa.array([t for _, t in rows], pa.large_string())
     x = np.concatenate([vectors(data[: at[-1]], at) for _, _, data, at in row_chunks(texts)])
-    model = fit(x, np.array([languages.index(r["lang"]) for r in rows]), languages)
-    model.known, model.floor = _familiar(texts, np.array([languages.index(r["lang"]) for r in rows]), len(languages))
+    y = np.array([languages.index(lang) for lang, _ in rows])
+    model = fit(x, y, languages)
+    model.known, model.floor = _familiar(texts, y, len(languages))
     return model
 
 
@@ -239,4 +237,4 @@ def foreign(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = identify(docs.select("doc_id", "text"), fit_languages(docs), keep=["doc_id"])
-    return found.select("doc_id", (_folds("doc_id", 5) == 0).alias("held_out"), "lang_pred", "score", "ambiguous")
+    return found.select("doc_id", F.coalesce(_folds("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score", "ambiguous")

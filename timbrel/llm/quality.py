@@ -3,7 +3,7 @@
 Counting rules are exact.  On top of them a linear-chain CRF labels each line content or
 boilerplate; Viterbi decoding gives the best label sequence of a text, and the share of words in
 content lines decides retention.  The CRF is fitted on a bounded sample of labelled documents
-(``max_docs`` for each quality label, those of the smallest id hash): lines of poor documents and
+(``max_docs`` and ``max_bytes`` of text for each quality label, drawn by hash): lines of poor documents and
 repeated lines count as boilerplate.
 """
 
@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from timbrel.llm import textkit as tk
 from timbrel.llm.rows import append
+from timbrel.llm.sampling import MAX_BYTES, draw_labelled
 
 #: Documents of each quality label that the field is fitted on, at most.
 MAX_DOCS = 1000
@@ -213,20 +214,26 @@ def fit(features: np.ndarray, row: np.ndarray, label: np.ndarray, steps: int = 2
     return Field(theta[:-4], theta[-4:].reshape(2, 2))
 
 
-def fit_field(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> Field:
-    """The field for these documents: a bounded sample, the same for any order of rows; DEFAULT without both labels."""
-    rated = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    ids = [r["doc_id"] for q in (0, 1) for r in rated.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs).select("doc_id").collect()]
-    chosen = rated.where(F.col("doc_id").isin(ids)) if ids else rated.limit(0)
-    texts = docs.join(F.broadcast(chosen), "doc_id").where("text is not null").select("doc_id", "quality", "text").collect()  # 2 * max_docs rows at most
-    texts = sorted(texts, key=lambda r: (r["doc_id"], r["text"]))
-    if len({r["quality"] for r in texts}) < 2:
+def fit_field(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_bytes: int = MAX_BYTES) -> Field:
+    """The field for these documents: a bounded sample, the same for any order of rows; DEFAULT without both labels.
+
+    At most ``max_docs`` documents and ``max_bytes`` of text of each quality label are collected.
+    Labels of one document that differ count as the lowest.
+    """
+    rated = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("label"))
+    ids = [tuple(r) for q in (0, 1) for r in rated.where(F.col("label") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs).collect()]
+    if len({q for _, q in ids}) < 2:
+        return DEFAULT
+    chosen = docs.sparkSession.createDataFrame(ids, T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("label", T.IntegerType())]))
+    found = draw_labelled(docs.join(F.broadcast(chosen), "doc_id").select("label", "doc_id", "text"), max_docs, max_bytes)
+    texts = [t for _, t in found]
+    if len({q for q, _ in found}) < 2:
         return DEFAULT
     import pyarrow as pa
 
     parts, base = [], 0
-    good = np.array([r["quality"] == 1 for r in texts])
-    for begin, end, data, at in tk.chunks(pa.array([r["text"] for r in texts], pa.large_string())):
+    good = np.array([q == 1 for q, _ in found])
+    for begin, end, data, at in tk.chunks(pa.array(texts, pa.large_string())):
         lines = measure(data, at)
         parts.append((lines.features, lines.row + base, good[begin:end][lines.row] & (lines.features[:, 1] == 0)))
         base += end - begin

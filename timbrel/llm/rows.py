@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -14,6 +15,14 @@ def quoted(name: str):
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def give_back() -> None:
+    """Return freed memory to the machine: workers are reused, and what one operator frees must not add to the next one's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def append(docs: DataFrame, make: Callable[[], Callable[..., list]], fields: T.StructType, inputs: Sequence[str] = ("text",), keep: Sequence[str] | None = None) -> DataFrame:
     """``docs`` with ``fields`` appended, computed batch by batch from the ``inputs`` columns.
 
@@ -37,5 +46,8 @@ def append(docs: DataFrame, make: Callable[[], Callable[..., list]], fields: T.S
             made = kernel(*[columns[c] for c in inputs])
             arrays = [x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x, t) for x, t in zip(made, types, strict=True)]
             yield pa.RecordBatch.from_arrays([columns[c] for c in kept] + arrays, names=schema.names)
+            del columns, made, arrays
+        del kernel
+        give_back()
 
     return docs.select(*[quoted(c) for c in [*kept, *more]]).mapInArrow(run, schema)

@@ -25,7 +25,7 @@ def _power(base: int, name: str, n: int) -> np.ndarray:
         factors = np.full(size, base & _MASK, np.uint64)
         factors[0] = 1
         have = np.multiply.accumulate(factors)
-        if size <= 8 * CHUNK_BYTES:
+        if size <= 2 * CHUNK_BYTES:
             _powers[name] = have
     return have[:n]
 

@@ -3,8 +3,8 @@
 A linear classifier over the words and word prefixes of a text is trained from confirmed toxic documents and
 unlabelled text only.  Its risk is  prior * E_pos[loss(+f)] + max(0, E_unl[loss(-f)] - prior *
 E_pos[loss(-f)]);  where the bracket turns negative the step ascends it, so the classifier cannot
-win by memorising the positives.  Both samples are bounded (``max_positive``, ``max_unlabelled``
-documents, those of the smallest id hash).
+win by memorising the positives.  Both are bounded samples of labelled rows (``max_positive`` and
+``max_unlabelled`` documents, ``max_bytes`` of text), drawn by hash.
 """
 
 from __future__ import annotations
@@ -19,9 +19,11 @@ from pyspark.sql import types as T
 
 from timbrel.llm import textkit as tk
 from timbrel.llm.rows import append
+from timbrel.llm.sampling import draw_labelled
 
 MAX_POSITIVE = 2000
 MAX_UNLABELLED = 6000
+MAX_BYTES = 24 << 20
 #: Positives that hold a feature, at least; its least contrast in standard errors; features at most.
 MIN_DOCS = 3
 CONTRAST = 5.0
@@ -154,28 +156,38 @@ def _folds(parts: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(parts))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, parts: int = 4, held_out: int = 2, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> Model:
-    """A model from labels outside the held-out fold; without any toxic label it scores every text with the prior."""
+def fit_toxicity(docs: DataFrame, labels: DataFrame, parts: int = 4, held_out: int = 2, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, max_bytes: int = MAX_BYTES) -> Model:
+    """A model from labels outside the held-out fold; without any toxic label it scores every text with the prior.
+
+    Positives are documents labelled toxic.  The unlabelled text is that of documents with any
+    label, the label itself not looked at: so its share of toxic documents is that of the labels,
+    which is the prior.  Labels of one document that differ count as toxic.  At most
+    ``max_positive`` and ``max_unlabelled`` documents and ``max_bytes`` of text of each are collected.
+    """
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (_folds(parts) != held_out)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     total = usable.agg(F.count("*").alias("n"), F.sum((F.col("toxic") == 1).cast("long")).alias("toxic")).first()
-    prior = min(0.5, max(0.005, total["toxic"] / total["n"])) if total["n"] and total["toxic"] else PRIOR
+    n, n_toxic = total["n"], total["toxic"] or 0
+    prior = min(0.5, max(0.005, n_toxic / n)) if n_toxic else PRIOR
     bias = float(np.log(prior / (1 - prior)))
+    none = Model(np.zeros(0, np.uint64), np.zeros((0, LEVELS)), bias)
+    if not n_toxic:
+        return none
     draw = F.xxhash64(F.col("doc_id").cast("string"))
-    ids = [r["doc_id"] for r in usable.where("toxic = 1").orderBy(draw, "doc_id").limit(max_positive).select("doc_id").collect()]
-    if not ids:
-        return Model(np.zeros(0, np.uint64), np.zeros((0, LEVELS)), bias)
-    toxic = docs.sparkSession.createDataFrame([(i,) for i in ids], T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType)]))
-    n = docs.where(_folds(parts) != held_out).count()
-    chance = min(1.0, 1.1 * max_unlabelled / max(1, n) + 50 / max(1, n))
-    some = docs.where((_folds(parts) != held_out) & F.col("text").isNotNull())
-    picked = some.join(F.broadcast(toxic.withColumn("positive", F.lit(True))), "doc_id", "left")  # max_positive ids at most
-    drawn = F.pmod(draw, F.lit(1 << 30)) < F.lit(int(chance * (1 << 30)))
-    rows = picked.where(drawn | F.col("positive")).select("doc_id", "text", F.coalesce("positive", F.lit(False)).alias("positive"), drawn.alias("drawn"), draw.alias("draw")).collect()
-    rows.sort(key=lambda r: (r["draw"], r["doc_id"], r["text"]))
-    positive = [r["text"] for r in rows if r["positive"]]
-    unlabelled = [r["text"] for r in rows if r["drawn"]][:max_unlabelled]
-    texts = pa.array(positive + unlabelled, pa.large_string())
-    return fit(texts, np.array([True] * len(positive) + [False] * len(unlabelled)), prior)
+    pick = lambda rows, most: [r["doc_id"] for r in rows.orderBy(draw, "doc_id").limit(most).select("doc_id").collect()]
+    kind = T.StructType([T.StructField("label", T.StringType()), T.StructField("doc_id", docs.schema["doc_id"].dataType)])
+    positive = pick(usable.where("toxic = 1"), max_positive)
+    # labels that confirm toxic documents alone say nothing of the rest: then all documents outside the fold are the unlabelled text
+    rest = pick(usable, max_unlabelled) if n_toxic < n else None
+    wanted = docs.sparkSession.createDataFrame([("positive", i) for i in positive] + [("unlabelled", i) for i in rest or ()], kind)
+    rows = docs.join(F.broadcast(wanted), "doc_id").select("label", "doc_id", "text")
+    if rest is None:
+        rows = rows.unionByName(docs.where(_folds(parts) != held_out).select(F.lit("unlabelled").alias("label"), "doc_id", "text"))
+    drawn = draw_labelled(rows, max(max_positive, max_unlabelled), max_bytes)
+    texts = {k: [t for label, t in drawn if label == k][:most] for k, most in (("positive", max_positive), ("unlabelled", max_unlabelled))}
+    if not texts["positive"]:
+        return none
+    marks = np.array([k == "positive" for k in texts for _ in texts[k]])
+    return fit(pa.array(texts["positive"] + texts["unlabelled"], pa.large_string()), marks, prior)
 
 
 def _kernel(model: Model):
@@ -210,4 +222,4 @@ def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     model = fit_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = score_toxicity(docs, model, keep=["doc_id"])
-    return scored.select("doc_id", (_folds(4) == 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(_folds(4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
