@@ -10,6 +10,7 @@ candidate or a base span covers it.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -54,28 +55,71 @@ WIDE = (
 MIXED = r"[0-9].*[A-Za-z]|[A-Za-z].*[0-9]|([a-z][^a-z]*[A-Z][^A-Z]*){4}"
 
 _SPAN = "array<struct<start:long,end:long,kind:int>>"
+_FOUND = "array<struct<start:long,end:long,kind:int,word:string>>"
+
+
+#: Code points of a block that pieces of a text are cut from.
+BLOCK = 512
+#: Elements that one step of ``running`` sums up by growing an array.
+STRIDE = 128
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def running(values: Column, join: Callable[[Column, Column], Column], start: int = 0) -> Column:
+    """Running values of an associative ``join`` over an array of longs, ``start`` first: one element more than ``values``.
+
+    Arrays cannot be appended to, only copied; stretches of STRIDE elements are summed apart and
+    then offset by the stretches before, so the work grows with the length, not its square.
+    """
+
+    def scan(x: Column, begin: Column) -> Column:
+        return F.aggregate(x, F.array(begin), lambda done, v: F.concat(done, F.array(join(F.element_at(done, -1), v))))
+
+    def whole(x: Column) -> Column:
+        stretches = F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / STRIDE).cast("int")), lambda i: F.slice(x, i * STRIDE + 1, F.lit(STRIDE)))
+        return once(stretches, lambda parts: F.concat(F.array(zero), F.flatten(F.zip_with(parts, begins(parts), lambda part, begin: F.slice(scan(part, begin), 2, F.size(part))))))
+
+    def begins(parts: Column) -> Column:
+        totals = F.transform(parts, lambda part: F.aggregate(part, zero, join))
+        return F.slice(scan(totals, zero), 1, F.size(parts))
+
+    zero = F.lit(start).cast("long")
+    return once(values, lambda x: F.when(F.size(x) > STRIDE, whole(x)).otherwise(scan(x, zero)))
 
 
 def located(text: Column, pattern: str, least: int, kind: int, group: int = 0) -> Column:
-    """Spans of the pattern's leftmost non-overlapping matches whose ``group`` has at least ``least`` characters.
+    """Spans, with the strings found, of the pattern's leftmost non-overlapping matches whose ``group`` has at least ``least`` characters.
 
     Splitting at the matches gives the text between them; running lengths give code-point offsets.
     """
-    between = F.split(text, pattern, -1)
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     long_enough = lambda m: F.length(F.regexp_extract(m, pattern, group) if group else m) >= least
-    start = lambda s, gap: s["at"] + F.length(gap)
-    state = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(_SPAN).alias("spans"))
 
-    def step(s: Column, x: Column) -> Column:
-        begin = start(s, x["gap"])
-        end = begin + F.length(x["match"])
-        span = F.struct(begin.alias("start"), end.alias("end"), F.lit(kind).alias("kind"))
-        return F.struct(end.alias("at"), F.when(long_enough(x["match"]), F.concat(s["spans"], F.array(span))).otherwise(s["spans"]).alias("spans"))
+    def spans(x: Column) -> Column:
+        found, gaps = x["found"], x["between"]
+        steps = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: (F.length(g) + F.length(m)).cast("long"))
+        ends = F.slice(running(steps, lambda a, v: a + v), 2, F.size(found))
+        every = F.zip_with(found, ends, lambda m, e: F.struct((e - F.length(m)).alias("start"), e.alias("end"), F.lit(kind).alias("kind"), m.alias("word")))
+        return F.filter(every, lambda s: long_enough(s["word"]))
+
+    both = F.struct(F.split(text, pattern, -1).alias("between"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"))
+    return F.when(text.rlike(pattern), once(both, spans)).otherwise(F.array().cast(_FOUND))
+
+
+def uncovered(found: Column, spans: Column) -> Column:
+    """Those of ``found`` that lie in none of ``spans``, both in order: a span covers what starts no earlier and ends by the furthest end so far."""
+    marks = lambda xs, own: F.transform(xs, lambda s: F.struct(s["start"].alias("start"), F.lit(own).alias("own"), s["end"].alias("end"), (s["word"] if own else F.lit("")).alias("word")))
+
+    def judge(all_: Column) -> Column:
+        reach = F.slice(running(F.transform(all_, lambda s: F.when(s["own"] == 0, s["end"]).otherwise(F.lit(-1).cast("long"))), lambda a, v: F.greatest(a, v), -1), 2, F.size(all_))
+        told = F.zip_with(all_, reach, lambda s, r: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(3).alias("kind"), s["word"].alias("word"), ((s["own"] == 1) & (r < s["end"])).alias("free")))
+        return F.transform(F.filter(told, lambda s: s["free"]), lambda s: F.struct(*[s[c].alias(c) for c in ("start", "end", "kind", "word")]))
 
-    pairs = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda g, m: F.struct(g.alias("gap"), m.alias("match")))
-    spans = F.aggregate(pairs, state, step, lambda s: s["spans"])
-    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(_SPAN))
+    # at one start the spans come first
+    return F.when((F.size(found) > 0) & (F.size(spans) > 0), once(F.array_sort(F.concat(marks(spans, 0), marks(found, 1))), judge)).otherwise(found)
 
 
 def _term(n: Column) -> Column:
@@ -113,29 +157,28 @@ def hot_stretch(candidate: Column, width: int, bits: float) -> Column:
 
 def entropy_spans(text: Column, spans: Column, kind: CharacterClass, allow: str) -> Column:
     """Hot stretches of the class's candidates in the text, as far as no base span covers them."""
-    found = located(text, kind.candidates, 1, 3)
+    suspect = F.filter(located(text, kind.candidates, 1, 3), lambda c: c["word"].rlike("[0-9]") & c["word"].rlike("[A-Za-z]") & ~c["word"].rlike(allow))
 
     def look(c: Column) -> Column:
-        word = F.substring(text, (c["start"] + 1).cast("int"), (c["end"] - c["start"]).cast("int"))
-        mixed = word.rlike("[0-9]") & word.rlike("[A-Za-z]")
-        covered = F.exists(spans, lambda b: (b["start"] <= c["start"]) & (b["end"] >= c["end"]))
-        hot = F.when(mixed & ~word.rlike(allow) & ~covered, hot_stretch(word, kind.width, kind.bits))
-        return F.struct((c["start"] + hot["first"]).alias("start"), (c["start"] + hot["last"] + kind.width).alias("end"), F.when(hot["first"] >= 0, F.lit(3)).alias("kind"))
+        mark = lambda hot: F.struct((c["start"] + hot["first"]).alias("start"), (c["start"] + hot["last"] + kind.width).alias("end"), F.when(hot["first"] >= 0, F.lit(3)).alias("kind"))
+        return once(hot_stretch(c["word"], kind.width, kind.bits), mark)
 
-    return F.when(text.rlike(kind.candidates), F.filter(F.transform(found, look), lambda s: s["kind"].isNotNull())).otherwise(F.array().cast(_SPAN))
+    return F.when(text.rlike(kind.candidates), F.filter(F.transform(uncovered(suspect, spans), look), lambda s: s["kind"].isNotNull())).otherwise(F.array().cast(_SPAN))
 
 
 def whole_spans(text: Column, spans: Column, kind: CharacterClass, allow: str) -> Column:
     """As ``entropy_spans``, but a hit marks its whole candidate, and what is allowed is taken out of a candidate before it is judged."""
-    found = located(text, kind.candidates, 1, 3)
 
     def hit(c: Column) -> Column:
-        word = F.substring(text, (c["start"] + 1).cast("int"), (c["end"] - c["start"]).cast("int"))
-        rest = F.regexp_replace(word, allow, "")
-        covered = F.exists(spans, lambda b: (b["start"] <= c["start"]) & (b["end"] >= c["end"]))
-        return F.coalesce(F.when(rest.rlike(MIXED) & ~covered, hot_stretch(rest, kind.width, kind.bits)["first"] >= 0), F.lit(False))
+        hot = lambda rest: F.coalesce(F.when(rest.rlike(MIXED), hot_stretch(rest, kind.width, kind.bits)["first"] >= 0), F.lit(False))
+        return once(F.regexp_replace(c["word"], allow, ""), hot)
 
-    return F.when(text.rlike(kind.candidates), F.filter(found, hit)).otherwise(F.array().cast(_SPAN))
+    return F.when(text.rlike(kind.candidates), bare(F.filter(uncovered(located(text, kind.candidates, 1, 3), spans), hit))).otherwise(F.array().cast(_SPAN))
+
+
+def bare(spans: Column) -> Column:
+    """Spans without the strings found."""
+    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
 
 
 def scan(docs: DataFrame, text: str = "text", classes: tuple[CharacterClass, ...] = CLASSES, allow: str = ALLOW, whole: bool = False) -> DataFrame:
@@ -146,12 +189,15 @@ def scan(docs: DataFrame, text: str = "text", classes: tuple[CharacterClass, ...
     Null texts are empty; repeated rows are scanned alike; an empty table stays empty; input
     columns of the results' names are replaced.  One pass of expressions, no shuffle.
     """
-    order = lambda spans: F.transform(F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
+    keyed = lambda spans: F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
+    # in order, spans found by two classes lie side by side
+    fresh = lambda xs: F.filter(xs, lambda s, i: (i == 0) | (s != F.element_at(xs, F.greatest(i, F.lit(1)))))
+    order = lambda spans: F.transform(once(keyed(spans), fresh), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
     value = F.coalesce(quoted(text), F.lit(""))
-    base = F.concat(located(value, ASSIGN, 8, 0, 2), located(value, ACCESS, 16, 1), located(value, HEX, 32, 2))
+    base = F.concat(bare(located(value, ASSIGN, 8, 0, 2)), bare(located(value, ACCESS, 16, 1)), bare(located(value, HEX, 32, 2)))
     docs = docs.drop("base_spans", "secret_spans").withColumn("base_spans", order(base))
     added = [(whole_spans if whole else entropy_spans)(value, F.col("base_spans"), c, allow) for c in classes]
-    return docs.withColumn("secret_spans", order(F.array_distinct(F.concat("base_spans", *added))))
+    return docs.withColumn("secret_spans", order(F.concat("base_spans", *added)))
 
 
 def spelled(spans: str) -> Column:
@@ -165,14 +211,31 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataF
     aside = {c: f"__own_{c}" for c in docs.columns if c in ("base_spans", "secret_spans")}
     scanned = scan(docs.withColumnsRenamed(aside), text, WIDE, whole=True)
     value = F.coalesce(quoted(text), F.lit(""))
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        fresh = x["start"] >= s["at"]
-        gap = F.substring(value, (s["at"] + 1).cast("int"), F.greatest(x["start"] - s["at"], F.lit(0)).cast("int"))
-        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when(fresh, F.concat(s["out"], F.array(gap, F.lit(mark)))).otherwise(s["out"]).alias("out"))
-
-    rebuilt = F.aggregate("secret_spans", zero, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(value, (s["at"] + 1).cast("int"), F.lit(2147483647))))
+    cut = lambda at, by: F.struct(at.cast("long").alias("at"), F.lit(by).cast("long").alias("by"))
+
+    def rebuild(x: Column) -> Column:
+        """Pieces between the spans' edges and those of the blocks: a piece lies in one block; ``depth`` counts the spans it is in."""
+        blocks = x["blocks"]
+        edges = F.flatten(F.transform("secret_spans", lambda s: F.array(cut(s["start"], 1), cut(s["end"], -1))))
+        ends = F.transform(F.sequence(F.lit(0), F.size(blocks) - 1), lambda i: cut(i * BLOCK, 0))
+        return once(F.array_sort(F.concat(edges, ends)), lambda cuts: join(blocks, cuts))
+
+    def join(blocks: Column, cuts: Column) -> Column:
+        depth = F.slice(running(F.transform(cuts, lambda c: c["by"]), lambda a, v: a + v), 1, F.size(cuts))
+        after = F.concat(F.slice(F.transform(cuts, lambda c: c["at"]), 2, F.size(cuts) - 1), F.array(F.size(blocks).cast("long") * BLOCK))
+        parts = F.zip_with(F.zip_with(cuts, depth, lambda c, d: F.struct(c["at"].alias("at"), c["by"].alias("by"), d.alias("before"))), after, piece(blocks))
+        return F.array_join(F.filter(parts, lambda p: p.isNotNull()), "")
+
+    def piece(blocks: Column):
+        def of(c: Column, end: Column) -> Column:
+            block = F.element_at(blocks, F.least(F.floor(c["at"] / BLOCK) + 1, F.size(blocks)).cast("int"))
+            inside = c["before"] + c["by"] > 0
+            own = F.substring(block, (c["at"] % BLOCK + 1).cast("int"), (end - c["at"]).cast("int"))
+            return F.when(inside, F.when((c["before"] == 0) & (c["by"] > 0), F.lit(mark)).otherwise(F.lit(""))).when(end > c["at"], own).otherwise(F.lit(""))
+
+        return of
+
+    rebuilt = once(F.struct(F.regexp_extract_all(value, F.lit("(?s).{1,%d}" % BLOCK), F.lit(0)).alias("blocks")), rebuild)
     cleaned = F.when(F.size("secret_spans") > 0, rebuilt).otherwise(quoted(text))
     return scanned.withColumn(text, cleaned).select(*[quoted(aside.get(c, c)).alias(c) for c in docs.columns])
 
