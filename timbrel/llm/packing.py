@@ -216,7 +216,8 @@ def pack(table: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Data
     """
     table = settle(table.drop("sequence_id", "offset"))
     groups = max(1, math.ceil(table.count() / group))
-    spread = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "piece", "start", "length"), F.lit(groups))
+    # the row's place in the written table parts rows that are equal; it is the same when a lost task is run again
+    spread = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "piece", "start", "length", F.monotonically_increasing_id()), F.lit(groups))
     schema = T.StructType([*table.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def run(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
