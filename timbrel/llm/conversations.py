@@ -9,11 +9,12 @@ The rest is rendered.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from timbrel.llm.rows import quoted
+from timbrel.llm.store import settle
 
 #: Turns of a conversation that one window handles: longer conversations are split.
 STRETCH = 1024
@@ -43,21 +44,30 @@ def rolled(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role:
     return summed.join(totals, ["conv_id", "part"]).select("conv_id", "place", "role", "text", F.col("a").bitwiseXOR(F.col("pa")).alias("h1"), F.col("b").bitwiseXOR(F.col("pb")).alias("h2"))
 
 
+def escaped(value: Column) -> Column:
+    """The text with one more backslash in each ``<|``, ``<\\|``, ..., which undone gives the text again."""
+    return F.regexp_replace(value, r"<(\\*)\|", r"<\\$1|")
+
+
 def format_conversations(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", stretch: int = STRETCH) -> DataFrame:
     """conv_id, n_turns, n_copies and rendered for each maximal conversation.
 
     Rows without a conversation id are left out; null roles read "unknown", null texts are empty;
     repeated turns are turns; extra columns are ignored, whatever their names; an empty table
     gives no conversations.  n_copies counts equal conversations, the one kept included.  Common
-    first turns meet in pre-aggregated prefixes, not in pairs of conversations.
+    first turns meet in pre-aggregated prefixes, not in pairs of conversations.  Marks cannot be
+    forged: one more backslash goes between the < and | of each ``<|``, ``<\\|`` and so on in a
+    role or text, and back-slashes and line feeds of a role are written as two characters, so
+    different conversations render differently.  The turns with their hashes are written once.
     """
-    steps = rolled(turns, conv_id, turn, role, text, stretch)
+    steps = settle(rolled(turns, conv_id, turn, role, text, stretch))
     ends = steps.groupBy("conv_id").agg(F.max(F.struct("place", "h1", "h2")).alias("end")).select("conv_id", "end.*")
     inner = steps.select("conv_id", "place", "h1", "h2").join(ends.select("conv_id", F.col("place").alias("n")), "conv_id").where(F.col("place") < F.col("n")).select("place", "h1", "h2").distinct()
     # equal conversations are one before they are looked up
     different = ends.groupBy("place", "h1", "h2").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_copies"))
     kept = different.join(inner, ["place", "h1", "h2"], "left_anti").select("conv_id", "n_copies")
-    mark = F.concat(F.lit("<|im_start|>"), F.col("role"), F.lit("\n"), F.col("text"), F.lit("<|im_end|>\n"))
+    line = F.replace(F.replace(F.col("role"), F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n"))
+    mark = F.concat(F.lit("<|im_start|>"), escaped(line), F.lit("\n"), escaped(F.col("text")), F.lit("<|im_end|>\n"))
     lines = steps.join(kept, "conv_id").select("conv_id", "n_copies", F.struct("place", mark.alias("line")).alias("at"))
     whole = lines.groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.first("n_copies").alias("n_copies"), F.array_sort(F.collect_list("at")).alias("all"))
     return whole.select("conv_id", "n_turns", "n_copies", F.array_join(F.transform("all", lambda x: x["line"]), "").alias("rendered"))
@@ -74,7 +84,8 @@ WITH t AS (
   FROM conversations WHERE conv_id IS NOT NULL),
 c AS (
   SELECT conv_id, count(*) AS n_turns, list({'r': role, 't': text} ORDER BY place) AS turns,
-         string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY place) AS rendered
+         string_agg('<|im_start|>' || regexp_replace(replace(replace(role, chr(92), chr(92) || chr(92)), chr(10), chr(92) || 'n'), '<(\\*)\|', '<\\\1|', 'g') || chr(10)
+           || regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g') || '<|im_end|>' || chr(10), '' ORDER BY place) AS rendered
   FROM t GROUP BY conv_id),
 d AS (SELECT min(conv_id) AS conv_id, count(*) AS n_copies, turns, any_value(n_turns) AS n_turns, any_value(rendered) AS rendered FROM c GROUP BY turns),
 p AS (SELECT DISTINCT turns[1:k] AS turns FROM (SELECT turns, unnest(generate_series(1, n_turns - 1)) AS k FROM d WHERE n_turns > 1))
