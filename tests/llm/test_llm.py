@@ -395,13 +395,51 @@ def test_near_duplicates_by_row(spark):
 
     say = lambda c, n=40: " ".join(f"{c}{i}" for i in range(n))
     rows = [(1, say("a")), (5, say("a") + " z"), (5, say("b")), (None, say("b") + " z"), (None, say("c")), (None, say("c") + " z"), (None, say("d")), (None, ""), (7, say("e")), (7, say("e") + " z"), (8, say("f")), (8, say("f"))]
-    classes = jaccard.jaccard_classes(table(spark, rows)).join(table(spark, rows).select(F.md5("text").alias("digest"), "text").distinct(), "digest").collect()
+    classes = jaccard.jaccard_classes(table(spark, rows)).join(table(spark, rows).select(F.unhex(F.md5("text")).alias("digest"), "text").distinct(), "digest").collect()
     assert all(r["n_links"] == (r["text"][:1] in ("a", "b", "c", "e")) for r in classes) and len(classes) == len(rows)
     kept = [(r["doc_id"], r["text"]) for r in p.near_duplicates(spark, table(spark, rows), "").collect()]
     assert {t[:1] for _, t in kept} == set("abcdef") | {""} and len(kept) == 7
     assert (1, say("a")) in kept and (5, say("b")) in kept and (None, say("d")) in kept
 
 
+def test_forest(spark):
+    """Every text stops at a node of at most ``run`` texts, or its depths meet the target recall, or it is open and goes to the end."""
+    rng = np.random.default_rng(5)
+    depth, run, levels = 5, 6, 3
+    rows, labels = [], {}
+    for i in range(60):
+        digest = bytes([i]) * 16
+        for tree in range(jaccard.TREES):
+            values = [0 if tree < 3 + i % 9 and j < rng.integers(0, 5) else int(rng.integers(1, 4)) for j in range(levels)]
+            key = tree if tree < 3 + i % 9 else 1000 * tree + i // 2
+            tail = sum(v << jaccard.TAIL_BITS * (levels - 1 - j) for j, v in enumerate(values))
+            rows.append((key, tail, digest))
+            labels[key, digest] = values
+    got = jaccard.forest(spark.createDataFrame(rows, "key long, tail long, digest binary"), run, depth, 0.8, 0.9999).collect()
+    under = collections.defaultdict(set)
+    for (key, digest), values in labels.items():
+        for d in range(levels + 1):
+            under[key, tuple(values[:d])].add(digest)
+    nodes = collections.defaultdict(set)
+    for r in got:
+        nodes[r["node"], r["tile"]].add(bytes(r["digest"]))
+        assert r["tiles"] == 1 or r["node"] < 12
+    met = {frozenset(x) for x in nodes.values()}
+    some_open = some_closed = 0
+    for digest in {d for _, d in labels}:
+        miss = 1.0
+        for (key, d), values in labels.items():
+            if d == digest:
+                stop = next((k for k in range(levels + 1) if len(under[key, tuple(values[:k])]) <= run), None)
+                miss *= 1 - 0.8 ** (depth + stop) if stop is not None else 1
+                if stop is not None and len(under[key, ()]) > 1:
+                    assert frozenset(under[key, tuple(values[:stop])]) in met
+        wide = [r for r in got if bytes(r["digest"]) == digest and r["node"] < 12]
+        assert bool(wide) == (miss > 1e-4)
+        some_open, some_closed = some_open + bool(wide), some_closed + (not wide)
+    assert some_open
+
+
 def test_near_duplicates_empty(spark):
     assert jaccard.jaccard_classes(table(spark, []).withColumn("keys", F.lit(1))).count() == 0
 
@@ -424,7 +462,7 @@ def test_intersections(sets):
 
 def test_components(spark):
     rng = random.Random(3)
-    edges = [(f"n{a:03d}", f"n{b:03d}") for a, b in [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 30)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]]
+    edges = [(f"n{a:03d}", f"n{b:03d}") for a, b in [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 30)] + [(199, 150 + i) for i in range(40)] + [(7 * i % 61 + 300, i + 300) for i in range(61)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]]
     got = dict(tuple(r) for r in components.components(spark.createDataFrame(edges, "a string, b string")).collect())
     root = {x: x for e in edges for x in e}
 

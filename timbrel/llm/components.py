@@ -13,21 +13,30 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
 
     Each round links every node's neighbours to its smallest one and writes the edges down, so
     lineage stays short; the number of rounds grows with the logarithm of a component's size.
-    Edges of one node are pre-aggregated to its minimum; no neighbour list is ever gathered.
+    Edges of one node are pre-aggregated to its minimum, and no neighbour list is ever gathered.
+    The minima are written before they are joined, so a hub's edges are a skewed join between two
+    exchanges, which Spark splits.
     """
     now = settle(edges.select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi")).where("lo <> hi").distinct())
     for _ in range(rounds):
-        # large star: neighbours above a node go to its smallest neighbour (itself included)
+        # large star: neighbours above a node go to its smallest neighbour; a node that is smaller than all its neighbours keeps its edges
         both = now.select(F.col("lo").alias("u"), F.col("hi").alias("v")).unionByName(now.select(F.col("hi").alias("u"), F.col("lo").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("m").alias("lo"), F.col("v").alias("hi")).distinct()
-        # small star: neighbours below a node, and the node, go to its smallest neighbour
-        down = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        small = large.join(down, "hi").select(F.col("m").alias("lo"), F.explode(F.array("lo", "hi")).alias("hi")).where("lo <> hi").distinct()
-        after = settle(small)
+        least = settle(both.groupBy("u").agg(F.min("v").alias("m")).where("m < u"))
+        moved = now.withColumnRenamed("lo", "u").join(least.hint("merge"), "u", "left")
+        large = settle(moved.select(F.coalesce("m", "u").alias("lo"), "hi").distinct())
+        # small star: of a node with several neighbours below, these go to the smallest
+        down = settle(large.groupBy("hi").agg(F.min("lo").alias("m"), F.count("*").alias("n")).where("n > 1").drop("n"))
+        loose = bool(down.limit(1).count())
+        after = large
+        if loose:
+            small = large.join(down.hint("merge"), "hi", "left")
+            small = small.select(F.coalesce("m", "lo").alias("lo"), F.when(F.col("lo") == F.col("m"), F.col("hi")).when(F.col("m").isNull(), F.col("hi")).otherwise(F.col("lo")).alias("hi"))
+            after = settle(small.where("lo <> hi").distinct())
+            forget(large)
         # done when every node has one root and no root has one
-        loose = after.groupBy("hi").agg(F.count("*").alias("n")).where("n > 1").limit(1).count() or after.select("hi").join(after.select(F.col("lo").alias("hi")).distinct(), "hi", "left_semi").limit(1).count()
-        forget(now)
+        loose = loose or bool(after.select("hi").join(after.select(F.col("lo").alias("hi")).distinct(), "hi", "left_semi").limit(1).count())
+        for old in (now, least, down):
+            forget(old)
         now = after
         if not loose:
             break

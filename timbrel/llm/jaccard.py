@@ -1,19 +1,25 @@
 """N-gram Jaccard join by a MinHash LSH forest with exact verification.
 
-Each distinct text gets one label of ``DEPTH`` MinHash values for each of ``TREES`` tries.  Sorted
-by label, texts that share a prefix lie together.  The matched prefix is shortened from the full
-depth until the chance to miss a pair at the threshold falls under ``1 - recall``; texts under one
-prefix are compared by their signatures, and what may be similar is tied together.  Within each
-tied set the shingle sets themselves are compared, all pairs of a set, in tiles.
-
-Large prefixes: the texts are dealt into tiles; in a tile a text that is nearly a copy of an
-earlier one (a leader) is compared with no further texts.  The looser thresholds for ties that go
-with this keep every pair at the threshold tied, by the triangle inequality of Jaccard distance.
-Exact copies are one text throughout.
+Each distinct text gets one label of ``DEPTH`` MinHash values for each of ``TREES`` tries; in the
+order of labels, the texts under one node of a trie, those that share a prefix, lie together.  A
+text's matched prefix in a trie is shortened from the full depth, by the counts of the trie's
+nodes, as far as its node holds at most ``run`` texts, but not under the depth at which all tries
+together reach the target recall.  So prefixes that many unlike texts share stay long.  A text
+whose depths, trie by trie, miss a pair at the threshold with a chance over ``1 - recall`` is still
+open: its long prefixes are shortened to the end whatever their size, and those nodes are dealt
+into tiles.  Texts under one node are compared by their signatures, and what may be similar is tied
+together.  Within each tied set the shingle sets themselves are compared, all pairs of a set, in
+tiles.
+
+Large nodes: in a tile a text that is nearly a copy of an earlier one (a leader) is compared with
+no further texts.  The looser thresholds for ties that go with this keep every pair at the
+threshold tied, by the triangle inequality of Jaccard distance.  Exact copies are one text
+throughout.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,22 +30,24 @@ from pyspark.sql import types as T
 
 from timbrel.llm import textkit as tk
 from timbrel.llm.components import components
-from timbrel.llm.rows import append, quoted
-from timbrel.llm.store import settle
+from timbrel.llm.rows import append, give_back, quoted
+from timbrel.llm.store import forget, settle
 
 THRESHOLD = 0.8
 SHINGLE = 5
 TREES = 24
 DEPTH = 8
 RECALL = 0.9999
-#: Texts of a prefix that one task compares, and texts and shingles of a tile for exact comparison, about.
+#: Bits of a value of a label after its shortest prefix.
+TAIL_BITS = 21
+#: Texts under a node that one task compares, and texts and shingles of a tile for exact comparison, about.
 RUN = 2048
 TILE_TEXTS = 512
 TILE_SHINGLES = 1 << 20
 
 
 def prefix_depth(threshold: float, recall: float, trees: int = TREES, depth: int = DEPTH) -> int:
-    """The longest prefix at which a pair at the threshold meets in some trie with the target recall."""
+    """The longest depth at which a pair at the threshold meets in some trie with the target recall: none is shortened further."""
     while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
         depth -= 1
     return depth
@@ -78,8 +86,14 @@ def signatures(row: np.ndarray, shingle: np.ndarray, n: int) -> np.ndarray:
 
 
 def _sign(depth: int, size: int):
+    """Kernel: shingles, the label's shortest prefix and its rest for each trie, and the signature.
+
+    The rest has TAIL_BITS bits a value, first value first: its order is that of labels, and
+    shifting it shortens them.
+    """
+
     def run(texts) -> list:
-        counts, keys, short = [], [], []
+        counts, keys, tails, short = [], [], [], []
         for begin, end, data, at in tk.chunks(texts, 1 << 19):
             n = end - begin
             row, shingle = shingles(data, at, size)
@@ -88,19 +102,25 @@ def _sign(depth: int, size: int):
             key = np.arange(1, TREES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.zeros((n, 1), np.uint64)
             for d in range(depth):
                 key = tk.mix(key * np.uint64(0x100000001B3) + labels[:, :, d])
+            tail = np.zeros((n, TREES), np.uint64)
+            for d in range(depth, min(DEPTH, depth + 3)):
+                tail = (tail << np.uint64(TAIL_BITS)) | (tk.mix(labels[:, :, d]) >> np.uint64(64 - TAIL_BITS))
             counts.append(np.bincount(row, minlength=n))
             keys.append(key.view(np.int64))
+            tails.append(tail.view(np.int64))
             low = tk.mix(signature).astype(np.uint8)
             short += [r.tobytes() for r in low]
-        flat = np.concatenate(keys).ravel() if keys else np.zeros(0, np.int64)
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, TREES, dtype=np.int32)), pa.array(flat))
-        return [np.concatenate(counts) if counts else np.zeros(0, np.int64), lists, pa.array(short, pa.binary())]
+        lists = []
+        for values in (keys, tails):
+            flat = np.concatenate(values).ravel() if values else np.zeros(0, np.int64)
+            lists.append(pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, TREES, dtype=np.int32)), pa.array(flat)))
+        return [np.concatenate(counts) if counts else np.zeros(0, np.int64), *lists, pa.array(short, pa.binary())]
 
     return run
 
 
-SIGNED = T.StructType([T.StructField("n_shingles", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("signature", T.BinaryType())])
-EDGES = T.StructType([T.StructField("a", T.StringType()), T.StructField("b", T.StringType()), T.StructField("key", T.LongType()), T.StructField("tile", T.LongType()), T.StructField("signature", T.BinaryType())])
+SIGNED = T.StructType([T.StructField("n_shingles", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("tails", T.ArrayType(T.LongType())), T.StructField("signature", T.BinaryType())])
+EDGES = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType()), T.StructField("key", T.LongType()), T.StructField("tile", T.LongType()), T.StructField("signature", T.BinaryType())])
 
 
 def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple[tuple, pa.Table]]]:
@@ -203,41 +223,17 @@ def _compare(tie_at: float, retire_at: float | None, keep_leaders: bool):
                 yield _edges(made)
         if made := close():
             yield _edges(made)
+        state.clear()
+        give_back()
 
     return run
 
 
 def _edges(rows: list[tuple]) -> pa.RecordBatch:
-    types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
+    types = [pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=EDGES.names)
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (key, digest) sorted by both, those of keys with several digests, each once."""
-    before: tuple | None = None
-    told = False
-    for batch in batches:
-        keys, names = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-        out_k, out_n = [], []
-        same = np.concatenate([[before is not None and bool(len(keys)) and before[0] == keys[0]], keys[1:] == keys[:-1]]) if len(keys) else []
-        for i in np.flatnonzero(same):
-            last = names[i - 1] if i else before[1]
-            if i and not same[i - 1]:
-                told = False
-            if names[i] != last:
-                if not told:
-                    out_k.append(keys[i])
-                    out_n.append(last)
-                    told = True
-                out_k.append(keys[i])
-                out_n.append(names[i])
-        if len(keys):
-            told = told and bool(same[-1])
-            before = (keys[-1], names[-1])
-        if out_k:
-            yield pa.RecordBatch.from_arrays([pa.array(out_k, pa.int64()), pa.array(out_n, pa.string())], names=["key", "digest"])
-
-
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of all pairwise intersections of sorted hash sets: common elements as a matrix product, rare ones by pairs."""
     m = len(sets)
@@ -282,7 +278,10 @@ def _verify(threshold: float):
             if (least == root).all():
                 break
             root = least
-        return pa.table({"digest": pa.array(names, pa.string()), "links": pa.array(link.sum(axis=1), pa.int64()), "root": pa.array([names[r] for r in root], pa.string())})
+        out = pa.table({"digest": pa.array(names, pa.binary()), "links": pa.array(link.sum(axis=1), pa.int64()), "root": pa.array([names[r] for r in root], pa.binary())})
+        if len(sets) > 256:
+            give_back()
+        return out
 
     return run
 
@@ -300,7 +299,44 @@ def _shingle_sets(size: int):
 
 
 def digest_of(text: str = "text"):
-    return F.md5(F.coalesce(quoted(text), F.lit("")))
+    return F.unhex(F.md5(F.coalesce(quoted(text), F.lit(""))))
+
+
+def forest(labels: DataFrame, run: int, depth: int, threshold: float, recall: float) -> DataFrame:
+    """Nodes and the texts to compare under them: (node, tile, digest, tiles), from rows (key, tail, digest) of distinct texts.
+
+    tiles is 1 but for nodes of the open texts that hold more than ``run`` of them.
+    """
+    levels = min(DEPTH, depth + 3) - depth
+    # texts alone under their shortest prefix have nothing to be compared with
+    counted = settle(labels.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    members = settle(labels.join(counted.hint("merge"), "key"))
+    forget(counted)
+    single = F.lit(1).cast("long")
+    small = members.where(F.col("n") <= run).select(F.col("key").alias("node"), F.lit(0).cast("long").alias("tile"), "digest", single.alias("tiles"))
+    large = members.where(F.col("n") > run).drop("n")
+    if not large.limit(1).count():
+        return small
+    prefix = lambda j: F.shiftrightunsigned("tail", TAIL_BITS * (levels - j))
+    leaves = large.groupBy("key", "tail").agg(F.count("*").alias("texts"))
+    stops = F.lit(depth + levels + 1)
+    for j in range(levels, 0, -1):
+        node = leaves.groupBy("key", prefix(j).alias("prefix")).agg(F.sum("texts").alias(f"n{j}"))
+        leaves = leaves.withColumn("prefix", prefix(j)).join(node, ["key", "prefix"]).drop("prefix")
+        stops = F.when(F.col(f"n{j}") <= run, depth + j).otherwise(stops)
+    leaves = settle(leaves.select("key", "tail", stops.alias("depth")))
+    placed = settle(large.join(leaves.hint("merge"), ["key", "tail"]))
+    # chance, trie by trie, that a pair at the threshold is not met
+    miss = F.element_at(F.array(*[F.lit(math.log1p(-(threshold**d))) for d in range(1, depth + levels + 1)], F.lit(0.0)), F.col("depth"))
+    least = math.log1p(-(threshold**depth))
+    unmet = placed.groupBy("digest").agg(F.sum(miss - F.lit(least)).alias("more")).where(F.col("more") > math.log(1 - recall) - TREES * least)
+    open_ = settle(placed.join(unmet.select("digest"), "digest", "left_semi").select("key", "digest"))
+    deep = placed.where(F.col("depth") <= depth + levels)
+    cut = F.element_at(F.array(*[prefix(j) for j in range(1, levels + 1)]), F.col("depth") - depth)
+    deep = deep.select(F.xxhash64("key", "depth", cut).alias("node"), F.lit(0).cast("long").alias("tile"), "digest", single.alias("tiles"))
+    tiles = settle(open_.groupBy("key").agg(F.ceil(F.count("*") / run).cast("long").alias("tiles")))
+    wide = open_.join(tiles.hint("merge"), "key").select(F.col("key").alias("node"), F.pmod(F.xxhash64("digest"), F.col("tiles")).alias("tile"), "digest", "tiles")
+    return small.unionByName(deep).unionByName(wide)
 
 
 def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, shingle: int = SHINGLE, recall: float = RECALL, run: int = RUN, tile_texts: int = TILE_TEXTS, tile_shingles: int = TILE_SHINGLES) -> DataFrame:
@@ -321,23 +357,20 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     signed = settle(append(source.withColumn("digest", digest_of()), lambda: _sign(depth, shingle), SIGNED, ("text",), ["doc_id", "digest"]))
     worded = signed.where("n_shingles > 0")
 
-    # texts that share a prefix of the shortened depth with another
+    # texts under one node of a trie
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    keyed = worded.select("digest", "keys").dropDuplicates(["digest"]).select(F.explode("keys").alias("key"), "digest")
-    members = settle(keyed.repartition(partitions, "key").sortWithinPartitions("key", "digest").mapInArrow(_shared, "key long, digest string"))
-    large = members.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > run)
-    dealt = members.join(large, "key", "left").withColumn("hot", F.col("n").isNotNull())
-    dealt = dealt.withColumn("tile", F.when(F.col("hot"), F.pmod(F.xxhash64("digest"), F.ceil(F.col("n") / run))).otherwise(F.lit(0)).cast("long"))
-    signs = worded.select("digest", "signature").dropDuplicates(["digest"])
-    dealt = dealt.join(signs, "digest").select("key", "tile", "digest", "signature", "hot")
-    tied = settle(dealt.repartition(partitions, "key", "tile").sortWithinPartitions("key", "tile").mapInArrow(_compare(threshold - 0.3, 1 - (1 - threshold) * 0.4, True), EDGES))
+    distinct = settle(worded.select("digest", "keys", "tails", "signature").dropDuplicates(["digest"]))
+    labels = distinct.select("digest", F.explode(F.arrays_zip("keys", "tails")).alias("x")).select(F.col("x.keys").alias("key"), F.col("x.tails").alias("tail"), "digest")
+    met = settle(forest(labels, run, depth, threshold, recall))
+    dealt = met.join(distinct.select("digest", "signature"), "digest").select("node", "tile", "digest", "signature", (F.col("tiles") > 1).alias("hot"))
+    tied = settle(dealt.repartition(partitions, "node", "tile").sortWithinPartitions("node", "tile").mapInArrow(_compare(threshold - 0.3, 1 - (1 - threshold) * 0.4, True), EDGES))
     edges = tied.where("b is not null").select("a", "b")
     leaders = tied.where("b is null").select("key", "tile", F.col("a").alias("digest"), "signature")
-    if leaders.limit(1).count():  # prefixes of several tiles: each two tiles' leaders meet
-        n_tiles = large.select("key", F.ceil(F.col("n") / run).cast("long").alias("tiles"))
-        met = leaders.join(n_tiles, "key").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
-        met = met.withColumn("pair", F.least("tile", "other") * F.lit(1 << 31) + F.greatest("tile", "other")).select("key", F.col("pair").alias("tile"), "digest", "signature", F.lit(False).alias("hot"))
-        cross = met.repartition(partitions, "key", "tile").sortWithinPartitions("key", "tile").mapInArrow(_compare(max(0.1, threshold - 0.46), None, False), EDGES)
+    if leaders.limit(1).count():  # nodes of several tiles: each two tiles' leaders meet
+        n_tiles = met.where("tiles > 1").select(F.col("node").alias("key"), "tiles").distinct()
+        pairs = leaders.join(n_tiles, "key").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+        pairs = pairs.withColumn("pair", F.least("tile", "other") * F.lit(1 << 31) + F.greatest("tile", "other")).select("key", F.col("pair").alias("tile"), "digest", "signature", F.lit(False).alias("hot"))
+        cross = pairs.repartition(partitions, "key", "tile").sortWithinPartitions("key", "tile").mapInArrow(_compare(max(0.1, threshold - 0.46), None, False), EDGES)
         edges = edges.unionByName(cross.select("a", "b"))
     sets = components(edges)
 
@@ -350,7 +383,7 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     volume = spelled.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / tile_texts), F.ceil(F.sum(F.octet_length("shingles")) / (8 * tile_shingles))).cast("int").alias("tiles"))
     tiles = spelled.join(volume, "root").withColumn("own", F.pmod(F.xxhash64("digest"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     tiles = tiles.select("root", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "digest", "shingles")
-    found = settle(tiles.groupBy("root", "lo", "hi").applyInArrow(_verify(threshold), "digest string, links long, root string"))
+    found = settle(tiles.groupBy("root", "lo", "hi").applyInArrow(_verify(threshold), "digest binary, links long, root binary"))
     links = found.groupBy("digest").agg(F.sum("links").alias("n_links"))
     classes = components(found.where("digest <> root").select(F.col("root").alias("a"), F.col("digest").alias("b")))
 
