@@ -598,7 +598,7 @@ def test_backoff_blocks(spark):
     parts = rows_of(backoff.score_documents(docs, block_bytes=20_000, table_grams=5_000).withColumn("log10_score", F.round("log10_score", 6)))
     assert whole == parts and len(whole) == docs.count()
     frame = docs.toPandas()
-    scored = backoff.score_documents(docs).select("doc_id", "n_words", F.round("log10_score", 4).alias("log10_score"), "n_seen").dropDuplicates(["doc_id"]).toPandas()
+    scored = backoff.score_documents(docs).select("doc_id", "n_words", F.round("log10_score", 4).alias("log10_score"), "n_seen", F.round("seen_share", 4).alias("seen_share")).dropDuplicates(["doc_id"]).toPandas()
     once = sorted(map(str, scored[sorted(scored.columns)].itertuples(index=False, name=None)))
     repeated = {str(i) for i, n in collections.Counter(frame["doc_id"]).items() if n > 1}
     want = sql_rows(backoff.SQL, documents=frame)
@@ -607,6 +607,27 @@ def test_backoff_blocks(spark):
     assert backoff.score_documents(docs.limit(0)).count() == 0
 
 
+def brute_backoff(rows, least, alpha=0.4):
+    docs = [WORD.findall(t or "") for _, t in rows]
+    count = collections.Counter(tuple(w[i : i + n]) for w in docs for n in (1, 2, 3) for i in range(len(w) - n + 1))
+    size = sum(map(len, docs))
+
+    def score(gram):
+        if len(gram) == 1:
+            return count[gram] / size
+        return count[gram] / count[gram[:-1]] if count[gram] >= least else alpha * score(gram[1:])
+
+    return [(i, len(w), round(sum(np.log10(score(tuple(w[max(0, j - 2) : j + 1]))) for j in range(len(w))), 6), sum(count[tuple(w[j - 2 : j + 1])] > 1 for j in range(2, len(w)))) for (i, _), w in zip(rows, docs, strict=True)]
+
+
+@pytest.mark.parametrize("least", [1, 2, 3])
+def test_backoff_by_hand(spark, least):
+    rng = random.Random(least)
+    rows = [(i, " ".join(rng.choice("abcdefgh") * rng.choice([1, 1, 2]) for _ in range(rng.randrange(25)))) for i in range(60)] + [(100, None), (101, " "), (3, "a a a a"), (3, "a a a a")]
+    got = backoff.score_documents(table(spark, rows), min_count=least, block_bytes=300, table_grams=50)
+    assert rows_of(got.withColumn("log10_score", F.round("log10_score", 6) + 0.0), "doc_id", "n_words", "log10_score", "n_seen") == sorted(brute_backoff(rows, least), key=str)
+
+
 @given(st.lists(st.integers(0, 2**64 - 1), max_size=50))
 def test_packed_numbers(values):
     x = np.array(sorted(values), np.uint64)

@@ -1,15 +1,18 @@
 """Language-model scores by stupid backoff over n-gram counts of the whole corpus.
 
-Documents are dealt by id into blocks.  Round n sends each block's distinct n-grams with their
-counts to tables partitioned by n-gram hash, which add them up and answer each block with the
-totals of what it sent; the next round sends only n-grams whose two shorter ones reach the least
-count, for no other can.  With the totals at hand each block scores its documents.  What crosses
-the network is packed: sorted hashes and counts of one block and partition to a row.
+Texts are read once into blocks of bounded size: a block is one row that holds its documents' ids
+and their words, coded by a local vocabulary of 64-bit word hashes.  Round n explodes each block's
+n-grams, adds them up in the block, and sends them to count tables partitioned by n-gram hash,
+which add up all blocks and join the totals back to each block's n-grams.  An n-gram that holds a
+shorter one of total 1 occurs once itself, so it is neither sent nor answered.  With the totals at
+hand each block sums the scores of its documents.  What crosses the network is packed: sorted hashes
+and counts of one block and partition to a row.  n-grams are told apart by their 64-bit hash alone.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,10 +22,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from timbrel.llm import textkit as tk
-from timbrel.llm.rows import quoted
+from timbrel.llm.rows import give_back, quoted
+from timbrel.llm.store import settle
 
 ORDER = 3
-MIN_COUNT = 2
+MIN_COUNT = 1
 ALPHA = 0.4
 #: Text bytes of a block, n-grams of a table partition, about.
 BLOCK_BYTES = 12 << 20
@@ -53,33 +57,83 @@ def _unpack_small(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u8").ravel().astype(np.int64)
 
 
+def _coded(texts) -> tuple[np.ndarray, bytes, bytes]:
+    """Words of each text, the distinct word hashes from the commonest on, and the words as places among these, packed."""
+    hashes, rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for begin, _, data, at in tk.chunks(texts):
+        _, _, h, row = tk.words(data, at, tk.SPACE_TABLE)
+        hashes.append(h)
+        rows.append(row + begin)
+    words, row = np.concatenate(hashes), np.concatenate(rows)
+    distinct, which, count = np.unique(words, return_inverse=True, return_counts=True)
+    order = np.argsort(-count, kind="stable")
+    place = np.empty(len(order), np.uint32)
+    place[order] = np.arange(len(order), dtype=np.uint32)
+    planes = np.ascontiguousarray(place[which].astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+    return np.bincount(row, minlength=len(texts)), distinct[order].astype("<u8").tobytes(), zstandard.compress(planes, 1)
+
+
+def _blocks(block_bytes: int):
+    """Kernel: rows (doc_id, text) to one row for about ``block_bytes`` of text, numbered by partition and place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        first = TaskContext.get().partitionId() << 32
+        held: list[pa.RecordBatch] = []
+        size = made = 0
+
+        def close() -> pa.RecordBatch:
+            table = pa.Table.from_batches(held)
+            sizes, vocabulary, codes = _coded(table.column(1))
+            ids = table.column(0).combine_chunks()
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (ids, pa.array(sizes, pa.int64()))]
+            return pa.RecordBatch.from_arrays([pa.array([first + made], pa.int64()), *lists, pa.array([vocabulary], pa.binary()), pa.array([codes], pa.binary())], names=["block", "doc_ids", "sizes", "vocabulary", "codes"])
+
+        for batch in batches:
+            at = tk.string_parts(batch.column(1))[1]
+            begin = 0
+            while begin < batch.num_rows:
+                end = max(begin + 1, int(np.searchsorted(at, at[begin] + block_bytes - size, "right")) - 1)
+                held.append(batch.slice(begin, end - begin))
+                size += int(at[end] - at[begin])
+                begin = end
+                if size >= block_bytes or begin < batch.num_rows:
+                    yield close()
+                    held, size, made = [], 0, made + 1
+        if held:
+            yield close()
+        held = []
+        give_back()
+
+    return run
+
+
 class Block:
     """The n-grams of a block's texts by order, with the totals known so far."""
 
-    def __init__(self, texts, parts: int, least: int):
+    def __init__(self, sizes, vocabulary: bytes, codes: bytes, parts: int, least: int):
         self.parts, self.least = parts, least
-        hashes, rows, ends = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], 0
-        for begin, end, data, at in tk.chunks(texts):
-            _, _, h, row = tk.words(data, at, tk.SPACE_TABLE)
-            hashes.append(h)
-            rows.append(row + begin)
-            ends = end
-        self.words, self.row = np.concatenate(hashes), np.concatenate(rows)
-        self.n_rows = ends
+        planes = np.frombuffer(zstandard.decompress(codes), np.uint8).reshape(4, -1)
+        place = np.ascontiguousarray(planes.T).view("<u4").ravel()
+        self.words = np.frombuffer(vocabulary, "<u8")[place].astype(np.uint64)
+        self.n_rows = len(sizes)
+        self.row = np.repeat(np.arange(self.n_rows), sizes)
         #: by order: for each word, the total of the n-gram that ends there, 0 where it is under the least count or leaves its text
         self.total: dict[int, np.ndarray] = {}
 
     def _candidates(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """Last words of the n-grams that may reach the least count, and their hashes."""
+        """Last words of the n-grams that may occur again, or reach the least count, and their hashes."""
         if n == 1:
             return np.arange(len(self.words)), self.words
-        gram = tk.grams(self.words, n)
         last = np.arange(n - 1, len(self.words))
-        ok = self.row[last - n + 1] == self.row[last]
-        if n > 1:
-            shorter = self.total[n - 1]
-            ok &= (shorter[last] >= self.least) & (shorter[last - 1] >= self.least)
-        return last[ok], gram[ok]
+        shorter, often = self.total[n - 1], max(2, self.least)
+        ok = self._inside(n) & (shorter[last] >= often) & (shorter[last - 1] >= often)
+        return last[ok], tk.grams(self.words, n)[ok]
+
+    def _inside(self, n: int) -> np.ndarray:
+        """Whether the n-gram that ends at each word from the n-th on lies in one text."""
+        return self.row[: max(0, len(self.row) - n + 1)] == self.row[n - 1 :]
 
     def send(self, n: int):
         """(part, sorted distinct hashes, counts) of the order's n-grams."""
@@ -110,10 +164,12 @@ class Block:
                     raise ValueError("totals do not belong to this block's texts")
                 totals[a:b] = answers[part]
         self.total[n] = np.zeros(len(self.words), np.int64)
+        if n > 1 and self.least <= 1:
+            self.total[n][n - 1 :] = self._inside(n)  # what was not sent occurs once
         self.total[n][last[order]] = totals[np.cumsum(head) - 1]
 
     def scores(self, order: int, alpha: float, n_corpus: int) -> tuple[np.ndarray, np.ndarray]:
-        """Sum of log10 scores of each text, and how many of its words the highest order saw."""
+        """Sum of log10 scores of each text, and how many of its words end an n-gram of the highest order that occurs again."""
         size = len(self.words)
         value = np.log10(np.maximum(self.total[1], 1) / max(1, n_corpus))
         seen = np.zeros(size, bool)
@@ -126,15 +182,17 @@ class Block:
             before[1:] = self.total[n - 1][:-1]
             better = np.log10(np.where(found, self.total[n], 1) / np.maximum(before, 1))
             value = np.where(found, better, np.where(reach, value + math.log10(alpha), value))
-            seen = found
+            seen = found & (self.total[n] > 1)
         return np.bincount(self.row, weights=value, minlength=self.n_rows), np.bincount(self.row, weights=seen, minlength=self.n_rows).astype(np.int64)
 
 
-def _load(texts: pa.Table, answers: pa.Table, parts: int, least: int, below: int) -> Block:
-    block = Block(texts.column("text"), parts, least)
+def _load(rows: pa.Table, answers: pa.Table | None, parts: int, least: int, below: int) -> Block:
+    row = rows.slice(0, 1).to_pylist()[0]
+    block = Block(row["sizes"], row["vocabulary"], row["codes"], parts, least)
     found: dict[int, dict[int, np.ndarray]] = {n: {} for n in range(1, below)}
-    for n, part, raw in zip(answers.column("n").to_pylist(), answers.column("part").to_pylist(), answers.column("totals").to_pylist(), strict=True):
-        found[n][part] = _unpack_small(raw)
+    if answers is not None:
+        for n, part, raw in zip(answers.column("n").to_pylist(), answers.column("part").to_pylist(), answers.column("totals").to_pylist(), strict=True):
+            found[n][part] = _unpack_small(raw)
     for n in range(1, below):
         block.receive(n, found[n])
     return block
@@ -165,59 +223,68 @@ def _add_up(least: int):
 
 
 def _first_round(parts: int, least: int):
-    def run(key: tuple, rows: pa.Table) -> pa.Table:
-        return _sent(Block(rows.column("text"), parts, least), key[0].as_py(), 1)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = pa.Table.from_batches([batch.slice(i, 1)])
+                yield from _sent(_load(row, None, parts, least, 1), row.column("block")[0].as_py(), 1).to_batches()
+        give_back()
 
     return run
 
 
 def _later_round(parts: int, least: int, n: int):
     def run(key: tuple, rows: pa.Table, known: pa.Table) -> pa.Table:
-        return _sent(_load(rows, known, parts, least, n), rows.column("block")[0].as_py(), n)
+        out = _sent(_load(rows, known, parts, least, n), key[0].as_py(), n)
+        give_back()
+        return out
 
     return run
 
 
 def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int = ORDER, min_count: int = MIN_COUNT, alpha: float = ALPHA, block_bytes: int = BLOCK_BYTES, table_grams: int = TABLE_GRAMS) -> DataFrame:
-    """doc_id, n_words, log10_score (summed over the words) and n_seen (words whose longest n-gram counts) for each row.
+    """doc_id, n_words, log10_score (summed over the words), n_seen (words that end an n-gram of the highest order that the corpus has twice or more) and seen_share (of the words that end one) for each row.
 
     A word scores count(n-gram) / count(n-gram without it) for its longest n-gram that occurs
     ``min_count`` times, times ``alpha`` for each order it backs off; a word alone scores its share
     of all words.  Words are split at ASCII white space; n-grams stay within a text.  Counts are of
-    all rows, repeated ones included.  Null, empty and blank texts score 0 with no words; extra
+    all rows, repeated ones included, so by default every n-gram of a text was seen at least once,
+    in it; ``alpha`` comes in with a higher ``min_count``.  Null, empty and blank texts score 0 with no words; extra
     columns are ignored; an empty table gives an empty one.
     """
+    spark = docs.sparkSession
+    kind = docs.schema[doc_id].dataType
     source = docs.select(quoted(doc_id).alias("doc_id"), F.coalesce(quoted(text), F.lit("")).alias("text"))
-    words = F.size(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != ""))
-    totals = source.agg(F.sum(words.cast("long")).alias("words"), F.sum(F.octet_length("text").cast("long")).alias("bytes")).first()
-    n_corpus, n_bytes = totals["words"] or 0, totals["bytes"] or 0
-    blocks, parts = max(1, math.ceil(n_bytes / block_bytes)), max(1, math.ceil(n_corpus / table_grams))
-    # the text's hash spreads rows of one id
-    dealt = source.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
+    packed = T.StructType([T.StructField("block", T.LongType()), T.StructField("doc_ids", T.ArrayType(kind)), T.StructField("sizes", T.ArrayType(T.LongType())), T.StructField("vocabulary", T.BinaryType()), T.StructField("codes", T.BinaryType())])
+    blocks = settle(source.mapInArrow(_blocks(block_bytes), packed))
+    n_corpus = blocks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, v: a + v)).alias("words")).first()["words"] or 0
+    parts = max(1, math.ceil(n_corpus / table_grams))
     answers: DataFrame | None = None
     for n in range(1, order + 1):
         if answers is None:
-            sent = dealt.groupBy("block").applyInArrow(_first_round(parts, min_count), SENT)
+            sent = blocks.mapInArrow(_first_round(parts, min_count), SENT)
         else:
-            sent = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_later_round(parts, min_count, n), SENT)
+            sent = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_later_round(parts, min_count, n), SENT)
         answer = sent.groupBy("n", "part").applyInArrow(_add_up(min_count), ANSWERED)
         answers = answer if answers is None else answers.unionByName(answer)
-    kind = source.schema["doc_id"].dataType
     schema = T.StructType([T.StructField("doc_id", kind), T.StructField("n_words", T.LongType()), T.StructField("log10_score", T.DoubleType()), T.StructField("n_seen", T.LongType())])
 
     def last(key: tuple, rows: pa.Table, known: pa.Table) -> pa.Table:
         block = _load(rows, known, parts, min_count, order + 1)
         score, seen = block.scores(order, alpha, n_corpus)
-        n = rows.num_rows
-        size = np.bincount(block.row, minlength=n)
-        return pa.Table.from_arrays([rows.column("doc_id"), pa.array(size, pa.int64()), pa.array(score, pa.float64()), pa.array(seen, pa.int64())], names=schema.names)
+        size = np.bincount(block.row, minlength=block.n_rows)
+        ids = rows.column("doc_ids").combine_chunks().flatten()
+        out = pa.Table.from_arrays([ids, pa.array(size, pa.int64()), pa.array(score, pa.float64()), pa.array(seen, pa.int64())], names=schema.names)
+        give_back()
+        return out
 
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(last, schema)
+    scored = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(last, schema)
+    return scored.withColumn("seen_share", F.col("n_seen") / F.greatest(F.col("n_words") - (order - 1), F.lit(1)))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     scored = score_documents(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    return scored.select("doc_id", "n_words", F.round("log10_score", 4).alias("log10_score"), "n_seen")
+    return scored.select("doc_id", "n_words", F.round("log10_score", 4).alias("log10_score"), "n_seen", F.round("seen_share", 4).alias("seen_share"))
 
 
 SQL = r"""
@@ -227,14 +294,15 @@ p AS (
          CASE WHEN i > 1 THEN w[i - 1] END AS b, CASE WHEN i > 2 THEN w[i - 2] || ' ' || w[i - 1] END AS ab
   FROM (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS i FROM d WHERE len(w) > 0)),
 u AS (SELECT c AS g, count(*) AS n FROM p GROUP BY 1),
-t2 AS (SELECT bc AS g, count(*) AS n FROM p WHERE bc IS NOT NULL GROUP BY 1 HAVING count(*) >= 2),
-t3 AS (SELECT abc AS g, count(*) AS n FROM p WHERE abc IS NOT NULL GROUP BY 1 HAVING count(*) >= 2),
+t2 AS (SELECT bc AS g, count(*) AS n FROM p WHERE bc IS NOT NULL GROUP BY 1),
+t3 AS (SELECT abc AS g, count(*) AS n FROM p WHERE abc IS NOT NULL GROUP BY 1),
 s AS (
-  SELECT p.doc_id, t3.n IS NOT NULL AS seen,
+  SELECT p.doc_id, coalesce(t3.n > 1, false) AS seen,
     CASE WHEN t3.n IS NOT NULL THEN log10(t3.n / h2.n)
          WHEN t2.n IS NOT NULL THEN log10(t2.n / h1.n) + CASE WHEN p.i > 2 THEN log10(0.4::DOUBLE) ELSE 0 END
          ELSE log10(u.n / (SELECT count(*) FROM p)) + log10(0.4::DOUBLE) * least(p.i - 1, 2) END AS v
   FROM p JOIN u ON u.g = p.c LEFT JOIN t2 ON t2.g = p.bc LEFT JOIN t3 ON t3.g = p.abc LEFT JOIN u h1 ON h1.g = p.b LEFT JOIN t2 h2 ON h2.g = p.ab)
-SELECT d.doc_id, CAST(any_value(len(d.w)) AS BIGINT) AS n_words, round(coalesce(sum(s.v), 0), 4) + 0.0 AS log10_score, CAST(count(*) FILTER (WHERE s.seen) AS BIGINT) AS n_seen
+SELECT d.doc_id, CAST(any_value(len(d.w)) AS BIGINT) AS n_words, round(coalesce(sum(s.v), 0), 4) + 0.0 AS log10_score, CAST(count(*) FILTER (WHERE s.seen) AS BIGINT) AS n_seen,
+       round(count(*) FILTER (WHERE s.seen) / greatest(any_value(len(d.w)) - 2, 1), 4) AS seen_share
 FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id
 """
