@@ -13,18 +13,14 @@ from pyspark.sql import functions as F
 from timbrel.llm import decontamination, jaccard, languages, packing, secrets
 from timbrel.llm.store import settle
 
-#: Texts whose nearest codeword has less than this share of the probability go.
-MIN_SCORE = 0.3
-
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without letters and those in no known language (foreign by their 3-grams); if none is known, only the former would be told, so all stay."""
+    """Drops texts without letters and those in no known language (foreign by their 3-grams); where no language is known, only the former can be told."""
     model = languages.fit_languages(docs)
     if model is None:
-        return docs
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     own = {c: f"__own_{c}" for c in docs.columns if c in ("lang_pred", "score", "ambiguous", "foreign")}
-    found = languages.foreign(docs.withColumnsRenamed(own), model)
-    found = found.where((F.col("lang_pred") != languages.UNKNOWN) & (F.col("score") >= MIN_SCORE) & ~F.col("foreign"))
+    found = languages.foreign(docs.withColumnsRenamed(own), model).where((F.col("lang_pred") != languages.UNKNOWN) & ~F.col("foreign"))
     return found.select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])
 
 
