@@ -617,7 +617,7 @@ def brute_backoff(rows, least, alpha=0.4):
             return count[gram] / size
         return count[gram] / count[gram[:-1]] if count[gram] >= least else alpha * score(gram[1:])
 
-    return [(i, len(w), round(sum(np.log10(score(tuple(w[max(0, j - 2) : j + 1]))) for j in range(len(w))), 6), sum(count[tuple(w[j - 2 : j + 1])] > 1 for j in range(2, len(w)))) for (i, _), w in zip(rows, docs, strict=True)]
+    return [(i, len(w), round(sum(np.log10(score(tuple(w[max(0, j - 2) : j + 1]))) for j in range(len(w))), 6), sum(count[tuple(w[j - 2 : j + 1])] >= max(2, least) for j in range(2, len(w)))) for (i, _), w in zip(rows, docs, strict=True)]
 
 
 @pytest.mark.parametrize("least", [1, 2, 3])

@@ -243,7 +243,7 @@ def _later_round(parts: int, least: int, n: int):
 
 
 def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int = ORDER, min_count: int = MIN_COUNT, alpha: float = ALPHA, block_bytes: int = BLOCK_BYTES, table_grams: int = TABLE_GRAMS) -> DataFrame:
-    """doc_id, n_words, log10_score (summed over the words), n_seen (words that end an n-gram of the highest order that the corpus has twice or more) and seen_share (of the words that end one) for each row.
+    """doc_id, n_words, log10_score (summed over the words), n_seen (words that end an n-gram of the highest order that the corpus has twice or more, and ``min_count`` times) and seen_share (of the words that end one) for each row.
 
     A word scores count(n-gram) / count(n-gram without it) for its longest n-gram that occurs
     ``min_count`` times, times ``alpha`` for each order it backs off; a word alone scores its share
