@@ -11,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from timbrel.functions import vectors as V
-from timbrel.operators import density, postprocess, project, series, similarity, slices, spectral
+from timbrel.operators import density, encoders, postprocess, project, series, similarity, slices, spectral
 from timbrel.plans import clustering
 from timbrel.sources import readers, writers
 
@@ -294,6 +294,148 @@ def test_vectors(spark):
     assert (r["c"], r["n"], r["p"]) == (0.0, [0.0, 0.0], [3.0, 4.0, 0.0, 0.0])
 
 
+def naive_lstm(w, x):
+    """One slice, gate by gate."""
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    for k in range(2):
+        n = w[f"lstm.weight_hh_l{k}"].shape[1]
+        h, c, out = [0.0] * n, [0.0] * n, []
+        for step in x:
+            gate = [sum(w[f"lstm.weight_ih_l{k}"][g, i] * step[i] for i in range(len(step))) + sum(w[f"lstm.weight_hh_l{k}"][g, i] * h[i] for i in range(n)) + w[f"lstm.bias_ih_l{k}"][g] + w[f"lstm.bias_hh_l{k}"][g] for g in range(4 * n)]
+            c = [sig(gate[n + i]) * c[i] + sig(gate[i]) * np.tanh(gate[2 * n + i]) for i in range(n)]
+            h = [sig(gate[3 * n + i]) * np.tanh(c[i]) for i in range(n)]
+            out.append(h)
+        x = out
+    y = np.maximum(w["linear.weight"] @ np.array(x[-1]) + w["linear.bias"], 0)
+    return y / np.linalg.norm(y)
+
+
+def lstm_weights(bands, n=5, out=7):
+    rng = np.random.default_rng(3)
+    w = {"linear.weight": rng.normal(size=(out, n)), "linear.bias": rng.normal(size=out), "unused": np.zeros(2)}
+    for k, width in ((0, bands), (1, n)):
+        w |= {f"lstm.weight_ih_l{k}": rng.normal(size=(4 * n, width)), f"lstm.weight_hh_l{k}": rng.normal(size=(4 * n, n)), f"lstm.bias_ih_l{k}": rng.normal(size=4 * n), f"lstm.bias_hh_l{k}": rng.normal(size=4 * n)}
+    return w
+
+
+def test_lstm_weights(spark, wavs, tmp_path):
+    w = lstm_weights(4)
+    x = np.random.default_rng(4).normal(size=(3, 6, 4))
+    got = encoders.LstmEncoder(w)(x)
+    assert np.allclose(got, [naive_lstm(w, s.tolist()) for s in x], atol=1e-5)
+    np.savez(tmp_path / "w.npz", **lstm_weights(slices.BANDS))
+    old = slices._encoders["timbre"]
+    try:
+        encoders.use_timbre_weights(spark, str(tmp_path / "w.npz"))
+        rows = slices.embed(readers.waveforms(readers.utterances(spark, wavs))).collect()
+        assert len(rows) == 12 and all(len(r["v"]) == 7 and (np.isclose(np.linalg.norm(r["v"]), 1) or not any(r["v"])) for r in rows)
+    finally:
+        slices.register_encoder("timbre", old)
+    with pytest.raises(ValueError):
+        encoders.load_weights(spark, str(tmp_path / "w.npz"), most=10)
+
+
+def emotion_weights(channels=6, size=8, depth=2):
+    rng = np.random.default_rng(6)
+    fill = lambda *shape: rng.normal(size=shape) * 0.5
+    w = {}
+    for i, width in enumerate((10, 3, 2)):
+        w |= {f"wav2vec2.feature_extractor.conv_layers.{i}.conv.weight": fill(channels, 1 if i == 0 else channels, width), f"wav2vec2.feature_extractor.conv_layers.{i}.conv.bias": fill(channels), f"wav2vec2.feature_extractor.conv_layers.{i}.layer_norm.weight": fill(channels), f"wav2vec2.feature_extractor.conv_layers.{i}.layer_norm.bias": fill(channels)}
+    w |= {"wav2vec2.feature_projection.layer_norm.weight": fill(channels), "wav2vec2.feature_projection.layer_norm.bias": fill(channels), "wav2vec2.feature_projection.projection.weight": fill(size, channels), "wav2vec2.feature_projection.projection.bias": fill(size)}
+    w |= {"wav2vec2.encoder.pos_conv_embed.conv.weight_g": fill(1, 1, 4), "wav2vec2.encoder.pos_conv_embed.conv.weight_v": fill(size, size // 2, 4), "wav2vec2.encoder.pos_conv_embed.conv.bias": fill(size), "wav2vec2.encoder.layer_norm.weight": fill(size), "wav2vec2.encoder.layer_norm.bias": fill(size)}
+    for i in range(depth):
+        for name, shape in (("layer_norm", (size,)), ("final_layer_norm", (size,)), *((f"attention.{k}_proj", (size, size)) for k in ("q", "k", "v", "out")), ("feed_forward.intermediate_dense", (12, size)), ("feed_forward.output_dense", (size, 12))):
+            w |= {f"wav2vec2.encoder.layers.{i}.{name}.weight": fill(*shape), f"wav2vec2.encoder.layers.{i}.{name}.bias": fill(shape[0])}
+    return w | {"classifier.dense.weight": fill(size, size), "classifier.dense.bias": fill(size), "classifier.out_proj.weight": fill(3, size), "classifier.out_proj.bias": fill(3)}
+
+
+def naive_emotion(w, samples, strides, heads, groups):
+    """The published layers, place by place."""
+    import math
+
+    w = {k.removeprefix("wav2vec2."): v for k, v in w.items()}
+    act = lambda v: v * 0.5 * (1 + math.erf(v / math.sqrt(2)))
+    lin = lambda n, v: [sum(a * b for a, b in zip(row, v, strict=True)) + c for row, c in zip(w[n + ".weight"], w[n + ".bias"], strict=True)]
+
+    def norm(n, v):
+        m = sum(v) / len(v)
+        s = math.sqrt(sum((a - m) ** 2 for a in v) / len(v) + 1e-5)
+        return [(a - m) / s * g + b for a, g, b in zip(v, w[n + ".weight"], w[n + ".bias"], strict=True)]
+
+    def conv(x, kernel, bias, stride, groups=1):
+        out, inner, width = kernel.shape
+        per = out // groups
+        return [[sum(kernel[o, i, k] * x[t * stride + k][o // per * inner + i] for i in range(inner) for k in range(width)) + bias[o] for o in range(out)] for t in range((len(x) - width) // stride + 1)]
+
+    mean = sum(samples) / len(samples)
+    dev = math.sqrt(sum((s - mean) ** 2 for s in samples) / len(samples) + 1e-7)
+    x = [[(s - mean) / dev] for s in samples]
+    for i, stride in enumerate(strides):
+        n = f"feature_extractor.conv_layers.{i}"
+        x = [[act(v) for v in norm(n + ".layer_norm", row)] for row in conv(x, w[n + ".conv.weight"], w[n + ".conv.bias"], stride)]
+    x = [lin("feature_projection.projection", norm("feature_projection.layer_norm", row)) for row in x]
+    n = "encoder.pos_conv_embed.conv."
+    v = w[n + "weight_v"]
+    kernel = np.stack([w[n + "weight_g"][0, 0, k] * v[:, :, k] / math.sqrt((v[:, :, k] ** 2).sum()) for k in range(v.shape[2])], axis=2)
+    pad = [[0.0] * len(x[0])] * (v.shape[2] // 2)
+    place = conv([*pad, *x, *pad], kernel, w[n + "bias"], 1, groups)
+    x = [[a + act(b) for a, b in zip(r, p, strict=True)] for r, p in zip(x, place, strict=False)]
+    depth = sum(".final_layer_norm.weight" in k for k in w)
+    for i in range(depth):
+        n = f"encoder.layers.{i}"
+        seen = [norm(n + ".layer_norm", r) for r in x]
+        q, k, v = ([lin(f"{n}.attention.{c}_proj", r) for r in seen] for c in "qkv")
+        width = len(q[0]) // heads
+        mixed = [[] for _ in x]
+        for h in range(heads):
+            cut = slice(h * width, (h + 1) * width)
+            for t in range(len(x)):
+                score = [math.exp(sum(a * b for a, b in zip(q[t][cut], k[u][cut], strict=True)) / math.sqrt(width)) for u in range(len(x))]
+                mixed[t] += [sum(s * v[u][cut][d] for u, s in enumerate(score)) / sum(score) for d in range(width)]
+        x = [[a + b for a, b in zip(r, lin(f"{n}.attention.out_proj", m), strict=True)] for r, m in zip(x, mixed, strict=True)]
+        x = [[a + b for a, b in zip(r, lin(f"{n}.feed_forward.output_dense", [act(z) for z in lin(f"{n}.feed_forward.intermediate_dense", norm(n + ".final_layer_norm", r))]), strict=True)] for r in x]
+    pooled = np.mean([norm("encoder.layer_norm", r) for r in x], axis=0)
+    return pooled, lin("classifier.out_proj", [math.tanh(z) for z in lin("classifier.dense", pooled)])
+
+
+def test_emotion_weights(spark, wavs, tmp_path):
+    w, options = emotion_weights(), {"strides": (5, 2, 2), "heads": 2, "groups": 2}
+    x = np.random.default_rng(8).normal(size=150) + 0.3
+    model = encoders.EmotionEncoder(w, **options)
+    pooled, logits = naive_emotion(w, x.tolist(), (5, 2, 2), 2, 2)
+    assert np.allclose(model(x), pooled, atol=1e-4) and np.allclose(model.logits(x), logits, atol=1e-4)
+    np.savez(tmp_path / "e.npz", **w)
+    waves = readers.waveforms(readers.utterances(spark, wavs)).where("id < 3")
+    try:
+        encoders.use_emotion_weights(spark, str(tmp_path / "e.npz"), **options)
+        assert {len(r["v"]) for r in slices.embed(waves, "emotion").collect()} == {8}
+        rated = encoders.emotion_logits(waves).collect()
+        assert rated and all(np.isfinite([r[k] for k in encoders.LOGITS]).all() for r in rated)
+    finally:
+        slices._whole.clear()
+    with pytest.raises(ValueError):
+        encoders.emotion_logits(waves)
+
+
+def test_crop_and_pace(spark):
+    assert series.crop_frames(5, 1.3) == 3 and series.crop_frames(1, 1.3) == 0
+    rows = spark.createDataFrame([(1, 2.0, 1.0), (2, 2.0, 2.2), (3, 2.0, 2.25)], "frame int, due double, elapsed double")
+    got = rows.withColumn("p", series.delay(F.col("elapsed"), F.col("due"))).orderBy("frame").collect()
+    assert [(r["p"]["wait"], r["p"]["late"]) for r in got] == [(1.0, False), (0.0, False), (0.0, True)]
+    assert [r["a"] for r in spark.createDataFrame([("a.csv",), ("a.CSV",), ("csv",)], "n string").select(series.accepted(F.col("n")).alias("a")).collect()] == [True, False, False]
+
+
+def test_pruning_streams_blocks(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(90, 5))
+    x[10:20] = x[:10]
+    df = frame(spark, x)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    c = np.round(unit @ unit.T, 12)
+    want = sorted((i, j) for i in range(90) for j in sorted(range(90), key=lambda j: (-c[i, j], j))[:7])
+    assert sorted((r["i"], r["j"]) for r in similarity.knn_prune(df, keep=7, block=16).collect()) == want
+
+
 def test_bad_options(spark):
     with pytest.raises(ValueError):
         clustering.cluster(frame(spark, np.eye(12)), "other")

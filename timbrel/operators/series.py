@@ -2,14 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 CONFIDENT, UNCERTAIN = 0.75, 0.65
 
-#: The palette of fourteen colours is the hue circle in even steps here, computed by rule.
-PALETTE = 14
+#: The fourteen colours of plots, red, green and blue from 0 to 255.
+PALETTE = (
+    (0, 127, 70),
+    (255, 0, 0),
+    (255, 217, 38),
+    (0, 135, 255),
+    (165, 0, 165),
+    (255, 167, 255),
+    (97, 142, 151),
+    (0, 255, 255),
+    (255, 96, 38),
+    (142, 76, 0),
+    (33, 0, 127),
+    (0, 0, 0),
+    (183, 183, 183),
+    (76, 255, 0),
+)
+#: Where the public "gist_rainbow" colour map bends, with red, green and blue there; between, colours are linear.
+RAINBOW = (
+    (0.000, (1.00, 0.00, 0.16)),
+    (0.030, (1.00, 0.00, 0.00)),
+    (0.215, (1.00, 1.00, 0.00)),
+    (0.400, (0.00, 1.00, 0.00)),
+    (0.586, (0.00, 1.00, 1.00)),
+    (0.770, (0.00, 0.00, 1.00)),
+    (0.954, (1.00, 0.00, 1.00)),
+    (1.000, (1.00, 0.00, 0.75)),
+)
+#: Seconds that a frame may be shown after its time.
+LATE = 0.2
 
 
 def confidence(sim):
@@ -33,6 +61,22 @@ def trailing(series: DataFrame, by: str, order: list[str], value: str, frames: i
     return series.withColumn("trailing", F.avg(value).over(window))
 
 
+def crop_frames(x_crop: float, rate: float) -> int:
+    """Frames of the crop to either side, of one ``x_crop`` seconds wide at ``rate`` frames a second; halves go to the even frame."""
+    return round(x_crop * rate) // 2
+
+
+def cropped(series: DataFrame, by: str, order: list[str], half: int) -> DataFrame:
+    """``series`` with frame (from 0), axis_from and axis_to (the crop centred on it), and data_from (the first frame shown; the last is the frame itself)."""
+    numbered = series.withColumn("frame", F.row_number().over(W.partitionBy(by).orderBy(*order)) - 1)
+    return numbered.withColumn("axis_from", F.col("frame") - half).withColumn("axis_to", F.col("frame") + half).withColumn("data_from", F.greatest(F.col("frame") - half, F.lit(0)))
+
+
+def delay(elapsed: Column, due: Column, tolerance: float = LATE) -> Column:
+    """(wait, late): seconds to wait before a frame is shown, and whether it comes more than ``tolerance`` seconds late."""
+    return F.struct(F.greatest(due - elapsed, F.lit(0.0)).alias("wait"), (elapsed - tolerance > due).alias("late"))
+
+
 def mid_time(start, stop, rate: int = 16_000):
     """Middle of a slice in seconds."""
     return (start + stop) / F.lit(2.0) / F.lit(float(rate))
@@ -79,11 +123,33 @@ def hues(labels: DataFrame) -> DataFrame:
     return labels.select("clust").distinct().crossJoin(F.broadcast(top)).select("clust", F.try_divide(F.lit(360.0), F.col("top") + 1).alias("step")).select("clust", (F.col("step") * F.col("clust")).alias("hue"))  # one row is broadcast
 
 
-def colors(n: int) -> list[tuple[float, float, float]]:
-    """n colours around the rainbow."""
-    import colorsys
+def palette(number: Column) -> Column:
+    """The palette's colour of a number from 0, as an array of three shares; numbers beyond start again."""
+    rows = F.array(*[F.array(*[F.lit(x / 255) for x in rgb]) for rgb in PALETTE])
+    return F.element_at(rows, (F.pmod(number, F.lit(len(PALETTE))) + 1).cast("int"))
+
+
+def rainbow(share: Column) -> Column:
+    """The colour map's colour at a share of its length, 0 to 1, as an array of three shares, by its table of 256 steps."""
+    at = F.least(F.floor(share * 256), F.lit(255)) / F.lit(255.0)
 
-    return [colorsys.hsv_to_rgb(0.92 * i / max(1, n), 1.0, 1.0) for i in range(n)]
+    def channel(c: int) -> Column:
+        value = F.lit(RAINBOW[-1][1][c])
+        for (x, low), (y, high) in reversed(list(zip(RAINBOW, RAINBOW[1:], strict=False))):
+            value = F.when(at <= y, F.lit(low[c]) + (at - x) / (y - x) * (high[c] - low[c])).otherwise(value)
+        return value
+
+    return F.array(*[channel(c) for c in range(3)])
+
+
+def line_colors(names: DataFrame, name: str = "name") -> DataFrame:
+    """(name, number, color): each name's place in order of names, and its share of the way along the rainbow.
+
+    Names are a plot's lines: ranking them is one small task.
+    """
+    listed = names.select(F.col(name).alias("name")).distinct()
+    numbered = listed.select("name", (F.row_number().over(W.orderBy("name")) - 1).alias("number"), F.count("*").over(W.partitionBy()).alias("n"))
+    return numbered.select("name", "number", rainbow(F.col("number") / F.col("n")).alias("color"))
 
 
 def shown(assigned: DataFrame, clust: int | None = None, selected: str | None = None) -> DataFrame:
@@ -92,6 +158,11 @@ def shown(assigned: DataFrame, clust: int | None = None, selected: str | None =
     return out if selected is None else out.where(F.col("filename") == selected)
 
 
+def accepted(name: Column) -> Column:
+    """Whether the viewer takes a file dropped on it: only names that end in .csv, as spelled."""
+    return name.endswith(".csv")
+
+
 def with_audio(assigned: DataFrame, base: str = "http://localhost:8080/") -> DataFrame:
     """Viewer rows with the address each file is played from."""
     return assigned.withColumn("url", F.concat(F.lit(base), F.col("filename")))

@@ -1,23 +1,25 @@
 """All-pairs cosine similarity, p-pruning, affinity graph and signed Laplacian.
 
-Pairs are computed in blocks: each pair of blocks is one matrix product in an Arrow group, memory
-is two blocks, and only the kept neighbours of a block pair leave the task.
+Pairs are computed in blocks: each pair of blocks is one matrix product, memory is two blocks and
+the neighbours kept so far, and only the kept neighbours leave the task.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from timbrel.functions import vectors as V
 
-#: Vectors of a block.
+#: Vectors of a block; kept similarities that a task holds, about.
 BLOCK = 2048
+CELLS = 1 << 22
 
 
 def keep_count(n: int, pval: float = 0.02, min_pnum: int = 6) -> int:
@@ -26,8 +28,32 @@ def keep_count(n: int, pval: float = 0.02, min_pnum: int = 6) -> int:
 
 
 def cosine_pairs(df: DataFrame, id_col: str = "id", vector: str = "v", block: int = BLOCK, least: float | None = None) -> DataFrame:
-    """(i, j, c) for i < j, by block pairs; only those of at least ``least``, if given."""
-    return _blocked(df, id_col, vector, block, None, least).where("i < j").select("i", "j", "c")
+    """(i, j, c) for i < j, each pair of blocks multiplied once; only those of at least ``least``, if given."""
+    blocks = max(1, math.ceil(df.count() / block))
+    base = _dealt(df, id_col, vector, blocks)
+    # a block's rows are sent once for each pair of blocks it is in
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("o")
+    sent = base.select("id", "v", "b", every).select(F.least("b", "o").alias("p"), F.greatest("b", "o").alias("q"), (F.col("b") <= F.col("o")).alias("left"), "id", "v")
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        left = rows.column("left")
+        a = rows.filter(left)
+        b = a if key[0].as_py() == key[1].as_py() else rows.filter(pc.invert(left))
+        ia, ib = a.column("id").to_numpy(), b.column("id").to_numpy()
+        if not len(ia) or not len(ib):
+            return pa.table({"i": pa.array([], pa.int64()), "j": pa.array([], pa.int64()), "c": pa.array([], pa.float64())})
+        c = _matrix(a) @ _matrix(b).T
+        ok = ia[:, None] < ib[None, :] if a is b else ia[:, None] != ib[None, :]
+        if least is not None:
+            ok &= c >= least
+        x, y = np.nonzero(ok)
+        return pa.table({"i": np.minimum(ia[x], ib[y]), "j": np.maximum(ia[x], ib[y]), "c": c[x, y]})
+
+    return sent.groupBy("p", "q").applyInArrow(run, "i long, j long, c double")
+
+
+def _dealt(df: DataFrame, id_col: str, vector: str, blocks: int) -> DataFrame:
+    return df.select(F.col(id_col).cast("long").alias("id"), V.doubles(vector).alias("v")).withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
 
 
 def _matrix(table: pa.Table) -> np.ndarray:
@@ -37,48 +63,75 @@ def _matrix(table: pa.Table) -> np.ndarray:
     return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
 
 
-def _blocked(df: DataFrame, id_col: str, vector: str, block: int, top: int | None, least: float | None = None) -> DataFrame:
-    """(i, j, c) of all ordered pairs, or the ``top`` of each i within each block pair."""
-    n = df.count()
-    blocks = max(1, math.ceil(n / block))
-    base = df.select(F.col(id_col).cast("long").alias("id"), V.doubles(vector).alias("v")).withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    # each block meets each: its rows are sent once as rows (side 0) and once as columns (side 1) of every pair of blocks
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("o")
-    left = base.select("id", "v", "b", every).select(F.col("b").alias("p"), F.col("o").alias("q"), F.lit(0).alias("side"), "id", "v")
-    right = base.select("id", "v", "b", every).select(F.col("o").alias("p"), F.col("b").alias("q"), F.lit(1).alias("side"), "id", "v")
+class _Best:
+    """The ``keep`` largest cosines of each row of a block among all columns seen so far, ties to the smaller id."""
 
-    # equal cosines to the last bits are told apart by id, as in the relational form
-    def run(key: tuple, rows: pa.Table) -> pa.Table:
-        side = rows.column("side").to_numpy()
-        a, b = rows.filter(pa.array(side == 0)), rows.filter(pa.array(side == 1))
-        ia, ib = a.column("id").to_numpy(), b.column("id").to_numpy()
-        if not len(ia) or not len(ib):
-            return pa.table({"i": pa.array([], pa.int64()), "j": pa.array([], pa.int64()), "c": pa.array([], pa.float64())})
-        order = np.argsort(ib, kind="stable")
-        ib = ib[order]
-        c = _matrix(a) @ _matrix(b)[order].T
-        if top is not None and top < len(ib):
-            pick = np.argsort(-np.round(c, 12), axis=1, kind="stable")[:, :top]
-            rows = np.repeat(np.arange(len(ia)), top)
-            cols = pick.ravel()
-        else:
-            rows, cols = (x.ravel() for x in np.indices(c.shape))
-        value = c[rows, cols]
-        ok = value >= least if least is not None else np.ones(len(value), bool)
-        return pa.table({"i": ia[rows[ok]], "j": ib[cols[ok]], "c": value[ok]})
-
-    return left.unionByName(right).groupBy("p", "q").applyInArrow(run, "i long, j long, c double")
+    def __init__(self, rows: pa.Table, keep: int):
+        self.ids, self.m, self.keep = rows.column("id").to_numpy(), _matrix(rows), keep
+        self.j, self.c = np.zeros((len(self.ids), 0), np.int64), np.zeros((len(self.ids), 0))
+
+    def see(self, columns: pa.Table) -> None:
+        # equal cosines to the last bits are told apart by id, as in the relational form
+        c = np.hstack([self.c, self.m @ _matrix(columns).T])
+        j = np.hstack([self.j, np.broadcast_to(columns.column("id").to_numpy(), (len(self.ids), columns.num_rows))])
+        pick = np.lexsort((j, -np.round(c, 12)), axis=1)[:, : self.keep]
+        self.c, self.j = np.take_along_axis(c, pick, axis=1), np.take_along_axis(j, pick, axis=1)
+
+    def told(self) -> Iterator[pa.RecordBatch]:
+        for a in range(0, len(self.ids), 64):
+            j, c = self.j[a : a + 64], self.c[a : a + 64]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(self.ids[a : a + 64], j.shape[1])), pa.array(j.ravel()), pa.array(c.ravel())], names=["i", "j", "c"])
 
 
 def knn_prune(df: DataFrame, id_col: str = "id", vector: str = "v", pval: float = 0.02, min_pnum: int = 6, keep: int | None = None, block: int = BLOCK) -> DataFrame:
     """(i, j, c): each row's largest similarities (its own included), ties to the smaller j.
 
-    The top of each block pair is taken before the shuffle, so what moves is N * keep rows a block, not N * N.
+    A task holds one block of rows; the blocks of columns stream by, sorted after it, and only the
+    best so far are held, so what leaves the tasks is N * keep rows, ranked for good.  Rows to a
+    block are fewer where ``keep`` is large: a task holds CELLS of them at most, about.
     """
-    keep = keep_count(df.count(), pval, min_pnum) if keep is None else keep
-    tops = _blocked(df, id_col, vector, block, keep)
-    rank = F.row_number().over(W.partitionBy("i").orderBy(F.round("c", 12).desc(), "j"))
-    return tops.withColumn("rank", rank).where(F.col("rank") <= keep).select("i", "j", "c")
+    n = df.count()
+    keep = keep_count(n, pval, min_pnum) if keep is None else keep
+    width = max(16, min(block, CELLS // max(1, keep)))
+    blocks, columns = max(1, math.ceil(n / width)), max(1, math.ceil(n / block))
+    base = _dealt(df, id_col, vector, blocks)
+    rows = base.select("b", F.lit(-1).alias("q"), "id", "v")
+    met = base.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), F.pmod(F.xxhash64("id"), F.lit(columns)).cast("int").alias("q"), "id", "v")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: tuple | None = None
+        held: list[pa.RecordBatch] = []
+        best: _Best | None = None
+
+        def close() -> None:
+            nonlocal best, held
+            if held:
+                table = pa.Table.from_batches(held)
+                if now[1] < 0:
+                    best = _Best(table, keep)
+                elif best is not None:
+                    best.see(table)
+            held = []
+
+        for batch in batches:
+            b, q = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cut = [0, *(np.flatnonzero((b[1:] != b[:-1]) | (q[1:] != q[:-1])) + 1).tolist(), len(b)]
+            for x, y in zip(cut, cut[1:], strict=False):
+                if x == y:
+                    continue
+                key = (int(b[x]), int(q[x]))
+                if key != now:
+                    close()
+                    if best is not None and key[0] != now[0]:
+                        yield from best.told()
+                        best = None
+                    now = key
+                held.append(batch.slice(x, y - x).select(["id", "v"]))
+        close()
+        if best is not None:
+            yield from best.told()
+
+    return rows.unionByName(met).repartition(blocks, "b").sortWithinPartitions("b", "q").mapInArrow(run, "i long, j long, c double")
 
 
 def symmetrize(pruned: DataFrame) -> DataFrame:

@@ -42,10 +42,16 @@ def partial_slices(df: DataFrame, n_samples: Column | str, id_col: str = "id", r
     return kept.select("id", "part", "mel_start", (F.col("mel_start") + WIDTH).alias("mel_stop"), start.alias("wav_start"), (start + WIDTH * FRAME).alias("wav_stop"))
 
 
+#: Fixed values of the auditory scale that the published encoder's front end uses: linear to 1000 Hz, logarithmic above.
+MEL_HZ, MEL_TURN, MEL_STEP = 200 / 3, 1000.0, np.log(6.4) / 27
+
+
 def mel_filters(bands: int = BANDS, size: int = 400, rate: int = RATE) -> np.ndarray:
-    """Triangular filters, evenly spaced on the mel scale."""
-    top = 2595 * np.log10(1 + rate / 2 / 700)
-    edges = 700 * (10 ** (np.linspace(0, top, bands + 2) / 2595) - 1)
+    """Triangular filters of equal area, evenly spaced on the mel scale."""
+    turn = MEL_TURN / MEL_HZ
+    top = turn + np.log(rate / 2 / MEL_TURN) / MEL_STEP
+    mels = np.linspace(0, top, bands + 2)
+    edges = np.where(mels < turn, MEL_HZ * mels, MEL_TURN * np.exp(MEL_STEP * (mels - turn)))
     freq = np.fft.rfftfreq(size, 1 / rate)
     rise = (freq[None] - edges[:-2, None]) / np.diff(edges)[:-1, None]
     fall = (edges[2:, None] - freq[None]) / np.diff(edges)[1:, None]
@@ -69,6 +75,34 @@ _encoders: dict[str, Callable[[], Encoder]] = {}
 def register_encoder(name: str, make: Callable[[], Encoder]) -> None:
     """``make`` runs once a worker, when first needed: load weights there."""
     _encoders[name] = make
+    _whole.pop(name, None)
+
+
+#: Encoders of whole recordings: samples to one vector.
+_whole: dict[str, Callable] = {}
+
+
+def register_whole_encoder(name: str, make: Callable) -> None:
+    """As ``register_encoder``, for an encoder that takes a recording's samples and gives one vector."""
+    _whole[name] = make
+
+
+def whole_encoder(name: str) -> Callable:
+    if name not in _whole:
+        raise ValueError(f"no encoder of whole recordings is registered as {name!r}")
+    return _whole[name]
+
+
+def embed_whole(waves: DataFrame, encoder: str) -> DataFrame:
+    """(id, filename, v): one vector for each recording by an encoder of whole recordings."""
+    make = whole_encoder(encoder)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encode = make()
+        for pdf in batches:
+            yield pd.DataFrame({"id": pdf["id"], "filename": pdf["filename"], "v": [encode(np.asarray(x, np.float32)).astype(float).tolist() for x in pdf["samples"]]})
+
+    return waves.select("id", "filename", "samples").mapInPandas(run, "id long, filename string, v array<double>")
 
 
 def _timbre() -> Encoder:
@@ -123,8 +157,10 @@ def embed_partials(waves: DataFrame, encoder: str = "timbre", rate: float = 1.3,
 
 def embed(waves: DataFrame, encoder: str = "timbre", normalize_parts: bool = False) -> DataFrame:
     """(id, filename, v): mean of a recording's partial vectors; timbre is L2-normalised, mix is timbre then emotion."""
-    if encoder not in ENCODERS and encoder not in _encoders:
-        raise ValueError(f"encoder must be one of {sorted({*ENCODERS, *_encoders})}")
+    if encoder not in ENCODERS and encoder not in _encoders and encoder not in _whole:
+        raise ValueError(f"encoder must be one of {sorted({*ENCODERS, *_encoders, *_whole})}")
+    if encoder in _whole:
+        return embed_whole(waves, encoder)
     if encoder == "mix":
         a, b = embed(waves, "timbre"), embed(waves, "emotion")
         second = V.normalize(F.col("v2")) if normalize_parts else F.col("v2")

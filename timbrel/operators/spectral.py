@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from timbrel.operators import similarity
+from timbrel.sources.tables import settle
 
 MIN_SPEAKERS, MAX_SPEAKERS = 1, 14
 #: Points up to which the Laplacian is solved densely in one task (N * N doubles); Lanczos beyond.
@@ -147,8 +148,6 @@ def lanczos_spectrum(edges: DataFrame, ids: DataFrame, vectors: int, steps: int
     best three blocks.  Each round is one distributed product of edge tiles with the block's vectors;
     only small matrices come to the driver.  Bases are written down each round.
     """
-    from timbrel.plans.tables import settle
-
     n = ids.count()
     blocks = max(1, -(-n // similarity.BLOCK))
     block_of = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
@@ -216,16 +215,22 @@ def choose_k(values: list[float], nmin: int = MIN_SPEAKERS, nmax: int = MAX_SPEA
 
 def nmin_sweep(solved: DataFrame, nmax: int = MAX_SPEAKERS) -> DataFrame:
     """(nmin, k) for every admissible nmin over one spectrum: the interactive loop as a table."""
-    values = solved.first()["values"]
-    rows = [(m, choose_k(values, m, nmax)) for m in range(1, min(nmax, len(values) - 1) + 1)]
-    return solved.sparkSession.createDataFrame(rows, "nmin int, k int")
+    return sweep(eigenvalues(solved), "ord", "lambda", nmax)
+
+
+def sweep(values: DataFrame, order: str = "ord", value: str = "lambda", nmax: int = MAX_SPEAKERS) -> DataFrame:
+    """(nmin, k) as ``choose_k`` gives it for every admissible nmin, of a spectrum given as rows in order from 0."""
+    gaps = eigen_gaps(values, order, value).where(F.col("ord") < nmax)
+    starts = gaps.select((F.col("ord") + 1).cast("int").alias("nmin"))
+    best = F.min_by("ord", F.struct(-F.col("gap"), "ord"))
+    return starts.join(gaps, F.col("ord") >= F.col("nmin") - 1).groupBy("nmin").agg((best + 1).cast("int").alias("k"))
 
 
 def embedded_kmeans(solved: DataFrame, k: int, seed: int = 7) -> DataFrame:
     """(id, clust) by k-means on the first k eigenvector entries; k = 1 is label 0."""
     if k == 1:
         return solved.select("id", F.lit(0).alias("clust"))
-    points = solved.select("id", array_to_vector(F.slice("u", 1, k)).alias("features")).cache()
+    points = settle(solved.select("id", array_to_vector(F.slice("u", 1, k)).alias("features")))
     model = KMeans(k=k, seed=seed, initMode="k-means||", initSteps=5, maxIter=100, tol=1e-8).fit(points)
     return model.transform(points).select("id", F.col("prediction").cast("int").alias("clust"))
 
@@ -240,6 +245,6 @@ def canonical(labels: DataFrame) -> DataFrame:
 def spectral_cluster(df: DataFrame, id_col: str = "id", vector: str = "v", nmin: int = MIN_SPEAKERS, nmax: int = MAX_SPEAKERS, pval: float = 0.02, min_pnum: int = 6, k: int | None = None, seed: int = 7) -> DataFrame:
     """(id, clust): similarity, pruning, Laplacian, eigengap, k-means."""
     ids = df.select(F.col(id_col).cast("long").alias("id"))
-    solved = spectrum(similarity.affinity(df, id_col, vector, pval, min_pnum), ids, nmax + 1 if k is None else max(k, 2)).cache()
+    solved = settle(spectrum(similarity.affinity(df, id_col, vector, pval, min_pnum), ids, nmax + 1 if k is None else max(k, 2)))
     chosen = choose_k(solved.first()["values"], nmin, nmax, k)
     return canonical(embedded_kmeans(solved, chosen, seed))

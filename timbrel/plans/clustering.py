@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timbrel.operators import density, postprocess, project, series, slices, spectral
-from timbrel.plans.tables import settle
+from timbrel.sources.tables import settle
 from timbrel.sources import readers, writers
 
 METHODS = ("spectral", "umap_hdbscan")

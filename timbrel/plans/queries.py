@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from timbrel.functions import vectors as V
@@ -182,6 +183,65 @@ def viewer_audio(spark, sf_dir):
     return series.with_audio(_assigned(spark, sf_dir)).select("filename", "url")
 
 
+def viewer_selected(spark, sf_dir):
+    return series.shown(_assigned(spark, sf_dir), selected="/data/raw/wavs/7.wav").select("filename", "clust")
+
+
+def viewer_accepts(spark, sf_dir):
+    return _table(spark, sf_dir, "part").select("p_partkey", series.accepted(F.concat("p_type", F.when(F.col("p_size") % 2 == 0, ".csv").otherwise(".CSV"))).alias("accepted"))
+
+
+def palette_colors(spark, sf_dir):
+    rgb = _points(spark, sf_dir).select("clust").distinct().select("clust", series.palette(F.col("clust") * 3).alias("c"))
+    return rgb.select("clust", *[V.tidy(F.col("c")[i]).alias(n) for i, n in enumerate(("r", "g", "b"))])
+
+
+def line_colors(spark, sf_dir):
+    rgb = series.line_colors(_table(spark, sf_dir, "part"), "p_type")
+    return rgb.select("name", "number", *[V.tidy(F.col("color")[i]).alias(n) for i, n in enumerate(("r", "g", "b"))])
+
+
+def cropped_frames(spark, sf_dir):
+    half = series.crop_frames(5, 1.3)
+    return series.cropped(_table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"], half).select("event_id", "frame", "axis_from", "axis_to", "data_from")
+
+
+def frame_delays(spark, sf_dir):
+    """Frames due at their mid-times, shown when the events' values say."""
+    pace = series.delay(F.abs("value") / 10, F.lit(2.0))
+    return _table(spark, sf_dir, "events").select("event_id", pace.alias("p")).select("event_id", V.tidy(F.col("p.wait")).alias("wait"), "p.late")
+
+
+def frame_rates(spark, sf_dir):
+    mid = slice_mid_times(spark, sf_dir)
+    first, second = (mid.where(F.col("part") == k).select("doc_id", F.col("seconds").alias(f"t{k}")) for k in (0, 1))
+    return first.join(second, "doc_id").select("doc_id", V.tidy(series.frame_rate(F.col("t0"), F.col("t1"))).alias("rate"))
+
+
+def nmin_of_spectrum(spark, sf_dir):
+    """The sweep over a given spectrum: the coordinates' mean squares in order of size."""
+    flat = _points(spark, sf_dir).select(F.posexplode("v").alias("pos", "x"))
+    values = flat.groupBy("pos").agg(F.round(F.avg(F.col("x") * F.col("x")), 9).alias("lambda"))
+    ranked = values.select((F.row_number().over(W.orderBy("lambda", "pos")) - 1).alias("ord"), "lambda")
+    return spectral.sweep(ranked)
+
+
+def assignment_frame(spark, sf_dir):
+    """Labels, places and names met by id."""
+    p = _points(spark, sf_dir)
+    places = p.select("id", F.col("v")[0].alias("x"), F.col("v")[1].alias("y"))
+    named = p.select("id", F.concat(F.lit("u"), F.col("id").cast("string"), F.lit(".wav")).alias("filename"))
+    out = clustering.assign(p, p.select("id", "clust"), places, named)
+    return out.select("filename", "clust", V.tidy(F.col("x")).alias("x"), V.tidy(F.col("y")).alias("y"))
+
+
+def matrix_tokens(spark, sf_dir):
+    """Rows of a matrix named by a vocabulary's values in first-seen order."""
+    parts = _table(spark, sf_dir, "part").select((F.col("p_partkey") - 1).cast("int").alias("pos"), "p_brand", F.col("p_brand").alias("key"), F.col("p_brand").alias("value"))
+    names = series.invert_vocabulary(parts).select("pos", F.element_at(F.split("keys", ","), 1).alias("keys"))
+    return series.tokens(names.select(F.col("pos").alias("id")), names)
+
+
 def cluster_centers_2d(spark, sf_dir):
     return project.centers(_assigned(spark, sf_dir)).select("clust", V.tidy(F.col("x")).alias("x"), V.tidy(F.col("y")).alias("y"))
 
@@ -229,6 +289,7 @@ QUERIES = {
         cosine_pairs, knn_prune, sym_affinity, degree, laplacian_triples, heat_map, l2_normalize, speaker_embedding, cluster_sizes, minor_major, centroids, absorb_minor,
         centroid_affinity, best_merge_pair, merge_by_cosine, small_n_fallback, eigen_gaps, partial_slices, slice_mid_times, mix_concat, transcript_semi_join, cache_misses,
         route_plan, kick_filter, url_basename, vocab_invert, diarize_frames, trailing_frame, density_histogram, group_median, viewer_palette, viewer_rows, viewer_audio, cluster_centers_2d,
+        viewer_selected, viewer_accepts, palette_colors, line_colors, cropped_frames, frame_delays, frame_rates, nmin_of_spectrum, assignment_frame, matrix_tokens,
         embedding_heat_map, nmin_sweep, spectral_cluster, hdbscan, umap_hdbscan, project_2d, project_tsne, flagship,
     )
 }
@@ -242,6 +303,15 @@ _GRAPH = f"WITH {_E}, {_KEEP}, {_P}, {_W}"
 _A = "a AS (SELECT '/data/raw/wavs/' || vec_id || '.wav' AS filename, label AS clust, CAST(embedding[1] AS DOUBLE) AS x, CAST(embedding[2] AS DOUBLE) AS y FROM embeddings)"
 _S = "s AS (SELECT doc_id, n_chars * 16 AS n, greatest(1, CAST(ceil((n_chars * 16 + 1) / 160) AS BIGINT) - 160 + 77 + 1) AS steps FROM documents), q AS (SELECT doc_id, n, (steps - 1) // 77 AS last, unnest(generate_series(0, (steps - 1) // 77)) AS part FROM s), r AS (SELECT doc_id, part, part * 77 AS f FROM q WHERE NOT (part = last AND last > 0 AND (n - part * 77 * 160) / 25600 < 0.75))"
 
+_PALETTE = "[" + ", ".join(f"[{r}, {g}, {b}]" for r, g, b in series.PALETTE) + "]"
+
+
+def _channel(c: int) -> str:
+    """One channel of the rainbow at a table's ``place``."""
+    cases = " ".join(f"WHEN place <= {y} THEN {low[c]}::DOUBLE + (place - {x}::DOUBLE) / {y - x!r}::DOUBLE * {high[c] - low[c]!r}::DOUBLE" for (x, low), (y, high) in zip(series.RAINBOW, series.RAINBOW[1:], strict=False))
+    return f"round(CASE {cases} END, 6) + 0.0"
+
+
 ORACLES = {
     "cosine_pairs": f"WITH {_E} SELECT a.id AS i, b.id AS j, round(list_cosine_similarity(a.v, b.v), 6) + 0.0 AS c FROM e a JOIN e b ON a.id < b.id",
     "knn_prune": f"WITH {_E}, {_KEEP}, {_P} SELECT i, j, round(c, 6) + 0.0 AS c FROM p",
@@ -275,6 +345,16 @@ ORACLES = {
     "viewer_palette": "SELECT DISTINCT label AS clust, round(360.0::DOUBLE / ((SELECT max(label) FROM embeddings) + 1) * label, 6) + 0.0 AS hue FROM embeddings",
     "viewer_rows": f"WITH {_A} SELECT filename, clust, round(x, 6) + 0.0 AS x, round(y, 6) + 0.0 AS y FROM a WHERE clust = 4",
     "viewer_audio": f"WITH {_A} SELECT filename, 'http://localhost:8080/' || filename AS url FROM a",
+    "viewer_selected": f"WITH {_A} SELECT filename, clust FROM a WHERE filename = '/data/raw/wavs/7.wav'",
+    "viewer_accepts": "SELECT p_partkey, p_size % 2 = 0 AS accepted FROM part",
+    "palette_colors": f"WITH p AS (SELECT {_PALETTE} AS rgb), l AS (SELECT DISTINCT label AS clust FROM embeddings) SELECT clust, round(rgb[(clust * 3) % 14 + 1][1] / 255.0::DOUBLE, 6) + 0.0 AS r, round(rgb[(clust * 3) % 14 + 1][2] / 255.0::DOUBLE, 6) + 0.0 AS g, round(rgb[(clust * 3) % 14 + 1][3] / 255.0::DOUBLE, 6) + 0.0 AS b FROM l CROSS JOIN p",
+    "line_colors": f"WITH t AS (SELECT DISTINCT p_type AS name FROM part), n AS (SELECT name, row_number() OVER (ORDER BY name) - 1 AS number, count(*) OVER () AS n FROM t), s AS (SELECT name, CAST(number AS INTEGER) AS number, least(floor(number / n::DOUBLE * 256), 255) / 255.0::DOUBLE AS place FROM n) SELECT name, number, {_channel(0)} AS r, {_channel(1)} AS g, {_channel(2)} AS b FROM s",
+    "cropped_frames": "SELECT event_id, CAST(f AS INTEGER) AS frame, CAST(f - 3 AS INTEGER) AS axis_from, CAST(f + 3 AS INTEGER) AS axis_to, CAST(greatest(f - 3, 0) AS INTEGER) AS data_from FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS f FROM events)",
+    "frame_delays": "SELECT event_id, round(greatest(2.0::DOUBLE - abs(value) / 10, 0.0), 6) + 0.0 AS wait, abs(value) / 10 - 0.2::DOUBLE > 2.0::DOUBLE AS late FROM events",
+    "frame_rates": f"WITH {_S}, m AS (SELECT doc_id, part, round((f * 160 + f * 160 + 25600) / 2.0 / 16000, 6) AS t FROM r) SELECT doc_id, round(1.0::DOUBLE / (b.t - a.t), 6) + 0.0 AS rate FROM m a JOIN m b USING (doc_id) WHERE a.part = 0 AND b.part = 1",
+    "nmin_of_spectrum": f"WITH {_E}, f AS (SELECT unnest(v) AS x, unnest(generate_series(0, len(v) - 1)) AS pos FROM e), l AS (SELECT pos, round(avg(x * x), 9) AS l FROM f GROUP BY pos), o AS (SELECT row_number() OVER (ORDER BY l, pos) - 1 AS ord, l FROM l), g AS (SELECT ord, lead(l) OVER (ORDER BY ord) - l AS gap FROM o QUALIFY gap IS NOT NULL AND ord < 14) SELECT CAST(a.ord + 1 AS INTEGER) AS nmin, CAST(b.ord + 1 AS INTEGER) AS k FROM g a JOIN g b ON b.ord >= a.ord QUALIFY row_number() OVER (PARTITION BY a.ord ORDER BY b.gap DESC, b.ord) = 1",
+    "assignment_frame": f"WITH {_E} SELECT 'u' || id || '.wav' AS filename, clust, round(v[1], 6) + 0.0 AS x, round(v[2], 6) + 0.0 AS y FROM e",
+    "matrix_tokens": "SELECT '</PAD>' AS token, 1 AS clust UNION ALL SELECT DISTINCT p_brand, 1 FROM part",
     "cluster_centers_2d": f"WITH {_A} SELECT clust, round(avg(x), 6) + 0.0 AS x, round(avg(y), 6) + 0.0 AS y FROM a GROUP BY clust",
     "embedding_heat_map": f"WITH {_E}, f AS (SELECT id, unnest(v) AS x, unnest(generate_series(0, len(v) - 1)) AS pos, CAST(floor(sqrt(len(v))) AS BIGINT) AS h, len(v) AS n FROM e) SELECT id AS vec_id, CAST(pos // (n // h) AS INTEGER) AS \"row\", CAST(pos % (n // h) AS INTEGER) AS col, round(x, 6) + 0.0 AS x FROM f",
     # one merge at this threshold and scale (labels 2 and 5), unrolled: a second is tested for and would join too

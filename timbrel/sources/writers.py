@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import shutil
+import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
-from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from timbrel.sources.readers import basename
@@ -32,15 +32,15 @@ def rewrite_csv(df: DataFrame, path: str) -> None:
     spark = df.sparkSession
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     target, fresh, old = (jvm.org.apache.hadoop.fs.Path(path + s) for s in ("", ".new", ".old"))
-    fs = target.getFileSystem(conf)
+    store = target.getFileSystem(conf)
     df.coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(path + ".new")
-    fs.delete(old, True)
-    if fs.exists(target) and not fs.rename(target, old):
+    store.delete(old, True)
+    if store.exists(target) and not store.rename(target, old):
         raise OSError(f"cannot move {path} aside")
-    if not fs.rename(fresh, target):
-        fs.rename(old, target)
+    if not store.rename(fresh, target):
+        store.rename(old, target)
         raise OSError(f"cannot put the new {path} in place")
-    fs.delete(old, True)
+    store.delete(old, True)
 
 
 def route_plan(assigned: DataFrame, out: str) -> DataFrame:
@@ -58,24 +58,38 @@ def kick_plan(assigned: DataFrame, clust: int, folder: str) -> DataFrame:
     return plan.join(many, "dst").select("src", "dst", "collides")
 
 
+def _reached(path: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+
+
+def _carry(src: str, dst: str, move: bool) -> None:
+    """Copied beside its place and then renamed, so a task that is lost leaves no half file; a file already moved is done."""
+    (source, a), (target, b) = _reached(src), _reached(dst)
+    there = source.get_file_info(a).type != fs.FileType.NotFound
+    if move and not there and target.get_file_info(b).type != fs.FileType.NotFound:
+        return
+    if not there:
+        raise FileNotFoundError(src)
+    target.create_dir(b.rpartition("/")[0], recursive=True)
+    part = f"{b}.{uuid.uuid4().hex}.part"
+    fs.copy_files(a, part, source_filesystem=source, destination_filesystem=target, use_threads=False)
+    target.move(part, b)
+    if move:
+        source.delete_file(a)
+
+
 def execute(plan: DataFrame, move: bool = False, dry_run: bool = True) -> DataFrame:
-    """(src, dst, done): carry the plan out on the machines' shared file system; a dry run does nothing.
+    """(src, dst, done): carry the plan out on local folders that machines share, or stores named by an address; a dry run does nothing.
 
     A file already moved counts as done, so a task that is run again does no harm.
     """
+    if dry_run:
+        return plan.select("src", "dst", F.lit(False).alias("done"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for src, dst in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                _carry(src, dst, move)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([True] * batch.num_rows)], names=["src", "dst", "done"])
 
-    def run(rows: Iterator) -> Iterator[Row]:
-        for r in rows:
-            src, dst = (p.removeprefix("file:") if not p.startswith("file://") else p.removeprefix("file://") for p in (r["src"], r["dst"]))
-            done = False
-            if not dry_run:
-                os.makedirs(os.path.dirname(dst), exist_ok=True)
-                if move and not os.path.exists(src) and os.path.exists(dst):
-                    done = True
-                else:
-                    (shutil.move if move else shutil.copy2)(src, dst)
-                    done = True
-            yield Row(src=r["src"], dst=r["dst"], done=done)
-
-    spark = plan.sparkSession
-    return spark.createDataFrame(plan.select("src", "dst").rdd.mapPartitions(run), "src string, dst string, done boolean")
+    return plan.select("src", "dst").mapInArrow(run, "src string, dst string, done boolean")

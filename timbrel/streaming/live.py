@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from timbrel.operators.series import confidence
+from timbrel.operators.series import LATE, confidence, delay
 
 
 def live_diarization(frames: DataFrame) -> DataFrame:
@@ -19,6 +19,12 @@ def live_diarization(frames: DataFrame) -> DataFrame:
     return frames.select("frame", F.element_at(names, 1).alias("name"), best.alias("sim"), confidence(best).alias("status"))
 
 
+def paced(frames: DataFrame, started, due: str = "due", tolerance: float = LATE) -> DataFrame:
+    """A stream of frames with wait and late, by the clock of the micro-batch: ``started`` is when the audio began, ``due`` a frame's seconds after."""
+    elapsed = F.current_timestamp().cast("double") - F.lit(started).cast("timestamp").cast("double")
+    return frames.withColumn("pace", delay(elapsed, F.col(due), tolerance)).select("*", "pace.wait", "pace.late").drop("pace")
+
+
 def speaking_time(frames: DataFrame, window: str = "10 seconds", late: str = "30 seconds") -> DataFrame:
     """(window, name, n) of a stream (ts, frame, sims): confident frames per speaker and time window, late ones within ``late``."""
     told = frames.withWatermark("ts", late)
