@@ -184,6 +184,26 @@ def test_repeat_kernel():
         assert [list(map(bool, x)) for x in repeats.repeated_starts(texts, group, length)] == want
 
 
+def test_run_length_transform():
+    """The runs spell the transform, it turns back into the texts, and what is kept grows with the runs."""
+    rng = random.Random(9)
+    unit = "".join(rng.choice("abcd") for _ in range(50))
+    texts = [(unit * 3 + rng.choice("xyz") + unit).encode() for _ in range(40)]
+    index = repeats.RunLengthIndex(texts, np.zeros(len(texts), int), 20)
+    whole = b"\0".join(texts) + b"\0"
+    ends = {i for i, b in enumerate(whole) if b == 0}
+    spelled = index.transform()
+    assert len(spelled) == len(whole) and len(index.run_start) < len(whole) / 8
+    assert all(len(x) == len(index.run_start) for x in (*index.above, *index.below, index.run_char))
+    suffix = sorted(range(len(whole)), key=lambda i: (whole[i : next(e for e in range(i, len(whole)) if e in ends)], i))
+    assert [int(c) for c in spelled] == [0 if i == 0 or i - 1 in ends else whole[i - 1] + 1 for i in suffix]
+    # back to a text: from its empty suffix, step by step to the suffix one character longer
+    rank = {i: r for r, i in enumerate(suffix)}
+    for t, begin in zip(texts, index.first, strict=False):
+        back = [int(spelled[rank[int(begin) + len(t) - k]]) - 1 for k in range(len(t))]
+        assert bytes(reversed(back)) == t and spelled[rank[int(begin)]] == 0
+
+
 @pytest.mark.parametrize("group", [3, 4096])
 def test_repeats(spark, group):
     rng = random.Random(6)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from timbrel.llm import textkit as tk
-from timbrel.llm.rows import append, quoted
+from timbrel.llm.rows import append, give_back, quoted
 from timbrel.llm.store import forget, settle
 
 LENGTH = 400
@@ -98,7 +98,11 @@ def suffix_order(text: np.ndarray, group: np.ndarray, end: np.ndarray) -> np.nda
 
 
 class RunLengthIndex:
-    """Run-compressed transform of grouped texts, with match lengths at the ends of its runs."""
+    """Run-compressed transform of grouped texts, with places and match lengths sampled at the ends of its runs.
+
+    What is kept grows with the number of runs, not with the texts: for each run its start, its
+    character (0 before a text's first), and two samples.
+    """
 
     def __init__(self, texts: list[bytes], group: np.ndarray, least: int):
         lengths = np.array([len(t) for t in texts])
@@ -106,7 +110,7 @@ class RunLengthIndex:
         raw = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
         owner = np.repeat(np.arange(len(texts)), lengths + 1)
         end = self.first[:-1][owner] + lengths[owner]
-        n = len(raw)
+        self.n = n = len(raw)
         order = suffix_order(raw, group[owner], end)
         before = np.where(order > self.first[:-1][owner[order]], raw[order - 1].astype(np.int16) + 1, 0)
         split = np.ones(n, bool)  # a run ends where the character before changes; text starts are runs of their own
@@ -114,16 +118,22 @@ class RunLengthIndex:
         self.run_start = np.flatnonzero(split)
         self.run_char = before[self.run_start]
         # samples: at a run's first suffix the match with the suffix above, at its last that with the one below
-        heads = self.run_start[1:]
-        upper, lower = order[heads - 1], order[heads]
+        heads, tails = order[self.run_start], order[np.append(self.run_start[1:], n) - 1]
+        upper, lower = tails[:-1], heads[1:]
         both = group[owner[upper]] == group[owner[lower]]
-        upper, lower = upper[both], lower[both]
-        size = self._match(raw, end, upper, lower, least)
-        self.above, self.below = np.full(n, -1), np.full(n, -1)
-        self.above[order[self.run_start]] = 0
-        self.below[order[np.append(self.run_start[1:], n) - 1]] = 0
-        self.above[lower], self.below[upper] = size, size
-        self.n = n
+        size = np.zeros(len(upper), np.int64)
+        size[both] = self._match(raw, end, upper[both], lower[both], least)
+        self.above = self._by_place(heads, np.concatenate([[0], size]))
+        self.below = self._by_place(tails, np.concatenate([size, [0]]))
+
+    @staticmethod
+    def _by_place(place: np.ndarray, match: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.argsort(place, kind="stable")
+        return place[order], match[order]
+
+    def transform(self) -> np.ndarray:
+        """The whole transform, spelled out from its runs."""
+        return np.repeat(self.run_char, np.diff(np.append(self.run_start, self.n)))
 
     @staticmethod
     def _match(raw: np.ndarray, end: np.ndarray, a: np.ndarray, b: np.ndarray, least: int) -> np.ndarray:
@@ -143,22 +153,21 @@ class RunLengthIndex:
                 out[part] = np.where(found >= least, found, 0)
         return out
 
-    def matching_statistics(self) -> np.ndarray:
-        """Longest match of each place elsewhere in its group (at least where it reaches the least length), streamed from the samples."""
-        place = np.arange(self.n)
-        out = np.zeros(self.n, np.int64)
-        for sample in (self.above, self.below):
-            last = np.maximum.accumulate(np.where(sample >= 0, place, -1))
-            value = np.where(last >= 0, sample[last] - (place - last), 0)
-            out = np.maximum(out, value)
+    def matching_statistics(self, begin: int, end: int) -> np.ndarray:
+        """Longest match of each place from begin to end elsewhere in its group (at least where it reaches the least length), streamed from the samples."""
+        place = np.arange(begin, end)
+        out = np.zeros(end - begin, np.int64)
+        for at, match in (self.above, self.below):
+            # a place inside a run matches one less than the place before it; the first place of a text is a sample
+            last = np.searchsorted(at, place, "right") - 1
+            out = np.maximum(out, match[last] - (place - at[last]))
         return out
 
 
 def repeated_starts(texts: list[bytes], group: np.ndarray, length: int) -> list[np.ndarray]:
     """For each text, whether the ``length`` bytes from each place occur elsewhere in its group."""
     index = RunLengthIndex(texts, group, length)
-    repeated = index.matching_statistics() >= length
-    return [repeated[a : a + max(0, len(t) - length + 1)] for a, t in zip(index.first, texts, strict=False)]
+    return [index.matching_statistics(a, a + max(0, len(t) - length + 1)) >= length for a, t in zip(index.first, texts, strict=False)]
 
 
 ANCHORS = T.StructType([T.StructField(n, T.ArrayType(T.LongType())) for n in ("h", "c", "p", "lo", "hi")])
@@ -277,6 +286,8 @@ def _index_kernel(length: int, anchor: int, cell: int):
             last = (int(h[-1]), int(tile[-1]))
         if held:
             yield from solve(held)
+        held = []
+        give_back()
 
     return run
 
@@ -309,22 +320,22 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Each byte goes that lies in a string of ``length`` UTF-8 bytes which also starts elsewhere, in
     any row or the same one.  Null texts are empty; texts under ``length`` stay whole; repeated
-    rows and other copies of ``length`` bytes or more go whole; extra columns are ignored; an
-    empty table gives an empty one.  Texts cross the network twice by id, never by content, so
+    rows and other copies of ``length`` bytes or more go whole, for all their contexts recur; extra
+    columns are ignored; an empty table gives an empty one.  Texts cross the network twice by id, never by content, so
     copies do not meet in one task.
     """
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = docs.select(quoted(doc_id).alias("doc_id"), F.coalesce(quoted(text), F.lit("")).alias("text")).withColumn("x", F.xxhash64("text"))
     long_ones = source.where(F.octet_length("text") >= length)
-    digest = F.unhex(F.md5("text"))
-    copies = settle(long_ones.groupBy(digest.alias("digest")).agg(F.count("*").alias("n")).where("n > 1").select("digest"))
 
     listed = append(long_ones, lambda: _anchor_kernel(length, anchor), ANCHORS, ("text",), ["doc_id", "x"])
     found = settle(listed.select("doc_id", "x", F.explode(F.arrays_zip("h", "c", "p", "lo", "hi")).alias("a")).select("doc_id", "x", "a.*"))
-    context = found.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "x", "p", "lo", "hi")).alias("first"))
-    anchor_size = context.groupBy("h").agg(F.count("*").alias("n_contexts"), F.sum("n").alias("n_all")).where("n_all > 1")
-    context = settle(context.join(anchor_size, "h").select("h", "c", "n", "first", "n_contexts"))
+    every = settle(found.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "x", "p", "lo", "hi")).alias("first")))
+    # written down, so that a common anchor's contexts are a skewed join between two exchanges, which Spark splits
+    anchor_size = settle(every.groupBy("h").agg(F.count("*").alias("n_contexts"), F.sum("n").alias("n_all")).where("n_all > 1").drop("n_all"))
+    context = settle(every.join(anchor_size.hint("merge"), "h").select("h", "c", "n", "first", "n_contexts"))
+    forget(every)
     again = context.where(F.col("n") > 1).select("h", "c")
     whole = settle(found.join(again, ["h", "c"]).select("doc_id", "x", F.col("lo").alias("start"), F.col("hi").alias("end")))
     forget(found)
@@ -340,8 +351,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     contexts = once.mapInArrow(_extract, T.StructType([T.StructField("h", T.LongType()), T.StructField("tile", T.LongType()), T.StructField("open", T.BooleanType()), T.StructField("doc_id", kind), T.StructField("x", T.LongType()), T.StructField("p", T.LongType()), T.StructField("lo", T.LongType()), T.StructField("context", T.BinaryType())]))
     solved_schema = T.StructType([T.StructField("doc_id", kind), T.StructField("x", T.LongType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("core", T.LongType()), T.StructField("strings", T.ArrayType(T.StructType([T.StructField("at", T.LongType()), T.StructField("hash", T.LongType())])))])
     solved = settle(contexts.repartition(partitions, "h", "tile").sortWithinPartitions("h", "tile").mapInArrow(_index_kernel(length, anchor, cell), solved_schema))
-    copied = long_ones.select("doc_id", "x", digest.alias("digest"), F.octet_length("text").cast("long").alias("end")).join(copies, "digest").select("doc_id", "x", F.lit(0).cast("long").alias("start"), "end")
-    spans = solved.where("end is not null").select("doc_id", "x", "start", "end").unionByName(whole).unionByName(copied)
+    spans = solved.where("end is not null").select("doc_id", "x", "start", "end").unionByName(whole)
     open_ = solved.where("core is not null").select("doc_id", "x", "core", "strings")
     if open_.limit(1).count():  # anchors of several indexes: single strings decide, where what they share recurs
         cores = open_.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
