@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 from timbrel.llm import textkit as tk
 from timbrel.llm.components import components
 from timbrel.llm.rows import append, give_back, quoted
-from timbrel.llm.store import forget, settle
+from timbrel.sources.tables import forget, settle
 
 THRESHOLD = 0.8
 SHINGLE = 5

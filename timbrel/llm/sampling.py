@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from timbrel.llm.store import forget, settle
+from timbrel.sources.tables import forget, settle
 
 #: Text bytes of a label's sample, at most; distinct labels, at most.
 MAX_BYTES = 8 << 20
