@@ -95,11 +95,11 @@ def added_spans(t, base):
     for kind in secrets.CLASSES:
         for m in re.finditer(kind.candidates, t):
             w = m[0]
-            if not (re.search("[0-9]", w) and re.search("[A-Za-z]", w)) or re.search(secrets.ALLOW, w) or any(a <= m.start() and b >= m.end() for a, _, b in base):
+            rest = re.sub(secrets.ALLOW, "", w)
+            if not re.search(secrets.MIXED, rest) or any(a <= m.start() and b >= m.end() for a, _, b in base):
                 continue
-            hot = [i for i in range(len(w) - kind.width + 1) if entropy(w[i : i + kind.width]) >= kind.bits - 1e-9]
-            if hot:
-                out.add((m.start() + hot[0], 3, m.start() + hot[-1] + kind.width))
+            if any(entropy(rest[i : i + kind.width]) >= kind.bits - 1e-9 for i in range(len(rest) - kind.width + 1)):
+                out.add((m.start(), 3, m.end()))
     return out
 
 

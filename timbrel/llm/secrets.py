@@ -2,9 +2,9 @@
 
 Base spans come from three patterns.  The method adds spans of kind ``entropy``: over candidate
 strings of each character class a window slides one character at a time, the Shannon entropy of
-its character counts kept up to date by the counts that enter and leave; the span from the first
-to the last window at or above the class's threshold is a secret unless the allow-list knows the
-candidate or a base span covers it.
+its character counts kept up to date by the counts that enter and leave; a candidate with a window
+at or above the class's threshold is a secret unless a base span covers it.  What the allow-list
+knows is taken out of a candidate first, so it hides no secret beside it.
 """
 
 from __future__ import annotations
@@ -39,13 +39,8 @@ class CharacterClass:
     bits: float
 
 
+#: Any string as random as 99.5 % of those drawn evenly from its class at the window's width (simulated) is a secret's.
 CLASSES = (
-    CharacterClass("hex", r"[0-9A-Fa-f]{24,}", 24, 3.2),
-    CharacterClass("base64", r"[A-Za-z0-9+/_=-]{24,}", 24, 4.1),
-)
-
-#: What redact() looks for: any string as random as 99.5 % of those drawn evenly from its class at the window's width (simulated).
-WIDE = (
     CharacterClass("hex", r"[0-9A-Fa-f]{16,}", 16, 2.6),
     CharacterClass("one case", r"[0-9a-z]{16,}|[0-9A-Z]{16,}", 16, 3.05),
     CharacterClass("base62", r"[A-Za-z0-9]{16,}", 16, 3.3),
@@ -126,8 +121,8 @@ def _term(n: Column) -> Column:
     return F.when(n > 0, n.cast("double") * F.log2(F.greatest(n, F.lit(1)).cast("double"))).otherwise(F.lit(0.0))
 
 
-def hot_stretch(candidate: Column, width: int, bits: float) -> Column:
-    """(first, last) window start with an entropy of at least ``bits``, -1 if none.
+def is_hot(candidate: Column, width: int, bits: float) -> Column:
+    """Whether some window of ``width`` characters has an entropy of at least ``bits``.
 
     One pass: ``total`` is the sum of n log2 n over the counts n of the window's characters; each
     step changes it by the terms of the character that enters and the one that leaves.
@@ -135,7 +130,7 @@ def hot_stretch(candidate: Column, width: int, bits: float) -> Column:
     """
     chars = F.transform(F.split(candidate, ""), lambda c: F.ascii(c) - 42)  # '+' (43) is slot 1, 'z' (122) slot 80
     chars = F.filter(chars, lambda c: c > 0)
-    zero = F.struct(F.array_repeat(F.lit(0), 80).alias("counts"), F.lit(0.0).alias("total"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
+    zero = F.struct(F.array_repeat(F.lit(0), 80).alias("counts"), F.lit(0.0).alias("total"), F.lit(False).alias("hot"))
 
     def step(s: Column, x: Column) -> Column:
         enters, leaves, at = x["enters"], x["leaves"], x["at"]
@@ -146,31 +141,24 @@ def hot_stretch(candidate: Column, width: int, bits: float) -> Column:
         total = s["total"] + gain
         counts = F.when(same, s["counts"]).otherwise(F.transform(s["counts"], lambda v, i: v + (i + 1 == enters).cast("int") - (i + 1 == leaves).cast("int")))
         hot = (at >= width) & (F.lit(math.log2(width)) - total / width >= bits - 1e-9)
-        begin = at - width
-        return F.struct(counts.alias("counts"), total.alias("total"), F.when(hot & (s["first"] < 0), begin).otherwise(s["first"]).alias("first"), F.when(hot, begin).otherwise(s["last"]).alias("last"))
+        # once hot, nothing is counted any more
+        return F.struct(F.when(s["hot"], s["counts"]).otherwise(counts).alias("counts"), F.when(s["hot"], s["total"]).otherwise(total).alias("total"), (s["hot"] | hot).alias("hot"))
 
     moves = F.transform(chars, lambda c, i: F.struct(c.alias("enters"), (i + 1).alias("at")))
     late = F.concat(F.array_repeat(F.lit(0), width), chars)
     moves = F.zip_with(moves, F.slice(late, 1, F.size(chars)), lambda m, o: F.struct(m["enters"].alias("enters"), m["at"].alias("at"), o.alias("leaves")))
-    return F.aggregate(moves, zero, step, lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")))
+    return F.aggregate(moves, zero, step, lambda s: s["hot"])
 
 
 def entropy_spans(text: Column, spans: Column, kind: CharacterClass, allow: str) -> Column:
-    """Hot stretches of the class's candidates in the text, as far as no base span covers them."""
-    suspect = F.filter(located(text, kind.candidates, 1, 3), lambda c: c["word"].rlike("[0-9]") & c["word"].rlike("[A-Za-z]") & ~c["word"].rlike(allow))
-
-    def look(c: Column) -> Column:
-        mark = lambda hot: F.struct((c["start"] + hot["first"]).alias("start"), (c["start"] + hot["last"] + kind.width).alias("end"), F.when(hot["first"] >= 0, F.lit(3)).alias("kind"))
-        return once(hot_stretch(c["word"], kind.width, kind.bits), mark)
+    """Candidates of the class with a window as random as a secret, as far as no base span covers them.
 
-    return F.when(text.rlike(kind.candidates), F.filter(F.transform(uncovered(suspect, spans), look), lambda s: s["kind"].isNotNull())).otherwise(F.array().cast(_SPAN))
-
-
-def whole_spans(text: Column, spans: Column, kind: CharacterClass, allow: str) -> Column:
-    """As ``entropy_spans``, but a hit marks its whole candidate, and what is allowed is taken out of a candidate before it is judged."""
+    What is allowed is taken out of a candidate before the rest of it is judged; a hit marks the
+    whole candidate.
+    """
 
     def hit(c: Column) -> Column:
-        hot = lambda rest: F.coalesce(F.when(rest.rlike(MIXED), hot_stretch(rest, kind.width, kind.bits)["first"] >= 0), F.lit(False))
+        hot = lambda rest: F.coalesce(F.when(rest.rlike(MIXED), is_hot(rest, kind.width, kind.bits)), F.lit(False))
         return once(F.regexp_replace(c["word"], allow, ""), hot)
 
     return F.when(text.rlike(kind.candidates), bare(F.filter(uncovered(located(text, kind.candidates, 1, 3), spans), hit))).otherwise(F.array().cast(_SPAN))
@@ -181,11 +169,11 @@ def bare(spans: Column) -> Column:
     return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))
 
 
-def scan(docs: DataFrame, text: str = "text", classes: tuple[CharacterClass, ...] = CLASSES, allow: str = ALLOW, whole: bool = False) -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", classes: tuple[CharacterClass, ...] = CLASSES, allow: str = ALLOW) -> DataFrame:
     """``docs`` with base_spans and secret_spans: arrays of (start, end, kind), in code points, end exclusive, by start, then kind.
 
-    kind numbers KINDS.  secret_spans holds the base spans and those the entropy windows add, with
-    ``whole`` the whole candidates in which they found something.
+    kind numbers KINDS.  secret_spans holds the base spans and the whole candidates in which the
+    entropy windows found something.
     Null texts are empty; repeated rows are scanned alike; an empty table stays empty; input
     columns of the results' names are replaced.  One pass of expressions, no shuffle.
     """
@@ -196,7 +184,7 @@ def scan(docs: DataFrame, text: str = "text", classes: tuple[CharacterClass, ...
     value = F.coalesce(quoted(text), F.lit(""))
     base = F.concat(bare(located(value, ASSIGN, 8, 0, 2)), bare(located(value, ACCESS, 16, 1)), bare(located(value, HEX, 32, 2)))
     docs = docs.drop("base_spans", "secret_spans").withColumn("base_spans", order(base))
-    added = [(whole_spans if whole else entropy_spans)(value, F.col("base_spans"), c, allow) for c in classes]
+    added = [entropy_spans(value, F.col("base_spans"), c, allow) for c in classes]
     return docs.withColumn("secret_spans", order(F.concat("base_spans", *added)))
 
 
@@ -207,9 +195,9 @@ def spelled(spans: str) -> Column:
 
 
 def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with ``mark`` in place of each secret, those of the WIDE classes whole; overlapping secrets get one mark.  All other columns stay as they are."""
+    """``docs`` with ``mark`` in place of each secret; overlapping secrets get one mark.  All other columns stay as they are."""
     aside = {c: f"__own_{c}" for c in docs.columns if c in ("base_spans", "secret_spans")}
-    scanned = scan(docs.withColumnsRenamed(aside), text, WIDE, whole=True)
+    scanned = scan(docs.withColumnsRenamed(aside), text)
     value = F.coalesce(quoted(text), F.lit(""))
     cut = lambda at, by: F.struct(at.cast("long").alias("at"), F.lit(by).cast("long").alias("by"))
 
@@ -261,15 +249,18 @@ def _sql() -> str:
     long_enough = f"length(regexp_extract(m, '{ASSIGN.replace(chr(39), chr(39) * 2)}', 2)) >= 8"
     parts = [_sql_spans("k0", 0, ASSIGN, long_enough), _sql_spans("k1", 1, ACCESS, "length(m) >= 16"), _sql_spans("k2", 2, HEX, "length(m) >= 32"), "base AS (SELECT doc_id, kind, s, e FROM k0 UNION ALL SELECT doc_id, kind, s, e FROM k1 UNION ALL SELECT doc_id, kind, s, e FROM k2)"]
     for i, c in enumerate(CLASSES):
-        parts.append(_sql_spans(f"c{i}", 3, c.candidates, f"regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]') AND NOT regexp_matches(m, '{ALLOW}')"))
-        parts.append(f"""h{i} AS (
-  SELECT doc_id, s, w, log2({c.width}) - sum(n * log2(n)) / {c.width} AS bits FROM (
-    SELECT doc_id, s, w, ch, count(*) AS n FROM (
-      SELECT doc_id, s, w, unnest(string_split(substr(m, w + 1, {c.width}), '')) AS ch FROM (
-        SELECT doc_id, s, m, unnest(generate_series(0, length(m) - {c.width})) AS w FROM c{i}
-        WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = c{i}.doc_id AND b.s <= c{i}.s AND b.e >= c{i}.e)))
-    GROUP BY ALL) GROUP BY doc_id, s, w)""")
-        parts.append(f"s{i} AS (SELECT doc_id, 3 AS kind, s + min(w) AS s, s + max(w) + {c.width} AS e FROM (SELECT doc_id, s, w FROM h{i} WHERE bits >= {c.bits} - 1e-9) GROUP BY doc_id, s)")
+        parts.append(_sql_spans(f"c{i}", 3, c.candidates, "true"))
+        parts.append(f"""r{i} AS (
+  SELECT doc_id, s, e, regexp_replace(m, '{ALLOW}', '', 'g') AS rest FROM c{i}
+  WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = c{i}.doc_id AND b.s <= c{i}.s AND b.e >= c{i}.e))""")
+        parts.append(f"""s{i} AS (
+  SELECT DISTINCT doc_id, 3 AS kind, s, e FROM (
+    SELECT doc_id, s, e, w, log2({c.width}) - sum(n * log2(n)) / {c.width} AS bits FROM (
+      SELECT doc_id, s, e, w, ch, count(*) AS n FROM (
+        SELECT doc_id, s, e, w, unnest(string_split(substr(rest, w + 1, {c.width}), '')) AS ch FROM (
+          SELECT doc_id, s, e, rest, unnest(generate_series(0, length(rest) - {c.width})) AS w FROM r{i} WHERE regexp_matches(rest, '{MIXED}')))
+      GROUP BY ALL) GROUP BY doc_id, s, e, w)
+  WHERE bits >= {c.bits} - 1e-9)""")
     named = "['assign', 'access', 'hex', 'entropy'][kind + 1] || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT)"
     every = " UNION ALL ".join(["SELECT doc_id, kind, s, e FROM base", *(f"SELECT doc_id, kind, s, e FROM s{i}" for i in range(len(CLASSES)))])
     return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), {", ".join(parts)},
