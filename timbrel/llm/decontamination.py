@@ -5,14 +5,14 @@ k-grams inside (leftmost on ties), so two texts that share ``span`` words keep a
 fingerprint.  Training fingerprints are joined to those of the benchmark; each hit is extended
 to all windows of ``span`` words around it, which are compared word by word.
 
-The benchmark side is held in memory only up to ``block_bytes`` of text: its size is measured,
-and a larger benchmark is dealt by hash of its id into as many blocks as needed, applied one
-after the other, so results are the same for any size.
+The benchmark's size is measured.  Up to ``block_bytes`` of text its index is broadcast, and the
+join is a look-up where the documents lie.  A larger one is joined by shuffles: fingerprints to
+fingerprints, then the windows around the hits to the benchmark's windows, with the same results.
+A benchmark of any size costs the same passes over the documents.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -23,11 +23,14 @@ from pyspark.sql import types as T
 
 from timbrel.llm import textkit as tk
 from timbrel.llm.rows import append, quoted
-from timbrel.sources.tables import settle
+from timbrel.sources.tables import forget, settle
 
 SPAN = 13
 GRAM = 5
+#: Bytes of a benchmark's text that one index in memory takes, at most.
 BLOCK_BYTES = 16 << 20
+#: Bits of a fingerprint that the filter of documents' fingerprints looks at: 2 MB for any benchmark.
+FILTER_BITS = 24
 
 FIELDS = T.StructType(
     [
@@ -137,38 +140,173 @@ class Index:
         return out
 
 
+def _told(n_words: np.ndarray, hits: dict[int, list[tuple[int, int]]], items: dict[int, set[str]]) -> list:
+    """Result columns of rows, from the (first word, length) of the windows in each and their items."""
+    n = len(n_words)
+    n_hit, spans = np.zeros(n, np.int64), [[]] * n
+    for r, found in hits.items():
+        cover = np.zeros(int(n_words[r]) + 1, np.int32)
+        begin, length = np.array(found).T
+        np.add.at(cover, begin, 1)
+        np.add.at(cover, begin + length, -1)
+        inside = np.cumsum(cover[:-1]) > 0
+        edge = np.flatnonzero(np.diff(np.concatenate([[0], inside.astype(np.int8), [0]])))
+        spans[r] = [{"start": x, "end": y} for x, y in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
+        n_hit[r] = int(inside.sum())
+    return [n_words, n_hit, pa.array(spans, FIELDS_ARROW[2]), pa.array([sorted(items.get(r, ())) for r in range(n)], FIELDS_ARROW[3])]
+
+
 def _kernel(index: Index):
-    def run(texts, old_spans=None, old_items=None) -> list:
-        n = len(texts)
-        n_words, n_hit = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        spans: list[list] = [[]] * n
-        items: list[list[str]] = [[]] * n
-        if old_spans is not None:
-            spans, items = [[(x["start"], x["end"]) for x in r] for r in old_spans.to_pylist()], old_items.to_pylist()
+    """Whole results, by an index of the whole benchmark."""
+
+    def run(texts) -> list:
+        n_words = np.zeros(len(texts), np.int64)
+        hits: dict[int, list[tuple[int, int]]] = {}
+        items: dict[int, set[str]] = {}
         for first, last, data, at in tk.chunks(texts):
             start, end, hashes, row = tk.words(data, at, tk.ALNUM_TABLE)
             n_words[first:last] = np.bincount(row, minlength=last - first)
-            found = index.matches(data, start, end, hashes, row)
-            cover = np.zeros(len(hashes) + 1, np.int32)
             base = np.searchsorted(row, np.arange(last - first + 1))
-            owners: dict[int, set[int]] = {}
-            touched = {first + int(row[s]) for s, _, _ in found}
-            for s, length, which in found:
-                cover[s] += 1
-                cover[s + length] -= 1
+            for s, length, which in index.matches(data, start, end, hashes, row):
+                r = first + int(row[s])
                 _, bounds, own, _ = index.windows[length]
-                owners.setdefault(first + int(row[s]), set()).update(own[bounds[which] : bounds[which + 1]].tolist())
-            covered = np.cumsum(cover[:-1]) > 0
-            for r in sorted(touched | {i for i in range(first, last) if spans[i]}):
-                a, b = base[r - first], base[r - first + 1]
-                inside = covered[a:b].copy()
-                for x, y in spans[r]:
-                    inside[x:y] = True
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], inside.astype(np.int8), [0]])))
-                spans[r] = list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
-                items[r] = sorted({*items[r], *(index.items[o] for o in owners.get(r, ()))})
-                n_hit[r] = int(inside.sum())
-        return [n_words, n_hit, pa.array([[{"start": x, "end": y} for x, y in r] for r in spans], FIELDS_ARROW[2]), pa.array(items, pa.list_(pa.string()))]
+                hits.setdefault(r, []).append((s - int(base[r - first]), length))
+                items.setdefault(r, set()).update(index.items[o] for o in own[bounds[which] : bounds[which + 1]].tolist())
+        return _told(n_words, hits, items)
+
+    return run
+
+
+def _print_kernel(span: int, gram: int, lengths: list[int], slots: np.ndarray | None):
+    """Distinct fingerprints of each text: winnowed ones of ``span`` words, and all grams of the shorter ``lengths``; with ``slots`` only those the filter lets pass."""
+
+    def run(texts) -> list:
+        n_words, out = [], []
+        for first, last, data, at in tk.chunks(texts):
+            _, _, hashes, row = tk.words(data, at, tk.ALNUM_TABLE)
+            n_words.append(np.bincount(row, minlength=last - first))
+            values, place = fingerprints(hashes, row, span, gram)
+            rows, prints = [row[place]], [values]
+            for n in lengths:
+                value = tk.grams(hashes, n)
+                ok = row[: len(value)] == row[n - 1 :]
+                rows.append(row[: len(value)][ok])
+                prints.append(tk.mix(value[ok] + np.uint64(n)))
+            rows, prints = np.concatenate(rows), np.concatenate(prints)
+            if slots is not None:
+                slot = prints >> np.uint64(64 - FILTER_BITS)
+                passed = (slots[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                rows, prints = rows[passed], prints[passed]
+            order = np.lexsort((prints, rows))
+            rows, prints = rows[order], prints[order]
+            fresh = np.ones(len(rows), bool)
+            fresh[1:] = (rows[1:] != rows[:-1]) | (prints[1:] != prints[:-1])
+            cut = np.searchsorted(rows[fresh], np.arange(last - first + 1))
+            out += [prints[fresh][a:b].view(np.int64) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        return [np.concatenate(n_words) if n_words else np.zeros(0, np.int64), pa.array(out, pa.list_(pa.int64()))]
+
+    return run
+
+
+def _window_kernel(span: int, gram: int, lengths: list[int] | None):
+    """Windows of each text (begin, folded words): around the fingerprints given, or of an item whole (``lengths`` None)."""
+    kind = pa.list_(pa.struct([("begin", pa.int64()), ("length", pa.int64()), ("window", pa.string())]))
+
+    def run(texts, prints=None) -> list:
+        out: list[list[dict]] = []
+        wanted = None if prints is None else prints.to_pylist()
+        for first, last, data, at in tk.chunks(texts):
+            start, end, hashes, row = tk.words(data, at, tk.ALNUM_TABLE)
+            folded = tk.ALNUM_TABLE[data].tobytes()
+            cut = np.searchsorted(row, np.arange(last - first + 1))
+            for r in range(last - first):
+                a, b = int(cut[r]), int(cut[r + 1])
+                own, none = hashes[a:b], np.zeros(b - a, np.int64)
+                found: list[tuple[int, int]] = []
+                if lengths is None:
+                    n = min(span, b - a)
+                    found = [(i, n) for i in range(b - a - n + 1)] if n else []
+                elif wanted[first + r]:
+                    known = np.array(wanted[first + r], np.int64).view(np.uint64)
+                    values, place = fingerprints(own, none, span, gram)
+                    near = (place[np.isin(values, known)][:, None] - np.arange(span - gram + 1)).ravel()
+                    found = [(int(i), span) for i in np.unique(near) if 0 <= i <= b - a - span]
+                    for n in lengths:
+                        found += [(int(i), n) for i in np.flatnonzero(np.isin(tk.mix(tk.grams(own, n) + np.uint64(n)), known))]
+                spell = lambda i, n, a=a: b" ".join(folded[x:y] for x, y in zip(start[a + i : a + i + n], end[a + i : a + i + n], strict=True)).decode()
+                out.append([{"begin": i, "length": n, "window": spell(i, n)} for i, n in found])
+        return [pa.array(out, kind)]
+
+    return run
+
+
+def _slots(prints: DataFrame) -> np.ndarray:
+    """A bit for each value of the first FILTER_BITS bits of the prints: a filter of one size for any benchmark."""
+    step = 1 << 16
+    slot = F.shiftrightunsigned("print", 64 - FILTER_BITS)
+    parts = prints.select(F.floor(slot / step).cast("int").alias("part"), (slot % step).cast("int").alias("bit")).distinct()
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        bits = np.zeros(step, np.uint8)
+        bits[rows.column("bit").to_numpy()] = 1
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+    out = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    for r in parts.groupBy("part").applyInArrow(run, "part int, bits binary").collect():  # a 2 MB filter at most, in all
+        out[r["part"] * step // 8 : (r["part"] + 1) * step // 8] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def _by_shuffle(docs: DataFrame, items: DataFrame, text: str, span: int, gram: int, carried: list[str]) -> DataFrame:
+    """Results for a benchmark too large to broadcast.  Texts are known by their digest; equal ones are looked up once."""
+    spark = docs.sparkSession
+    sized = append(items, lambda: _print_kernel(span, gram, [], None), T.StructType([T.StructField("n", T.LongType()), T.StructField("prints", T.ArrayType(T.LongType()))]), ("t",))
+    lengths = sorted(r["n"] for r in sized.where(F.col("n").between(1, span - 1)).select("n").distinct().collect())  # 12 numbers at most
+    listed = settle(append(items, lambda: _window_kernel(span, gram, None), T.StructType([T.StructField("windows", T.ArrayType(T.StructType([T.StructField("begin", T.LongType()), T.StructField("length", T.LongType()), T.StructField("window", T.StringType())])))]), ("t",), ["i"]))
+    windows = settle(listed.select("i", F.explode("windows").alias("w")).select("i", "w.length", "w.window").distinct())
+    forget(listed)
+    short = windows.where(F.col("length") < span).select("length", "window").distinct()
+    own = append(short, lambda: _whole_kernel(), T.StructType([T.StructField("print", T.LongType())]), ("window",), [])
+    prints = settle(sized.select(F.explode("prints").alias("print")).unionByName(own).distinct())
+    slots = spark.sparkContext.broadcast(_slots(prints))
+
+    digest = F.unhex(F.md5(F.coalesce(quoted(text), F.lit("")))).alias("digest")
+    source = docs.select(digest, F.coalesce(quoted(text), F.lit("")).alias("t"))
+    told = append(source, lambda: _print_kernel(span, gram, lengths, slots.value), T.StructType([T.StructField("n", T.LongType()), T.StructField("prints", T.ArrayType(T.LongType()))]), ("t",), ["digest"])
+    marked = settle(told.where(F.size("prints") > 0).dropDuplicates(["digest"]).select("digest", F.explode("prints").alias("print")))
+    # a passage of many texts is a skewed join between two exchanges, which Spark splits
+    hits = settle(marked.join(prints.hint("merge"), "print").groupBy("digest").agg(F.collect_list("print").alias("prints")))
+    texts = source.join(hits.hint("merge"), "digest").dropDuplicates(["digest"])
+    kind = T.StructType([T.StructField("windows", T.ArrayType(T.StructType([T.StructField("begin", T.LongType()), T.StructField("length", T.LongType()), T.StructField("window", T.StringType())])))])
+    around = settle(append(texts, lambda: _window_kernel(span, gram, lengths), kind, ("t", "prints"), ["digest"]).select("digest", F.explode("windows").alias("w")).select("digest", "w.*"))
+    met = settle(around.join(windows.hint("merge"), ["length", "window"]).select("digest", "begin", "length", "i").distinct())
+    found = met.groupBy("digest").agg(F.collect_set(F.struct("begin", "length")).alias("found"), F.collect_set("i").alias("owners"))
+    rows = docs.select(*[quoted(c) for c in carried], quoted(text).alias("__text"), digest.alias("__digest"))
+    joined = rows.join(settle(found).withColumnRenamed("digest", "__digest").hint("merge"), "__digest", "left")
+
+    def make():
+        def run(texts, found, owners) -> list:
+            n_words = np.zeros(len(texts), np.int64)
+            for first, last, data, at in tk.chunks(texts):
+                n_words[first:last] = np.bincount(tk.words(data, at, tk.ALNUM_TABLE)[3], minlength=last - first)
+            hits = {r: [(x["begin"], x["length"]) for x in f] for r, f in enumerate(found.to_pylist()) if f}
+            return _told(n_words, hits, {r: set(o) for r, o in enumerate(owners.to_pylist()) if o})
+
+        return run
+
+    return append(joined, make, FIELDS, ("__text", "found", "owners"), carried)
+
+
+def _whole_kernel():
+    """The fingerprint of a window of fewer than ``span`` words: all its words."""
+
+    def run(texts) -> list:
+        out = [np.zeros(0, np.int64)]
+        for first, last, data, at in tk.chunks(texts):
+            _, _, hashes, row = tk.words(data, at, tk.ALNUM_TABLE)
+            cut = np.searchsorted(row, np.arange(last - first + 1))
+            out.append(np.array([tk.mix(tk.grams(hashes[a:b], b - a) + np.uint64(b - a))[0] for a, b in zip(cut[:-1], cut[1:], strict=True)], np.uint64).view(np.int64))
+        return [np.concatenate(out)]
 
     return run
 
@@ -182,26 +320,16 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     A window is ``span`` consecutive words of an item, or all words of an item that has fewer.
     Words inside any occurrence of a window are hit.  Null texts have no words; items with a null
     id or without words are left out; repeated items count once; an empty benchmark hits nothing;
-    input columns named like a result are replaced.  Rows stay where they are: no shuffle.
+    input columns named like a result are replaced.  Rows stay where they are: no shuffle, unless
+    the benchmark has over ``block_bytes`` of text.
     """
     items = benchmark.where(quoted(item_id).isNotNull()).select(quoted(item_id).cast("string").alias("i"), F.coalesce(quoted(item_text), F.lit("")).alias("t"))
     size = items.agg(F.sum(F.octet_length("t") + 64).alias("n")).first()["n"] or 0
-    blocks = max(1, math.ceil(size / block_bytes))
-    fields = T.StructType([T.StructField(f.name, f.dataType) for f in FIELDS])
-    out = docs
-    carried = [c for c in (docs.columns if keep is None else keep) if c not in fields.names]
-    for b in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b)
-        index = docs.sparkSession.sparkContext.broadcast(Index.build(sorted({(r["i"], r["t"]) for r in part.collect()}), span, gram))
-
-        def make(index=index):
-            return _kernel(index.value)
-
-        last = b == blocks - 1
-        out = append(out, make, fields, (text,) if b == 0 else (text, "hit_spans", "item_ids"), carried if last or text in carried else [*carried, text])
-        if not last:
-            out = settle(out)
-    return out
+    carried = [c for c in (docs.columns if keep is None else keep) if c not in FIELDS.names]
+    if size > block_bytes:
+        return _by_shuffle(docs, items, text, span, gram, carried)
+    index = docs.sparkSession.sparkContext.broadcast(Index.build(sorted({(r["i"], r["t"]) for r in items.collect()}), span, gram))
+    return append(docs, lambda: _kernel(index.value), FIELDS, (text,), carried)
 
 
 def is_contaminated():
