@@ -391,9 +391,10 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     by_text = worded.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_copies"))
     by_text = by_text.join(classes.withColumnRenamed("node", "digest"), "digest", "left").join(links, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     named = by_text.groupBy("root").agg(F.min("least").alias("class_id"), F.min(F.struct(F.col("least").isNull().alias("none"), "least", "digest"))["digest"].alias("leader"))
-    of_text = by_text.join(named, "root").select("digest", "class_id", (F.col("digest") == F.col("leader")).alias("leader"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies")
+    # written down, so that many copies of one text are a skewed join between two exchanges, which Spark splits
+    of_text = settle(by_text.join(named, "root").select("digest", "class_id", (F.col("digest") == F.col("leader")).alias("leader"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies"))
     leads = (F.col("leader") & F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("leads")
-    rows = worded.select("doc_id", "digest").join(of_text, "digest").select("doc_id", "class_id", "n_links", "n_copies", "digest", leads)
+    rows = worded.select("doc_id", "digest").join(of_text.hint("merge"), "digest").select("doc_id", "class_id", "n_links", "n_copies", "digest", leads)
     blank = signed.where("n_shingles = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"), "digest", F.lit(True).alias("leads"))
     return rows.unionByName(blank)
 
