@@ -142,6 +142,16 @@ def test_density():
     assert same_partition(list(density.hdbscan(x[order], 5, 5)), list(got[order]))
 
 
+def test_density_by_blocks(spark):
+    """Blocks and one task give the same clusters, copies and noise included."""
+    x, _ = planted(3, each=40, spread=0.3)
+    rng = np.random.default_rng(2)
+    x = np.concatenate([x, rng.normal(size=(20, x.shape[1])) * 6, x[:5]])
+    df = frame(spark, x)
+    one, many = (labels_of(density.density_clusters(df, min_samples=5, limit=limit, block=32)) for limit in (20_000, 10))
+    assert same_partition(one, many) and [c == -1 for c in one] == [c == -1 for c in many] and len(set(one)) >= 4
+
+
 def test_umap_hdbscan(spark):
     x, truth = planted(3, each=40, spread=0.1)
     got = labels_of(clustering.cluster(frame(spark, x), "umap_hdbscan"))

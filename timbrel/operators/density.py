@@ -1,19 +1,29 @@
 """Density clustering: neighbour embedding, then hierarchical density clusters.
 
-Both work on one point set in one task, as the published algorithms do; LIMIT bounds it, and more
-points raise an error instead of a task that grows with the input.
+Up to LIMIT points both work on one point set in one task, as the published algorithms do.  Beyond,
+density clusters come from blocks of points: core distances and, round by round, every component's
+nearest other one are found in parallel, and only the spanning tree, TREE_LIMIT edges at most, is
+cut in one place; the clusters are the same.  The embedding has no such form: more points are an
+error, not a task that grows with the input.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from timbrel.functions import vectors as V
+from timbrel.operators import similarity
+from timbrel.sources.tables import settle
 
 LIMIT = 20_000
+#: Points whose spanning tree is cut on the driver, at most: 24 bytes each.
+TREE_LIMIT = 4_000_000
 
 
 def _distances(x: np.ndarray, rows: slice) -> np.ndarray:
@@ -53,7 +63,12 @@ def hdbscan(x: np.ndarray, min_samples: int = 20, min_cluster_size: int = 4) ->
         now = int(np.where(inside, np.inf, best).argmin())
         inside[now] = True
         edges.append((best[now], via[now], now))
-    edges.sort()
+    return condensed(n, edges, min_cluster_size)
+
+
+def condensed(n: int, edges: list[tuple[float, int, int]], min_cluster_size: int) -> np.ndarray:
+    """Labels of n points from the edges (weight, one, other) of their spanning tree."""
+    edges = sorted(edges)
     # single linkage
     parent, size = list(range(2 * n - 1)), [1] * n + [0] * (n - 1)
     left, right, height = [0] * (2 * n - 1), [0] * (2 * n - 1), [0.0] * (2 * n - 1)
@@ -142,6 +157,27 @@ def _curve(min_dist: float, spread: float = 1.0) -> tuple[float, float]:
     return float(centre[0]), float(centre[1])
 
 
+def _spectral_start(head: np.ndarray, tail: np.ndarray, value: np.ndarray, n: int, dims: int, rng: np.random.Generator, rounds: int = 120) -> np.ndarray:
+    """Leading eigenvectors of the normalised graph but for the first, by subspace iteration: one way at every size."""
+    order = np.argsort(head, kind="stable")
+    head, tail = head[order], tail[order]
+    degree = np.maximum(np.bincount(head, value[order], n), 1e-12)
+    w = value[order] / np.sqrt(degree[head] * degree[tail])
+    rows, starts = np.unique(head, return_index=True)
+    q = np.linalg.qr(rng.normal(size=(n, min(n, dims + 9))))[0]
+
+    def multiply(q: np.ndarray) -> np.ndarray:
+        out = np.zeros_like(q)
+        for c in range(0, q.shape[1], 8):
+            out[rows, c : c + 8] = np.add.reduceat(w[:, None] * q[tail, c : c + 8], starts, axis=0)
+        return out
+
+    for _ in range(rounds):
+        q = np.linalg.qr((q + multiply(q)) / 2)[0]
+    values, turn = np.linalg.eigh(q.T @ multiply(q))
+    return (q @ turn[:, np.argsort(-values)])[:, 1 : dims + 1]
+
+
 def umap(x: np.ndarray, n_neighbors: int = 20, n_components: int = 2, min_dist: float = 0.0, epochs: int = 200, seed: int = 7) -> np.ndarray:
     """Neighbour embedding: fuzzy neighbour graph, spectral start, sampled attraction and repulsion."""
     n = len(x)
@@ -164,15 +200,7 @@ def umap(x: np.ndarray, n_neighbors: int = 20, n_components: int = 2, min_dist:
     joined |= {(j, i): w for (i, j), w in joined.items()}
     head, tail = np.array([p[0] for p in joined]), np.array([p[1] for p in joined])
     value = np.array(list(joined.values()))
-    if n <= 3000:
-        lap = np.zeros((n, n))
-        lap[head, tail] = value
-        deg = np.maximum(lap.sum(axis=1), 1e-12)
-        lap = np.eye(n) - lap / np.sqrt(deg[:, None] * deg[None, :])
-        y = np.linalg.eigh(lap)[1][:, 1 : dims + 1]
-    else:
-        centred = x - x.mean(axis=0)
-        y = centred @ np.linalg.svd(centred[:: max(1, n // 3000)], full_matrices=False)[2][:dims].T
+    y = _spectral_start(head, tail, value, n, dims, rng)
     y = np.pad(y, ((0, 0), (0, dims - y.shape[1])))
     y = 10 * y / max(np.abs(y).max(), 1e-12) + rng.normal(scale=1e-4, size=(n, dims))
     a, b = _curve(min_dist)
@@ -220,6 +248,100 @@ def umap_hdbscan(df: DataFrame, id_col: str = "id", vector: str = "v", n_neighbo
     return grouped(df, fn, "id long, clust int", id_col, vector)
 
 
-def density_clusters(df: DataFrame, id_col: str = "id", vector: str = "v", min_samples: int = 20, min_cluster_size: int = 10) -> DataFrame:
-    """(id, clust) without the embedding step."""
-    return grouped(df, lambda ids, x: pd.DataFrame({"id": ids, "clust": hdbscan(x, min_samples, min_cluster_size).astype("int32")}), "id long, clust int", id_col, vector)
+class _Block:
+    """A block of rows (id, v and more) and their distances to others."""
+
+    def __init__(self, rows: pa.Table):
+        self.ids, self.x = rows.column("id").to_numpy(), _cells(rows)
+
+    def distances(self, columns: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        ids, y = columns.column("id").to_numpy(), _cells(columns)
+        square = (self.x**2).sum(axis=1)[:, None] + (y**2).sum(axis=1)[None] - 2 * self.x @ y.T
+        return ids, np.where(self.ids[:, None] == ids[None], np.inf, np.sqrt(np.maximum(square, 0)))
+
+
+def _cells(table: pa.Table) -> np.ndarray:
+    values = table.column("v").combine_chunks()
+    return np.asarray(values.flatten()).reshape(len(values), -1)
+
+
+class _Core(_Block):
+    """Each row's distance to its k-th nearest other point."""
+
+    def __init__(self, rows: pa.Table, k: int):
+        super().__init__(rows)
+        self.k, self.near = k, np.zeros((len(self.ids), 0))
+
+    def see(self, columns: pa.Table) -> None:
+        both = np.hstack([self.near, self.distances(columns)[1]])
+        self.near = np.sort(both, axis=1)[:, : self.k]
+
+    def told(self) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array(self.ids), pa.array(self.near[:, -1])], names=["id", "core"])
+
+
+class _Outside(_Block):
+    """Each row's nearest point of another component by mutual reachability, ties to the smaller id."""
+
+    def __init__(self, rows: pa.Table):
+        super().__init__(rows)
+        self.core, self.part = rows.column("core").to_numpy(), rows.column("part").to_numpy()
+        self.best, self.other = np.full(len(self.ids), np.inf), np.full(len(self.ids), np.iinfo(np.int64).max)
+
+    def see(self, columns: pa.Table) -> None:
+        columns = columns.sort_by("id")
+        ids, d = self.distances(columns)
+        d = np.maximum(np.maximum(d, self.core[:, None]), columns.column("core").to_numpy()[None])
+        d[self.part[:, None] == columns.column("part").to_numpy()[None]] = np.inf
+        at = d.argmin(axis=1)
+        w, j = d[np.arange(len(at)), at], ids[at]
+        closer = (w < self.best) | ((w == self.best) & np.isfinite(w) & (j < self.other))
+        self.best, self.other = np.where(closer, w, self.best), np.where(closer, j, self.other)
+
+    def told(self) -> Iterator[pa.RecordBatch]:
+        ok = np.isfinite(self.best)
+        yield pa.RecordBatch.from_arrays([pa.array(self.part[ok]), pa.array(self.best[ok]), pa.array(np.minimum(self.ids, self.other)[ok]), pa.array(np.maximum(self.ids, self.other)[ok])], names=["part", "w", "lo", "hi"])
+
+
+def spanning_tree(points: DataFrame, n: int, min_samples: int, block: int = similarity.BLOCK) -> tuple[np.ndarray, list[tuple[float, int, int]]]:
+    """Ids in order, and the edges (weight, place, place) of the mutual reachability tree of (id, v), by rounds of nearest components.
+
+    Each component's smallest edge leaves a round; every round at least halves the components.
+    """
+    spark = points.sparkSession
+    k = min(min_samples, n - 1)
+    cored = settle(points.join(similarity.streamed(points, n, lambda rows: _Core(rows, k), "id long, core double", block, block), "id"))
+    ids = np.sort(cored.select("id").toArrow().column("id").to_numpy())
+    part, edges = np.arange(n), []
+    while part.any():
+        parts = spark.createDataFrame(pa.table({"id": ids, "part": part}))
+        told = similarity.streamed(settle(cored.join(parts, "id")), n, _Outside, "part long, w double, lo long, hi long", block, block)
+        least = told.groupBy("part").agg(F.min(F.struct("w", "lo", "hi")).alias("e")).select("e.*").distinct().toArrow()
+        above = np.arange(n)  # of components, by their smallest place
+
+        def root(i: int, above: np.ndarray = above) -> int:
+            while above[i] != i:
+                above[i] = above[above[i]]
+                i = above[i]
+            return int(i)
+
+        ends = [np.searchsorted(ids, least.column(c).to_numpy()) for c in ("lo", "hi")]
+        for w, a, b in zip(least.column("w").to_pylist(), *(e.tolist() for e in ends), strict=True):
+            x, y = sorted((root(int(part[a])), root(int(part[b]))))
+            if x != y:
+                above[y] = x
+                edges.append((w, a, b))
+        part = np.array([root(int(i)) for i in np.arange(n)])[part]
+    return ids, edges
+
+
+def density_clusters(df: DataFrame, id_col: str = "id", vector: str = "v", min_samples: int = 20, min_cluster_size: int = 10, limit: int = LIMIT, block: int = similarity.BLOCK) -> DataFrame:
+    """(id, clust) without the embedding step; over ``limit`` points by blocks, with the same clusters."""
+    points = df.select(F.col(id_col).cast("long").alias("id"), V.doubles(vector).alias("v"))
+    n = points.count()
+    if n > TREE_LIMIT:
+        raise ValueError(f"{n} points; the spanning tree of {TREE_LIMIT} at most is cut")
+    if n <= max(2, limit):
+        return grouped(df, lambda ids, x: pd.DataFrame({"id": ids, "clust": hdbscan(x, min_samples, min_cluster_size).astype("int32")}), "id long, clust int", id_col, vector)
+    ids, edges = spanning_tree(points, n, min_samples, block)
+    return df.sparkSession.createDataFrame(pa.table({"id": ids, "clust": condensed(n, edges, min_cluster_size).astype("int32")}))

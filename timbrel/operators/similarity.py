@@ -7,7 +7,7 @@ the neighbours kept so far, and only the kept neighbours leave the task.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -92,25 +92,35 @@ def knn_prune(df: DataFrame, id_col: str = "id", vector: str = "v", pval: float
     """
     n = df.count()
     keep = keep_count(n, pval, min_pnum) if keep is None else keep
-    width = max(16, min(block, CELLS // max(1, keep)))
+    base = df.select(F.col(id_col).cast("long").alias("id"), V.doubles(vector).alias("v"))
+    return streamed(base, n, lambda rows: _Best(rows, keep), "i long, j long, c double", block, max(16, min(block, CELLS // max(1, keep))))
+
+
+def streamed(points: DataFrame, n: int, make: Callable, schema: str, block: int = BLOCK, width: int = BLOCK) -> DataFrame:
+    """What each block of ``width`` of the ``n`` points makes of all points, ``block`` at a time.
+
+    ``make(rows)`` starts from the block's own rows and gives an object whose ``see(columns)`` is
+    called for each block of points and whose ``told()`` yields record batches at the end.
+    """
     blocks, columns = max(1, math.ceil(n / width)), max(1, math.ceil(n / block))
-    base = _dealt(df, id_col, vector, blocks)
-    rows = base.select("b", F.lit(-1).alias("q"), "id", "v")
-    met = base.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), F.pmod(F.xxhash64("id"), F.lit(columns)).cast("int").alias("q"), "id", "v")
+    base = points.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    rest = points.columns
+    rows = base.select("b", F.lit(-1).alias("q"), *rest)
+    met = base.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), F.pmod(F.xxhash64("id"), F.lit(columns)).cast("int").alias("q"), *rest)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: tuple | None = None
         held: list[pa.RecordBatch] = []
-        best: _Best | None = None
+        state = None
 
         def close() -> None:
-            nonlocal best, held
+            nonlocal state, held
             if held:
                 table = pa.Table.from_batches(held)
                 if now[1] < 0:
-                    best = _Best(table, keep)
-                elif best is not None:
-                    best.see(table)
+                    state = make(table)
+                elif state is not None:
+                    state.see(table)
             held = []
 
         for batch in batches:
@@ -122,16 +132,16 @@ def knn_prune(df: DataFrame, id_col: str = "id", vector: str = "v", pval: float
                 key = (int(b[x]), int(q[x]))
                 if key != now:
                     close()
-                    if best is not None and key[0] != now[0]:
-                        yield from best.told()
-                        best = None
+                    if state is not None and key[0] != now[0]:
+                        yield from state.told()
+                        state = None
                     now = key
-                held.append(batch.slice(x, y - x).select(["id", "v"]))
+                held.append(batch.slice(x, y - x).select(rest))
         close()
-        if best is not None:
-            yield from best.told()
+        if state is not None:
+            yield from state.told()
 
-    return rows.unionByName(met).repartition(blocks, "b").sortWithinPartitions("b", "q").mapInArrow(run, "i long, j long, c double")
+    return rows.unionByName(met).repartition(blocks, "b").sortWithinPartitions("b", "q").mapInArrow(run, schema)
 
 
 def symmetrize(pruned: DataFrame) -> DataFrame:
