@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from timbrel.functions import vectors as V
+from timbrel.sources.tables import settle
 
 CLUSTER_LINE = 10
 MIN_CLUSTER = 4
@@ -70,8 +71,10 @@ def scored_against(points: DataFrame, centres: DataFrame, blocks: int = 64) -> D
 
 
 def centroid_affinity(df: DataFrame, label: str = "clust", vector: str = "v") -> DataFrame:
-    """(c1, c2, aff) for c1 < c2.  One row per label goes in: a table of labels, not of points."""
-    c = centroids(df, label, vector)
+    """(c1, c2, aff) for c1 < c2.  One row per label goes in, MAX_LABELS at most (counted first)."""
+    c = settle(centroids(df, label, vector))
+    if c.count() > MAX_LABELS:
+        raise ValueError(f"more than {MAX_LABELS} labels to compare")
     a, b = c.select(F.col("clust").alias("c1"), F.col("cv").alias("v1")), c.select(F.col("clust").alias("c2"), F.col("cv").alias("v2"))
     return a.join(b, F.col("c1") < F.col("c2")).select("c1", "c2", V.cosine(F.col("v1"), F.col("v2")).alias("aff"))
 

@@ -44,6 +44,11 @@ def assign(points: DataFrame, labels: DataFrame, xy: DataFrame, names: DataFrame
     return names.join(labels, "id").join(xy, "id").select("filename", "clust", "x", "y")
 
 
+def cache_misses(keyed: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose keys the cache does not know."""
+    return keyed.join(known, keys, "left_anti")
+
+
 def embed_folder(spark: SparkSession, folder: str, encoder: str = "timbre", speaker: str = "", cache: str | None = None) -> DataFrame:
     """(id, filename, v) of a folder's recordings; vectors cached for unchanged files are read, the others computed and cached."""
     if encoder not in slices.ENCODERS:
@@ -55,7 +60,7 @@ def embed_folder(spark: SparkSession, folder: str, encoder: str = "timbre", spea
     keyed = files.select("id", "filename").join(marks, "filename")
     known = readers.cached_features(spark, cache, speaker, encoder)
     keys = ["filename", "length", "modified"]
-    missing = files if known is None else files.join(keyed.join(known, keys, "left_anti").select("id"), "id", "left_semi")
+    missing = files if known is None else files.join(cache_misses(keyed, known, keys).select("id"), "id", "left_semi")
     if missing.limit(1).count():
         fresh = slices.embed(readers.waveforms(missing, trim=encoder != "emotion"), encoder).join(keyed, ["id", "filename"])
         writers.cache_features(fresh.select(F.lit(speaker).alias("speaker"), F.lit(encoder).alias("encoder"), *keys, "v"), cache)

@@ -17,6 +17,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from timbrel.sources.tables import settle
+
 #: The public result of clustering.
 ASSIGNMENT = T.StructType([T.StructField("filename", T.StringType()), T.StructField("clust", T.IntegerType()), T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
 RATE = 16_000
@@ -46,8 +48,16 @@ def utterances(spark: SparkSession, folder: str) -> DataFrame:
     Ids number a listing of names; contents are joined to it by path.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").load(folder)
-    numbered = files.select("path").withColumn("id", F.row_number().over(W.orderBy("path")) - 1)
-    return files.join(numbered, "path").select(F.col("id").cast("long").alias("id"), F.col("path").alias("filename"), "content")
+    return files.join(numbered(files.select("path"), "path"), "path").select("id", F.col("path").alias("filename"), "content")
+
+
+def numbered(names: DataFrame, name: str) -> DataFrame:
+    """(name, id): places from 0 in order of distinct names.  Ranges of names are numbered apart; only their sizes meet in one task."""
+    ranged = settle(names.select(name).repartitionByRange(name).withColumn("range", F.spark_partition_id()))
+    within = ranged.withColumn("place", F.row_number().over(W.partitionBy("range").orderBy(name)) - 1)
+    sizes = ranged.groupBy("range").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return within.join(sizes.select("range", before.alias("before")), "range").select(name, (F.col("before") + F.col("place")).cast("long").alias("id"))
 
 
 def decode(content: bytes, rate: int = RATE) -> np.ndarray:
