@@ -244,6 +244,27 @@ def test_quality_counts(spark):
         assert len(r["line_labels"]) == sum(1 for x in (r["text"] or "").split("\n") if WORD.search(x))
 
 
+def test_quality_verdict(spark):
+    """kept by hand: the best labels of a text's lines out of all, then the share of words in content lines."""
+    import itertools
+
+    rng = random.Random(13)
+    line = lambda: rng.choice(["BUY NOW!!! $$$ ***", "click | here | now", " ".join(f"w{rng.randrange(999)}" for _ in range(30)) + " $$", " ".join("abcdefgh"[rng.randrange(8)] * rng.randint(2, 7) for _ in range(14)) + "."])
+    rows = [(i, "\n".join(line() for _ in range(rng.randint(1, 9)))) for i in range(60)]
+    field = quality.Field(quality.DEFAULT.emit, np.array([[0.7, -0.4], [-0.6, 0.3]]))
+    verdicts = set()
+    for r in quality.rate_quality(table(spark, rows), field).collect():
+        raw = r["text"].encode()
+        lines = quality.measure(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+        score = lambda y: sum(v * (x @ field.emit) for v, x in zip(y, lines.features, strict=True)) + sum(field.move[a, b] for a, b in zip(y, y[1:], strict=False))  # noqa: B023, E731
+        best = max(itertools.product((0, 1), repeat=len(lines.row)), key=score)
+        assert r["line_labels"] == "".join("bc"[v] for v in best)
+        share = sum(len(x.split()) for x, v in zip(r["text"].split("\n"), best, strict=True) if v) / len(r["text"].split())
+        assert np.isclose(r["content_share"], share) and r["kept"] == (not r["base_failed"] and share >= 0.5)
+        verdicts.add((r["base_failed"], r["kept"]))
+    assert len(verdicts) >= 2
+
+
 def test_viterbi_and_fit():
     import itertools
 

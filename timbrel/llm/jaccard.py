@@ -307,11 +307,21 @@ def forest(labels: DataFrame, run: int, depth: int, threshold: float, recall: fl
 
     tiles is 1 but for nodes of the open texts that hold more than ``run`` of them.
     """
+    out = settle(_forest(labels, run, depth, threshold, recall, made := []))
+    for table in made:
+        forget(table)
+    return out
+
+
+def _forest(labels: DataFrame, run: int, depth: int, threshold: float, recall: float, made: list[DataFrame]) -> DataFrame:
+    def written(table: DataFrame) -> DataFrame:
+        made.append(settle(table))
+        return made[-1]
+
     levels = min(DEPTH, depth + 3) - depth
     # texts alone under their shortest prefix have nothing to be compared with
-    counted = settle(labels.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
-    members = settle(labels.join(counted.hint("merge"), "key"))
-    forget(counted)
+    counted = written(labels.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    members = written(labels.join(counted.hint("merge"), "key"))
     single = F.lit(1).cast("long")
     small = members.where(F.col("n") <= run).select(F.col("key").alias("node"), F.lit(0).cast("long").alias("tile"), "digest", single.alias("tiles"))
     large = members.where(F.col("n") > run).drop("n")
@@ -324,17 +334,17 @@ def forest(labels: DataFrame, run: int, depth: int, threshold: float, recall: fl
         node = leaves.groupBy("key", prefix(j).alias("prefix")).agg(F.sum("texts").alias(f"n{j}"))
         leaves = leaves.withColumn("prefix", prefix(j)).join(node, ["key", "prefix"]).drop("prefix")
         stops = F.when(F.col(f"n{j}") <= run, depth + j).otherwise(stops)
-    leaves = settle(leaves.select("key", "tail", stops.alias("depth")))
-    placed = settle(large.join(leaves.hint("merge"), ["key", "tail"]))
+    leaves = written(leaves.select("key", "tail", stops.alias("depth")))
+    placed = written(large.join(leaves.hint("merge"), ["key", "tail"]))
     # chance, trie by trie, that a pair at the threshold is not met
     miss = F.element_at(F.array(*[F.lit(math.log1p(-(threshold**d))) for d in range(1, depth + levels + 1)], F.lit(0.0)), F.col("depth"))
     least = math.log1p(-(threshold**depth))
     unmet = placed.groupBy("digest").agg(F.sum(miss - F.lit(least)).alias("more")).where(F.col("more") > math.log(1 - recall) - TREES * least)
-    open_ = settle(placed.join(unmet.select("digest"), "digest", "left_semi").select("key", "digest"))
+    open_ = written(placed.join(unmet.select("digest"), "digest", "left_semi").select("key", "digest"))
     deep = placed.where(F.col("depth") <= depth + levels)
     cut = F.element_at(F.array(*[prefix(j) for j in range(1, levels + 1)]), F.col("depth") - depth)
     deep = deep.select(F.xxhash64("key", "depth", cut).alias("node"), F.lit(0).cast("long").alias("tile"), "digest", single.alias("tiles"))
-    tiles = settle(open_.groupBy("key").agg(F.ceil(F.count("*") / run).cast("long").alias("tiles")))
+    tiles = written(open_.groupBy("key").agg(F.ceil(F.count("*") / run).cast("long").alias("tiles")))
     wide = open_.join(tiles.hint("merge"), "key").select(F.col("key").alias("node"), F.pmod(F.xxhash64("digest"), F.col("tiles")).alias("tile"), "digest", "tiles")
     return small.unionByName(deep).unionByName(wide)
 
@@ -361,7 +371,7 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     distinct = settle(worded.select("digest", "keys", "tails", "signature").dropDuplicates(["digest"]))
     labels = distinct.select("digest", F.explode(F.arrays_zip("keys", "tails")).alias("x")).select(F.col("x.keys").alias("key"), F.col("x.tails").alias("tail"), "digest")
-    met = settle(forest(labels, run, depth, threshold, recall))
+    met = forest(labels, run, depth, threshold, recall)
     dealt = met.join(distinct.select("digest", "signature"), "digest").select("node", "tile", "digest", "signature", (F.col("tiles") > 1).alias("hot"))
     tied = settle(dealt.repartition(partitions, "node", "tile").sortWithinPartitions("node", "tile").mapInArrow(_compare(threshold - 0.3, 1 - (1 - threshold) * 0.4, True), EDGES))
     edges = tied.where("b is not null").select("a", "b")
@@ -373,6 +383,8 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         cross = pairs.repartition(partitions, "key", "tile").sortWithinPartitions("key", "tile").mapInArrow(_compare(max(0.1, threshold - 0.46), None, False), EDGES)
         edges = edges.unionByName(cross.select("a", "b"))
     sets = components(edges)
+    for table in (met, distinct, tied):
+        forget(table)
 
     # exact comparison within each tied set, by tiles
     ones = worded.join(sets.select(F.col("node").alias("digest"), "root"), "digest").groupBy("digest", "root").agg(F.min("doc_id").alias("doc_id"))
@@ -384,6 +396,7 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     tiles = spelled.join(volume, "root").withColumn("own", F.pmod(F.xxhash64("digest"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     tiles = tiles.select("root", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "digest", "shingles")
     found = settle(tiles.groupBy("root", "lo", "hi").applyInArrow(_verify(threshold), "digest binary, links long, root binary"))
+    forget(spelled)
     links = found.groupBy("digest").agg(F.sum("links").alias("n_links"))
     classes = components(found.where("digest <> root").select(F.col("root").alias("a"), F.col("digest").alias("b")))
 
