@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timbrel.llm import decontamination, jaccard, languages, packing, secrets
-from timbrel.sources.tables import settle
+from timbrel.sources.tables import forget, settle
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -71,5 +71,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
-        docs = settle(stage(spark, docs, sf_dir))
+        before, docs = docs, settle(stage(spark, docs, sf_dir))
+        forget(before)  # only tables that a stage wrote
     return STAGES[-1][1](spark, docs, sf_dir)
