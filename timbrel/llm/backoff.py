@@ -30,6 +30,7 @@ MIN_COUNT = 1
 ALPHA = 0.4
 #: Text bytes of a block, n-grams of a table partition, about.
 BLOCK_BYTES = 12 << 20
+BYTES_OF_WORD = 6
 TABLE_GRAMS = 2 << 20
 
 SENT = "block long, n int, part long, hashes binary, counts binary"
@@ -168,11 +169,12 @@ class Block:
             self.total[n][n - 1 :] = self._inside(n)  # what was not sent occurs once
         self.total[n][last[order]] = totals[np.cumsum(head) - 1]
 
-    def scores(self, order: int, alpha: float, n_corpus: int) -> tuple[np.ndarray, np.ndarray]:
-        """Sum of log10 scores of each text, and how many of its words end an n-gram of the highest order that occurs again."""
+    def scores(self, order: int, alpha: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each text the sum of log10 scores, with those of words alone not yet divided by the number of all words, how many these are,
+        and how many words end an n-gram of the highest order that occurs again."""
         size = len(self.words)
-        value = np.log10(np.maximum(self.total[1], 1) / max(1, n_corpus))
-        seen = np.zeros(size, bool)
+        value = np.log10(np.maximum(self.total[1], 1))
+        seen, alone = np.zeros(size, bool), np.ones(size, bool)
         begin = np.maximum.accumulate(np.where(np.concatenate([[True], self.row[1:] != self.row[:-1]]), np.arange(size), 0)) if size else np.zeros(0, np.int64)
         depth = np.arange(size) - begin
         for n in range(2, order + 1):
@@ -182,8 +184,9 @@ class Block:
             before[1:] = self.total[n - 1][:-1]
             better = np.log10(np.where(found, self.total[n], 1) / np.maximum(before, 1))
             value = np.where(found, better, np.where(reach, value + math.log10(alpha), value))
+            alone &= ~found
             seen = found & (self.total[n] > 1)
-        return np.bincount(self.row, weights=value, minlength=self.n_rows), np.bincount(self.row, weights=seen, minlength=self.n_rows).astype(np.int64)
+        return np.bincount(self.row, weights=value, minlength=self.n_rows), np.bincount(self.row[alone], minlength=self.n_rows), np.bincount(self.row[seen], minlength=self.n_rows)
 
 
 def _load(rows: pa.Table, answers: pa.Table | None, parts: int, least: int, below: int) -> Block:
@@ -256,30 +259,36 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     kind = docs.schema[doc_id].dataType
     source = docs.select(quoted(doc_id).alias("doc_id"), F.coalesce(quoted(text), F.lit("")).alias("text"))
     packed = T.StructType([T.StructField("block", T.LongType()), T.StructField("doc_ids", T.ArrayType(kind)), T.StructField("sizes", T.ArrayType(T.LongType())), T.StructField("vocabulary", T.BinaryType()), T.StructField("codes", T.BinaryType())])
-    blocks = settle(source.mapInArrow(_blocks(block_bytes), packed))
-    n_corpus = blocks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, v: a + v)).alias("words")).first()["words"] or 0
-    parts = max(1, math.ceil(n_corpus / table_grams))
+    n_bytes = source.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first()["n"] or 0
+    parts = max(1, math.ceil(n_bytes / BYTES_OF_WORD / table_grams))
+    # blocks and answers are dealt once each, and all rounds read these exchanges; a lost one is dealt again alike
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = source.mapInArrow(_blocks(block_bytes), packed).repartition(partitions, "block")
     answers: DataFrame | None = None
     for n in range(1, order + 1):
         if answers is None:
             sent = blocks.mapInArrow(_first_round(parts, min_count), SENT)
         else:
             sent = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_later_round(parts, min_count, n), SENT)
-        answer = sent.groupBy("n", "part").applyInArrow(_add_up(min_count), ANSWERED)
+        answer = sent.groupBy("n", "part").applyInArrow(_add_up(min_count), ANSWERED).repartition(partitions, "block")
         answers = answer if answers is None else answers.unionByName(answer)
-    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("n_words", T.LongType()), T.StructField("log10_score", T.DoubleType()), T.StructField("n_seen", T.LongType())])
+    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("n_words", T.LongType()), T.StructField("part_score", T.DoubleType()), T.StructField("n_alone", T.LongType()), T.StructField("n_seen", T.LongType())])
 
     def last(key: tuple, rows: pa.Table, known: pa.Table) -> pa.Table:
         block = _load(rows, known, parts, min_count, order + 1)
-        score, seen = block.scores(order, alpha, n_corpus)
         size = np.bincount(block.row, minlength=block.n_rows)
         ids = rows.column("doc_ids").combine_chunks().flatten()
-        out = pa.Table.from_arrays([ids, pa.array(size, pa.int64()), pa.array(score, pa.float64()), pa.array(seen, pa.int64())], names=schema.names)
+        score, alone, seen = block.scores(order, alpha)
+        out = pa.Table.from_arrays([ids, pa.array(size, pa.int64()), pa.array(score, pa.float64()), pa.array(alone, pa.int64()), pa.array(seen, pa.int64())], names=schema.names)
         give_back()
         return out
 
-    scored = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(last, schema)
-    return scored.withColumn("seen_share", F.col("n_seen") / F.greatest(F.col("n_words") - (order - 1), F.lit(1)))
+    scored = settle(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(last, schema))
+    # words scored alone are counted against all words, whose number is known only now
+    n_corpus = scored.agg(F.sum("n_words").alias("n")).first()["n"] or 1
+    total = F.col("part_score") - F.col("n_alone") * F.lit(math.log10(n_corpus))
+    share = F.col("n_seen") / F.greatest(F.col("n_words") - (order - 1), F.lit(1))
+    return scored.select("doc_id", "n_words", total.alias("log10_score"), "n_seen", share.alias("seen_share"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
