@@ -387,8 +387,8 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         forget(table)
 
     # exact comparison within each tied set, by tiles
-    ones = worded.join(sets.select(F.col("node").alias("digest"), "root"), "digest").groupBy("digest", "root").agg(F.min("doc_id").alias("doc_id"))
-    ones = ones.select(F.col("digest").alias("own"), "root", F.col("doc_id").alias("one"))
+    counted = settle(worded.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_copies")))
+    ones = counted.join(sets.select(F.col("node").alias("digest"), "root"), "digest").select(F.col("digest").alias("own"), "root", F.col("least").alias("one"))
     texts = source.withColumn("digest", digest_of()).join(ones, (F.col("digest") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("one"))).select("digest", "root", "text")
     spelled = append(texts, lambda: _shingle_sets(shingle), T.StructType([T.StructField("shingles", T.BinaryType())]), ("text",), ["digest", "root"]).dropDuplicates(["digest"])
     spelled = settle(spelled)
@@ -401,8 +401,7 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     classes = components(found.where("digest <> root").select(F.col("root").alias("a"), F.col("digest").alias("b")))
 
     # copies are counted by text, then texts by class
-    by_text = worded.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("n_copies"))
-    by_text = by_text.join(classes.withColumnRenamed("node", "digest"), "digest", "left").join(links, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
+    by_text = counted.join(classes.withColumnRenamed("node", "digest"), "digest", "left").join(links, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
     named = by_text.groupBy("root").agg(F.min("least").alias("class_id"), F.min(F.struct(F.col("least").isNull().alias("none"), "least", "digest"))["digest"].alias("leader"))
     # written down, so that many copies of one text are a skewed join between two exchanges, which Spark splits
     of_text = settle(by_text.join(named, "root").select("digest", "class_id", (F.col("digest") == F.col("leader")).alias("leader"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies"))
