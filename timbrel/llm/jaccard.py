@@ -392,8 +392,8 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     texts = source.withColumn("digest", digest_of()).join(ones, (F.col("digest") == F.col("own")) & F.col("doc_id").eqNullSafe(F.col("one"))).select("digest", "root", "text")
     spelled = append(texts, lambda: _shingle_sets(shingle), T.StructType([T.StructField("shingles", T.BinaryType())]), ("text",), ["digest", "root"]).dropDuplicates(["digest"])
     spelled = settle(spelled)
-    volume = spelled.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / tile_texts), F.ceil(F.sum(F.octet_length("shingles")) / (8 * tile_shingles))).cast("int").alias("tiles"))
-    tiles = spelled.join(volume, "root").withColumn("own", F.pmod(F.xxhash64("digest"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    volume = settle(spelled.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / tile_texts), F.ceil(F.sum(F.octet_length("shingles")) / (8 * tile_shingles))).cast("int").alias("tiles")))
+    tiles = spelled.join(volume.hint("merge"), "root").withColumn("own", F.pmod(F.xxhash64("digest"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     tiles = tiles.select("root", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "digest", "shingles")
     found = settle(tiles.groupBy("root", "lo", "hi").applyInArrow(_verify(threshold), "digest binary, links long, root binary"))
     forget(spelled)
@@ -401,10 +401,10 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     classes = components(found.where("digest <> root").select(F.col("root").alias("a"), F.col("digest").alias("b")))
 
     # copies are counted by text, then texts by class
-    by_text = counted.join(classes.withColumnRenamed("node", "digest"), "digest", "left").join(links, "digest", "left").withColumn("root", F.coalesce("root", "digest"))
-    named = by_text.groupBy("root").agg(F.min("least").alias("class_id"), F.min(F.struct(F.col("least").isNull().alias("none"), "least", "digest"))["digest"].alias("leader"))
-    # written down, so that many copies of one text are a skewed join between two exchanges, which Spark splits
-    of_text = settle(by_text.join(named, "root").select("digest", "class_id", (F.col("digest") == F.col("leader")).alias("leader"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies"))
+    by_text = settle(counted.join(classes.withColumnRenamed("node", "digest"), "digest", "left").join(links, "digest", "left").withColumn("root", F.coalesce("root", "digest")))
+    named = settle(by_text.groupBy("root").agg(F.min("least").alias("class_id"), F.min(F.struct(F.col("least").isNull().alias("none"), "least", "digest"))["digest"].alias("leader")))
+    # counts are written down before they are joined, so that many texts of one class, or copies of one text, are skewed joins between two exchanges, which Spark splits
+    of_text = settle(by_text.join(named.hint("merge"), "root").select("digest", "class_id", (F.col("digest") == F.col("leader")).alias("leader"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies"))
     leads = (F.col("leader") & F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("leads")
     rows = worded.select("doc_id", "digest").join(of_text.hint("merge"), "digest").select("doc_id", "class_id", "n_links", "n_copies", "digest", leads)
     blank = signed.where("n_shingles = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"), "digest", F.lit(True).alias("leads"))
