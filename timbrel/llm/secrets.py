@@ -48,6 +48,8 @@ CLASSES = (
 )
 #: Letters and digits, or a case that changes as names of several words do not.
 MIXED = r"[0-9].*[A-Za-z]|[A-Za-z].*[0-9]|([a-z][^a-z]*[A-Z][^A-Z]*){4}"
+#: What a text must hold for MIXED to match in a run of candidates' characters, allowed parts taken out or not: a letter and a digit, or a capital after a small letter, with no other kind of character between.
+CHANGE = r"[A-Za-z][+/_=-]*[0-9]|[0-9][+/_=-]*[A-Za-z]|[a-z][0-9+/_=-]*[A-Z]"
 
 _SPAN = "array<struct<start:long,end:long,kind:int>>"
 _FOUND = "array<struct<start:long,end:long,kind:int,word:string>>"
@@ -185,7 +187,8 @@ def scan(docs: DataFrame, text: str = "text", classes: tuple[CharacterClass, ...
     base = F.concat(bare(located(value, ASSIGN, 8, 0, 2)), bare(located(value, ACCESS, 16, 1)), bare(located(value, HEX, 32, 2)))
     docs = docs.drop("base_spans", "secret_spans").withColumn("base_spans", order(base))
     added = [entropy_spans(value, F.col("base_spans"), c, allow) for c in classes]
-    return docs.withColumn("secret_spans", order(F.concat("base_spans", *added)))
+    added = F.when(value.rlike(CHANGE), F.concat(*added)).otherwise(F.array().cast(_SPAN))
+    return docs.withColumn("secret_spans", order(F.concat("base_spans", added)))
 
 
 def spelled(spans: str) -> Column:
