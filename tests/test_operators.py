@@ -152,6 +152,21 @@ def test_density_by_blocks(spark):
     assert same_partition(one, many) and [c == -1 for c in one] == [c == -1 for c in many] and len(set(one)) >= 4
 
 
+def test_landmarks(spark):
+    """Beyond the bound landmarks are embedded and the others lie among those near them: clusters stay apart and whole."""
+    x, y = planted(3, each=40, spread=0.05)
+    df = frame(spark, x)
+    whole = density.embedded(df, lambda x: x[:, :3], limit=60).orderBy("id").collect()
+    assert len(whole) == 120 and max(np.abs(np.array(r["y"]) - x[r["id"], :3]).max() for r in whole) < 0.3
+    marks = {r["id"] for r in df.orderBy(F.xxhash64("id"), "id").limit(60).collect()}
+    assert all(np.allclose(r["y"], x[r["id"], :3]) for r in whole if r["id"] in marks)
+    assert same_partition(labels_of(density.umap_hdbscan(df, min_samples=5, min_cluster_size=8, limit=90)), y)
+    for reducer in ("tsne", "umap"):
+        places = {r["id"]: np.array([r["x"], r["y"]]) for r in project.project(df, reducer, limit=60).collect()}
+        centre = [np.mean([places[i] for i in np.flatnonzero(y == k)], axis=0) for k in range(3)]
+        assert np.mean([np.argmin([np.linalg.norm(places[i] - c) for c in centre]) == y[i] for i in range(120)]) > 0.95
+
+
 def test_umap_hdbscan(spark):
     x, truth = planted(3, each=40, spread=0.1)
     got = labels_of(clustering.cluster(frame(spark, x), "umap_hdbscan"))
@@ -427,6 +442,32 @@ def test_emotion_weights(spark, wavs, tmp_path):
         encoders.emotion_logits(waves)
 
 
+def test_plot_and_playback(spark, wavs, tmp_path):
+    import struct
+    import zlib
+
+    points = spark.createDataFrame([("a", 0, 0.0, 0.0), ("b", 1, 1.0, 1.0), ("c", 1, 1.0, 1.0), ("d", 0, 1.0, 1.0), ("e", 2, None, 1.0)], readers.ASSIGNMENT)
+    grid = project.scatter_grid(points, 20, 10)
+    assert sorted((r["px"], r["py"], r["clust"]) for r in grid.collect()) == [(0, 9, 0), (19, 0, 1)]
+    writers.scatter_png(grid, str(tmp_path / "p.png"), series.PALETTE, 20, 10, mark=1)
+    raw = (tmp_path / "p.png").read_bytes()
+    body, at, seen = b"", 8, []
+    while at < len(raw):
+        n, kind = struct.unpack(">I4s", raw[at : at + 8])
+        assert zlib.crc32(raw[at + 4 : at + 8 + n]) == struct.unpack(">I", raw[at + 8 + n : at + 12 + n])[0]
+        seen.append(kind)
+        body += raw[at + 8 : at + 8 + n] if kind == b"IDAT" else b""
+        at += 12 + n
+    image = np.frombuffer(zlib.decompress(body), np.uint8).reshape(10, 61)[:, 1:].reshape(10, 20, 3)
+    assert seen == [b"IHDR", b"IDAT", b"IEND"] and tuple(image[8, 1]) == series.PALETTE[0] and tuple(image[1, 18]) == series.PALETTE[1]
+    assert (image == 255).all(axis=2).sum() == 200 - 8
+    one = project.scatter_grid(points.limit(1)).collect()
+    assert [(r["px"], r["py"]) for r in one] == [(0, 899)]
+    waves = readers.waveforms(readers.utterances(spark, wavs)).where("id = 0")
+    x = readers.decode(writers.wav_files(waves).first()["content"])
+    assert len(x) == 40000 and not x[32000:].any() and np.allclose(x[:32000], waves.first()["samples"], atol=1e-4)
+
+
 def test_crop_and_pace(spark):
     assert series.crop_frames(5, 1.3) == 3 and series.crop_frames(1, 1.3) == 0
     rows = spark.createDataFrame([(1, 2.0, 1.0), (2, 2.0, 2.2), (3, 2.0, 2.25)], "frame int, due double, elapsed double")

@@ -44,7 +44,7 @@ def main(argv: list[str] | None = None) -> None:
     spark = SparkSession.builder.appName("timbrel").getOrCreate()
     if a.command == "split":
         options = {"nmin": a.nmin} if a.cluster == 1 else {}
-        done = clustering.split(spark, f"{a.root}/input/{a.spk}/raw/wavs", f"{a.root}/output/{a.spk}/clustered_files({a.encoder}).csv", a.encoder, clustering.METHODS[a.cluster - 1], ("tsne", "umap")[a.cluster - 1], a.spk, f"{a.root}/input/{a.spk}/features", merge_cosine=a.mer_cosine, **options)
+        done = clustering.split(spark, f"{a.root}/input/{a.spk}/raw/wavs", f"{a.root}/output/{a.spk}/clustered_files({a.encoder}).csv", a.encoder, clustering.METHODS[a.cluster - 1], ("tsne", "umap")[a.cluster - 1], a.spk, f"{a.root}/input/{a.spk}/features", merge_cosine=a.mer_cosine, plot=f"{a.root}/output/{a.spk}/clustered_files({a.encoder}).png", **options)
     elif a.command == "load-npy":
         done = clustering.load_matrix(spark, a.path, a.json, ("tsne", "umap")[a.reducer - 1], a.out)
     elif a.command == "clean":

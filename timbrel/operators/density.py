@@ -3,13 +3,13 @@
 Up to LIMIT points both work on one point set in one task, as the published algorithms do.  Beyond,
 density clusters come from blocks of points: core distances and, round by round, every component's
 nearest other one are found in parallel, and only the spanning tree, TREE_LIMIT edges at most, is
-cut in one place; the clusters are the same.  The embedding has no such form: more points are an
-error, not a task that grows with the input.
+cut in one place; the clusters are the same.  The embedding has no such form: LIMIT landmarks are
+embedded, and all other points are placed among them, in parallel.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -22,6 +22,8 @@ from timbrel.operators import similarity
 from timbrel.sources.tables import settle
 
 LIMIT = 20_000
+#: Bytes of the landmarks that all tasks hold, at most.
+MAX_LANDMARKS = 256 << 20
 #: Points whose spanning tree is cut on the driver, at most: 24 bytes each.
 TREE_LIMIT = 4_000_000
 
@@ -238,14 +240,49 @@ def grouped(df: DataFrame, fn, schema: str, id_col: str = "id", vector: str = "v
     return base.groupBy("one").applyInPandas(run, schema)
 
 
-def umap_hdbscan(df: DataFrame, id_col: str = "id", vector: str = "v", n_neighbors: int = 20, n_components: int = 60, min_samples: int = 20, min_cluster_size: int = 4, seed: int = 7) -> DataFrame:
-    """(id, clust): embed to min(n_components, N - 2) dimensions, then density clusters; -1 is noise."""
+def embedded(df: DataFrame, fit: Callable[[np.ndarray], np.ndarray], id_col: str = "id", vector: str = "v", limit: int = LIMIT, neighbours: int = 15) -> DataFrame:
+    """(id, y): ``fit`` of all points, or, over ``limit`` points, of ``limit`` landmarks drawn by a hash of the id.
+
+    Every other point lies at the mean of its nearest landmarks' places, each weighted by the
+    inverse square of its distance; a copy of a landmark lies where that does.  The landmarks are
+    broadcast: ``limit`` of them, and MAX_LANDMARKS bytes, at most.
+    """
 
     def fn(ids: np.ndarray, x: np.ndarray) -> pd.DataFrame:
-        y = umap(x, n_neighbors, min(n_components, len(x) - 2), 0.0, seed=seed) if len(x) > 3 else x
-        return pd.DataFrame({"id": ids, "clust": hdbscan(y, min_samples, min_cluster_size).astype("int32")})
+        return pd.DataFrame({"id": ids, "y": fit(x).astype(float).tolist()})
 
-    return grouped(df, fn, "id long, clust int", id_col, vector)
+    points = df.select(F.col(id_col).cast("long").alias("id"), V.doubles(vector).alias("v"))
+    schema = "id long, y array<double>"
+    if points.count() <= limit:
+        return grouped(points, fn, schema)
+    marks = settle(points.orderBy(F.xxhash64("id"), "id").limit(limit))
+    table = marks.join(settle(grouped(marks, fn, schema)), "id").toArrow().sort_by("id")
+    held = _cells(table), np.array(table.column("y").to_pylist())
+    if sum(a.nbytes for a in held) > MAX_LANDMARKS:
+        raise ValueError(f"the landmarks take more than {MAX_LANDMARKS} bytes; take fewer")
+    sent = df.sparkSession.sparkContext.broadcast(held)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x, y = sent.value
+        square = (x * x).sum(axis=1)
+        for batch in batches:
+            for a in range(0, batch.num_rows, 256):
+                part = pa.Table.from_batches([batch.slice(a, 256)])
+                own = _cells(part)
+                d2 = np.maximum((own * own).sum(axis=1)[:, None] + square[None] - 2 * own @ x.T, 0)
+                near = np.argsort(d2, axis=1, kind="stable")[:, :neighbours]
+                d2 = np.maximum(np.take_along_axis(d2, near, axis=1), 1e-12)
+                share = 1 / d2
+                share = np.where(d2[:, :1] <= 1e-12, np.arange(near.shape[1])[None] == 0, share / share.sum(axis=1, keepdims=True))
+                yield pa.RecordBatch.from_arrays([part.column("id").combine_chunks(), pa.array(np.einsum("nk,nkd->nd", share, y[near]).tolist(), pa.list_(pa.float64()))], names=["id", "y"])
+
+    return points.mapInArrow(place, schema)
+
+
+def umap_hdbscan(df: DataFrame, id_col: str = "id", vector: str = "v", n_neighbors: int = 20, n_components: int = 60, min_samples: int = 20, min_cluster_size: int = 4, seed: int = 7, limit: int = LIMIT) -> DataFrame:
+    """(id, clust): embed to min(n_components, N - 2) dimensions, then density clusters; -1 is noise."""
+    fit = lambda x: umap(x, n_neighbors, min(n_components, len(x) - 2), 0.0, seed=seed) if len(x) > 3 else x
+    return density_clusters(settle(embedded(df, fit, id_col, vector, limit)), "id", "y", min_samples, min_cluster_size, limit)
 
 
 class _Block:

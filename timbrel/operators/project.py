@@ -1,9 +1,8 @@
-"""Two-dimensional projections: PCA at any size, t-SNE and neighbour embedding for bounded point sets."""
+"""Two-dimensional projections: PCA of all points, t-SNE and neighbour embedding of landmarks beyond a bound."""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
@@ -12,6 +11,8 @@ from pyspark.sql import functions as F
 from timbrel.functions import vectors as V
 from timbrel.operators import density
 
+#: Points that exact t-SNE embeds, at most: it holds several N * N matrices.
+TSNE_LIMIT = 5_000
 REDUCERS = ("pca", "tsne", "umap")
 
 
@@ -63,20 +64,34 @@ def _pca(df: DataFrame, id_col: str, vector: str) -> DataFrame:
     return out.select("id", (F.col("xy")[0] * sign[0]).alias("x"), (F.col("xy")[1] * sign[1]).alias("y"))
 
 
-def project(df: DataFrame, reducer: str = "pca", id_col: str = "id", vector: str = "v", seed: int = 7) -> DataFrame:
-    """(id, x, y).  "pca" is distributed; "tsne" and "umap" take at most density.LIMIT points."""
+def project(df: DataFrame, reducer: str = "pca", id_col: str = "id", vector: str = "v", seed: int = 7, limit: int | None = None) -> DataFrame:
+    """(id, x, y).  "pca" is distributed; "tsne" and "umap" embed at most ``limit`` points (TSNE_LIMIT, density.LIMIT) and place the others among them."""
     if reducer not in REDUCERS:
         raise ValueError(f"reducer must be one of {REDUCERS}")
     if reducer == "pca":
         return _pca(df, id_col, vector)
 
-    def fn(ids: np.ndarray, x: np.ndarray) -> pd.DataFrame:
+    def fit(x: np.ndarray) -> np.ndarray:
         y = tsne(x, seed=seed) if reducer == "tsne" else density.umap(x, 15, 2, 0.1, seed=seed)
-        return pd.DataFrame({"id": ids, "x": y[:, 0], "y": y[:, 1] if y.shape[1] > 1 else 0.0})
+        return np.pad(y, ((0, 0), (0, 2 - y.shape[1])))
 
-    return density.grouped(df, fn, "id long, x double, y double", id_col, vector)
+    most = limit or (TSNE_LIMIT if reducer == "tsne" else density.LIMIT)
+    return density.embedded(df, fit, id_col, vector, most).select("id", F.col("y")[0].alias("x"), F.col("y")[1].alias("y"))
 
 
 def centers(assigned: DataFrame) -> DataFrame:
     """(clust, x, y): centre of each cluster's projected points."""
     return assigned.groupBy("clust").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+
+
+def scatter_grid(assigned: DataFrame, width: int = 1200, height: int = 900) -> DataFrame:
+    """(px, py, clust): the commonest cluster of each pixel that has points, the smaller label on ties; y grows upwards, pixels downwards.
+
+    Points of any number become at most ``width * height`` rows by partial aggregation.
+    """
+    known = assigned.where(F.col("x").isNotNull() & F.col("y").isNotNull())
+    span = known.agg(*[f(c).alias(f"{n}_{c}") for c in "xy" for n, f in (("low", F.min), ("high", F.max))])
+    place = lambda c, size: F.coalesce(F.floor(F.try_divide(F.col(c) - F.col(f"low_{c}"), F.col(f"high_{c}") - F.col(f"low_{c}")) * (size - 1) + 0.5), F.lit(0)).cast("int")
+    put = known.crossJoin(F.broadcast(span)).select(place("x", width).alias("px"), (F.lit(height - 1) - place("y", height)).alias("py"), "clust")  # one row is broadcast
+    counts = put.groupBy("px", "py", "clust").agg(F.count("*").alias("n"))
+    return counts.groupBy("px", "py").agg(F.min_by("clust", F.struct(-F.col("n"), "clust")).alias("clust"))

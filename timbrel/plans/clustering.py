@@ -68,13 +68,15 @@ def embed_folder(spark: SparkSession, folder: str, encoder: str = "timbre", spea
     return keyed.join(known.dropDuplicates(keys), keys).select("id", "filename", "v")
 
 
-def split(spark: SparkSession, folder: str, out: str | None = None, encoder: str = "timbre", method: str = "spectral", reducer: str = "tsne", speaker: str = "", cache: str | None = None, **options) -> DataFrame:
-    """The assignment table of a folder of recordings; written as CSV where ``out`` is given."""
+def split(spark: SparkSession, folder: str, out: str | None = None, encoder: str = "timbre", method: str = "spectral", reducer: str = "tsne", speaker: str = "", cache: str | None = None, plot: str | None = None, **options) -> DataFrame:
+    """The assignment table of a folder of recordings; written as CSV where ``out`` is given, drawn as PNG where ``plot`` is."""
     points = settle(embed_folder(spark, folder, encoder, speaker, cache))
     labels = cluster(points, method, **options)
     assigned = assign(points, labels, project.project(points, reducer))
     if out:
         writers.assignment_csv(assigned, out)
+    if plot:
+        writers.scatter_png(project.scatter_grid(assigned), plot, series.PALETTE)
     return assigned
 
 

@@ -242,6 +242,11 @@ def matrix_tokens(spark, sf_dir):
     return series.tokens(names.select(F.col("pos").alias("id")), names)
 
 
+def scatter_grid(spark, sf_dir):
+    """Pixels of a plot of the vectors' first two coordinates, coarse enough that points share them."""
+    return project.scatter_grid(_assigned(spark, sf_dir), 24, 18)
+
+
 def path_numbers(spark, sf_dir):
     """Ids by path order, as a folder's recordings get them."""
     return readers.numbered(_table(spark, sf_dir, "pages").select("url").distinct(), "url")
@@ -294,7 +299,7 @@ QUERIES = {
         cosine_pairs, knn_prune, sym_affinity, degree, laplacian_triples, heat_map, l2_normalize, speaker_embedding, cluster_sizes, minor_major, centroids, absorb_minor,
         centroid_affinity, best_merge_pair, merge_by_cosine, small_n_fallback, eigen_gaps, partial_slices, slice_mid_times, mix_concat, transcript_semi_join, cache_misses,
         route_plan, kick_filter, url_basename, vocab_invert, diarize_frames, trailing_frame, density_histogram, group_median, viewer_palette, viewer_rows, viewer_audio, cluster_centers_2d,
-        viewer_selected, viewer_accepts, palette_colors, line_colors, cropped_frames, frame_delays, frame_rates, nmin_of_spectrum, assignment_frame, matrix_tokens, path_numbers,
+        viewer_selected, viewer_accepts, palette_colors, line_colors, cropped_frames, frame_delays, frame_rates, nmin_of_spectrum, assignment_frame, matrix_tokens, path_numbers, scatter_grid,
         embedding_heat_map, nmin_sweep, spectral_cluster, hdbscan, umap_hdbscan, project_2d, project_tsne, flagship,
     )
 }
@@ -359,6 +364,7 @@ ORACLES = {
     "frame_rates": f"WITH {_S}, m AS (SELECT doc_id, part, round((f * 160 + f * 160 + 25600) / 2.0 / 16000, 6) AS t FROM r) SELECT doc_id, round(1.0::DOUBLE / (b.t - a.t), 6) + 0.0 AS rate FROM m a JOIN m b USING (doc_id) WHERE a.part = 0 AND b.part = 1",
     "nmin_of_spectrum": f"WITH {_E}, f AS (SELECT unnest(v) AS x, unnest(generate_series(0, len(v) - 1)) AS pos FROM e), l AS (SELECT pos, round(avg(x * x), 9) AS l FROM f GROUP BY pos), o AS (SELECT row_number() OVER (ORDER BY l, pos) - 1 AS ord, l FROM l), g AS (SELECT ord, lead(l) OVER (ORDER BY ord) - l AS gap FROM o QUALIFY gap IS NOT NULL AND ord < 14) SELECT CAST(a.ord + 1 AS INTEGER) AS nmin, CAST(b.ord + 1 AS INTEGER) AS k FROM g a JOIN g b ON b.ord >= a.ord QUALIFY row_number() OVER (PARTITION BY a.ord ORDER BY b.gap DESC, b.ord) = 1",
     "assignment_frame": f"WITH {_E} SELECT 'u' || id || '.wav' AS filename, clust, round(v[1], 6) + 0.0 AS x, round(v[2], 6) + 0.0 AS y FROM e",
+    "scatter_grid": f"WITH {_A}, s AS (SELECT min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy FROM a), p AS (SELECT CAST(floor((x - lx) / (hx - lx) * 23 + 0.5) AS INTEGER) AS px, 17 - CAST(floor((y - ly) / (hy - ly) * 17 + 0.5) AS INTEGER) AS py, clust FROM a CROSS JOIN s), n AS (SELECT px, py, clust, count(*) AS n FROM p GROUP BY ALL) SELECT px, py, clust FROM n QUALIFY row_number() OVER (PARTITION BY px, py ORDER BY n DESC, clust) = 1",
     "path_numbers": "SELECT url, row_number() OVER (ORDER BY url) - 1 AS id FROM (SELECT DISTINCT url FROM pages)",
     "matrix_tokens": "SELECT '</PAD>' AS token, 1 AS clust UNION ALL SELECT DISTINCT p_brand, 1 FROM part",
     "cluster_centers_2d": f"WITH {_A} SELECT clust, round(avg(x), 6) + 0.0 AS x, round(avg(y), 6) + 0.0 AS y FROM a GROUP BY clust",

@@ -1,10 +1,16 @@
-"""Sinks: assignment and token CSV, transcripts, feature cache, file routing."""
+"""Sinks: assignment and token CSV, transcripts, feature cache, plots, recordings, file routing."""
 
 from __future__ import annotations
 
+import io
+import struct
 import uuid
-from collections.abc import Iterator
+import wave
+import zlib
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame
@@ -43,6 +49,45 @@ def rewrite_csv(df: DataFrame, path: str) -> None:
     store.delete(old, True)
 
 
+def png(image: np.ndarray) -> bytes:
+    """A (height, width, 3) array of bytes as a PNG file."""
+    height, width = image.shape[:2]
+    part = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    rows = np.concatenate([np.zeros((height, 1), np.uint8), np.ascontiguousarray(image, np.uint8).reshape(height, -1)], axis=1)
+    return b"\x89PNG\r\n\x1a\n" + part(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)) + part(b"IDAT", zlib.compress(rows.tobytes())) + part(b"IEND", b"")
+
+
+def scatter_png(grid: DataFrame, path: str, colors: Sequence[tuple[int, int, int]], width: int = 1200, height: int = 900, mark: int = 2) -> None:
+    """Write a scatter plot of (px, py, clust) as a PNG: squares of ``mark`` pixels to each side, labels coloured in turn; one row a pixel comes to the driver."""
+    image = np.full((height, width, 3), 255, np.uint8)
+    for r in sorted(grid.collect(), key=lambda r: (r["clust"], r["py"], r["px"])):
+        image[max(0, r["py"] - mark) : r["py"] + mark + 1, max(0, r["px"] - mark) : r["px"] + mark + 1] = colors[r["clust"] % len(colors)]
+    store, at = _reached(path)
+    store.create_dir(at.rpartition("/")[0] or ".", recursive=True)
+    with store.open_output_stream(at) as out:
+        out.write(png(image))
+
+
+def wav_files(waves: DataFrame, rate: int = 16_000, pad: float = 0.5) -> DataFrame:
+    """(filename, content): recordings as 16-bit wave files, with ``pad`` seconds of silence after them for players that stop early."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for samples in pdf["samples"]:
+                x = np.concatenate([np.asarray(samples, np.float64), np.zeros(int(pad * rate))])
+                raw = io.BytesIO()
+                with wave.open(raw, "wb") as f:
+                    f.setnchannels(1)
+                    f.setsampwidth(2)
+                    f.setframerate(rate)
+                    f.writeframes((np.clip(x, -1, 1) * 32767).astype("<i2").tobytes())
+                out.append(raw.getvalue())
+            yield pd.DataFrame({"filename": pdf["filename"], "content": out})
+
+    return waves.select("filename", "samples").mapInPandas(run, "filename string, content binary")
+
+
 def route_plan(assigned: DataFrame, out: str) -> DataFrame:
     """(src, dst, collides) to copy every file to ``out``/<clust>/; collides where two have one destination."""
     plan = assigned.select(F.col("filename").alias("src"), F.concat_ws("/", F.lit(out.rstrip("/")), F.col("clust").cast("string"), basename("filename")).alias("dst"))
