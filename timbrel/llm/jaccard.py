@@ -395,6 +395,8 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     volume = settle(spelled.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / tile_texts), F.ceil(F.sum(F.octet_length("shingles")) / (8 * tile_shingles))).cast("int").alias("tiles")))
     tiles = spelled.join(volume.hint("merge"), "root").withColumn("own", F.pmod(F.xxhash64("digest"), F.col("tiles")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     tiles = tiles.select("root", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "digest", "shingles")
+    # dealt by tile: what lies with its set already would be compared in one task, set by set
+    tiles = tiles.repartition(partitions, "root", "lo", "hi")
     found = settle(tiles.groupBy("root", "lo", "hi").applyInArrow(_verify(threshold), "digest binary, links long, root binary"))
     forget(spelled)
     links = found.groupBy("digest").agg(F.sum("links").alias("n_links"))
