@@ -276,7 +276,8 @@ def _by_shuffle(docs: DataFrame, items: DataFrame, text: str, span: int, gram: i
     marked = settle(told.where(F.size("prints") > 0).dropDuplicates(["digest"]).select("digest", F.explode("prints").alias("print")))
     # a passage of many texts is a skewed join between two exchanges, which Spark splits
     hits = settle(marked.join(prints.hint("merge"), "print").groupBy("digest").agg(F.collect_list("print").alias("prints")))
-    texts = source.join(hits.hint("merge"), "digest").dropDuplicates(["digest"])
+    # copies are one text before they meet, task by task, so they never lie in one
+    texts = source.dropDuplicates(["digest"]).join(hits.hint("merge"), "digest")
     kind = T.StructType([T.StructField("windows", T.ArrayType(T.StructType([T.StructField("begin", T.LongType()), T.StructField("length", T.LongType()), T.StructField("window", T.StringType())])))])
     around = settle(append(texts, lambda: _window_kernel(span, gram, lengths), kind, ("t", "prints"), ["digest"]).select("digest", F.explode("windows").alias("w")).select("digest", "w.*"))
     met = settle(around.join(windows.hint("merge"), ["length", "window"]).select("digest", "begin", "length", "i").distinct())
