@@ -330,6 +330,25 @@ def test_decoding():
             assert best[r] == np.argmin(loss) and np.isclose(score[r], share[-1]) and np.isclose(lead[r], share[-1] - share[-2])
 
 
+def test_language_vectors():
+    """Hashed n-gram counts, gram by gram."""
+    texts = ["Été À la mer, 12 fois", "", "the cat", "x", " - ", "die Straße"]
+    data, at = tk.string_parts(pa.array(texts, pa.large_string()))
+    got = languages.vectors(data[: at[-1]], at)
+    for text, row in zip(texts, got, strict=True):
+        folded = [b if b >= 128 else (b | 32 if 65 <= b | 32 <= 122 and chr(b).isalpha() else 32) for b in text.encode()]
+        want = np.zeros(languages.DIMENSIONS)
+        for n in (1, 2, 3):
+            for i in range(len(folded) - n + 1):
+                if any(b != 32 for b in folded[i : i + n]):
+                    value = 0
+                    for b in folded[i : i + n]:
+                        value = (value * 0x01000193 + b) & 0xFFFFFFFF
+                    want[(value * 0x9E3779B1 & 0xFFFFFFFF) >> 20] += 1
+        want = np.sqrt(want)
+        assert np.allclose(row, want / max(np.linalg.norm(want), 1e-9), atol=1e-6)
+
+
 def test_languages_odd(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = languages.fit_languages(docs)
@@ -703,6 +722,25 @@ def test_toxicity_odd(spark):
         assert len(got) == len(ODD) and all(0 <= r["score"] <= 1 for r in got)
 
 
+def test_toxicity_by_hand(spark):
+    """Scores from the words and prefixes of a text, counted one by one."""
+    whole = lambda w: int(tk.words(np.frombuffer(w, np.uint8), np.array([0, len(w)]), tk.ALNUM_TABLE)[2][0])
+    start = lambda w: ~whole(w) & (1 << 64) - 1
+    weight = {b"foul": (1.0, 1.5, 2.5), b"fine": (-1.0, -1.0, -1.0)}
+    stems = {b"viler": (0.5, 1.25, 3.0), b"foul": (0.25, 0.5, 0.75)}
+    rows = sorted([(whole(w), x) for w, x in weight.items()] + [(start(w), x) for w, x in stems.items()])
+    model = toxicity.Model(np.array([h for h, _ in rows], np.uint64), np.array([x for _, x in rows]), -0.7)
+    texts = ["Foul, fine! foul", "vilers VILERY vilerest viler viler", "foulest fouler foul fine", "", None, "none of it"]
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(table(spark, list(enumerate(texts))), model).collect()}
+    for i, text in enumerate(texts):
+        words = set(re.findall(rb"[a-z0-9\x80-\xff]+", (text or "").lower().encode()))
+        f = -0.7 + sum(weight[w][0] for w in words if w in weight)
+        for stem, x in stems.items():
+            n = sum(w.startswith(stem) and len(w) > len(stem) for w in words)
+            f += x[min(n, 3) - 1] if n else 0
+        assert np.isclose(got[i], 1 / (1 + np.exp(-f))), text
+
+
 def test_risk_gradient():
     """The fitted weights have a risk that no small step in any direction lowers, the risk written out document by document."""
     rng = np.random.default_rng(2)
