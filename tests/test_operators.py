@@ -360,6 +360,83 @@ def test_lstm_weights(spark, wavs, tmp_path):
         encoders.load_weights(spark, str(tmp_path / "w.npz"), most=10)
 
 
+def checkpoint_bytes(arrays, packed, more=None):
+    """A checkpoint as the public library writes it, made with stand-ins for its classes."""
+    import io
+    import pickle
+    import sys
+    import types
+    import zipfile
+    from collections import OrderedDict
+
+    torch, utils = types.ModuleType("torch"), types.ModuleType("torch._utils")
+    kinds = {"<f4": "FloatStorage", "<f8": "DoubleStorage", "<i8": "LongStorage"}
+    for name in kinds.values():
+        setattr(torch, name, type(name, (), {"__module__": "torch"}))
+
+    def _rebuild_tensor_v2(*_):
+        pass
+
+    _rebuild_tensor_v2.__module__, _rebuild_tensor_v2.__qualname__ = "torch._utils", "_rebuild_tensor_v2"
+    utils._rebuild_tensor_v2 = _rebuild_tensor_v2
+    stored = {}
+
+    class Storage:
+        def __init__(self, key, x):
+            self.key, self.x = key, x
+
+    class Tensor:
+        def __init__(self, x, key):
+            self.x, self.storage = x, Storage(key, x)
+            stored[key] = x
+
+        def __reduce__(self):
+            flat = self.x.base if self.x.base is not None and self.x.base.ndim == 1 else self.x.ravel()
+            stored[self.storage.key] = flat
+            self.storage.x = flat
+            return utils._rebuild_tensor_v2, (self.storage, 0, self.x.shape, tuple(s // self.x.itemsize for s in self.x.strides), False, OrderedDict())
+
+    class Writer(pickle.Pickler):
+        def persistent_id(self, x):
+            if isinstance(x, Storage):
+                name = kinds[x.x.dtype.str]
+                return ("storage", getattr(torch, name), x.key, "cpu", x.x.size) + (() if packed else (None,))
+
+    sys.modules |= {"torch": torch, "torch._utils": utils}
+    try:
+        state = {"model_state": OrderedDict((k, Tensor(v, str(i))) for i, (k, v) in enumerate(arrays.items())), "step": 7, **(more or {})}
+        body = io.BytesIO()
+        Writer(body, protocol=2).dump(state)
+    finally:
+        del sys.modules["torch"], sys.modules["torch._utils"]
+    if packed:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr("archive/data.pkl", body.getvalue())
+            for key, x in stored.items():
+                z.writestr(f"archive/data/{key}", x.tobytes())
+        return out.getvalue()
+    head = b"".join(pickle.dumps(x, 2) for x in (encoders.MAGIC, encoders.VERSION, {"little_endian": True}))
+    tail = b"".join(x.size.to_bytes(8, "little") + x.tobytes() for x in stored.values())
+    return head + body.getvalue() + pickle.dumps(list(stored), 2) + tail
+
+
+@pytest.mark.parametrize("packed", [True, False])
+def test_checkpoints(spark, tmp_path, packed):
+    flat = np.arange(12, dtype="<f4")
+    arrays = {"a": flat.reshape(3, 4), "turned": np.arange(6, dtype="<f8").reshape(2, 3).T, "n": np.array([3], "<i8"), "similarity": np.array(2.5, "<f4")}
+    (tmp_path / "w.pt").write_bytes(checkpoint_bytes(arrays, packed))
+    got = encoders.load_weights(spark, str(tmp_path / "w.pt"))
+    assert set(got) == set(arrays) and all((got[k] == v).all() and got[k].dtype == v.dtype for k, v in arrays.items())
+    w = lstm_weights(4)
+    (tmp_path / "l.pt").write_bytes(checkpoint_bytes(w, packed))
+    x = np.random.default_rng(4).normal(size=(2, 5, 4))
+    assert np.allclose(encoders.LstmEncoder(encoders.load_weights(spark, str(tmp_path / "l.pt")))(x), encoders.LstmEncoder(w)(x))
+    for bad in (os.system, tmp_path):
+        with pytest.raises(ValueError):
+            encoders.checkpoint(checkpoint_bytes(arrays, packed, {"more": bad}))
+
+
 def emotion_weights(channels=6, size=8, depth=2):
     rng = np.random.default_rng(6)
     fill = lambda *shape: rng.normal(size=shape) * 0.5

@@ -1,8 +1,8 @@
 """Encoders with given weights, in numpy: a recurrent timbre encoder and a transformer for emotion.
 
-Weights are arrays under the names that the public model classes use, in an ``.npz`` file that
-Spark reads once and broadcasts; its size is checked first.  Names that an encoder does not need
-are ignored.
+Weights are arrays under the names that the public model classes use, in an ``.npz`` or checkpoint
+file that Spark reads once and broadcasts; its size is checked first.  Names that an encoder does
+not need are ignored.
 """
 
 from __future__ import annotations
@@ -10,7 +10,9 @@ from __future__ import annotations
 import functools
 import io
 import math
-from collections.abc import Iterator
+import pickle
+import zipfile
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -138,14 +140,78 @@ class EmotionEncoder:
         return self._linear("classifier.out_proj", np.tanh(self._linear("classifier.dense", self(samples))))
 
 
+#: Fixed values of the public checkpoint format: number and version that a plain file starts with, and its kinds of storage.
+MAGIC, VERSION = 0x1950A86A20F9469CFC6C, 1001
+STORAGES = {"FloatStorage": "<f4", "DoubleStorage": "<f8", "HalfStorage": "<f2", "LongStorage": "<i8", "IntStorage": "<i4", "ShortStorage": "<i2", "CharStorage": "<i1", "ByteStorage": "<u1", "BoolStorage": "?"}
+
+
+def _strided(storage: np.ndarray, offset: int, size: tuple, stride: tuple, *_) -> np.ndarray:
+    """A tensor as a view of its storage, inside it."""
+    last = offset + sum((n - 1) * s for n, s in zip(size, stride, strict=True)) if all(size) else offset - 1
+    if offset < 0 or min(stride, default=0) < 0 or last >= len(storage):
+        raise ValueError("a tensor reaches beyond its storage")
+    return np.lib.stride_tricks.as_strided(storage[offset:], size, [s * storage.itemsize for s in stride])
+
+
+class _Reader(pickle.Unpickler):
+    """Reads tensors and plain containers only; any other class in the file is refused."""
+
+    def __init__(self, file, storage: Callable[[str, str, int], np.ndarray]):
+        super().__init__(file)
+        self.storage = storage
+
+    def find_class(self, module: str, name: str):
+        if (module, name) == ("collections", "OrderedDict"):
+            return dict
+        if module in ("torch", "torch.storage") and name in STORAGES:
+            return name
+        if module == "torch._utils" and name in ("_rebuild_tensor", "_rebuild_tensor_v2"):
+            return _strided
+        if module == "torch._utils" and name == "_rebuild_parameter":
+            return lambda data, *_: data
+        raise ValueError(f"{module}.{name} is no part of a checkpoint of weights")
+
+    def persistent_load(self, key: tuple) -> np.ndarray:
+        _, kind, name, _, size = key[:5]
+        return self.storage(kind, str(name), int(size))
+
+
+def checkpoint(raw: bytes) -> Weights:
+    """The arrays of a checkpoint file, packed or plain, read without the library that wrote it; those under ``model_state``, if it has that."""
+    if raw[:2] == b"PK":
+        with zipfile.ZipFile(io.BytesIO(raw)) as packed:
+            body = next(n for n in packed.namelist() if n.endswith("/data.pkl"))
+            base = body.removesuffix("data.pkl")
+            found = _Reader(io.BytesIO(packed.read(body)), lambda kind, name, size: np.frombuffer(packed.read(f"{base}data/{name}"), STORAGES[kind])[:size]).load()
+    else:
+        file, made = io.BytesIO(raw), {}
+
+        def storage(kind: str, name: str, size: int) -> np.ndarray:
+            return made.setdefault(name, np.zeros(min(size, len(raw)), STORAGES[kind]))
+
+        plain = lambda: _Reader(file, storage).load()
+        if (plain(), plain()) != (MAGIC, VERSION):
+            raise ValueError("not a checkpoint of weights")
+        plain()
+        found = plain()
+        for name in plain():  # the storages follow, each after its length
+            size = int.from_bytes(file.read(8), "little")
+            made[str(name)][:] = np.frombuffer(file.read(size * made[str(name)].itemsize), made[str(name)].dtype)
+    found = found.get("model_state", found)
+    return {k: np.array(v) for k, v in found.items() if isinstance(v, np.ndarray)}
+
+
 def load_weights(spark: SparkSession, path: str, most: int = MAX_WEIGHTS) -> Weights:
-    """The arrays of an .npz file in any store that Spark reads; pickled contents are refused, larger files an error."""
+    """The arrays of an .npz or checkpoint file in any store that Spark reads; larger files, and objects other than arrays, are refused."""
     file = spark.read.format("binaryFile").load(path)
     size = file.agg(F.sum("length")).first()[0]
     if not size or size > most:
         raise ValueError(f"{path} has {size or 0} bytes; 1 to {most} are possible")
-    with np.load(io.BytesIO(file.select("content").first()[0]), allow_pickle=False) as arrays:
-        return {name: arrays[name] for name in arrays.files}
+    raw = bytes(file.select("content").first()[0])
+    if raw[:2] == b"PK" and not any(n.endswith("/data.pkl") for n in zipfile.ZipFile(io.BytesIO(raw)).namelist()):
+        with np.load(io.BytesIO(raw), allow_pickle=False) as arrays:
+            return {name: arrays[name] for name in arrays.files}
+    return checkpoint(raw)
 
 
 def _built(kind: type, sent, **options):
