@@ -42,3 +42,24 @@ def test_entry(spark):
 
     assert entry.entry(spark).columns == ["vec_id", "clust", "x", "y"]
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_entry_without_training_operators(monkeypatch):
+    import importlib.util
+    import sys
+
+    import __spark_entry__ as whole
+
+    monkeypatch.setitem(sys.modules, "timbrel.llm", None)
+    spec = importlib.util.spec_from_file_location("entry_alone", whole.__file__)
+    alone = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(alone)
+    assert set(alone.queries()) == set(plans.QUERIES) and set(alone.oracle_sql()) == set(plans.ORACLES)
+
+
+def test_core_does_not_need_training_operators():
+    from pathlib import Path
+
+    package = Path(plans.__file__).parents[1]
+    files = [f for f in package.rglob("*.py") if "llm" not in f.relative_to(package).parts]
+    assert len(files) > 15 and not any("timbrel.llm" in f.read_text() for f in files)
