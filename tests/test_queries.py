@@ -50,7 +50,8 @@ def test_entry_without_training_operators(monkeypatch):
 
     import __spark_entry__ as whole
 
-    monkeypatch.setitem(sys.modules, "timbrel.llm", None)
+    for name in ("timbrel.llm", "timbrel.llm.entry"):
+        monkeypatch.setitem(sys.modules, name, None)
     spec = importlib.util.spec_from_file_location("entry_alone", whole.__file__)
     alone = importlib.util.module_from_spec(spec)
     spec.loader.exec_module(alone)
