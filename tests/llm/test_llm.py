@@ -687,11 +687,12 @@ def brute_backoff(rows, least, alpha=0.4):
     return [(i, len(w), round(sum(np.log10(score(tuple(w[max(0, j - 2) : j + 1]))) for j in range(len(w))), 6), sum(count[tuple(w[j - 2 : j + 1])] >= max(2, least) for j in range(2, len(w)))) for (i, _), w in zip(rows, docs, strict=True)]
 
 
+@pytest.mark.parametrize("packed", [True, False])
 @pytest.mark.parametrize("least", [1, 2, 3])
-def test_backoff_by_hand(spark, least):
+def test_backoff_by_hand(spark, least, packed):
     rng = random.Random(least)
     rows = [(i, " ".join(rng.choice("abcdefgh") * rng.choice([1, 1, 2]) for _ in range(rng.randrange(25)))) for i in range(60)] + [(100, None), (101, " "), (3, "a a a a"), (3, "a a a a")]
-    got = backoff.score_documents(table(spark, rows), min_count=least, block_bytes=300, table_grams=50)
+    got = backoff.score_documents(table(spark, rows), min_count=least, block_bytes=300, table_grams=50, **({} if packed else {"most_messages": 0}))
     assert rows_of(got.withColumn("log10_score", F.round("log10_score", 6) + 0.0), "doc_id", "n_words", "log10_score", "n_seen") == sorted(brute_backoff(rows, least), key=str)
 
 

@@ -7,6 +7,8 @@ which add up all blocks and join the totals back to each block's n-grams.  An n-
 shorter one of total 1 occurs once itself, so it is neither sent nor answered.  With the totals at
 hand each block sums the scores of its documents.  What crosses the network is packed: sorted hashes
 and counts of one block and partition to a row.  n-grams are told apart by their 64-bit hash alone.
+The rows of a round grow with the square of the input; where they would hold next to nothing, the
+same counts come from plain joins of exploded n-grams to their count tables.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ ALPHA = 0.4
 BLOCK_BYTES = 12 << 20
 BYTES_OF_WORD = 6
 TABLE_GRAMS = 2 << 20
+#: Packed rows of a round, blocks times partitions, at most: with more, each would hold next to nothing.
+MAX_MESSAGES = 1 << 32
 
 SENT = "block long, n int, part long, hashes binary, counts binary"
 ANSWERED = "block long, n int, part long, totals binary"
@@ -245,7 +249,54 @@ def _later_round(parts: int, least: int, n: int):
     return run
 
 
-def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int = ORDER, min_count: int = MIN_COUNT, alpha: float = ALPHA, block_bytes: int = BLOCK_BYTES, table_grams: int = TABLE_GRAMS) -> DataFrame:
+def _word_lists(kind: T.DataType):
+    """Kernel and schema: rows (doc_id, text) to (key, doc_id, words), a key for each row and the hashes of its words."""
+    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("doc_id", kind), T.StructField("words", T.ArrayType(T.LongType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        key = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            for begin, end, data, at in tk.chunks(batch.column(1)):
+                _, _, hashes, row = tk.words(data, at, tk.SPACE_TABLE)
+                cut = pa.array(np.searchsorted(row, np.arange(end - begin + 1)).astype(np.int32))
+                lists = pa.ListArray.from_arrays(cut, pa.array(hashes.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(key, key + end - begin)), batch.column(0).slice(begin, end - begin), lists], names=schema.names)
+                key += end - begin
+        give_back()
+
+    return run, schema
+
+
+def score_relational(source: DataFrame, order: int, min_count: int, alpha: float) -> DataFrame:
+    """As ``score_documents``, of (doc_id, text), by joins of exploded n-grams to their count tables: a row for each word, linear at any size."""
+    kernel, schema = _word_lists(source.schema["doc_id"].dataType)
+    listed = settle(source.mapInArrow(kernel, schema))
+    i = F.col("i")
+    gram = lambda last, n: F.when(last >= n, F.slice("words", F.greatest(last - n + 1, F.lit(1)), F.lit(n)))
+    each = listed.where(F.size("words") > 0).select("key", "words", F.explode(F.sequence(F.lit(1), F.size("words"))).alias("i"))
+    # an n-gram, and for each longer than a word what stands before its last word
+    grams = [gram(i, n).alias(f"g{n}") for n in range(1, order + 1)] + [F.when(i >= n, gram(i - 1, n - 1)).alias(f"d{n}") for n in range(2, order + 1)]
+    each = settle(each.select("key", "i", *grams))
+    n_corpus = each.count() or 1
+    tables = {n: settle(each.where(F.col(f"g{n}").isNotNull()).groupBy(F.col(f"g{n}").alias("gram")).agg(F.count("*").alias("n"))) for n in range(1, order + 1)}
+    counted = each
+    for name, n in [(f"g{n}", n) for n in range(1, order + 1)] + [(f"d{n}", n - 1) for n in range(2, order + 1)]:
+        # counts are written first, so a common n-gram is a skewed join between two exchanges, which Spark splits
+        table = tables[n].select(F.col("gram").alias("known"), F.col("n").alias(f"n_{name}"))
+        counted = counted.join(table.hint("merge"), F.col(name) == F.col("known"), "left").drop("known", name)
+    value, seen = F.log10(F.col("n_g1") / F.lit(n_corpus)), F.lit(False)
+    for n in range(2, order + 1):
+        found = (i >= n) & (F.col(f"n_g{n}") >= min_count)
+        value = F.when(found, F.log10(F.col(f"n_g{n}") / F.col(f"n_d{n}"))).when(i >= n, value + math.log10(alpha)).otherwise(value)
+        seen = found & (F.col(f"n_g{n}") > 1)
+    summed = counted.groupBy("key").agg(F.sum(value).alias("log10_score"), F.sum(seen.cast("long")).alias("n_seen"))
+    scored = listed.select("key", "doc_id", F.size("words").cast("long").alias("n_words")).join(summed, "key", "left")
+    return scored.select("doc_id", "n_words", F.coalesce("log10_score", F.lit(0.0)).alias("log10_score"), F.coalesce("n_seen", F.lit(0)).cast("long").alias("n_seen"))
+
+
+def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int = ORDER, min_count: int = MIN_COUNT, alpha: float = ALPHA, block_bytes: int = BLOCK_BYTES, table_grams: int = TABLE_GRAMS, most_messages: int = MAX_MESSAGES) -> DataFrame:
     """doc_id, n_words, log10_score (summed over the words), n_seen (words that end an n-gram of the highest order that the corpus has twice or more, and ``min_count`` times) and seen_share (of the words that end one) for each row.
 
     A word scores count(n-gram) / count(n-gram without it) for its longest n-gram that occurs
@@ -253,7 +304,8 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     of all words.  Words are split at ASCII white space; n-grams stay within a text.  Counts are of
     all rows, repeated ones included, so by default every n-gram of a text was seen at least once,
     in it; ``alpha`` comes in with a higher ``min_count``.  Null, empty and blank texts score 0 with no words; extra
-    columns are ignored; an empty table gives an empty one.
+    columns are ignored; an empty table gives an empty one.  Where blocks and partitions would
+    exchange more than ``most_messages`` rows a round, n-grams are joined one row each instead.
     """
     spark = docs.sparkSession
     kind = docs.schema[doc_id].dataType
@@ -261,6 +313,9 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     packed = T.StructType([T.StructField("block", T.LongType()), T.StructField("doc_ids", T.ArrayType(kind)), T.StructField("sizes", T.ArrayType(T.LongType())), T.StructField("vocabulary", T.BinaryType()), T.StructField("codes", T.BinaryType())])
     n_bytes = source.agg(F.sum(F.octet_length("text").cast("long")).alias("n")).first()["n"] or 0
     parts = max(1, math.ceil(n_bytes / BYTES_OF_WORD / table_grams))
+    with_share = lambda df: df.withColumn("seen_share", F.col("n_seen") / F.greatest(F.col("n_words") - (order - 1), F.lit(1)))
+    if parts * math.ceil(n_bytes / block_bytes) > most_messages:
+        return with_share(score_relational(source, order, min_count, alpha))
     # blocks and answers are dealt once each, and all rounds read these exchanges; a lost one is dealt again alike
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = source.mapInArrow(_blocks(block_bytes), packed).repartition(partitions, "block")
@@ -287,8 +342,7 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # words scored alone are counted against all words, whose number is known only now
     n_corpus = scored.agg(F.sum("n_words").alias("n")).first()["n"] or 1
     total = F.col("part_score") - F.col("n_alone") * F.lit(math.log10(n_corpus))
-    share = F.col("n_seen") / F.greatest(F.col("n_words") - (order - 1), F.lit(1))
-    return scored.select("doc_id", "n_words", total.alias("log10_score"), "n_seen", share.alias("seen_share"))
+    return with_share(scored.select("doc_id", "n_words", total.alias("log10_score"), "n_seen"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
