@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from timbrel.llm import backoff, conversations, decontamination, jaccard, languages, packing, quality, repeats, secrets, toxicity
+from timbrel.llm import backoff, conversations, decontamination, jaccard, languages, manifest, packing, quality, repeats, secrets, toxicity
 
 QUERIES = {
     "op1_secret_scans": secrets.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_benchmark_decontamination": decontamination.query,
     "op9_lm_scoring": backoff.query,
     "op10_toxicity": toxicity.query,
+    "op12_merkle_manifest": manifest.query,
 }
 
 ORACLES = {
@@ -23,4 +24,5 @@ ORACLES = {
     "op9_lm_scoring": backoff.SQL,
     "op5_chat_formatting": conversations.SQL,
     "op8_benchmark_decontamination": decontamination.SQL,
+    "op12_merkle_manifest": manifest.SQL,
 }

@@ -143,3 +143,15 @@ SPACE_TABLE = byte_table(b" \t\n\v\f\r", lower=False).astype(np.uint16)
 SPACE_TABLE[0] = 256
 #: Words are runs of ASCII letters, digits and all non-ASCII characters; A-Z folded.
 ALNUM_TABLE = byte_table(bytes([*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]), lower=True)
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB's expression for the unsigned CRC-32 of a string's UTF-8 bytes, four bits at a time."""
+    table = []
+    for c in range(16):
+        for _ in range(4):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        table.append(c)
+    # of each byte the low four bits come first
+    bits = f"list_transform(range(strlen({text}) * 2), lambda i: instr('0123456789ABCDEF', substr(hex({text}), CAST(xor(i, 1) AS BIGINT) + 1, 1)) - 1)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {bits}), lambda c, b: xor(c >> 4, ({table})[CAST(xor(c & 15, b) AS BIGINT) + 1])), 4294967295::BIGINT)"
