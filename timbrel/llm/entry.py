@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from timbrel.llm import backoff, conversations, decontamination, jaccard, languages, manifest, packing, quality, repeats, secrets, toxicity
+from timbrel.llm import backoff, conversations, decontamination, jaccard, languages, manifest, packing, quality, repeats, resampling, secrets, toxicity
 
 QUERIES = {
     "op1_secret_scans": secrets.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_lm_scoring": backoff.query,
     "op10_toxicity": toxicity.query,
     "op12_merkle_manifest": manifest.query,
+    "op13_importance_resampling": resampling.query,
 }
 
 ORACLES = {
@@ -25,4 +26,5 @@ ORACLES = {
     "op5_chat_formatting": conversations.SQL,
     "op8_benchmark_decontamination": decontamination.SQL,
     "op12_merkle_manifest": manifest.SQL,
+    "op13_importance_resampling": resampling.SQL,
 }
