@@ -39,7 +39,7 @@ def rows_of(df, *columns):
 
 def sql_rows(sql, sf=SF, **views):
     c = duckdb.connect()
-    for name in ("documents", "benchmark", "labels", "conversations"):
+    for name in ("documents", "benchmark", "labels", "conversations", "embeddings"):
         c.sql(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet'") if name not in views else c.register(name, views[name])
     frame = c.sql(sql).df()
     return sorted(map(str, frame[sorted(frame.columns)].itertuples(index=False, name=None)))

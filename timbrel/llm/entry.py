@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from timbrel.llm import backoff, conversations, decontamination, jaccard, languages, manifest, packing, quality, repeats, resampling, secrets, toxicity
+from timbrel.llm import backoff, conversations, decontamination, jaccard, languages, manifest, neighbours, packing, quality, repeats, resampling, secrets, toxicity
 
 QUERIES = {
     "op1_secret_scans": secrets.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_benchmark_decontamination": decontamination.query,
     "op9_lm_scoring": backoff.query,
     "op10_toxicity": toxicity.query,
+    "op11_nearest_neighbours": neighbours.query,
     "op12_merkle_manifest": manifest.query,
     "op13_importance_resampling": resampling.query,
 }
@@ -25,6 +26,7 @@ ORACLES = {
     "op9_lm_scoring": backoff.SQL,
     "op5_chat_formatting": conversations.SQL,
     "op8_benchmark_decontamination": decontamination.SQL,
+    "op11_nearest_neighbours": neighbours.SQL,
     "op12_merkle_manifest": manifest.SQL,
     "op13_importance_resampling": resampling.SQL,
 }
