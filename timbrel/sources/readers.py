@@ -11,12 +11,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from timbrel.sources import arrays, sound
 from timbrel.sources.tables import settle
 
 #: The public result of clustering.
@@ -63,38 +63,23 @@ def numbered(names: DataFrame, name: str) -> DataFrame:
 def decode(content: bytes, rate: int = RATE) -> np.ndarray:
     """Mono float32 samples in [-1, 1] at ``rate`` from PCM wave bytes of 8, 16, 24 or 32 bits."""
     with wave.open(io.BytesIO(content)) as f:
-        width, channels, own = f.getsampwidth(), f.getnchannels(), f.getframerate()
-        raw = f.readframes(f.getnframes())
-    if width == 1:
-        x = (np.frombuffer(raw, np.uint8).astype(np.float32) - 128) / 128
-    elif width == 3:
-        b = np.frombuffer(raw, np.uint8).reshape(-1, 3).astype(np.int32)
-        x = (((b[:, 2] << 24) | (b[:, 1] << 16) | (b[:, 0] << 8)) >> 8).astype(np.float32) / (1 << 23)
-    else:
-        x = np.frombuffer(raw, {2: "<i2", 4: "<i4"}[width]).astype(np.float32) / float(1 << (8 * width - 1))
-    if channels > 1:
-        x = x[: len(x) // channels * channels].reshape(-1, channels).mean(axis=1)
-    if own != rate and len(x):
-        n = max(1, round(len(x) * rate / own))
-        x = np.interp(np.arange(n) * own / rate, np.arange(len(x)), x)
-    return x.astype(np.float32)
-
-
-def preprocess(x: np.ndarray, target_dbfs: float = -30.0, window: int = RATE * 30 // 1000, floor: float = 0.01) -> np.ndarray:
-    """Volume raised to the target level, long silences trimmed by window energy."""
+        x = sound.pcm(f.readframes(f.getnframes()), f.getsampwidth(), f.getnchannels())
+        return sound.resample(x, f.getframerate(), rate)
+
+
+def preprocess(x: np.ndarray, target_dbfs: float = -30.0, rate: int = RATE) -> np.ndarray:
+    """Volume raised to the target level, windows without speech cut out; a recording shorter than a window stays."""
     if not len(x):
         return x
     power = float(np.sqrt((x**2).mean()))
     if power > 0:
         gain = 10 ** (target_dbfs / 20) / power
         x = x * gain if gain > 1 else x
-    frames = x[: len(x) // window * window].reshape(-1, window)
+    size = int(rate * sound.WINDOW)
+    frames = x[: len(x) // size * size].reshape(-1, size)
     if not len(frames):
         return x.astype(np.float32)
-    level = np.sqrt((frames**2).mean(axis=1))
-    smooth = np.convolve(level, np.ones(8) / 8, mode="same")
-    voiced = np.convolve(smooth > floor * max(float(level.max()), 1e-12), np.ones(6), mode="same") > 0
-    return frames[voiced].ravel().astype(np.float32)
+    return frames[sound.voiced(sound.levels(x, rate))].ravel().astype(np.float32)
 
 
 def waveforms(files: DataFrame, rate: int = RATE, trim: bool = False) -> DataFrame:
@@ -110,20 +95,17 @@ def waveforms(files: DataFrame, rate: int = RATE, trim: bool = False) -> DataFra
 
 
 def npy_matrix(spark: SparkSession, path: str) -> DataFrame:
-    """(id, v) rows of a rank-2 .npy matrix; pickled contents are refused."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for content in batch.column("content"):
-                m = np.load(io.BytesIO(content.as_py()), allow_pickle=False)
-                if m.ndim != 2:
-                    raise ValueError(f"a matrix has 2 dimensions, not {m.ndim}")
-                for a in range(0, len(m), 4096):
-                    part = np.ascontiguousarray(m[a : a + 4096], np.float64)
-                    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, part.size + 1, max(1, m.shape[1]), dtype=np.int32)), pa.array(part.ravel()))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.arange(a, a + len(part))), lists], names=["id", "v"])
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "id long, v array<double>")
+    """(id, v) rows of a rank-2 .npy matrix, or of a folder of matrices one after the other; pickled contents are refused."""
+    rows, heads = arrays.matrices(spark, path), settle(arrays.headers(spark, path))
+    shape = heads.agg(F.count("*").alias("files"), F.min("columns").alias("low"), F.max("columns").alias("high")).first()
+    if shape["low"] != shape["high"]:
+        raise ValueError("matrices of one folder have one width")
+    if shape["files"] < 2:
+        return rows.select("id", "v")
+    # one row a file meets in one task
+    before = F.coalesce(F.sum("rows").over(W.orderBy("path").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).cast("long")
+    starts = settle(heads.select("path", before.alias("before")))
+    return rows.join(starts, "path").select((F.col("before") + F.col("id")).alias("id"), "v")
 
 
 def vocabulary(spark: SparkSession, path: str) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from timbrel.sources.readers import basename
+from timbrel.sources.stores import reached
 
 
 def assignment_csv(df: DataFrame, path: str) -> None:
@@ -62,7 +63,7 @@ def scatter_png(grid: DataFrame, path: str, colors: Sequence[tuple[int, int, int
     image = np.full((height, width, 3), 255, np.uint8)
     for r in sorted(grid.collect(), key=lambda r: (r["clust"], r["py"], r["px"])):
         image[max(0, r["py"] - mark) : r["py"] + mark + 1, max(0, r["px"] - mark) : r["px"] + mark + 1] = colors[r["clust"] % len(colors)]
-    store, at = _reached(path)
+    store, at = reached(path)
     store.create_dir(at.rpartition("/")[0] or ".", recursive=True)
     with store.open_output_stream(at) as out:
         out.write(png(image))
@@ -88,6 +89,24 @@ def wav_files(waves: DataFrame, rate: int = 16_000, pad: float = 0.5) -> DataFra
     return waves.select("filename", "samples").mapInPandas(run, "filename string, content binary")
 
 
+def write_files(files: DataFrame, folder: str) -> DataFrame:
+    """(path): write each (filename, content) into ``folder``, under its name's last part; beside its place first, then renamed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, at = reached(folder)
+        store.create_dir(at, recursive=True)
+        for batch in batches:
+            names = batch.column(0).to_pylist()
+            for name, content in zip(names, batch.column(1), strict=True):
+                part = f"{at}/.{uuid.uuid4().hex}.part"
+                with store.open_output_stream(part) as out:
+                    out.write(content.as_buffer())
+                store.move(part, f"{at}/{name}")
+            yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}" for name in names], pa.string())], names=["path"])
+
+    return files.select(basename("filename").alias("filename"), "content").mapInArrow(run, "path string")
+
+
 def route_plan(assigned: DataFrame, out: str) -> DataFrame:
     """(src, dst, collides) to copy every file to ``out``/<clust>/; collides where two have one destination."""
     plan = assigned.select(F.col("filename").alias("src"), F.concat_ws("/", F.lit(out.rstrip("/")), F.col("clust").cast("string"), basename("filename")).alias("dst"))
@@ -103,13 +122,9 @@ def kick_plan(assigned: DataFrame, clust: int, folder: str) -> DataFrame:
     return plan.join(many, "dst").select("src", "dst", "collides")
 
 
-def _reached(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
-
-
 def _carry(src: str, dst: str, move: bool) -> None:
     """Copied beside its place and then renamed, so a task that is lost leaves no half file; a file already moved is done."""
-    (source, a), (target, b) = _reached(src), _reached(dst)
+    (source, a), (target, b) = reached(src), reached(dst)
     there = source.get_file_info(a).type != fs.FileType.NotFound
     if move and not there and target.get_file_info(b).type != fs.FileType.NotFound:
         return
