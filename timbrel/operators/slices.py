@@ -42,6 +42,15 @@ def partial_slices(df: DataFrame, n_samples: Column | str, id_col: str = "id", r
     return kept.select("id", "part", "mel_start", (F.col("mel_start") + WIDTH).alias("mel_stop"), start.alias("wav_start"), (start + WIDTH * FRAME).alias("wav_stop"))
 
 
+def slice_starts(n_samples: int, rate: float = 1.3, min_coverage: float = 0.75) -> np.ndarray:
+    """First frames of one recording's slices, as ``partial_slices`` has them."""
+    step = frame_step(rate)
+    starts = np.arange(0, max(1, -(-(n_samples + 1) // FRAME) - WIDTH + step + 1), step)
+    if len(starts) > 1 and (n_samples - starts[-1] * FRAME) / (WIDTH * FRAME) < min_coverage:
+        return starts[:-1]
+    return starts
+
+
 #: Fixed values of the auditory scale that the published encoder's front end uses: linear to 1000 Hz, logarithmic above.
 MEL_HZ, MEL_TURN, MEL_STEP = 200 / 3, 1000.0, np.log(6.4) / 27
 
@@ -60,7 +69,11 @@ def mel_filters(bands: int = BANDS, size: int = 400, rate: int = RATE) -> np.nda
 
 def mel_spectrogram(x: np.ndarray, bands: int = BANDS, size: int = 400, hop: int = FRAME) -> np.ndarray:
     """(frames, bands) powers of 25 ms windows every 10 ms, centred."""
-    padded = np.pad(np.asarray(x, np.float32), (size // 2, size // 2))
+    return mel_windows(np.pad(np.asarray(x, np.float32), (size // 2, size // 2)), bands, size, hop)
+
+
+def mel_windows(padded: np.ndarray, bands: int = BANDS, size: int = 400, hop: int = FRAME) -> np.ndarray:
+    """(frames, bands) powers of the windows that start every ``hop`` samples and lie wholly within ``padded``."""
     frames = 1 + max(0, len(padded) - size) // hop
     at = np.arange(size)[None] + hop * np.arange(frames)[:, None]
     window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(size) / size)
@@ -72,6 +85,13 @@ Encoder = Callable[[np.ndarray], np.ndarray]
 _encoders: dict[str, Callable[[], Encoder]] = {}
 
 
+def partial_encoder(name: str) -> Callable[[], Encoder]:
+    """What makes the encoder of slices registered by that name."""
+    if name not in _encoders:
+        raise ValueError(f"unknown encoder {name!r}")
+    return _encoders[name]
+
+
 def register_encoder(name: str, make: Callable[[], Encoder]) -> None:
     """``make`` runs once a worker, when first needed: load weights there."""
     _encoders[name] = make
@@ -136,9 +156,7 @@ ENCODERS = ("timbre", "emotion", "mix")
 
 def embed_partials(waves: DataFrame, encoder: str = "timbre", rate: float = 1.3, min_coverage: float = 0.75) -> DataFrame:
     """(id, filename, part, v): one vector for each slice of each recording, batches of all slices of some recordings."""
-    if encoder not in _encoders:
-        raise ValueError(f"unknown encoder {encoder!r}")
-    make = _encoders[encoder]
+    make = partial_encoder(encoder)
     cut = partial_slices(waves, "n_samples", "id", rate, min_coverage)
     plan = cut.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("part", "mel_start", "mel_stop", "wav_stop"))).alias("slices"))
 

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from timbrel.functions import vectors as V
-from timbrel.operators import density, postprocess, project, series, similarity, slices, spectral
+from timbrel.operators import chunks, density, intervals, postprocess, project, series, similarity, slices, spectral
 from timbrel.plans import clustering
-from timbrel.sources import readers, writers
+from timbrel.sources import arrays, readers, writers
+from timbrel.sources.tables import scratch
+from timbrel.streaming import trailing
 
 #: Spectral options on the driver's vectors: with nmin 1 a connected graph is nearly always one cluster.
 NMIN = 2
@@ -252,6 +256,44 @@ def path_numbers(spark, sf_dir):
     return readers.numbered(_table(spark, sf_dir, "pages").select("url").distinct(), "url")
 
 
+def matrix_shares(spark, sf_dir):
+    """Vectors written as .npy matrices in order of id, and their rows read again by shares of the files."""
+    folder = f"{scratch(spark)}/matrix-{uuid.uuid4().hex}"
+    arrays.write_matrices(_points(spark, sf_dir).select("id", "v").repartitionByRange("id").sortWithinPartitions("id"), folder, partition_bytes=1 << 16)
+    flat = readers.npy_matrix(spark, folder).select("id", F.posexplode("v").alias("pos", "x"))
+    return flat.select("id", "pos", V.tidy(F.col("x")).alias("x"))
+
+
+def recording_power(spark, sf_dir):
+    """Mean square of recordings read in chunks: each thousand event numbers' values as a wave file of eight samples a second."""
+    folder = f"{scratch(spark)}/waves-{uuid.uuid4().hex}"
+    events = _table(spark, sf_dir, "events").select(F.concat(F.floor(F.col("event_id") / 1000).cast("string"), F.lit(".wav")).alias("filename"), "event_id", (F.col("value") / 1000).alias("x"))
+    waves = events.groupBy("filename").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "x"))), lambda s: s["x"]).alias("samples"))
+    writers.write_files(writers.wav_files(waves, rate=8, pad=0.0), folder).write.format("noop").mode("overwrite").save()
+    power = chunks.loudness(arrays.wave_chunks(spark, folder, seconds=10, halo=3, rate=0))
+    return power.select(readers.basename("path").alias("recording"), "n_samples", V.tidy(F.col("power"), 9).alias("power"))
+
+
+def slice_frames(spark, sf_dir):
+    """Frames within slices: each user's events in the twelve hours from each of its errors on."""
+    events = _table(spark, sf_dir, "events")
+    spans = events.where("event_type = 'error'").select("user_id", F.col("event_id").alias("slice"), F.col("ts").alias("from"), (F.col("ts") + F.expr("interval 12 hours")).alias("to"))
+    return intervals.within(events.select("user_id", "event_id", "ts"), spans, "ts", "from", "to", ["user_id"]).select("slice", "event_id")
+
+
+def trailing_stream(spark, sf_dir):
+    """Trailing frames as a stream tells them: events come in three waves, up to a day out of order, then one frame that ends it."""
+    events = _table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("user"), "ts", "event_id", "value")
+    low, high = events.agg(F.min("ts"), F.max("ts")).first()
+    began, whole = (F.unix_micros(F.lit(x).cast("timestamp")) for x in (low, high))
+    shift = F.pmod(F.xxhash64("event_id"), F.lit(86_400_000_000))
+    wave = F.least(F.lit(2), F.floor((F.unix_micros(F.col("ts").cast("timestamp")) + shift - began) * 3 / (whole - began + 1)))
+    last = events.agg((F.max("ts") + F.expr("interval 30 days")).alias("ts")).select(F.lit("~").alias("user"), "ts", F.lit(0).cast(events.schema["event_id"].dataType).alias("event_id"), F.lit(0.0).alias("value"))
+    arrivals = [events.where(wave == k) for k in range(3)] + [last]
+    told = trailing.replayed(spark, arrivals, f"{scratch(spark)}/stream-{uuid.uuid4().hex}", "user", "ts", "event_id", "value", 5, "25 hours")
+    return told.where("key <> '~'").select(F.col("place").alias("event_id"), V.tidy(F.col("trailing")).alias("trailing"))
+
+
 def cluster_centers_2d(spark, sf_dir):
     return project.centers(_assigned(spark, sf_dir)).select("clust", V.tidy(F.col("x")).alias("x"), V.tidy(F.col("y")).alias("y"))
 
@@ -299,6 +341,7 @@ QUERIES = {
         cosine_pairs, knn_prune, sym_affinity, degree, laplacian_triples, heat_map, l2_normalize, speaker_embedding, cluster_sizes, minor_major, centroids, absorb_minor,
         centroid_affinity, best_merge_pair, merge_by_cosine, small_n_fallback, eigen_gaps, partial_slices, slice_mid_times, mix_concat, transcript_semi_join, cache_misses,
         route_plan, kick_filter, url_basename, vocab_invert, diarize_frames, trailing_frame, density_histogram, group_median, viewer_palette, viewer_rows, viewer_audio, cluster_centers_2d,
+        matrix_shares, recording_power, slice_frames, trailing_stream,
         viewer_selected, viewer_accepts, palette_colors, line_colors, cropped_frames, frame_delays, frame_rates, nmin_of_spectrum, assignment_frame, matrix_tokens, path_numbers, scatter_grid,
         embedding_heat_map, nmin_sweep, spectral_cluster, hdbscan, umap_hdbscan, project_2d, project_tsne, flagship,
     )
@@ -367,6 +410,10 @@ ORACLES = {
     "scatter_grid": f"WITH {_A}, s AS (SELECT min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy FROM a), p AS (SELECT CAST(floor((x - lx) / (hx - lx) * 23 + 0.5) AS INTEGER) AS px, 17 - CAST(floor((y - ly) / (hy - ly) * 17 + 0.5) AS INTEGER) AS py, clust FROM a CROSS JOIN s), n AS (SELECT px, py, clust, count(*) AS n FROM p GROUP BY ALL) SELECT px, py, clust FROM n QUALIFY row_number() OVER (PARTITION BY px, py ORDER BY n DESC, clust) = 1",
     "path_numbers": "SELECT url, row_number() OVER (ORDER BY url) - 1 AS id FROM (SELECT DISTINCT url FROM pages)",
     "matrix_tokens": "SELECT '</PAD>' AS token, 1 AS clust UNION ALL SELECT DISTINCT p_brand, 1 FROM part",
+    "matrix_shares": f"WITH {_E}, n AS (SELECT row_number() OVER (ORDER BY id) - 1 AS id, v FROM e), f AS (SELECT id, unnest(v) AS x, unnest(generate_series(0, len(v) - 1)) AS pos FROM n) SELECT id, CAST(pos AS INTEGER) AS pos, round(x, 6) + 0.0 AS x FROM f",
+    "recording_power": "WITH s AS (SELECT event_id // 1000 AS r, CAST(trunc(greatest(-1.0, least(1.0, value / 1000)) * 32767) AS INTEGER) / 32768.0::DOUBLE AS x FROM events) SELECT r || '.wav' AS recording, count(*) AS n_samples, round(sum(x * x) / count(*), 9) + 0.0 AS power FROM s GROUP BY r",
+    "slice_frames": "SELECT s.event_id AS slice, e.event_id FROM events s JOIN events e ON e.user_id = s.user_id AND e.ts >= s.ts AND e.ts < s.ts + INTERVAL 12 HOUR WHERE s.event_type = 'error'",
+    "trailing_stream": "SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND CURRENT ROW), 6) + 0.0 AS trailing FROM events",
     "cluster_centers_2d": f"WITH {_A} SELECT clust, round(avg(x), 6) + 0.0 AS x, round(avg(y), 6) + 0.0 AS y FROM a GROUP BY clust",
     "embedding_heat_map": f"WITH {_E}, f AS (SELECT id, unnest(v) AS x, unnest(generate_series(0, len(v) - 1)) AS pos, CAST(floor(sqrt(len(v))) AS BIGINT) AS h, len(v) AS n FROM e) SELECT id AS vec_id, CAST(pos // (n // h) AS INTEGER) AS \"row\", CAST(pos % (n // h) AS INTEGER) AS col, round(x, 6) + 0.0 AS x FROM f",
     # one merge at this threshold and scale (labels 2 and 5), unrolled: a second is tested for and would join too
