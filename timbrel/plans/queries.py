@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from timbrel.functions import vectors as V
-from timbrel.operators import chunks, density, intervals, postprocess, project, series, similarity, slices, spectral
+from timbrel.operators import chunks, density, intervals, neighbours, postprocess, project, series, similarity, simjoin, slices, spectral
 from timbrel.plans import clustering
 from timbrel.sources import arrays, readers, writers
 from timbrel.sources.tables import scratch
@@ -19,6 +19,7 @@ from timbrel.streaming import trailing
 NMIN = 2
 MERGE_AT = 0.30
 ABSORB_UNDER = 48
+SIMILAR = 0.5
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -256,6 +257,15 @@ def path_numbers(spark, sf_dir):
     return readers.numbered(_table(spark, sf_dir, "pages").select("url").distinct(), "url")
 
 
+def similar_pairs(spark, sf_dir):
+    """Pairs of a least cosine, by cells instead of all pairs."""
+    return simjoin.similar_pairs(_points(spark, sf_dir), SIMILAR).select("i", "j", V.tidy(F.col("c")).alias("c"))
+
+
+def neighbour_graph(spark, sf_dir):
+    return neighbours.neighbour_graph(_points(spark, sf_dir)).select("i", "j", V.tidy(F.col("c")).alias("c"))
+
+
 def matrix_shares(spark, sf_dir):
     """Vectors written as .npy matrices in order of id, and their rows read again by shares of the files."""
     folder = f"{scratch(spark)}/matrix-{uuid.uuid4().hex}"
@@ -341,7 +351,7 @@ QUERIES = {
         cosine_pairs, knn_prune, sym_affinity, degree, laplacian_triples, heat_map, l2_normalize, speaker_embedding, cluster_sizes, minor_major, centroids, absorb_minor,
         centroid_affinity, best_merge_pair, merge_by_cosine, small_n_fallback, eigen_gaps, partial_slices, slice_mid_times, mix_concat, transcript_semi_join, cache_misses,
         route_plan, kick_filter, url_basename, vocab_invert, diarize_frames, trailing_frame, density_histogram, group_median, viewer_palette, viewer_rows, viewer_audio, cluster_centers_2d,
-        matrix_shares, recording_power, slice_frames, trailing_stream,
+        similar_pairs, neighbour_graph, matrix_shares, recording_power, slice_frames, trailing_stream,
         viewer_selected, viewer_accepts, palette_colors, line_colors, cropped_frames, frame_delays, frame_rates, nmin_of_spectrum, assignment_frame, matrix_tokens, path_numbers, scatter_grid,
         embedding_heat_map, nmin_sweep, spectral_cluster, hdbscan, umap_hdbscan, project_2d, project_tsne, flagship,
     )
@@ -410,6 +420,7 @@ ORACLES = {
     "scatter_grid": f"WITH {_A}, s AS (SELECT min(x) AS lx, max(x) AS hx, min(y) AS ly, max(y) AS hy FROM a), p AS (SELECT CAST(floor((x - lx) / (hx - lx) * 23 + 0.5) AS INTEGER) AS px, 17 - CAST(floor((y - ly) / (hy - ly) * 17 + 0.5) AS INTEGER) AS py, clust FROM a CROSS JOIN s), n AS (SELECT px, py, clust, count(*) AS n FROM p GROUP BY ALL) SELECT px, py, clust FROM n QUALIFY row_number() OVER (PARTITION BY px, py ORDER BY n DESC, clust) = 1",
     "path_numbers": "SELECT url, row_number() OVER (ORDER BY url) - 1 AS id FROM (SELECT DISTINCT url FROM pages)",
     "matrix_tokens": "SELECT '</PAD>' AS token, 1 AS clust UNION ALL SELECT DISTINCT p_brand, 1 FROM part",
+    "similar_pairs": f"WITH {_E} SELECT a.id AS i, b.id AS j, round(list_cosine_similarity(a.v, b.v), 6) + 0.0 AS c FROM e a JOIN e b ON a.id < b.id AND list_cosine_similarity(a.v, b.v) >= {SIMILAR}",
     "matrix_shares": f"WITH {_E}, n AS (SELECT row_number() OVER (ORDER BY id) - 1 AS id, v FROM e), f AS (SELECT id, unnest(v) AS x, unnest(generate_series(0, len(v) - 1)) AS pos FROM n) SELECT id, CAST(pos AS INTEGER) AS pos, round(x, 6) + 0.0 AS x FROM f",
     "recording_power": "WITH s AS (SELECT event_id // 1000 AS r, CAST(trunc(greatest(-1.0, least(1.0, value / 1000)) * 32767) AS INTEGER) / 32768.0::DOUBLE AS x FROM events) SELECT r || '.wav' AS recording, count(*) AS n_samples, round(sum(x * x) / count(*), 9) + 0.0 AS power FROM s GROUP BY r",
     "slice_frames": "SELECT s.event_id AS slice, e.event_id FROM events s JOIN events e ON e.user_id = s.user_id AND e.ts >= s.ts AND e.ts < s.ts + INTERVAL 12 HOUR WHERE s.event_type = 'error'",
