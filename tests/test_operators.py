@@ -133,6 +133,69 @@ def test_merge(spark):
         postprocess.merge_by_cosine(frame(spark, exact, [0, 1]), 0)
 
 
+def plain_merge(names, sums, counts, threshold):
+    """The published loop: all cosines again after each merge."""
+    sums, counts = dict(zip(names, sums, strict=True)), dict(zip(names, counts, strict=True))
+    to = {c: c for c in names}
+    while len(sums) > 1:
+        order = sorted(sums)
+        m = np.stack([sums[c] / counts[c] for c in order])
+        unit = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
+        aff = np.triu(unit @ unit.T, 1)
+        i, j = np.unravel_index(int(aff.argmax()), aff.shape)
+        if i >= j or aff[i, j] < threshold:
+            break
+        keep, gone = order[i], order[j]
+        sums[keep] = sums[keep] + sums.pop(gone)
+        counts[keep] += counts.pop(gone)
+        to = {c: keep if t == gone else t for c, t in to.items()}
+    return to
+
+
+def directions(kind, seed):
+    rng = np.random.default_rng(seed)
+    if kind == "chain":  # each near the next: merging drifts along
+        return np.stack([np.cos(np.arange(30) / 5), np.sin(np.arange(30) / 5)], axis=1) + rng.normal(size=(30, 2)) * 0.01
+    if kind == "noise":
+        return rng.normal(size=(60, 4))
+    centres = rng.normal(size=(12, 24))
+    return centres[rng.integers(0, 12, 90)] + 0.3 * rng.normal(size=(90, 24))
+
+
+@pytest.mark.parametrize("kind,threshold", [("chain", 0.97), ("noise", 0.8), ("noise", 0.3), ("groups", 0.9), ("groups", 0.5)])
+def test_merging_of_many_labels(spark, kind, threshold):
+    """Groups that cannot touch give what the plain loop gives, wherever the bound of one task lies."""
+    m = directions(kind, 5)
+    names = np.random.default_rng(1).permutation(len(m)) * 3
+    n = np.random.default_rng(2).integers(1, 9, len(m))
+    order = np.argsort(names)
+    want = plain_merge(names[order].tolist(), (m * n[:, None])[order], n[order].tolist(), threshold)
+    assert postprocess.merge_loop(names[order], (m * n[:, None])[order], n[order], threshold) == want
+    table = spark.createDataFrame([(int(c), v.tolist(), int(k)) for c, v, k in zip(names, m, n, strict=True)], "clust int, cv array<double>, n long")
+    for limit in (10_000, 5):
+        got = {r["clust"]: r["merged"] for r in postprocess.merged_labels(table, threshold, limit, block=16).collect()}
+        assert {c: got.get(c, c) for c in want} == want
+    roots = {r["clust"]: r["root"] for r in postprocess.merge_groups(table, threshold, 16).collect()}
+    assert all(roots[a] == roots[b] for a, b in want.items())
+    if kind == "groups" and threshold == 0.9:
+        assert len(set(roots.values())) > 5
+
+
+def test_more_labels_than_one_place_holds(spark, monkeypatch):
+    monkeypatch.setattr(postprocess, "MAX_LABELS", 4)
+    x = directions("groups", 3)
+    labels = np.arange(len(x)) // 3
+    df = frame(spark, x, labels)
+    pairs = {(r["c1"], r["c2"]): r["aff"] for r in postprocess.centroid_affinity(df).collect()}
+    c = np.stack([x[labels == k].mean(axis=0) for k in range(30)])
+    unit = c / np.linalg.norm(c, axis=1, keepdims=True)
+    assert len(pairs) == 435 and all(abs(v - (unit @ unit.T)[k]) < 1e-9 for k, v in pairs.items())
+    top = postprocess.best_merge_pair(df).first()
+    assert (top["c1"], top["c2"]) == max(pairs, key=pairs.get)
+    want = plain_merge(list(range(30)), [x[labels == k].sum(axis=0) for k in range(30)], [3] * 30, 0.4)
+    assert labels_of(postprocess.merge_by_cosine(df, 0.4, 4)) == [want[k] for k in labels]
+
+
 def test_density():
     rng = np.random.default_rng(2)
     x = np.concatenate([rng.normal(size=(40, 2)) * 0.1, rng.normal(size=(40, 2)) * 0.1 + 5, [[30, -30], [-40, 70]]])
