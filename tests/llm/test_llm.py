@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import duckdb
@@ -164,6 +165,23 @@ def test_secrets_in_match_rich_texts(spark):
     assert secrets.redact(table(spark, rows)).orderBy("doc_id").first()["text"] == "[SECRET] " * 42_000
 
 
+def test_mixed_strings(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choice(a) for _ in range(rng.randrange(14))) for a in ("aB", "aB1", "abXY01+-_", "a1", "AB9=", "aaaB-") for _ in range(500)]
+    for r in table(spark, list(enumerate(words))).select("text", secrets.mixed(F.col("text")).alias("m")).collect():
+        assert r["m"] == bool(re.search(secrets.MIXED, r["text"]))
+
+
+@pytest.mark.parametrize("text", ["x1 " + "acgt" * 250_000, "x1" + "acgt" * 250_000, "zy" * 500_000 + "1", "aB" * 3 + "-" * 1_000_000])
+def test_secrets_in_a_megabyte_of_one_class(spark, text):
+    """Time is linear in long runs of one kind of character, too."""
+    df = table(spark, [(1, text)])
+    began = time.time()
+    assert secrets.scan(df).select(secrets.spelled("secret_spans").alias("s")).first()["s"] == ""
+    assert secrets.redact(df).first()["text"] == text
+    assert time.time() - began < 20
+
+
 # 2 repeats
 
 

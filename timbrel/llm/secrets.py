@@ -46,7 +46,7 @@ CLASSES = (
     CharacterClass("base62", r"[A-Za-z0-9]{16,}", 16, 3.3),
     CharacterClass("base64", r"[A-Za-z0-9+/_=-]{24,}", 24, 3.85),
 )
-#: Letters and digits, or a case that changes as names of several words do not.
+#: Letters and digits, or a case that changes as names of several words do not.  ``mixed`` tests the same in time linear in the string.
 MIXED = r"[0-9].*[A-Za-z]|[A-Za-z].*[0-9]|([a-z][^a-z]*[A-Z][^A-Z]*){4}"
 #: What a text must hold for MIXED to match in a run of candidates' characters, allowed parts taken out or not: a letter and a digit, or a capital after a small letter, with no other kind of character between.
 CHANGE = r"[A-Za-z][+/_=-]*[0-9]|[0-9][+/_=-]*[A-Za-z]|[a-z][0-9+/_=-]*[A-Z]"
@@ -119,6 +119,12 @@ def uncovered(found: Column, spans: Column) -> Column:
     return F.when((F.size(found) > 0) & (F.size(spans) > 0), once(F.array_sort(F.concat(marks(spans, 0), marks(found, 1))), judge)).otherwise(found)
 
 
+def mixed(word: Column) -> Column:
+    """Whether MIXED matches a string of candidates' characters: both kinds there, or four runs of capitals that follow small letters."""
+    both = word.rlike("[0-9]") & word.rlike("[A-Za-z]")
+    return both | (F.size(F.regexp_extract_all(word, F.lit("[a-z][^a-z]*[A-Z]"), F.lit(0))) >= 4)
+
+
 def _term(n: Column) -> Column:
     return F.when(n > 0, n.cast("double") * F.log2(F.greatest(n, F.lit(1)).cast("double"))).otherwise(F.lit(0.0))
 
@@ -128,10 +134,13 @@ def is_hot(candidate: Column, width: int, bits: float) -> Column:
 
     One pass: ``total`` is the sum of n log2 n over the counts n of the window's characters; each
     step changes it by the terms of the character that enters and the one that leaves.
-    Entropy = log2(width) - total / width.
+    Entropy = log2(width) - total / width.  A string of fewer than 2 ** bits different characters has no such window.
     """
-    chars = F.transform(F.split(candidate, ""), lambda c: F.ascii(c) - 42)  # '+' (43) is slot 1, 'z' (122) slot 80
-    chars = F.filter(chars, lambda c: c > 0)
+    slots = F.transform(F.split(candidate, ""), lambda c: F.ascii(c) - 42)  # '+' (43) is slot 1, 'z' (122) slot 80
+    return once(F.filter(slots, lambda c: c > 0), lambda chars: (F.size(F.array_distinct(chars)) >= 2 ** (bits - 1e-9)) & _has_hot(chars, width, bits))
+
+
+def _has_hot(chars: Column, width: int, bits: float) -> Column:
     zero = F.struct(F.array_repeat(F.lit(0), 80).alias("counts"), F.lit(0.0).alias("total"), F.lit(False).alias("hot"))
 
     def step(s: Column, x: Column) -> Column:
@@ -160,7 +169,7 @@ def entropy_spans(text: Column, spans: Column, kind: CharacterClass, allow: str)
     """
 
     def hit(c: Column) -> Column:
-        hot = lambda rest: F.coalesce(F.when(rest.rlike(MIXED), is_hot(rest, kind.width, kind.bits)), F.lit(False))
+        hot = lambda rest: F.coalesce(F.when(mixed(rest), is_hot(rest, kind.width, kind.bits)), F.lit(False))
         return once(F.regexp_replace(c["word"], allow, ""), hot)
 
     return F.when(text.rlike(kind.candidates), bare(F.filter(uncovered(located(text, kind.candidates, 1, 3), spans), hit))).otherwise(F.array().cast(_SPAN))
