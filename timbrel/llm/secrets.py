@@ -26,7 +26,10 @@ HEX = r"[0-9a-f]{32,}"
 KINDS = ("assign", "access", "hex", "entropy")
 
 #: What is no secret, however random: placeholders, identifiers in the 8-4-4-4-12 form, runs of the alphabet or of one character.
-ALLOW = r"(?i)example|placeholder|changeme|x{6,}|^[0-9a-f]{8}-([0-9a-f]{4}-){3}[0-9a-f]{12}$|abcdefghij|0123456789|" + "|".join(c + "{8,}" for c in "abcdefghijklmnopqrstuvwxyz0123456789")
+_KNOWN = r"(?i)example|placeholder|changeme|x{6,}|^[0-9a-f]{8}-([0-9a-f]{4}-){3}[0-9a-f]{12}$|abcdefghij|0123456789|"
+ALLOW = _KNOWN + r"([a-z0-9])\2{7,}"
+#: The same for engines without back references.
+ALLOW_SPELLED = _KNOWN + "|".join(c + "{8,}" for c in "abcdefghijklmnopqrstuvwxyz0123456789")
 
 
 @dataclass(frozen=True)
@@ -170,7 +173,8 @@ def entropy_spans(text: Column, spans: Column, kind: CharacterClass, allow: str)
 
     def hit(c: Column) -> Column:
         hot = lambda rest: F.coalesce(F.when(mixed(rest), is_hot(rest, kind.width, kind.bits)), F.lit(False))
-        return once(F.regexp_replace(c["word"], allow, ""), hot)
+        # what is left of a string that is not mixed is not mixed either
+        return F.when(mixed(c["word"]), once(F.regexp_replace(c["word"], allow, ""), hot)).otherwise(F.lit(False))
 
     return F.when(text.rlike(kind.candidates), bare(F.filter(uncovered(located(text, kind.candidates, 1, 3), spans), hit))).otherwise(F.array().cast(_SPAN))
 
@@ -263,7 +267,7 @@ def _sql() -> str:
     for i, c in enumerate(CLASSES):
         parts.append(_sql_spans(f"c{i}", 3, c.candidates, "true"))
         parts.append(f"""r{i} AS (
-  SELECT doc_id, s, e, regexp_replace(m, '{ALLOW}', '', 'g') AS rest FROM c{i}
+  SELECT doc_id, s, e, regexp_replace(m, '{ALLOW_SPELLED}', '', 'g') AS rest FROM c{i}
   WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = c{i}.doc_id AND b.s <= c{i}.s AND b.e >= c{i}.e))""")
         parts.append(f"""s{i} AS (
   SELECT DISTINCT doc_id, 3 AS kind, s, e FROM (
