@@ -172,6 +172,12 @@ def test_mixed_strings(spark):
         assert r["m"] == bool(re.search(secrets.MIXED, r["text"]))
 
 
+@given(st.text(alphabet="aAbxX019-", max_size=40), st.sampled_from(["", "example", "0123456789", "aAaAaAaAa", "xxxxxx", "550e8400-e29b-41d4-a716-446655440000"]))
+def test_allowed_strings(text, known):
+    for word in (text + known, known + text, known):
+        assert re.sub(secrets.ALLOW, "", word) == re.sub(secrets.ALLOW_SPELLED, "", word)
+
+
 @pytest.mark.parametrize("text", ["x1 " + "acgt" * 250_000, "x1" + "acgt" * 250_000, "zy" * 500_000 + "1", "aB" * 3 + "-" * 1_000_000])
 def test_secrets_in_a_megabyte_of_one_class(spark, text):
     """Time is linear in long runs of one kind of character, too."""
@@ -179,7 +185,7 @@ def test_secrets_in_a_megabyte_of_one_class(spark, text):
     began = time.time()
     assert secrets.scan(df).select(secrets.spelled("secret_spans").alias("s")).first()["s"] == ""
     assert secrets.redact(df).first()["text"] == text
-    assert time.time() - began < 20
+    assert time.time() - began < 60  # with time by the square of the length it is hours
 
 
 # 2 repeats
@@ -242,6 +248,19 @@ def test_repeats(spark, group):
     assert rows_of(got, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute_repeats(rows, 40)
 
 
+def test_repeated_rows_are_one_context(spark):
+    """Equal rows beside a row that shares a passage: each different text is cut once, whatever the number of rows."""
+    rng = random.Random(12)
+    passage = " ".join(rng.choice("abcdefgh") * rng.randrange(2, 9) for _ in range(90))
+    rows = [(7, "start " + passage + " end")] * 3000 + [(8, passage + " other"), (None, passage), (None, passage), (9, "z" * 500)]
+    df = table(spark, rows).withColumn("x", F.xxhash64("text"))
+    assert repeats.different_rows(df).groupBy("doc_id", "x").count().where("count > 1").count() == 0 and repeats.different_rows(df).count() == 4
+    once = table(spark, rows[3000:]).withColumn("x", F.xxhash64("text")).where("doc_id > 7")
+    assert repeats.different_rows(once) is once
+    got = repeats.remove_repeats(table(spark, rows), length=60, anchor=16, group=16, keep_bytes=False)
+    assert rows_of(got.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").distinct()) == sorted(set(brute_repeats(rows[2998:], 60)), key=str)
+
+
 def test_repeats_of_the_query(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
     want = brute_repeats([tuple(r) for r in docs.collect()], 400)

@@ -315,6 +315,16 @@ def _remove_kernel(give_kept: bool):
     return run
 
 
+def different_rows(rows: DataFrame) -> DataFrame:
+    """One row of each (doc_id, x): repeated rows would be cut once each, and meet in one index.
+
+    Keys are counted first; where none recurs the rows stay where they are.
+    """
+    if not rows.groupBy("doc_id", "x").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+        return rows
+    return rows.dropDuplicates(["doc_id", "x"])
+
+
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, anchor: int = ANCHOR, group: int = GROUP, cell: int = CELL, keep_bytes: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the bytes left) for each row.
 
@@ -347,7 +357,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     wanted = wanted.groupBy("doc_id", "x").agg(F.collect_list(F.struct("h", "tile", "open", "p", "lo", "hi")).alias("wanted"))
     kind = source.schema["doc_id"].dataType
     same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["x"] == b["x"])
-    once = long_ones.join(wanted, same(long_ones, wanted)).select(long_ones["doc_id"], long_ones["x"], "text", "wanted")
+    different = different_rows(long_ones)
+    once = different.join(wanted, same(different, wanted)).select(different["doc_id"], different["x"], "text", "wanted")
     contexts = once.mapInArrow(_extract, T.StructType([T.StructField("h", T.LongType()), T.StructField("tile", T.LongType()), T.StructField("open", T.BooleanType()), T.StructField("doc_id", kind), T.StructField("x", T.LongType()), T.StructField("p", T.LongType()), T.StructField("lo", T.LongType()), T.StructField("context", T.BinaryType())]))
     solved_schema = T.StructType([T.StructField("doc_id", kind), T.StructField("x", T.LongType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("core", T.LongType()), T.StructField("strings", T.ArrayType(T.StructType([T.StructField("at", T.LongType()), T.StructField("hash", T.LongType())])))])
     solved = settle(contexts.repartition(partitions, "h", "tile").sortWithinPartitions("h", "tile").mapInArrow(_index_kernel(length, anchor, cell), solved_schema))
