@@ -828,6 +828,41 @@ def test_fits_collect_bounded_samples(spark, monkeypatch):
     assert sorted(t for _, t in drawn[-1]) == ["other", "the same"]
 
 
+def test_labels_of_other_documents(spark):
+    """Labels far beyond the sample, most of documents that are not there: the fit sees those that are."""
+    docs = table(spark, [(i, ("Good prose that runs on and on. " * 9 + "\n") * 4 if i % 2 else "buy now\nclick here\n$$$\n" * 9) for i in range(40)])
+    labels = spark.range(80_000).select((F.col("id") - 40_000).alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
+    assert quality.fit_field(docs, labels, max_docs=20) is not quality.DEFAULT
+    with pytest.warns(UserWarning, match="not fitted"):
+        assert quality.fit_field(docs, labels.where("doc_id < 0")) is quality.DEFAULT
+
+
+def test_many_languages(spark):
+    """1,500 languages: each has some rows, all together stay within the bounds, and the model tells them apart."""
+    rng = random.Random(5)
+    words = {k: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(6)] for k in range(1500)}
+    rows = [(i, " ".join(rng.choice(words[i % 1500]) for _ in range(30)), f"l{i % 1500:04d}") for i in range(6000)]
+    docs = table(spark, rows, "text string, lang string")
+    model = languages.fit_languages(docs, held_out=99)
+    assert len(model.languages) == 1500 and model.code.shape == (1500, 106)
+    sure = languages.identify(docs.where("doc_id < 300"), model).where("lang_pred = lang").count()
+    assert sure > 200
+    assert len(languages.draw_labelled(docs.select(F.col("lang").alias("label"), "doc_id", "text"), 400, 1 << 20, 1000)) == 1000
+
+
+def test_least_distance():
+    code = languages.codewords(9)
+    assert languages.least_distance(code) == min(int((code[i] != code[j]).sum()) for i in range(9) for j in range(i))
+
+
+def test_labels_all_toxic(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = docs.select("doc_id", F.lit(1).alias("toxic"))
+    model = toxicity.fit_toxicity(docs, labels)
+    assert not len(model.words) and model.bias == pytest.approx(np.log(toxicity.PRIOR / (1 - toxicity.PRIOR)))
+    assert toxicity.score_toxicity(docs, model).where(f"score >= {toxicity.THRESHOLD}").count() == 0
+
+
 def test_unlabelled_ids_are_in_no_fold(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     none = docs.limit(1).withColumn("doc_id", F.lit(None).cast("long"))

@@ -9,6 +9,7 @@ repeated lines count as boilerplate.
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -214,21 +215,29 @@ def fit(features: np.ndarray, row: np.ndarray, label: np.ndarray, steps: int = 2
     return Field(theta[:-4], theta[-4:].reshape(2, 2))
 
 
+def _unfitted(why: str) -> Field:
+    warnings.warn(f"quality rules are not fitted: {why}", stacklevel=3)
+    return DEFAULT
+
+
 def fit_field(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_bytes: int = MAX_BYTES) -> Field:
     """The field for these documents: a bounded sample, the same for any order of rows; DEFAULT without both labels.
 
-    At most ``max_docs`` documents and ``max_bytes`` of text of each quality label are collected.
-    Labels of one document that differ count as the lowest.
+    At most ``max_docs`` documents and ``max_bytes`` of text of each quality label are collected, drawn among
+    labels that have a document.  Labels of one document that differ count as the lowest.  Where there is nothing to fit,
+    a warning says so and DEFAULT is used.
     """
     rated = labels.where("quality in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("label"))
+    # ids alone meet before the draw
+    rated = rated.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     ids = [tuple(r) for q in (0, 1) for r in rated.where(F.col("label") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs).collect()]
     if len({q for _, q in ids}) < 2:
-        return DEFAULT
+        return _unfitted("no document has a label of each quality")
     chosen = docs.sparkSession.createDataFrame(ids, T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("label", T.IntegerType())]))
     found = draw_labelled(docs.join(F.broadcast(chosen), "doc_id").select("label", "doc_id", "text"), max_docs, max_bytes)
     texts = [t for _, t in found]
     if len({q for q, _ in found}) < 2:
-        return DEFAULT
+        return _unfitted(f"no text of one quality is within {max_bytes} bytes")
     import pyarrow as pa
 
     parts, base = [], 0
@@ -238,7 +247,7 @@ def fit_field(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS, max_
         parts.append((lines.features, lines.row + base, good[begin:end][lines.row] & (lines.features[:, 1] == 0)))
         base += end - begin
     features, row, label = (np.concatenate(x) for x in zip(*parts, strict=True))
-    return fit(features, row, label.astype(np.int8)) if len(row) else DEFAULT
+    return fit(features, row, label.astype(np.int8)) if len(row) else _unfitted("no labelled text has a line with a word")
 
 
 FIELDS = T.StructType([T.StructField(n, T.LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + [T.StructField("content_share", T.DoubleType()), T.StructField("line_labels", T.StringType())])

@@ -157,7 +157,7 @@ def _folds(parts: int):
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, parts: int = 4, held_out: int = 2, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, max_bytes: int = MAX_BYTES) -> Model:
-    """A model from labels outside the held-out fold; without any toxic label it scores every text with the prior.
+    """A model from labels outside the held-out fold; without any toxic label, or any other, it scores every text with PRIOR.
 
     Positives are documents labelled toxic.  The unlabelled text is that of documents with any
     label, the label itself not looked at: so its share of toxic documents is that of the labels,
@@ -167,21 +167,20 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, parts: int = 4, held_out: i
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (_folds(parts) != held_out)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     total = usable.agg(F.count("*").alias("n"), F.sum((F.col("toxic") == 1).cast("long")).alias("toxic")).first()
     n, n_toxic = total["n"], total["toxic"] or 0
-    prior = min(0.5, max(0.005, n_toxic / n)) if n_toxic else PRIOR
+    # labels that confirm toxic documents alone say nothing of the rest, nor of its share
+    told = 0 < n_toxic < n
+    prior = min(0.5, max(0.005, n_toxic / n)) if told else PRIOR
     bias = float(np.log(prior / (1 - prior)))
     none = Model(np.zeros(0, np.uint64), np.zeros((0, LEVELS)), bias)
-    if not n_toxic:
+    if not told:
         return none
     draw = F.xxhash64(F.col("doc_id").cast("string"))
     pick = lambda rows, most: [r["doc_id"] for r in rows.orderBy(draw, "doc_id").limit(most).select("doc_id").collect()]
     kind = T.StructType([T.StructField("label", T.StringType()), T.StructField("doc_id", docs.schema["doc_id"].dataType)])
     positive = pick(usable.where("toxic = 1"), max_positive)
-    # labels that confirm toxic documents alone say nothing of the rest: then all documents outside the fold are the unlabelled text
-    rest = pick(usable, max_unlabelled) if n_toxic < n else None
-    wanted = docs.sparkSession.createDataFrame([("positive", i) for i in positive] + [("unlabelled", i) for i in rest or ()], kind)
+    rest = pick(usable, max_unlabelled)
+    wanted = docs.sparkSession.createDataFrame([("positive", i) for i in positive] + [("unlabelled", i) for i in rest], kind)
     rows = docs.join(F.broadcast(wanted), "doc_id").select("label", "doc_id", "text")
-    if rest is None:
-        rows = rows.unionByName(docs.where(_folds(parts) != held_out).select(F.lit("unlabelled").alias("label"), "doc_id", "text"))
     drawn = draw_labelled(rows, max(max_positive, max_unlabelled), max_bytes)
     texts = {k: [t for label, t in drawn if label == k][:most] for k, most in (("positive", max_positive), ("unlabelled", max_unlabelled))}
     if not texts["positive"]:
