@@ -705,7 +705,7 @@ def test_backoff_blocks(spark):
     parts = rows_of(backoff.score_documents(docs, block_bytes=20_000, table_grams=5_000).withColumn("log10_score", F.round("log10_score", 6)))
     assert whole == parts and len(whole) == docs.count()
     frame = docs.toPandas()
-    scored = backoff.score_documents(docs).select("doc_id", "n_words", F.round("log10_score", 4).alias("log10_score"), "n_seen", F.round("seen_share", 4).alias("seen_share")).dropDuplicates(["doc_id"]).toPandas()
+    scored = backoff.score_documents(docs).select("doc_id", "n_words", F.round("log10_score", 4).alias("log10_score"), "n_seen", "n_backed", F.round("seen_share", 4).alias("seen_share")).dropDuplicates(["doc_id"]).toPandas()
     once = sorted(map(str, scored[sorted(scored.columns)].itertuples(index=False, name=None)))
     repeated = {str(i) for i, n in collections.Counter(frame["doc_id"]).items() if n > 1}
     want = sql_rows(backoff.SQL, documents=frame)
@@ -714,17 +714,25 @@ def test_backoff_blocks(spark):
     assert backoff.score_documents(docs.limit(0)).count() == 0
 
 
-def brute_backoff(rows, least, alpha=0.4):
+def brute_backoff(rows, least, alpha=0.4, order=3):
     docs = [WORD.findall(t or "") for _, t in rows]
-    count = collections.Counter(tuple(w[i : i + n]) for w in docs for n in (1, 2, 3) for i in range(len(w) - n + 1))
-    size = sum(map(len, docs))
-
-    def score(gram):
-        if len(gram) == 1:
-            return count[gram] / size
-        return count[gram] / count[gram[:-1]] if count[gram] >= least else alpha * score(gram[1:])
-
-    return [(i, len(w), round(sum(np.log10(score(tuple(w[max(0, j - 2) : j + 1]))) for j in range(len(w))), 6), sum(count[tuple(w[j - 2 : j + 1])] >= max(2, least) for j in range(2, len(w)))) for (i, _), w in zip(rows, docs, strict=True)]
+    grams = lambda w: collections.Counter(tuple(w[i : i + n]) for n in range(1, order + 1) for i in range(len(w) - n + 1))
+    count = sum((grams(w) for w in docs), collections.Counter())
+    size, out = sum(map(len, docs)), []
+    for (i, _), w in zip(rows, docs, strict=True):
+        others = count.copy()
+        others.subtract(grams(w))
+
+        def score(gram, others=others, w=w):
+            if len(gram) == 1:
+                return (others[gram] or alpha) / max(1, size - len(w))
+            return others[gram] / others[gram[:-1]] if others[gram] >= max(1, least) else alpha * score(gram[1:])
+
+        longest = [tuple(w[max(0, j - order + 1) : j + 1]) for j in range(len(w))]
+        seen = sum(len(g) == order and others[g] >= max(1, least) for g in longest)
+        backed = sum(others[g] < (max(1, least) if len(g) > 1 else 1) for g in longest)
+        out.append((i, len(w), round(sum(np.log10(score(g)) for g in longest), 6), seen, backed))
+    return out
 
 
 @pytest.mark.parametrize("packed", [True, False])
@@ -733,7 +741,26 @@ def test_backoff_by_hand(spark, least, packed):
     rng = random.Random(least)
     rows = [(i, " ".join(rng.choice("abcdefgh") * rng.choice([1, 1, 2]) for _ in range(rng.randrange(25)))) for i in range(60)] + [(100, None), (101, " "), (3, "a a a a"), (3, "a a a a")]
     got = backoff.score_documents(table(spark, rows), min_count=least, block_bytes=300, table_grams=50, **({} if packed else {"most_messages": 0}))
-    assert rows_of(got.withColumn("log10_score", F.round("log10_score", 6) + 0.0), "doc_id", "n_words", "log10_score", "n_seen") == sorted(brute_backoff(rows, least), key=str)
+    assert rows_of(got.withColumn("log10_score", F.round("log10_score", 6) + 0.0), "doc_id", "n_words", "log10_score", "n_seen", "n_backed") == sorted(brute_backoff(rows, least), key=str)
+
+
+@pytest.mark.parametrize("packed", [True, False])
+@pytest.mark.parametrize("order", [1, 2, 4])
+def test_backoff_of_other_orders(spark, order, packed):
+    rng = random.Random(order)
+    rows = [(i, " ".join(rng.choice("abcd") for _ in range(rng.randrange(12)))) for i in range(30)]
+    got = backoff.score_documents(table(spark, rows), order=order, alpha=0.1, block_bytes=100, table_grams=20, **({} if packed else {"most_messages": 0}))
+    assert rows_of(got.withColumn("log10_score", F.round("log10_score", 6) + 0.0), "doc_id", "n_words", "log10_score", "n_seen", "n_backed") == sorted(brute_backoff(rows, 1, 0.1, order), key=str)
+
+
+def test_backoff_backs_off(spark):
+    """On the driver's documents alpha counts, for words that no other text has in their place."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    total = lambda **o: backoff.score_documents(docs, **o).agg(F.sum("log10_score").alias("s"), F.sum("n_backed").alias("b"), F.sum("n_words").alias("w")).first()
+    far, near = total(alpha=0.0001), total()
+    assert far["s"] < near["s"] - 1000 and 0.05 < near["b"] / near["w"] < 0.95
+    alone = backoff.score_documents(table(spark, [(1, "one two three two")])).first()
+    assert (alone["n_seen"], alone["n_backed"]) == (0, 4)
 
 
 @given(st.lists(st.integers(0, 2**64 - 1), max_size=50))

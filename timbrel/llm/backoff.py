@@ -1,11 +1,12 @@
-"""Language-model scores by stupid backoff over n-gram counts of the whole corpus.
+"""Language-model scores by stupid backoff over n-gram counts of the whole corpus but the scored text.
 
 Texts are read once into blocks of bounded size: a block is one row that holds its documents' ids
 and their words, coded by a local vocabulary of 64-bit word hashes.  Round n explodes each block's
 n-grams, adds them up in the block, and sends them to count tables partitioned by n-gram hash,
 which add up all blocks and join the totals back to each block's n-grams.  An n-gram that holds a
 shorter one of total 1 occurs once itself, so it is neither sent nor answered.  With the totals at
-hand each block sums the scores of its documents.  What crosses the network is packed: sorted hashes
+hand each block takes every text's own n-grams off them and sums the scores of its documents: what only
+the text itself has was not seen, and backs off.  What crosses the network is packed: sorted hashes
 and counts of one block and partition to a row.  n-grams are told apart by their 64-bit hash alone.
 The rows of a round grow with the square of the input; where they would hold next to nothing, the
 same counts come from plain joins of exploded n-grams to their count tables.
@@ -173,24 +174,41 @@ class Block:
             self.total[n][n - 1 :] = self._inside(n)  # what was not sent occurs once
         self.total[n][last[order]] = totals[np.cumsum(head) - 1]
 
-    def scores(self, order: int, alpha: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each text the sum of log10 scores, with those of words alone not yet divided by the number of all words, how many these are,
-        and how many words end an n-gram of the highest order that occurs again."""
-        size = len(self.words)
-        value = np.log10(np.maximum(self.total[1], 1))
-        seen, alone = np.zeros(size, bool), np.ones(size, bool)
+    def others(self, n: int) -> np.ndarray:
+        """For each word, how often other texts have the n-gram that ends there."""
+        last = np.arange(n - 1, len(self.words))
+        some = self.total[n][last] > 1  # an n-gram of total 1 is the text's own
+        last = last[some]
+        gram = (self.words if n == 1 else tk.grams(self.words, n))[some]
+        own = tk.mix(gram + self.row[last].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        _, which, times = np.unique(own, return_inverse=True, return_counts=True)
+        out = np.zeros(len(self.words), np.int64)
+        out[last] = self.total[n][last] - times[which]
+        return np.maximum(out, 0)  # totals under the least count are not known
+
+    def scores(self, order: int, alpha: float) -> tuple[np.ndarray, ...]:
+        """For each text the sum of log10 scores, with those of words alone not yet divided by the number of others' words, how many these are,
+        how many words end an n-gram of the highest order that other texts have, and how many back off."""
+        size, least = len(self.words), max(1, self.least)
+        before = self.others(1)
+        value = np.log10(np.maximum(before, 1)) + np.where(before > 0, 0.0, math.log10(alpha))
+        alone, backs = np.ones(size, bool), before == 0
+        seen = np.zeros(size, bool)
         begin = np.maximum.accumulate(np.where(np.concatenate([[True], self.row[1:] != self.row[:-1]]), np.arange(size), 0)) if size else np.zeros(0, np.int64)
         depth = np.arange(size) - begin
         for n in range(2, order + 1):
             reach = depth >= n - 1
-            found = reach & (self.total[n] >= self.least)
-            before = np.zeros(size, np.int64)
-            before[1:] = self.total[n - 1][:-1]
-            better = np.log10(np.where(found, self.total[n], 1) / np.maximum(before, 1))
+            now = self.others(n)
+            found = reach & (now >= least)
+            context = np.zeros(size, np.int64)
+            context[1:] = before[:-1]
+            better = np.log10(np.where(found, now, 1) / np.maximum(context, 1))
             value = np.where(found, better, np.where(reach, value + math.log10(alpha), value))
             alone &= ~found
-            seen = found & (self.total[n] > 1)
-        return np.bincount(self.row, weights=value, minlength=self.n_rows), np.bincount(self.row[alone], minlength=self.n_rows), np.bincount(self.row[seen], minlength=self.n_rows)
+            seen, backs, before = found, np.where(reach, ~found, backs), now
+        if order == 1:
+            seen = before >= least
+        return tuple(np.bincount(self.row, weights=x, minlength=self.n_rows) if x is value else np.bincount(self.row[x], minlength=self.n_rows) for x in (value, alone, seen, backs))
 
 
 def _load(rows: pa.Table, answers: pa.Table | None, parts: int, least: int, below: int) -> Block:
@@ -285,25 +303,35 @@ def score_relational(source: DataFrame, order: int, min_count: int, alpha: float
     for name, n in [(f"g{n}", n) for n in range(1, order + 1)] + [(f"d{n}", n - 1) for n in range(2, order + 1)]:
         # counts are written first, so a common n-gram is a skewed join between two exchanges, which Spark splits
         table = tables[n].select(F.col("gram").alias("known"), F.col("n").alias(f"n_{name}"))
-        counted = counted.join(table.hint("merge"), F.col(name) == F.col("known"), "left").drop("known", name)
-    value, seen = F.log10(F.col("n_g1") / F.lit(n_corpus)), F.lit(False)
+        counted = counted.join(table.hint("merge"), F.col(name) == F.col("known"), "left").drop("known")
+    # what the text itself has is taken off
+    for name, gram_of in [(f"g{n}", f"g{n}") for n in range(1, order + 1)] + [(f"d{n}", f"g{n - 1}") for n in range(2, order + 1)]:
+        own = each.where(F.col(gram_of).isNotNull()).groupBy(F.col("key").alias("own_key"), F.col(gram_of).alias("own")).agg(F.count("*").alias("own_n"))
+        counted = counted.join(own, (F.col("key") == F.col("own_key")) & (F.col(name) == F.col("own")), "left")
+        counted = counted.withColumn(f"n_{name}", F.col(f"n_{name}") - F.coalesce("own_n", F.lit(0))).drop("own_key", "own", "own_n", name)
+    counted = counted.join(listed.select(F.col("key").alias("of"), F.size("words").alias("size")), F.col("key") == F.col("of"))
+    least = max(1, min_count)
+    none = F.col("n_g1") <= 0
+    value = F.log10(F.greatest(F.col("n_g1"), F.lit(1)) / F.greatest(F.lit(n_corpus) - F.col("size"), F.lit(1))) + F.when(none, math.log10(alpha)).otherwise(0.0)
+    seen, backs = (F.col("n_g1") >= least if order == 1 else F.lit(False)), none
     for n in range(2, order + 1):
-        found = (i >= n) & (F.col(f"n_g{n}") >= min_count)
-        value = F.when(found, F.log10(F.col(f"n_g{n}") / F.col(f"n_d{n}"))).when(i >= n, value + math.log10(alpha)).otherwise(value)
-        seen = found & (F.col(f"n_g{n}") > 1)
-    summed = counted.groupBy("key").agg(F.sum(value).alias("log10_score"), F.sum(seen.cast("long")).alias("n_seen"))
+        reach = i >= n
+        found = reach & (F.col(f"n_g{n}") >= least)
+        value = F.when(found, F.log10(F.col(f"n_g{n}") / F.col(f"n_d{n}"))).when(reach, value + math.log10(alpha)).otherwise(value)
+        seen, backs = found, F.when(reach, ~found).otherwise(backs)
+    summed = counted.groupBy("key").agg(F.sum(value).alias("log10_score"), *[F.sum(F.coalesce(x, F.lit(False)).cast("long")).alias(name) for name, x in (("n_seen", seen), ("n_backed", backs))])
     scored = listed.select("key", "doc_id", F.size("words").cast("long").alias("n_words")).join(summed, "key", "left")
-    return scored.select("doc_id", "n_words", F.coalesce("log10_score", F.lit(0.0)).alias("log10_score"), F.coalesce("n_seen", F.lit(0)).cast("long").alias("n_seen"))
+    return scored.select("doc_id", "n_words", F.coalesce("log10_score", F.lit(0.0)).alias("log10_score"), *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("n_seen", "n_backed")])
 
 
 def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int = ORDER, min_count: int = MIN_COUNT, alpha: float = ALPHA, block_bytes: int = BLOCK_BYTES, table_grams: int = TABLE_GRAMS, most_messages: int = MAX_MESSAGES) -> DataFrame:
-    """doc_id, n_words, log10_score (summed over the words), n_seen (words that end an n-gram of the highest order that the corpus has twice or more, and ``min_count`` times) and seen_share (of the words that end one) for each row.
+    """doc_id, n_words, log10_score (summed over the words), n_seen (words that end an n-gram of the highest order that others have ``min_count`` times), n_backed (words scored by less than their longest n-gram) and seen_share (n_seen of the words that end one) for each row.
 
     A word scores count(n-gram) / count(n-gram without it) for its longest n-gram that occurs
     ``min_count`` times, times ``alpha`` for each order it backs off; a word alone scores its share
-    of all words.  Words are split at ASCII white space; n-grams stay within a text.  Counts are of
-    all rows, repeated ones included, so by default every n-gram of a text was seen at least once,
-    in it; ``alpha`` comes in with a higher ``min_count``.  Null, empty and blank texts score 0 with no words; extra
+    of all words, and one that occurs nowhere that of a word seen once, times ``alpha`` again.  Words are split
+    at ASCII white space; n-grams stay within a text.  Counts are of all other rows: a row's own n-grams are taken off,
+    those of its repeated rows and other copies are not.  Null, empty and blank texts score 0 with no words; extra
     columns are ignored; an empty table gives an empty one.  Where blocks and partitions would
     exchange more than ``most_messages`` rows a round, n-grams are joined one row each instead.
     """
@@ -327,45 +355,48 @@ def score_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             sent = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_later_round(parts, min_count, n), SENT)
         answer = sent.groupBy("n", "part").applyInArrow(_add_up(min_count), ANSWERED).repartition(partitions, "block")
         answers = answer if answers is None else answers.unionByName(answer)
-    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("n_words", T.LongType()), T.StructField("part_score", T.DoubleType()), T.StructField("n_alone", T.LongType()), T.StructField("n_seen", T.LongType())])
+    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("n_words", T.LongType()), T.StructField("part_score", T.DoubleType()), T.StructField("n_alone", T.LongType()), T.StructField("n_seen", T.LongType()), T.StructField("n_backed", T.LongType())])
 
     def last(key: tuple, rows: pa.Table, known: pa.Table) -> pa.Table:
         block = _load(rows, known, parts, min_count, order + 1)
         size = np.bincount(block.row, minlength=block.n_rows)
         ids = rows.column("doc_ids").combine_chunks().flatten()
-        score, alone, seen = block.scores(order, alpha)
-        out = pa.Table.from_arrays([ids, pa.array(size, pa.int64()), pa.array(score, pa.float64()), pa.array(alone, pa.int64()), pa.array(seen, pa.int64())], names=schema.names)
+        score, *counts = block.scores(order, alpha)
+        out = pa.Table.from_arrays([ids, pa.array(size, pa.int64()), pa.array(score, pa.float64()), *[pa.array(x, pa.int64()) for x in counts]], names=schema.names)
         give_back()
         return out
 
     scored = settle(blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(last, schema))
-    # words scored alone are counted against all words, whose number is known only now
+    # words scored alone are counted against all words of others, whose number is known only now
     n_corpus = scored.agg(F.sum("n_words").alias("n")).first()["n"] or 1
-    total = F.col("part_score") - F.col("n_alone") * F.lit(math.log10(n_corpus))
-    return with_share(scored.select("doc_id", "n_words", total.alias("log10_score"), "n_seen"))
+    total = F.col("part_score") - F.col("n_alone") * F.log10(F.greatest(F.lit(n_corpus) - F.col("n_words"), F.lit(1)))
+    return with_share(scored.select("doc_id", "n_words", total.alias("log10_score"), "n_seen", "n_backed"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     scored = score_documents(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    return scored.select("doc_id", "n_words", F.round("log10_score", 4).alias("log10_score"), "n_seen", F.round("seen_share", 4).alias("seen_share"))
+    return scored.select("doc_id", "n_words", F.round("log10_score", 4).alias("log10_score"), "n_seen", "n_backed", F.round("seen_share", 4).alias("seen_share"))
 
 
 SQL = r"""
-WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 p AS (
-  SELECT doc_id, i, w[i] AS c, CASE WHEN i > 1 THEN w[i - 1] || ' ' || w[i] END AS bc, CASE WHEN i > 2 THEN w[i - 2] || ' ' || w[i - 1] || ' ' || w[i] END AS abc,
+  SELECT r, len(w) AS size, i, w[i] AS c, CASE WHEN i > 1 THEN w[i - 1] || ' ' || w[i] END AS bc, CASE WHEN i > 2 THEN w[i - 2] || ' ' || w[i - 1] || ' ' || w[i] END AS abc,
          CASE WHEN i > 1 THEN w[i - 1] END AS b, CASE WHEN i > 2 THEN w[i - 2] || ' ' || w[i - 1] END AS ab
-  FROM (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS i FROM d WHERE len(w) > 0)),
-u AS (SELECT c AS g, count(*) AS n FROM p GROUP BY 1),
-t2 AS (SELECT bc AS g, count(*) AS n FROM p WHERE bc IS NOT NULL GROUP BY 1),
-t3 AS (SELECT abc AS g, count(*) AS n FROM p WHERE abc IS NOT NULL GROUP BY 1),
+  FROM (SELECT r, w, unnest(generate_series(1, len(w))) AS i FROM d WHERE len(w) > 0)),
+-- of each n-gram: the rows' own counts, and what others have of it
+o AS (SELECT r, g, count(*) AS own FROM (SELECT r, c AS g FROM p UNION ALL SELECT r, bc FROM p UNION ALL SELECT r, abc FROM p) WHERE g IS NOT NULL GROUP BY ALL),
+n AS (SELECT r, g, sum(own) OVER (PARTITION BY g) - own AS n FROM o),
 s AS (
-  SELECT p.doc_id, coalesce(t3.n > 1, false) AS seen,
-    CASE WHEN t3.n IS NOT NULL THEN log10(t3.n / h2.n)
-         WHEN t2.n IS NOT NULL THEN log10(t2.n / h1.n) + CASE WHEN p.i > 2 THEN log10(0.4::DOUBLE) ELSE 0 END
-         ELSE log10(u.n / (SELECT count(*) FROM p)) + log10(0.4::DOUBLE) * least(p.i - 1, 2) END AS v
-  FROM p JOIN u ON u.g = p.c LEFT JOIN t2 ON t2.g = p.bc LEFT JOIN t3 ON t3.g = p.abc LEFT JOIN u h1 ON h1.g = p.b LEFT JOIN t2 h2 ON h2.g = p.ab)
-SELECT d.doc_id, CAST(any_value(len(d.w)) AS BIGINT) AS n_words, round(coalesce(sum(s.v), 0), 4) + 0.0 AS log10_score, CAST(count(*) FILTER (WHERE s.seen) AS BIGINT) AS n_seen,
-       round(count(*) FILTER (WHERE s.seen) / greatest(any_value(len(d.w)) - 2, 1), 4) AS seen_share
-FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id
+  SELECT p.r, p.i, p.size, n1.n AS n1, n2.n AS n2, n3.n AS n3, h1.n AS h1, h2.n AS h2
+  FROM p JOIN n n1 ON n1.r = p.r AND n1.g = p.c LEFT JOIN n n2 ON n2.r = p.r AND n2.g = p.bc LEFT JOIN n n3 ON n3.r = p.r AND n3.g = p.abc
+         LEFT JOIN n h1 ON h1.r = p.r AND h1.g = p.b LEFT JOIN n h2 ON h2.r = p.r AND h2.g = p.ab),
+v AS (
+  SELECT r, coalesce(n3 > 0, false) AS seen, CASE WHEN i > 2 THEN n3 = 0 WHEN i = 2 THEN n2 = 0 ELSE n1 = 0 END AS backed,
+    CASE WHEN n3 > 0 THEN log10(n3::DOUBLE / h2) WHEN n2 > 0 THEN log10(n2::DOUBLE / h1) + CASE WHEN i > 2 THEN log10(0.4::DOUBLE) ELSE 0 END
+         ELSE log10(greatest(n1, 1)::DOUBLE / greatest((SELECT count(*) FROM p) - size, 1)) + log10(0.4::DOUBLE) * (least(i - 1, 2) + CASE WHEN n1 = 0 THEN 1 ELSE 0 END) END AS v
+  FROM s)
+SELECT any_value(d.doc_id) AS doc_id, CAST(any_value(len(d.w)) AS BIGINT) AS n_words, round(coalesce(sum(v.v), 0), 4) + 0.0 AS log10_score, CAST(count(*) FILTER (WHERE v.seen) AS BIGINT) AS n_seen,
+       CAST(count(*) FILTER (WHERE v.backed) AS BIGINT) AS n_backed, round(count(*) FILTER (WHERE v.seen) / greatest(any_value(len(d.w)) - 2, 1), 4) AS seen_share
+FROM d LEFT JOIN v USING (r) GROUP BY r
 """
