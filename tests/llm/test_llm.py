@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import time
@@ -15,8 +16,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from timbrel.llm import backoff, components, conversations, decontamination, entry, jaccard, languages, packing, quality, repeats, secrets, toxicity
+from timbrel.llm import backoff, conversations, decontamination, entry, jaccard, languages, packing, quality, repeats, secrets, toxicity
 from timbrel.llm import textkit as tk
+from timbrel.operators import components
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -509,8 +511,29 @@ def test_near_duplicates_by_row(spark):
     assert (1, say("a")) in kept and (5, say("b")) in kept and (None, say("d")) in kept
 
 
+def test_stops():
+    """Labels are shortened no further than the target recall asks for, in the tries where that is cheapest."""
+    rng = np.random.default_rng(5)
+    sizes = np.sort(rng.integers(1, 50, (40, jaccard.TREES, 4)), axis=2)[:, :, ::-1].astype(float)
+    sizes[0] = 1
+    sizes[1, :3, 0] = 1e9
+    there = rng.random((40, jaccard.TREES)) < 0.8
+    there[1] = True
+    keep = jaccard.stops(sizes, there, 5, 0.8, 0.9999)
+    miss = lambda k: np.prod(1 - 0.8 ** (5.0 + k))
+    for i in range(40):
+        assert not keep[i][~there[i]].any() and miss(keep[i]) <= 1e-4
+        for t in np.flatnonzero(there[i] & (keep[i] < 3)):
+            longer = keep[i].copy()
+            longer[t] += 1
+            assert miss(longer) > 1e-4 or sizes[i, t, keep[i][t]] - sizes[i, t, keep[i][t] + 1] <= sizes[i].max()
+    assert (keep[1, :3] > 0).sum() >= 1 and keep[0].sum() >= 1
+    assert jaccard.stops(sizes, there, 5, 0.8, 0.5).sum() == 3 * there.sum()
+    assert (jaccard.stops(sizes, there, 5, 0.8, 0.99) > keep).any()
+
+
 def test_forest(spark):
-    """Every text stops at a node of at most ``run`` texts, or its depths meet the target recall, or it is open and goes to the end."""
+    """Each text meets every text under each node it has stopped at, nodes lie apart, and large ones are dealt into tiles."""
     rng = np.random.default_rng(5)
     depth, run, levels = 5, 6, 3
     rows, labels = [], {}
@@ -522,29 +545,38 @@ def test_forest(spark):
             tail = sum(v << jaccard.TAIL_BITS * (levels - 1 - j) for j, v in enumerate(values))
             rows.append((key, tail, digest))
             labels[key, digest] = values
-    got = jaccard.forest(spark.createDataFrame(rows, "key long, tail long, digest binary"), run, depth, 0.8, 0.9999).collect()
+    df = spark.createDataFrame(rows, "key long, tail long, digest binary")
     under = collections.defaultdict(set)
     for (key, digest), values in labels.items():
         for d in range(levels + 1):
             under[key, tuple(values[:d])].add(digest)
-    nodes = collections.defaultdict(set)
-    for r in got:
-        nodes[r["node"], r["tile"]].add(bytes(r["digest"]))
-        assert r["tiles"] == 1 or r["node"] < 12
-    met = {frozenset(x) for x in nodes.values()}
-    some_open = some_closed = 0
+    kept = {(r["key"], bytes(r["digest"])): r["stop"] for r in jaccard.stopped(df, depth, 0.8, 0.9999).collect()}
+    assert set(kept) == {(key, d) for key, d in labels if len(under[key, ()]) > 1}
     for digest in {d for _, d in labels}:
-        miss = 1.0
-        for (key, d), values in labels.items():
-            if d == digest:
-                stop = next((k for k in range(levels + 1) if len(under[key, tuple(values[:k])]) <= run), None)
-                miss *= 1 - 0.8 ** (depth + stop) if stop is not None else 1
-                if stop is not None and len(under[key, ()]) > 1:
-                    assert frozenset(under[key, tuple(values[:stop])]) in met
-        wide = [r for r in got if bytes(r["digest"]) == digest and r["node"] < 12]
-        assert bool(wide) == (miss > 1e-4)
-        some_open, some_closed = some_open + bool(wide), some_closed + (not wide)
-    assert some_open
+        assert math.prod(1 - 0.8 ** (depth + kept.get((key, d), 0)) for key, d in labels if d == digest) <= 1e-4
+    assert {0, levels} <= set(kept.values())
+    got = jaccard.forest(df, run, depth, 0.8, 0.9999).collect()
+    nodes, tiles = collections.defaultdict(list), {}
+    for r in got:
+        nodes[r["node"]].append(bytes(r["digest"]))
+        tiles[r["node"]] = r["tiles"]
+        assert 0 <= r["tile"] < r["tiles"]
+    assert all(len(set(x)) == len(x) > 1 and tiles[n] == -(-len(x) // run) for n, x in nodes.items())
+    met = list(map(set, nodes.values()))
+    for (key, digest), stop in kept.items():
+        want = under[key, tuple(labels[key, digest][:stop])]
+        assert len(want) == 1 or any(want <= x for x in met)
+    # no text is twice under the nodes of one trie
+    assert sum(map(len, met)) <= len(labels)
+
+
+def test_depths_of_the_documents(spark):
+    """On the driver's documents most labels go down to the shortest, and some of every text's stay longer."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    signed = jaccard.append(docs.select("text", jaccard.digest_of().alias("digest")), lambda: jaccard._sign(5, 5), jaccard.SIGNED, ("text",), ["digest"]).where("n_shingles > 0").dropDuplicates(["digest"])
+    labels = signed.select("digest", F.explode(F.arrays_zip("keys", "tails")).alias("x")).select(F.col("x.keys").alias("key"), F.col("x.tails").alias("tail"), "digest")
+    told = {r["stop"]: r["count"] for r in jaccard.stopped(labels, 5, 0.8, 0.9999).groupBy("stop").count().collect()}
+    assert told[0] > sum(told.values()) / 2 and sum(n for stop, n in told.items() if stop) > 20
 
 
 def test_near_duplicates_empty(spark):

@@ -1,17 +1,16 @@
 """N-gram Jaccard join by a MinHash LSH forest with exact verification.
 
 Each distinct text gets one label of ``DEPTH`` MinHash values for each of ``TREES`` tries; in the
-order of labels, the texts under one node of a trie, those that share a prefix, lie together.  A
-text's matched prefix in a trie is shortened from the full depth, by the counts of the trie's
-nodes, as far as its node holds at most ``run`` texts, but not under the depth at which all tries
-together reach the target recall.  So prefixes that many unlike texts share stay long.  A text
-whose depths, trie by trie, miss a pair at the threshold with a chance over ``1 - recall`` is still
-open: its long prefixes are shortened to the end whatever their size, and those nodes are dealt
-into tiles.  Texts under one node are compared by their signatures, and what may be similar is tied
-together.  Within each tied set the shingle sets themselves are compared, all pairs of a set, in
-tiles.
-
-Large nodes: in a tile a text that is nearly a copy of an earlier one (a leader) is compared with
+order of labels, the texts under one node of a trie, those that share a prefix, lie together.  Every
+text starts with its whole labels and shortens them step by step, in the trie where a step adds the
+most recall for the fewest further texts, until a pair at the threshold is missed with a chance of
+at most ``1 - recall``.  So prefixes that many unlike texts share stay long.  A text meets all texts under
+the nodes it has stopped at; of nodes within one another the widest is looked at.  Texts under one node
+are compared by their signatures, and what may be similar is tied together.  Within each tied set
+the shingle sets themselves (sets of 64-bit hashes of the shingles) are compared, all pairs of a set,
+in tiles.
+
+Nodes of many texts are dealt into tiles of about ``run`` texts.  In a tile of such a node a text that is nearly a copy of an earlier one (a leader) is compared with
 no further texts.  The looser thresholds for ties that go with this keep every pair at the
 threshold tied, by the triangle inequality of Jaccard distance.  Exact copies are one text
 throughout.
@@ -29,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from timbrel.llm import textkit as tk
-from timbrel.llm.components import components
+from timbrel.operators.components import components
 from timbrel.llm.rows import append, give_back, quoted
 from timbrel.sources.tables import forget, settle
 
@@ -302,51 +301,98 @@ def digest_of(text: str = "text"):
     return F.unhex(F.md5(F.coalesce(quoted(text), F.lit(""))))
 
 
-def forest(labels: DataFrame, run: int, depth: int, threshold: float, recall: float) -> DataFrame:
-    """Nodes and the texts to compare under them: (node, tile, digest, tiles), from rows (key, tail, digest) of distinct texts.
+def stops(sizes: np.ndarray, there: np.ndarray, depth: int, threshold: float, recall: float) -> np.ndarray:
+    """Values beyond the first ``depth`` that each text keeps in each trie: (texts, tries).
 
-    tiles is 1 but for nodes of the open texts that hold more than ``run`` of them.
+    ``sizes`` (texts, tries, levels) has the texts under the node of each length, shortest first; in tries where a
+    text is not ``there`` it is alone however short its label, and the label is shortest.
     """
-    out = settle(_forest(labels, run, depth, threshold, recall, made := []))
-    for table in made:
+    levels = sizes.shape[2] - 1
+    miss = np.log1p(-(threshold ** np.arange(depth, depth + levels + 1, dtype=float)))
+    gain = np.append(0.0, np.diff(miss))  # of a step down from each length
+    keep = np.where(there, levels, 0)
+    total = miss[keep].sum(axis=1)
+    at = np.arange(len(keep))
+    while True:
+        open_ = at[total > math.log(1 - recall)]
+        open_ = open_[keep[open_].any(axis=1)]
+        if not len(open_):
+            return keep
+        now = keep[open_]
+        more = np.take_along_axis(sizes[open_], np.maximum(now - 1, 0)[:, :, None], 2) - np.take_along_axis(sizes[open_], now[:, :, None], 2)
+        worth = np.where(now > 0, gain[now] / (more[:, :, 0] + 0.5), -1.0)
+        trie = worth.argmax(axis=1)
+        total[open_] -= gain[now[np.arange(len(now)), trie]]
+        keep[open_, trie] -= 1
+
+
+STOPPED = T.StructType([T.StructField("key", T.LongType()), T.StructField("tail", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("stop", T.IntegerType())])
+
+
+def _stopped(depth: int, levels: int, threshold: float, recall: float):
+    """Kernel over (digest, tries: list of (key, tail, n0, n1, ...)): a row for each trie, with the values beyond ``depth`` that are kept."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            count = lists.value_lengths().to_numpy()
+            row = np.repeat(np.arange(len(count)), count)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            flat = lists.flatten()
+            sizes, there = np.zeros((len(count), TREES, levels + 1)), np.zeros((len(count), TREES), bool)
+            there[row, place] = True
+            for j in range(levels + 1):
+                sizes[row, place, j] = flat.field(2 + j).to_numpy()
+            keep = stops(sizes, there, depth, threshold, recall)[row, place]
+            yield pa.RecordBatch.from_arrays([flat.field(0), flat.field(1), batch.column(0).take(pa.array(row)), pa.array(keep, pa.int32())], names=STOPPED.names)
+
+    return run
+
+
+def stopped(labels: DataFrame, depth: int, threshold: float, recall: float) -> DataFrame:
+    """(key, tail, digest, stop), settled: how many values beyond ``depth`` each text keeps in each trie where it is not alone under its shortest prefix, from rows (key, tail, digest) of distinct texts."""
+    levels = min(DEPTH, depth + 3) - depth
+    prefix = lambda j: F.shiftrightunsigned("tail", TAIL_BITS * (levels - j))
+    # counts are written down before they meet the labels, so that a crowded node is a skewed join between two exchanges, which Spark splits
+    counted = settle(labels.groupBy("key").agg(F.count("*").alias("n0")).where("n0 > 1"))
+    members = settle(labels.join(counted.hint("merge"), "key"))
+    leaves = members.groupBy("key", "tail").agg(F.first("n0").alias("n0"), F.count("*").alias("texts"))
+    for j in range(1, levels + 1):
+        node = leaves.groupBy("key", prefix(j).alias("prefix")).agg(F.sum("texts").alias(f"n{j}"))
+        leaves = leaves.withColumn("prefix", prefix(j)).join(node, ["key", "prefix"]).drop("prefix")
+    leaves = settle(leaves.drop("texts"))
+    sizes = [f"n{j}" for j in range(levels + 1)]
+    each = members.select("key", "tail", "digest").join(leaves.hint("merge"), ["key", "tail"]).groupBy("digest").agg(F.collect_list(F.struct("key", "tail", *sizes)).alias("tries"))
+    out = settle(each.mapInArrow(_stopped(depth, levels, threshold, recall), STOPPED))
+    for table in (counted, members, leaves):
         forget(table)
     return out
 
 
-def _forest(labels: DataFrame, run: int, depth: int, threshold: float, recall: float, made: list[DataFrame]) -> DataFrame:
-    def written(table: DataFrame) -> DataFrame:
-        made.append(settle(table))
-        return made[-1]
+def forest(labels: DataFrame, run: int, depth: int, threshold: float, recall: float) -> DataFrame:
+    """Nodes and the texts to compare under them: (node, tile, digest, tiles), from rows (key, tail, digest) of distinct texts.
 
+    tiles is over 1 for nodes that hold more than ``run`` texts.
+    """
     levels = min(DEPTH, depth + 3) - depth
-    # texts alone under their shortest prefix have nothing to be compared with
-    counted = written(labels.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
-    members = written(labels.join(counted.hint("merge"), "key"))
-    single = F.lit(1).cast("long")
-    small = members.where(F.col("n") <= run).select(F.col("key").alias("node"), F.lit(0).cast("long").alias("tile"), "digest", single.alias("tiles"))
-    large = members.where(F.col("n") > run).drop("n")
-    if not large.limit(1).count():
-        return small
     prefix = lambda j: F.shiftrightunsigned("tail", TAIL_BITS * (levels - j))
-    leaves = large.groupBy("key", "tail").agg(F.count("*").alias("texts"))
-    stops = F.lit(depth + levels + 1)
-    for j in range(levels, 0, -1):
-        node = leaves.groupBy("key", prefix(j).alias("prefix")).agg(F.sum("texts").alias(f"n{j}"))
+    told = stopped(labels, depth, threshold, recall)
+    # a leaf lies under the widest node that any text under that node has stopped at
+    leaves = told.groupBy("key", "tail").agg(F.min("stop").alias("least"))
+    widest = F.lit(levels)
+    for j in range(levels):
+        node = leaves.groupBy("key", prefix(j).alias("prefix")).agg((F.min("least") <= j).alias(f"at{j}"))
         leaves = leaves.withColumn("prefix", prefix(j)).join(node, ["key", "prefix"]).drop("prefix")
-        stops = F.when(F.col(f"n{j}") <= run, depth + j).otherwise(stops)
-    leaves = written(leaves.select("key", "tail", stops.alias("depth")))
-    placed = written(large.join(leaves.hint("merge"), ["key", "tail"]))
-    # chance, trie by trie, that a pair at the threshold is not met
-    miss = F.element_at(F.array(*[F.lit(math.log1p(-(threshold**d))) for d in range(1, depth + levels + 1)], F.lit(0.0)), F.col("depth"))
-    least = math.log1p(-(threshold**depth))
-    unmet = placed.groupBy("digest").agg(F.sum(miss - F.lit(least)).alias("more")).where(F.col("more") > math.log(1 - recall) - TREES * least)
-    open_ = written(placed.join(unmet.select("digest"), "digest", "left_semi").select("key", "digest"))
-    deep = placed.where(F.col("depth") <= depth + levels)
-    cut = F.element_at(F.array(*[prefix(j) for j in range(1, levels + 1)]), F.col("depth") - depth)
-    deep = deep.select(F.xxhash64("key", "depth", cut).alias("node"), F.lit(0).cast("long").alias("tile"), "digest", single.alias("tiles"))
-    tiles = written(open_.groupBy("key").agg(F.ceil(F.count("*") / run).cast("long").alias("tiles")))
-    wide = open_.join(tiles.hint("merge"), "key").select(F.col("key").alias("node"), F.pmod(F.xxhash64("digest"), F.col("tiles")).alias("tile"), "digest", "tiles")
-    return small.unionByName(deep).unionByName(wide)
+    for j in range(levels - 1, -1, -1):
+        widest = F.when(F.col(f"at{j}"), j).otherwise(widest)
+    cut = F.element_at(F.array(*[prefix(j) for j in range(levels + 1)]), widest + 1)
+    leaves = settle(leaves.select("key", "tail", F.xxhash64("key", widest, cut).alias("node")))
+    placed = settle(told.select("key", "tail", "digest").join(leaves.hint("merge"), ["key", "tail"]).select("node", "digest"))
+    counted = settle(placed.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node", F.ceil(F.col("n") / run).cast("long").alias("tiles")))
+    out = settle(placed.join(counted.hint("merge"), "node").select("node", F.pmod(F.xxhash64("digest"), F.col("tiles")).alias("tile"), "digest", "tiles"))
+    for table in (told, leaves, placed, counted):
+        forget(table)
+    return out
 
 
 def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, shingle: int = SHINGLE, recall: float = RECALL, run: int = RUN, tile_texts: int = TILE_TEXTS, tile_shingles: int = TILE_SHINGLES) -> DataFrame:
