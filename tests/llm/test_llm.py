@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from timbrel.llm import backoff, conversations, decontamination, entry, jaccard, languages, packing, quality, repeats, secrets, toxicity
 from timbrel.llm import textkit as tk
+from timbrel.llm.rows import may_be
 from timbrel.operators import components
 
 SF = "/root/testdata/sf0.001"
@@ -532,6 +533,20 @@ def test_stops():
     assert (jaccard.stops(sizes, there, 5, 0.8, 0.99) > keep).any()
 
 
+def test_equal_leaders_are_one_row(spark):
+    """Of rows equal in id and text the first in order of all columns stays, whatever else they hold."""
+    import corpus_pipeline as p
+
+    text = " ".join(f"a{i}" for i in range(30))
+    rows = [(1, text, s, n) for s, n in (("z", 3), ("b", 9), ("b", 2), (None, 1))] + [(2, text + " more", "a", 1), (3, None, "q", 1), (3, None, "q", 1), (4, "alone", "x", 5)]
+    for seed in range(3):
+        df = spark.createDataFrame(random.Random(seed).sample(rows, len(rows)), "doc_id long, text string, source string, n int").repartition(1 + seed)
+        got = rows_of(p.near_duplicates(spark, df, ""))
+        assert got == sorted([(1, text, None, 1), (3, None, "q", 1), (3, None, "q", 1), (4, "alone", "x", 5)], key=str) or got == sorted([(1, text, "b", 2), (3, None, "q", 1), (3, None, "q", 1), (4, "alone", "x", 5)], key=str)
+        first = got if seed == 0 else first
+        assert got == first
+
+
 def test_forest(spark):
     """Each text meets every text under each node it has stopped at, nodes lie apart, and large ones are dealt into tiles."""
     rng = np.random.default_rng(5)
@@ -723,6 +738,32 @@ def test_decontamination(spark, block_bytes):
     assert all(sum(s["end"] - s["start"] for s in r["hit_spans"]) == r["n_hit"] for r in got)
 
 
+def test_texts_without_hits_stay(spark):
+    """Of a large benchmark's results no exchange carries the text of a row that the filter knows to have no hit."""
+    say = lambda c, n=40: " ".join(f"{c}{i}" for i in range(n))
+    rows = [(i, say(f"d{i}x")) for i in range(200)] + [(900, "so " + say("item") + " it goes"), (901, say("item", 12))]
+    got = decontamination.find_contamination(table(spark, rows).withColumn("item_ids", F.lit("own")), table(spark, [(1, say("item"))]).withColumnRenamed("doc_id", "item_id"), block_bytes=0)
+    assert {r["doc_id"]: r["n_hit"] for r in got.where("n_hit > 0").collect()} == {900: 40} and got.count() == 202
+    known = table(spark, [(1, rows[200][1])]).select(F.unhex(F.md5("text")).alias("digest"))
+    there = may_be(table(spark, rows).withColumn("__digest", F.unhex(F.md5("text"))), "__digest", known, "digest")
+    assert [r["doc_id"] for r in there.where("__maybe").collect()] == [900] and there.count() == 202
+    # below each exchange of texts stands the filter
+    plan = got._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    joins = [k for k, line in enumerate(plan) if "Join" in line]
+    assert joins and all(any("__maybe" in line for line in plan[k + 1 : k + 3]) for k in joins)
+
+
+def test_common_windows_of_many_items(spark):
+    """A passage of many items and many texts: one set of items, no row for each pair."""
+    passage = " ".join(f"p{i}" for i in range(13))
+    items = [(i, passage if i % 2 else passage + f" tail{i} x") for i in range(300)] + [(400, "short one")]
+    docs = [(i, f"a{i} {passage} b{i}") for i in range(120)] + [(500, "a short one here"), (501, None)]
+    got = decontamination.find_contamination(table(spark, docs), table(spark, items).withColumnRenamed("doc_id", "item_id"), block_bytes=0)
+    assert sorted(((r["doc_id"], r["n_words"], r["n_hit"], r["item_ids"]) for r in got.collect()), key=str) == brute_hits(docs, [(str(i), t) for i, t in items])
+    windows, sets = decontamination.owners(table(spark, [(i, passage) for i in range(300)]).select(F.col("doc_id").cast("string").alias("i"), F.lit(13).cast("long").alias("length"), F.col("text").alias("window")))
+    assert windows.count() == sets.count() == 1 and len(sets.first()["items"]) == 300
+
+
 def test_no_benchmark(spark):
     got = decontamination.find_contamination(odd(spark), spark.createDataFrame([], "item_id long, text string")).collect()
     assert len(got) == len(ODD) and not any(r["n_hit"] for r in got)

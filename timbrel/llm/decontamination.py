@@ -22,15 +22,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from timbrel.llm import textkit as tk
-from timbrel.llm.rows import append, quoted
+from timbrel.llm.rows import FILTER_BITS, append, filter_bits, may_be, quoted
 from timbrel.sources.tables import forget, settle
 
 SPAN = 13
 GRAM = 5
 #: Bytes of a benchmark's text that one index in memory takes, at most.
 BLOCK_BYTES = 16 << 20
-#: Bits of a fingerprint that the filter of documents' fingerprints looks at: 2 MB for any benchmark.
-FILTER_BITS = 24
 
 FIELDS = T.StructType(
     [
@@ -240,50 +238,49 @@ def _window_kernel(span: int, gram: int, lengths: list[int] | None):
     return run
 
 
-def _slots(prints: DataFrame) -> np.ndarray:
-    """A bit for each value of the first FILTER_BITS bits of the prints: a filter of one size for any benchmark."""
-    step = 1 << 16
-    slot = F.shiftrightunsigned("print", 64 - FILTER_BITS)
-    parts = prints.select(F.floor(slot / step).cast("int").alias("part"), (slot % step).cast("int").alias("bit")).distinct()
+def owners(windows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of (i, length, window): each window with the set of its items, (length, window, set), and the sets, (set, items).
 
-    def run(key: tuple, rows: pa.Table) -> pa.Table:
-        bits = np.zeros(step, np.uint8)
-        bits[rows.column("bit").to_numpy()] = 1
-        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
-
-    out = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
-    for r in parts.groupBy("part").applyInArrow(run, "part int, bits binary").collect():  # a 2 MB filter at most, in all
-        out[r["part"] * step // 8 : (r["part"] + 1) * step // 8] = np.frombuffer(r["bits"], np.uint8)
-    return out
+    Windows of the same items share a set, so a passage of many items is one row wherever it occurs.
+    """
+    grouped = settle(windows.groupBy("length", "window").agg(F.array_sort(F.collect_set("i")).alias("items")).withColumn("set", F.md5(F.to_json("items"))))
+    return grouped.select("length", "window", "set"), settle(grouped.select("set", "items").dropDuplicates(["set"]))
 
 
 def _by_shuffle(docs: DataFrame, items: DataFrame, text: str, span: int, gram: int, carried: list[str]) -> DataFrame:
-    """Results for a benchmark too large to broadcast.  Texts are known by their digest; equal ones are looked up once."""
+    """Results for a benchmark too large to broadcast.  Texts are known by their digest; equal ones are looked up once.
+
+    Fingerprints and windows cross the network, and the texts of rows that may have hits; all others stay where they are.
+    """
     spark = docs.sparkSession
     sized = append(items, lambda: _print_kernel(span, gram, [], None), T.StructType([T.StructField("n", T.LongType()), T.StructField("prints", T.ArrayType(T.LongType()))]), ("t",))
     lengths = sorted(r["n"] for r in sized.where(F.col("n").between(1, span - 1)).select("n").distinct().collect())  # 12 numbers at most
     listed = settle(append(items, lambda: _window_kernel(span, gram, None), T.StructType([T.StructField("windows", T.ArrayType(T.StructType([T.StructField("begin", T.LongType()), T.StructField("length", T.LongType()), T.StructField("window", T.StringType())])))]), ("t",), ["i"]))
-    windows = settle(listed.select("i", F.explode("windows").alias("w")).select("i", "w.length", "w.window").distinct())
+    windows, sets = owners(listed.select("i", F.explode("windows").alias("w")).select("i", "w.length", "w.window"))
     forget(listed)
     short = windows.where(F.col("length") < span).select("length", "window").distinct()
     own = append(short, lambda: _whole_kernel(), T.StructType([T.StructField("print", T.LongType())]), ("window",), [])
     prints = settle(sized.select(F.explode("prints").alias("print")).unionByName(own).distinct())
-    slots = spark.sparkContext.broadcast(_slots(prints))
+    slots = spark.sparkContext.broadcast(filter_bits(prints))
 
-    digest = F.unhex(F.md5(F.coalesce(quoted(text), F.lit("")))).alias("digest")
+    digest = F.unhex(F.md5(F.coalesce(quoted(text), F.lit("")))).alias("__digest")
     source = docs.select(digest, F.coalesce(quoted(text), F.lit("")).alias("t"))
-    told = append(source, lambda: _print_kernel(span, gram, lengths, slots.value), T.StructType([T.StructField("n", T.LongType()), T.StructField("prints", T.ArrayType(T.LongType()))]), ("t",), ["digest"])
-    marked = settle(told.where(F.size("prints") > 0).dropDuplicates(["digest"]).select("digest", F.explode("prints").alias("print")))
+    told = append(source, lambda: _print_kernel(span, gram, lengths, slots.value), T.StructType([T.StructField("n", T.LongType()), T.StructField("prints", T.ArrayType(T.LongType()))]), ("t",), ["__digest"])
+    marked = settle(told.where(F.size("prints") > 0).select(F.col("__digest").alias("digest"), "prints").dropDuplicates(["digest"]).select("digest", F.explode("prints").alias("print")))
     # a passage of many texts is a skewed join between two exchanges, which Spark splits
     hits = settle(marked.join(prints.hint("merge"), "print").groupBy("digest").agg(F.collect_list("print").alias("prints")))
     # copies are one text before they meet, task by task, so they never lie in one
-    texts = source.dropDuplicates(["digest"]).join(hits.hint("merge"), "digest")
+    texts = may_be(source, "__digest", hits, "digest").where("__maybe").dropDuplicates(["__digest"]).join(hits.hint("merge"), F.col("__digest") == F.col("digest")).select("digest", "t", "prints")
     kind = T.StructType([T.StructField("windows", T.ArrayType(T.StructType([T.StructField("begin", T.LongType()), T.StructField("length", T.LongType()), T.StructField("window", T.StringType())])))])
     around = settle(append(texts, lambda: _window_kernel(span, gram, lengths), kind, ("t", "prints"), ["digest"]).select("digest", F.explode("windows").alias("w")).select("digest", "w.*"))
-    met = settle(around.join(windows.hint("merge"), ["length", "window"]).select("digest", "begin", "length", "i").distinct())
-    found = met.groupBy("digest").agg(F.collect_set(F.struct("begin", "length")).alias("found"), F.collect_set("i").alias("owners"))
-    rows = docs.select(*[quoted(c) for c in carried], quoted(text).alias("__text"), digest.alias("__digest"))
-    joined = rows.join(settle(found).withColumnRenamed("digest", "__digest").hint("merge"), "__digest", "left")
+    met = settle(around.join(windows.hint("merge"), ["length", "window"]).select("digest", "begin", "length", "set").distinct())
+    of_sets = met.select("digest", "set").distinct().join(sets.hint("merge"), "set").groupBy("digest").agg(F.array_distinct(F.flatten(F.collect_list("items"))).alias("owners"))
+    found = settle(met.groupBy("digest").agg(F.collect_set(F.struct("begin", "length")).alias("found")).join(of_sets, "digest"))
+    rows = may_be(docs.select(*[quoted(c) for c in carried], quoted(text).alias("__text"), digest), "__digest", found, "digest")
+    names = [*carried, "__text", "found", "owners"]
+    joined = rows.where("__maybe").join(found.hint("merge"), F.col("__digest") == F.col("digest"), "left").select(*map(quoted, names))
+    none = [F.lit(None).cast(found.schema[c].dataType).alias(c) for c in ("found", "owners")]
+    joined = joined.unionByName(rows.where("not __maybe").select(*map(quoted, names[:-2]), *none))
 
     def make():
         def run(texts, found, owners) -> list:
@@ -322,7 +319,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     Words inside any occurrence of a window are hit.  Null texts have no words; items with a null
     id or without words are left out; repeated items count once; an empty benchmark hits nothing;
     input columns named like a result are replaced.  Rows stay where they are: no shuffle, unless
-    the benchmark has over ``block_bytes`` of text.
+    the benchmark has over ``block_bytes`` of text; then those that may have hits meet theirs.
     """
     items = benchmark.where(quoted(item_id).isNotNull()).select(quoted(item_id).cast("string").alias("i"), F.coalesce(quoted(item_text), F.lit("")).alias("t"))
     size = items.agg(F.sum(F.octet_length("t") + 64).alias("n")).first()["n"] or 0

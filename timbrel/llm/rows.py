@@ -5,12 +5,17 @@ from __future__ import annotations
 import ctypes
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Bits of a fingerprint that the filter of documents' fingerprints looks at: 2 MB for any benchmark.
+FILTER_BITS = 24
+
+
 def quoted(name: str):
     return F.col("`" + name.replace("`", "``") + "`")
 
@@ -51,3 +56,39 @@ def append(docs: DataFrame, make: Callable[[], Callable[..., list]], fields: T.S
         give_back()
 
     return docs.select(*[quoted(c) for c in [*kept, *more]]).mapInArrow(run, schema)
+
+
+def filter_bits(prints: DataFrame) -> np.ndarray:
+    """A bit for each value of the first FILTER_BITS bits of the prints: a filter of one size for any benchmark."""
+    step = 1 << 16
+    slot = F.shiftrightunsigned("print", 64 - FILTER_BITS)
+    parts = prints.select(F.floor(slot / step).cast("int").alias("part"), (slot % step).cast("int").alias("bit")).distinct()
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        bits = np.zeros(step, np.uint8)
+        bits[rows.column("bit").to_numpy()] = 1
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+
+    out = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+    for r in parts.groupBy("part").applyInArrow(run, "part int, bits binary").collect():  # a 2 MB filter at most, in all
+        out[r["part"] * step // 8 : (r["part"] + 1) * step // 8] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def may_be(rows: DataFrame, column: str, known: DataFrame, key: str) -> DataFrame:
+    """``rows`` with __maybe: false only where ``known`` surely has no row whose ``key`` is the row's ``column``.
+
+    A filter of one size, whatever the size of ``known``, is broadcast; no row moves.  So a join need only move
+    the rows that may match.
+    """
+    slots = rows.sparkSession.sparkContext.broadcast(filter_bits(known.select(F.xxhash64(quoted(key)).alias("print"))))
+
+    def make():
+        def run(slot) -> list:
+            at = slot.to_numpy()
+            return [pa.array((slots.value[at >> 3] >> (at & 7)) & 1).cast(pa.bool_())]
+
+        return run
+
+    slot = F.shiftrightunsigned(F.xxhash64(quoted(column)), 64 - FILTER_BITS).alias("__slot")
+    return append(rows.select("*", slot), make, T.StructType([T.StructField("__maybe", T.BooleanType())]), ("__slot",), rows.columns)
