@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from timbrel.llm import decontamination, jaccard, languages, packing, secrets
+from timbrel.llm.rows import may_be, quoted
 from timbrel.sources.tables import forget, settle
 
 
@@ -25,15 +26,26 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of each class, by id and text, null ids last; of rows repeated whole, one."""
+    """Keeps the document of the smallest id of each class, by id and text, null ids last.
+
+    Of rows equal in id and text the one that comes first with all its columns spelled out stays.  Only rows that a
+    filter of one size cannot rule out meet the list of rows to drop; all others stay where they are.
+    """
     classes = settle(jaccard.jaccard_classes(docs))
-    others = classes.where(~F.col("leads")).select(F.col("doc_id").alias("other"), F.col("digest").alias("other_text")).distinct()
+    others = settle(classes.where(~F.col("leads")).select(F.col("doc_id").alias("other"), F.col("digest").alias("other_text")).distinct())
+    twice = settle(classes.where("leads and n_copies > 1").groupBy("doc_id", "digest").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("own"), F.col("digest").alias("own_text")))
+    marked = may_be(docs.withColumn("__digest", jaccard.digest_of()), "__digest", others, "other_text")
     # one plan at every size: the list of rows to drop grows with the corpus, so it is never broadcast
-    kept = docs.join(others.hint("merge"), (jaccard.digest_of() == F.col("other_text")) & F.col("doc_id").eqNullSafe(F.col("other")), "left_anti")
-    leaders = classes.where("leads")
-    if leaders.groupBy("doc_id", "digest").count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id", "text"])
-    return kept
+    left = marked.where("__maybe").join(others.hint("merge"), (F.col("__digest") == F.col("other_text")) & F.col("doc_id").eqNullSafe(F.col("other")), "left_anti")
+    kept = left.unionByName(marked.where("not __maybe")).drop("__maybe")
+    if twice.limit(1).count():
+        marked = may_be(kept, "__digest", twice, "own_text")
+        same = (F.col("__digest") == F.col("own_text")) & F.col("doc_id").eqNullSafe(F.col("own"))
+        some = marked.where("__maybe").join(twice.hint("merge"), same, "left").withColumn("__twice", F.col("own_text").isNotNull()).drop("own", "own_text")
+        whole = F.struct(*[quoted(c) for c in docs.columns])
+        one = some.where("__twice").groupBy("doc_id", "__digest").agg(F.min_by(whole, F.to_json(whole, {"ignoreNullFields": "false"})).alias("row")).select("row.*")
+        kept = marked.where("not __maybe").select(*[quoted(c) for c in docs.columns]).unionByName(some.where("not __twice").select(*[quoted(c) for c in docs.columns])).unionByName(one)
+    return kept.select(*[quoted(c) for c in docs.columns])
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
