@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from timbrel.operators import density, postprocess, project, series, slices, spectral
 from timbrel.sources.tables import settle
 from timbrel.sources import readers, writers
+from timbrel.sources.cache import KEYS, FeatureCache
 
 METHODS = ("spectral", "umap_hdbscan")
 
@@ -58,14 +59,12 @@ def embed_folder(spark: SparkSession, folder: str, encoder: str = "timbre", spea
         return slices.embed(readers.waveforms(files, trim=encoder != "emotion"), encoder)
     marks = readers.listing(spark, folder).withColumnRenamed("path", "filename")
     keyed = files.select("id", "filename").join(marks, "filename")
-    known = readers.cached_features(spark, cache, speaker, encoder)
-    keys = ["filename", "length", "modified"]
-    missing = files if known is None else files.join(cache_misses(keyed, known, keys).select("id"), "id", "left_semi")
+    store = FeatureCache(spark, cache)
+    missing = files.join(store.misses(keyed, speaker, encoder).select("id"), "id", "left_semi")
     if missing.limit(1).count():
         fresh = slices.embed(readers.waveforms(missing, trim=encoder != "emotion"), encoder).join(keyed, ["id", "filename"])
-        writers.cache_features(fresh.select(F.lit(speaker).alias("speaker"), F.lit(encoder).alias("encoder"), *keys, "v"), cache)
-        known = readers.cached_features(spark, cache, speaker, encoder)
-    return keyed.join(known.dropDuplicates(keys), keys).select("id", "filename", "v")
+        store.write(fresh, speaker, encoder)
+    return keyed.join(store.read(speaker, encoder), list(KEYS)).select("id", "filename", "v")
 
 
 def split(spark: SparkSession, folder: str, out: str | None = None, encoder: str = "timbre", method: str = "spectral", reducer: str = "tsne", speaker: str = "", cache: str | None = None, plot: str | None = None, **options) -> DataFrame:

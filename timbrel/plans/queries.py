@@ -12,6 +12,7 @@ from timbrel.functions import vectors as V
 from timbrel.operators import chunks, density, intervals, neighbours, postprocess, project, series, similarity, simjoin, slices, spectral
 from timbrel.plans import clustering
 from timbrel.sources import arrays, readers, writers
+from timbrel.sources.cache import FeatureCache
 from timbrel.sources.tables import scratch
 from timbrel.streaming import trailing
 
@@ -284,6 +285,16 @@ def recording_power(spark, sf_dir):
     return power.select(readers.basename("path").alias("recording"), "n_samples", V.tidy(F.col("power"), 9).alias("power"))
 
 
+def feature_cache(spark, sf_dir):
+    """Vectors kept in two versions of a cache, one over the other, and those it still misses."""
+    store = FeatureCache(spark, f"{scratch(spark)}/cache-{uuid.uuid4().hex}", 8)
+    p = _points(spark, sf_dir).select(F.concat(F.col("id").cast("string"), F.lit(".wav")).alias("filename"), "id", F.col("clust").cast("long").alias("length"), F.lit("2024-01-01").cast("timestamp").alias("modified"), "v", "clust")
+    store.write(p.where("clust < 6"), "spk", "timbre", "1")
+    store.write(p.where("clust between 4 and 7").withColumn("v", F.transform("v", lambda x: x * 2)), "spk", "timbre", "2")
+    held = store.read("spk", "timbre").join(p.select("filename", "id"), "filename").select("id", V.tidy(F.col("v")[0]).alias("x"))
+    return held.unionByName(store.misses(p, "spk", "timbre").select("id", F.lit(None).cast("double").alias("x"))).select(F.col("id").alias("vec_id"), "x")
+
+
 def slice_frames(spark, sf_dir):
     """Frames within slices: each user's events in the twelve hours from each of its errors on."""
     events = _table(spark, sf_dir, "events")
@@ -351,7 +362,7 @@ QUERIES = {
         cosine_pairs, knn_prune, sym_affinity, degree, laplacian_triples, heat_map, l2_normalize, speaker_embedding, cluster_sizes, minor_major, centroids, absorb_minor,
         centroid_affinity, best_merge_pair, merge_by_cosine, small_n_fallback, eigen_gaps, partial_slices, slice_mid_times, mix_concat, transcript_semi_join, cache_misses,
         route_plan, kick_filter, url_basename, vocab_invert, diarize_frames, trailing_frame, density_histogram, group_median, viewer_palette, viewer_rows, viewer_audio, cluster_centers_2d,
-        similar_pairs, neighbour_graph, matrix_shares, recording_power, slice_frames, trailing_stream,
+        similar_pairs, neighbour_graph, matrix_shares, recording_power, feature_cache, slice_frames, trailing_stream,
         viewer_selected, viewer_accepts, palette_colors, line_colors, cropped_frames, frame_delays, frame_rates, nmin_of_spectrum, assignment_frame, matrix_tokens, path_numbers, scatter_grid,
         embedding_heat_map, nmin_sweep, spectral_cluster, hdbscan, umap_hdbscan, project_2d, project_tsne, flagship,
     )
@@ -423,6 +434,7 @@ ORACLES = {
     "similar_pairs": f"WITH {_E} SELECT a.id AS i, b.id AS j, round(list_cosine_similarity(a.v, b.v), 6) + 0.0 AS c FROM e a JOIN e b ON a.id < b.id AND list_cosine_similarity(a.v, b.v) >= {SIMILAR}",
     "matrix_shares": f"WITH {_E}, n AS (SELECT row_number() OVER (ORDER BY id) - 1 AS id, v FROM e), f AS (SELECT id, unnest(v) AS x, unnest(generate_series(0, len(v) - 1)) AS pos FROM n) SELECT id, CAST(pos AS INTEGER) AS pos, round(x, 6) + 0.0 AS x FROM f",
     "recording_power": "WITH s AS (SELECT event_id // 1000 AS r, CAST(trunc(greatest(-1.0, least(1.0, value / 1000)) * 32767) AS INTEGER) / 32768.0::DOUBLE AS x FROM events) SELECT r || '.wav' AS recording, count(*) AS n_samples, round(sum(x * x) / count(*), 9) + 0.0 AS power FROM s GROUP BY r",
+    "feature_cache": f"WITH {_E} SELECT id AS vec_id, CASE WHEN clust < 4 THEN round(v[1], 6) + 0.0 WHEN clust < 8 THEN round(v[1] * 2, 6) + 0.0 END AS x FROM e",
     "slice_frames": "SELECT s.event_id AS slice, e.event_id FROM events s JOIN events e ON e.user_id = s.user_id AND e.ts >= s.ts AND e.ts < s.ts + INTERVAL 12 HOUR WHERE s.event_type = 'error'",
     "trailing_stream": "SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 5 PRECEDING AND CURRENT ROW), 6) + 0.0 AS trailing FROM events",
     "cluster_centers_2d": f"WITH {_A} SELECT clust, round(avg(x), 6) + 0.0 AS x, round(avg(y), 6) + 0.0 AS y FROM a GROUP BY clust",

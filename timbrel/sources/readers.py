@@ -1,4 +1,4 @@
-"""Sources: recordings, matrices, vocabularies, assignments, transcripts, cached features.
+"""Sources: recordings, matrices, vocabularies, assignments, transcripts.
 
 All read through Spark, so any store that Spark reaches will do; schemas are declared, never inferred.
 """
@@ -123,12 +123,3 @@ def assignments(spark: SparkSession, path: str) -> DataFrame:
 def table_csv(spark: SparkSession, path: str) -> DataFrame:
     """Transcript CSV: header, all columns strings, quoted line breaks allowed."""
     return spark.read.csv(path, header=True, inferSchema=False, multiLine=True, quote='"', escape='"')
-
-
-def cached_features(spark: SparkSession, path: str, speaker: str, encoder: str) -> DataFrame | None:
-    """(filename, length, modified, v) cached for a speaker and encoder, None where nothing is cached."""
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
-        return None
-    return spark.read.parquet(path).where((F.col("speaker") == speaker) & (F.col("encoder") == encoder)).drop("speaker", "encoder")

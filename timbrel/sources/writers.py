@@ -1,4 +1,4 @@
-"""Sinks: assignment and token CSV, transcripts, feature cache, plots, recordings, file routing."""
+"""Sinks: assignment and token CSV, transcripts, plots, recordings, file routing."""
 
 from __future__ import annotations
 
@@ -29,11 +29,6 @@ def token_csv(df: DataFrame, path: str) -> None:
     df.select("token", "clust").coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
-def cache_features(df: DataFrame, path: str) -> None:
-    """(speaker, encoder, filename, length, modified, v) appended to the Parquet cache."""
-    df.write.mode("append").partitionBy("speaker", "encoder").parquet(path)
-
-
 def rewrite_csv(df: DataFrame, path: str) -> None:
     """Replace a CSV folder that ``df`` itself may read: written beside it, then swapped by two renames."""
     spark = df.sparkSession
