@@ -357,6 +357,26 @@ def test_languages(spark):
         assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and 0 <= r["score"] <= 1
 
 
+def test_language_fit_by_plain_steps():
+    """The fitted bits against gradient steps with momentum, one example and one bit at a time."""
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(9, 4)), np.array([0, 0, 0, 0, 1, 1, 2, 2, 2])
+    model = languages.fit(x, y, ["a", "b", "c"], steps=3, rate=0.7, ridge=0.01)
+    code = languages.codewords(3)
+    share = [1 / 3 / np.sum(y == k) for k in y]
+    for bit in range(code.shape[1]):
+        w, b, vw, vb = np.zeros(4), 0.0, np.zeros(4), 0.0
+        for _ in range(3):
+            gw, gb = 0.01 * w, 0.0
+            for row, k, part in zip(x, y, share, strict=True):
+                t = code[k, bit]
+                slope = -t * part / (1 + math.exp(t * (row @ w + b)))
+                gw, gb = gw + slope * row, gb + slope
+            vw, vb = 0.9 * vw - 0.7 * gw, 0.9 * vb - 0.05 * 0.7 * gb
+            w, b = w + vw, b + vb
+        assert np.allclose(model.weights[:, bit], w, atol=1e-5) and abs(model.bias[bit] - b) < 1e-5
+
+
 def test_decoding():
     """The codeword of the least weighted loss, computed bit by bit."""
     rng = np.random.default_rng(4)
@@ -700,6 +720,38 @@ def test_best_two_fit(lengths):
     assert len(used) <= 2 * -(-sum(lengths) // 50) + 1
 
 
+def plain_two_fit(lengths, capacity):
+    """Bins as lists of lengths: the largest piece that fits, again and again; then the two left whose sum comes nearest to the gap and the smallest piece together, if over that piece."""
+    left, bins = sorted(lengths), []
+    while left:
+        own = []
+        while fits := [n for n in left if n <= capacity - sum(own)]:
+            own.append(max(fits))
+            left.remove(max(fits))
+        gap = capacity - sum(own)
+        if gap and len(own) > 1:
+            pairs = [(a + b, a, b) for i, b in enumerate(left) for a in left[i + 1 :] if own[-1] < a + b <= gap + own[-1]]
+            if pairs:
+                _, a, b = max(pairs)
+                left.remove(a)
+                left.remove(b)
+                left = sorted([*left, own[-1]])
+                own[-1:] = [a, b]
+        bins.append(sorted(own))
+    return sorted(bins)
+
+
+@given(st.lists(st.integers(1, 60), max_size=60), st.integers(60, 90))
+@settings(max_examples=150, deadline=None)
+def test_best_two_fit_as_written(lengths, capacity):
+    bins, offsets = packing.best_two_fit(np.array(lengths, int), capacity)
+    made = collections.defaultdict(list)
+    for b, at, n in sorted(zip(bins.tolist(), offsets.tolist(), lengths, strict=True)):
+        assert at == sum(made[b])
+        made[b].append(n)
+    assert sorted(map(sorted, made.values())) == plain_two_fit(lengths, capacity)
+
+
 # 8 decontamination
 
 
