@@ -2,8 +2,8 @@
 
 Up to LIMIT points both work on one point set in one task, as the published algorithms do.  Beyond,
 density clusters come from blocks of points: core distances and, round by round, every component's
-nearest other one are found in parallel, and only the spanning tree, TREE_LIMIT edges at most, is
-cut in one place; the clusters are the same.  The embedding has no such form: LIMIT landmarks are
+nearest other one are found in parallel, and the tree is contracted in parallel to that of the smallest
+clusters (``hierarchy``); the clusters are the same.  The embedding has no such form: LIMIT landmarks are
 embedded, and all other points are placed among them, in parallel.
 """
 
@@ -18,14 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from timbrel.functions import vectors as V
-from timbrel.operators import similarity
+from timbrel.operators import hierarchy, similarity
 from timbrel.sources.tables import settle
 
 LIMIT = 20_000
 #: Bytes of the landmarks that all tasks hold, at most.
 MAX_LANDMARKS = 256 << 20
-#: Points whose spanning tree is cut on the driver, at most: 24 bytes each.
-TREE_LIMIT = 4_000_000
 
 
 def _distances(x: np.ndarray, rows: slice) -> np.ndarray:
@@ -340,45 +338,27 @@ class _Outside(_Block):
         yield pa.RecordBatch.from_arrays([pa.array(self.part[ok]), pa.array(self.best[ok]), pa.array(np.minimum(self.ids, self.other)[ok]), pa.array(np.maximum(self.ids, self.other)[ok])], names=["part", "w", "lo", "hi"])
 
 
-def spanning_tree(points: DataFrame, n: int, min_samples: int, block: int = similarity.BLOCK) -> tuple[np.ndarray, list[tuple[float, int, int]]]:
-    """Ids in order, and the edges (weight, place, place) of the mutual reachability tree of (id, v), by rounds of nearest components.
+def spanning_tree(points: DataFrame, n: int, min_samples: int, block: int = similarity.BLOCK) -> DataFrame:
+    """(w, lo, hi): the edges of the mutual reachability tree of (id, v), ids in order, by rounds of nearest components.
 
-    Each component's smallest edge leaves a round; every round at least halves the components.
+    Each component's smallest edge leaves a round; every round at least halves the components.  Edges
+    are ordered by weight and ids, so no round closes a circle.
     """
-    spark = points.sparkSession
     k = min(min_samples, n - 1)
     cored = settle(points.join(similarity.streamed(points, n, lambda rows: _Core(rows, k), "id long, core double", block, block), "id"))
-    ids = np.sort(cored.select("id").toArrow().column("id").to_numpy())
-    part, edges = np.arange(n), []
-    while part.any():
-        parts = spark.createDataFrame(pa.table({"id": ids, "part": part}))
+    parts, edges = settle(cored.select("id", F.col("id").alias("part"))), None
+    while parts.agg(F.min("part") < F.max("part")).first()[0]:
         told = similarity.streamed(settle(cored.join(parts, "id")), n, _Outside, "part long, w double, lo long, hi long", block, block)
-        least = told.groupBy("part").agg(F.min(F.struct("w", "lo", "hi")).alias("e")).select("e.*").distinct().toArrow()
-        above = np.arange(n)  # of components, by their smallest place
-
-        def root(i: int, above: np.ndarray = above) -> int:
-            while above[i] != i:
-                above[i] = above[above[i]]
-                i = above[i]
-            return int(i)
-
-        ends = [np.searchsorted(ids, least.column(c).to_numpy()) for c in ("lo", "hi")]
-        for w, a, b in zip(least.column("w").to_pylist(), *(e.tolist() for e in ends), strict=True):
-            x, y = sorted((root(int(part[a])), root(int(part[b]))))
-            if x != y:
-                above[y] = x
-                edges.append((w, a, b))
-        part = np.array([root(int(i)) for i in np.arange(n)])[part]
-    return ids, edges
+        least = settle(told.groupBy("part").agg(F.min(F.struct("w", "lo", "hi")).alias("e")).select("e.*").distinct())
+        edges = least if edges is None else edges.unionByName(least)
+        parts = hierarchy.joined(parts, least)
+    return edges if edges is not None else points.sparkSession.createDataFrame([], "w double, lo long, hi long")
 
 
 def density_clusters(df: DataFrame, id_col: str = "id", vector: str = "v", min_samples: int = 20, min_cluster_size: int = 10, limit: int = LIMIT, block: int = similarity.BLOCK) -> DataFrame:
     """(id, clust) without the embedding step; over ``limit`` points by blocks, with the same clusters."""
     points = df.select(F.col(id_col).cast("long").alias("id"), V.doubles(vector).alias("v"))
     n = points.count()
-    if n > TREE_LIMIT:
-        raise ValueError(f"{n} points; the spanning tree of {TREE_LIMIT} at most is cut")
     if n <= max(2, limit):
         return grouped(df, lambda ids, x: pd.DataFrame({"id": ids, "clust": hdbscan(x, min_samples, min_cluster_size).astype("int32")}), "id long, clust int", id_col, vector)
-    ids, edges = spanning_tree(points, n, min_samples, block)
-    return df.sparkSession.createDataFrame(pa.table({"id": ids, "clust": condensed(n, edges, min_cluster_size).astype("int32")}))
+    return hierarchy.cut(spanning_tree(points, n, min_samples, block), points.select("id"), min_cluster_size)
