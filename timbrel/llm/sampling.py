@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,10 +37,8 @@ def draw_labelled(rows: DataFrame, per_label: int, max_bytes: int = MAX_BYTES, m
     # four times the rows wanted pass on average, so fewer than wanted do with no chance worth naming
     share = F.least(F.lit(1.0), (4 * per_label + 50) / F.col("n")) * (1 << 30)
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), "digest"), F.lit(1 << 30))
-    some = keys.join(counts, "label").withColumn("draw", draw).where(F.col("draw") < share)
-    # twice the rows wanted make up for long texts that are passed over
-    order = W.partitionBy("label").orderBy("draw", "digest", F.col("doc_id").cast("string"))
-    listed = some.withColumn("place", F.row_number().over(order)).where(F.col("place") <= 2 * per_label + 50).collect()
+    some = keys.join(counts, "label").withColumn("draw", draw).where(F.col("draw") < share).select("label", "doc_id", "digest", "size", "draw")
+    listed = some.toArrow().to_pylist()  # some 4 * max_rows + 50 a label of them, without a text
     forget(keys)
     chosen, used = [], {}
     for r in sorted(listed, key=lambda r: (r["draw"], r["digest"], str(r["doc_id"]))):
