@@ -19,7 +19,7 @@ def spanning(n, kind, seed):
     return [(w, int(min(names[a], names[b])), int(max(names[a], names[b]))) for w, a, b in out]
 
 
-@pytest.mark.parametrize("n,kind,least", [(60, "random", 4), (60, "random", 2), (50, "path", 4), (40, "star", 3), (120, "blobs", 5), (96, "blobs", 3), (5, "random", 9), (1, "random", 2)])
+@pytest.mark.parametrize("n,kind,least", [(60, "random", 3), (40, "path", 4), (120, "blobs", 5), (5, "random", 9), (1, "random", 2)])
 def test_cut(spark, n, kind, least):
     edges = spanning(n, kind, n + least)
     want = density.condensed(n, edges, least) if n > 1 else np.array([-1])

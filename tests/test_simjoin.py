@@ -25,8 +25,8 @@ def found(df):
     return got
 
 
-@pytest.mark.parametrize("least", [0.2, 0.8, 0.95, 1.0])
-@pytest.mark.parametrize("options", [{}, {"block": 16}, {"block": 7, "pivots": 3}, {"sample": 2}])
+@pytest.mark.parametrize("least", [0.2, 0.9, 1.0])
+@pytest.mark.parametrize("options", [{"block": 16}, {"block": 7, "pivots": 3}, {"sample": 2}])
 def test_join_is_exact(spark, least, options):
     x = np.concatenate([clustered(150, 6, 5, 0.3), np.random.default_rng(2).normal(size=(60, 6)), np.zeros((2, 6)), -np.eye(6)])
     x[10], x[11] = x[12] * 3, x[12]
