@@ -563,6 +563,15 @@ def naive_emotion(w, samples, strides, heads, groups):
     return pooled, lin("classifier.out_proj", [math.tanh(z) for z in lin("classifier.dense", pooled)])
 
 
+def test_short_recordings_are_encoded():
+    w, options = emotion_weights(), {"strides": (5, 2, 2), "heads": 2, "groups": 2}
+    model = encoders.EmotionEncoder(w, **options)
+    for n in (0, 1, model.least - 1, model.least):
+        h = model.hidden(np.sin(np.arange(n)))
+        assert len(h) == 1 and np.isfinite(h).all()
+    assert len(model.hidden(np.sin(np.arange(model.least + 20)))) == 2
+
+
 def test_emotion_weights(spark, wavs, tmp_path):
     w, options = emotion_weights(), {"strides": (5, 2, 2), "heads": 2, "groups": 2}
     x = np.random.default_rng(8).normal(size=150) + 0.3

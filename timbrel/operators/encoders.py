@@ -98,6 +98,10 @@ class EmotionEncoder:
         self.depth = 0
         while f"encoder.layers.{self.depth}.layer_norm.weight" in self.w:
             self.depth += 1
+        #: Samples that give one frame.
+        self.least = 1
+        for i in range(len(strides) - 1, -1, -1):
+            self.least = (self.least - 1) * strides[i] + self.w[f"feature_extractor.conv_layers.{i}.conv.weight"].shape[2]
 
     def _linear(self, name: str, x: np.ndarray) -> np.ndarray:
         return x @ self.w[name + ".weight"].T + self.w[name + ".bias"]
@@ -115,12 +119,11 @@ class EmotionEncoder:
         return self._linear(f"{name}.out_proj", (share @ value).transpose(1, 0, 2).reshape(len(x), -1))
 
     def hidden(self, samples: np.ndarray) -> np.ndarray:
-        """(time, size) hidden states."""
-        x = standardized(samples)[:, None].astype(np.float32)
+        """(time, size) hidden states; a recording too short for a frame is followed by silence."""
+        x = standardized(samples) if len(samples) else np.zeros(0)
+        x = np.pad(x, (0, max(0, self.least - len(x))))[:, None].astype(np.float32)
         for i, stride in enumerate(self.strides):
             layer = f"feature_extractor.conv_layers.{i}"
-            if len(x) < self.w[layer + ".conv.weight"].shape[2]:
-                raise ValueError("the recording is too short for the encoder")
             x = gelu(self._norm(layer + ".layer_norm", convolved(x, self.w[layer + ".conv.weight"], self.w[layer + ".conv.bias"], stride)))
         x = self._linear("feature_projection.projection", self._norm("feature_projection.layer_norm", x))
         width = self.position.shape[2]
