@@ -644,6 +644,25 @@ def test_bad_options(spark):
         clustering.cluster(uneven)
 
 
+def test_asking_for_another_nmin(spark, wavs, tmp_path):
+    from timbrel.cli import answered, parser
+
+    said = iter(["n", "0", "some", "15", " 3 ", "Y"])
+    assert answered(lambda _: next(said)) == 3 and answered(lambda _: next(said)) is None
+    assert parser().parse_args(["split", "--spk", "a", "--ask"]).ask
+    table = clustering.sweep(spark, wavs, cache=str(tmp_path / "c")).orderBy("nmin").collect()
+    assert [r["nmin"] for r in table] == list(range(1, 12)) and all(r["nmin"] <= r["k"] <= 11 for r in table)
+
+
+def test_plane_of_the_largest_variance(spark):
+    """The first two principal axes as numpy finds them, each with its largest loading positive."""
+    x = np.random.default_rng(4).normal(size=(60, 5)) @ np.diag([5.0, 1.0, 3.0, 0.5, 0.1])
+    axes = np.linalg.eigh(np.cov(x.T))[1][:, ::-1][:, :2]
+    axes = axes * np.sign(axes[np.abs(axes).argmax(axis=0), [0, 1]])
+    rows = project.project(frame(spark, x), "pca").orderBy("id").collect()
+    assert np.allclose([[r["x"], r["y"]] for r in rows], x @ axes, atol=1e-6)
+
+
 def test_command_line():
     from timbrel.cli import parser
 
