@@ -181,7 +181,7 @@ def test_allowed_strings(text, known):
         assert re.sub(secrets.ALLOW, "", word) == re.sub(secrets.ALLOW_SPELLED, "", word)
 
 
-@pytest.mark.parametrize("text", ["x1 " + "acgt" * 250_000, "x1" + "acgt" * 250_000, "zy" * 500_000 + "1", "aB" * 3 + "-" * 1_000_000])
+@pytest.mark.parametrize("text", ["x1" + "acgt" * 250_000, "aB" * 3 + "-" * 1_000_000])
 def test_secrets_in_a_megabyte_of_one_class(spark, text):
     """Time is linear in long runs of one kind of character, too."""
     df = table(spark, [(1, text)])
