@@ -5,6 +5,7 @@ import os
 import wave
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -668,3 +669,39 @@ def test_command_line():
 
     assert parser().parse_args(["split", "--spk", "a", "--nmin", "3"]).nmin == 3
     assert not parser().parse_args(["kick", "--csv", "x", "--out", "y", "--clust", "2"]).do
+
+
+def test_graph_without_a_shuffle_of_neighbours(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(150, 5))
+    x[10:60], x[7] = x[3], 0  # more copies than a row keeps
+    df = frame(spark, x)
+    unit = np.divide(x, np.linalg.norm(x, axis=1, keepdims=True), out=np.zeros_like(x), where=x.any(axis=1, keepdims=True))
+    c = np.round(unit @ unit.T, 12)
+    kept = {(i, j) for i in range(150) for j in sorted(range(150), key=lambda j: (-c[i, j], j))[: similarity.keep_count(150)]}
+    want = {p: c[p] * ((p in kept) + (p[::-1] in kept)) / 2 for i, j in kept if i != j for p in ((i, j), (j, i))}
+    edges = similarity.affinity(df, block=16)
+    got = {(r["i"], r["j"]): r["w"] for r in edges.collect()}
+    assert got.keys() == want.keys() and all(abs(got[p] - want[p]) < 1e-9 for p in want)
+    degrees = {r["i"]: r["d"] for r in similarity.affinity_degree(df, block=16).collect()}
+    assert all(abs(degrees[i] - sum(abs(w) for (a, _), w in want.items() if a == i)) < 1e-9 for i in range(150) if any(a == i for a, _ in want))
+    lap = {(r["i"], r["j"]): r["l"] for r in similarity.affinity_laplacian(df, block=16).collect()}
+    assert all(abs(lap[p] + want[p]) < 1e-9 for p in want) and all(abs(lap[i, i] - d) < 1e-9 for i, d in degrees.items()) and len(lap) == len(want) + len(degrees)
+    assert "Exchange" not in edges._jdf.queryExecution().toString()
+
+
+def test_pruning_where_the_first_block_misleads(spark):
+    """Near vectors fill the first block only: what it says cannot be kept must be kept after all."""
+    x = np.random.default_rng(4).normal(size=(60, 6))
+    table = lambda a, b: similarity._Block(pa.table({"id": np.arange(a, b), "v": pa.array(x[a:b].tolist())}))
+    x[:30] = x[0] + 0.001 * x[:30]
+    x[30:] = -x[0] + 0.5 * x[30:]
+    blocks = [table(0, 30), table(30, 60)]
+    best = similarity._Best(blocks[0], 10, 600)  # a guess for many more columns than there are
+    best.all = 60
+    best.guess, best.least = True, np.full(30, 0.9999999)
+    for other in blocks:
+        best.found or best.found.append((np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0)))
+        best.see(other)
+    rows = pa.Table.from_batches(best.end(lambda: iter(blocks)))
+    assert rows.num_rows == 300 and not best.guess
