@@ -705,3 +705,14 @@ def test_pruning_where_the_first_block_misleads(spark):
         best.see(other)
     rows = pa.Table.from_batches(best.end(lambda: iter(blocks)))
     assert rows.num_rows == 300 and not best.guess
+
+
+def test_spectrum_from_blocks_agrees(spark):
+    x, _ = planted(3, each=40, spread=0.6)
+    df = frame(spark, x)
+    dense = spectral.dense_spectrum(similarity.affinity(df), df.select("id"), 5).first()["values"]
+    solved = spectral.graph_spectrum(similarity.graph(df, block=32), 5).cache()
+    assert np.allclose(dense, solved.first()["values"], atol=1e-6) and solved.count() == 120
+    # one row a block leaves the product, however many edges there are
+    tiles = similarity.tiles(similarity.graph(df, block=32))
+    assert tiles.count() <= 4 * 4 + 4 and "Exchange" not in tiles._jdf.queryExecution().toString()

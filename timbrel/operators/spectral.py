@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -12,16 +13,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from timbrel.operators import similarity
+from timbrel.sources.stores import reached
 from timbrel.sources.tables import settle
 
 MIN_SPEAKERS, MAX_SPEAKERS = 1, 14
 #: Points up to which the Laplacian is solved densely in one task (N * N doubles); Lanczos beyond.
 DENSE_LIMIT = 5000
 
-TILE = pa.schema([("p", pa.int32()), ("q", pa.int32()), ("i", pa.binary()), ("j", pa.binary()), ("w", pa.binary())])
-PART = pa.schema([("p", pa.int32()), ("i", pa.binary()), ("y", pa.binary())])
+TILE = pa.schema([("p", pa.int64()), ("q", pa.int64()), ("i", pa.binary()), ("j", pa.binary()), ("w", pa.binary())])
+PART = pa.schema([("p", pa.int64()), ("y", pa.binary())])
 #: A block of nodes with its rows of the basis, of the basis times L, and of the vectors that join next.
-BASIS = pa.schema([("p", pa.int32()), ("ids", pa.binary()), ("d", pa.binary()), ("v", pa.binary()), ("lv", pa.binary()), ("x", pa.binary())])
+BASIS = pa.schema([("p", pa.int64()), ("ids", pa.binary()), ("d", pa.binary()), ("v", pa.binary()), ("lv", pa.binary()), ("x", pa.binary())])
 
 
 def dense_spectrum(edges: DataFrame, ids: DataFrame, vectors: int) -> DataFrame:
@@ -57,37 +59,72 @@ def _tile(key: tuple, rows: pa.Table) -> pa.Table:
     return pa.table({"p": [key[0].as_py()], "q": [key[1].as_py()], **{c: [rows.column(c).to_numpy().tobytes()] for c in "ijw"}}, TILE)
 
 
+def _placed(batches):
+    """Tiles of ids as tiles of places in their blocks, in order of row."""
+    for batch in batches:
+        for r in batch.to_pylist():
+            i, j = (np.searchsorted(np.frombuffer(r[own], np.int64), np.frombuffer(r[c], np.int64)) for c, own in (("i", "pids"), ("j", "qids")))
+            order = np.argsort(i, kind="stable")
+            cells = {"i": i[order].astype(np.int32), "j": j[order].astype(np.int32), "w": np.frombuffer(r["w"], np.float64)[order]}
+            yield pa.RecordBatch.from_pylist([{"p": r["p"], "q": r["q"], **{c: x.tobytes() for c, x in cells.items()}}], TILE)
+
+
+def _gathered(key: tuple, rows: pa.Table) -> pa.Table:
+    rows = rows.sort_by("id")
+    return pa.table({"p": [key[0].as_py()], "ids": [rows.column("id").to_numpy().tobytes()], "d": [rows.column("d").to_numpy().tobytes()]}, pa.schema([("p", pa.int64()), ("ids", pa.binary()), ("d", pa.binary())]))
+
+
 def _first(seed: int, width: int):
-    def run(key: tuple, rows: pa.Table) -> pa.Table:
-        p, rows = key[0].as_py(), rows.sort_by("id")
-        x = np.random.default_rng([seed, p]).normal(size=(rows.num_rows, width))
-        return pa.table({"p": [p], "ids": [rows.column("id").to_numpy().tobytes()], "d": [rows.column("d").to_numpy().tobytes()], "v": [b""], "lv": [b""], "x": [x.tobytes()]}, BASIS)
+    def run(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                x = np.random.default_rng([seed, r["p"] % (1 << 63)]).normal(size=(len(r["ids"]) // 8, width))
+                yield pa.RecordBatch.from_pylist([r | {"v": b"", "lv": b"", "x": x.tobytes()}], BASIS)
 
     return run
 
 
-def _multiply(batches):
-    for batch in batches:
-        for r in batch.to_pylist():
-            ids = np.frombuffer(r["ids"], np.int64)
-            x, at = _cells(r["x"], len(ids)), np.searchsorted(ids, np.frombuffer(r["j"], np.int64))
-            nodes, row = np.unique(np.frombuffer(r["i"], np.int64), return_inverse=True)
-            w = np.frombuffer(r["w"], np.float64)
-            y = np.stack([np.bincount(row, w * c[at], len(nodes)) for c in np.ascontiguousarray(x.T)], axis=1)
-            yield pa.RecordBatch.from_pylist([{"p": r["p"], "i": nodes.tobytes(), "y": y.tobytes()}], PART)
-
-
-def _append(key: tuple, own: pa.Table, parts: pa.Table) -> pa.Table:
-    """The block's vectors x and their products with L join its basis."""
-    r = own.to_pylist()[0]
-    ids, d = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["d"], np.float64)
-    x = _cells(r["x"], len(ids))
-    y = d[:, None] * x
-    for part in parts.to_pylist():
-        nodes = np.frombuffer(part["i"], np.int64)
-        y[np.searchsorted(ids, nodes)] -= _cells(part["y"], len(nodes))
-    r |= {"v": np.hstack([_cells(r["v"], len(ids)), x]).tobytes(), "lv": np.hstack([_cells(r["lv"], len(ids)), y]).tobytes(), "x": b""}
-    return pa.Table.from_pylist([r], BASIS)
+def _multiply(files: list[str]):
+    """Sums of tiles times the vectors x, which a task reads from the basis: one row a block, whatever the edges."""
+
+    def run(batches):
+        x: dict[int, np.ndarray] = {}
+        for name in files:
+            store, at = reached(name)
+            for r in pq.read_table(at, columns=["p", "ids", "x"], filesystem=store).to_pylist():
+                x[r["p"]] = _cells(r["x"], len(r["ids"]) // 8)
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k in range(batch.num_rows):
+                r = {c: batch.column(c)[k].as_py() for c in ("p", "q", "i", "j", "w")}
+                row, at = np.frombuffer(r["i"], np.int32), np.frombuffer(r["j"], np.int32)
+                cut = np.flatnonzero(np.diff(row, prepend=-1))
+                near = np.take(x[r["q"]], at, axis=0)
+                near *= np.frombuffer(r["w"], np.float64)[:, None]
+                sums.setdefault(r["p"], np.zeros_like(x[r["p"]]))[row[cut]] += np.add.reduceat(near, cut, axis=0)
+        for p, y in sums.items():
+            yield pa.RecordBatch.from_pylist([{"p": p, "y": y.tobytes()}], PART)
+
+    return run
+
+
+def _append(files: list[str]):
+    """The block's vectors x and their products with L, of which the parts are read, join its basis."""
+
+    def run(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                ids, d = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["d"], np.float64)
+                x = _cells(r["x"], len(ids))
+                y = d[:, None] * x
+                for name in files:
+                    store, at = reached(name)
+                    for part in pq.read_table(at, filesystem=store, filters=[("p", "=", r["p"])]).column("y").to_pylist():
+                        y -= _cells(part, len(ids))
+                r |= {"v": np.hstack([_cells(r["v"], len(ids)), x]).tobytes(), "lv": np.hstack([_cells(r["lv"], len(ids)), y]).tobytes(), "x": b""}
+                yield pa.RecordBatch.from_pylist([r], BASIS)
+
+    return run
 
 
 def _mixed(turn: np.ndarray | None, mix: np.ndarray):
@@ -150,17 +187,38 @@ def lanczos_spectrum(edges: DataFrame, ids: DataFrame, vectors: int, steps: int
     """
     n = ids.count()
     blocks = max(1, -(-n // similarity.BLOCK))
-    block_of = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks)).cast("int")
-    degrees = settle(ids.join(similarity.degree(edges).withColumnRenamed("i", "id"), "id", "left").select("id", F.coalesce("d", F.lit(0.0)).alias("d")))
-    bound = 2.0 * (degrees.agg(F.max("d")).first()[0] or 0.0) or 1.0
-    tiles = settle(edges.select(block_of("i").alias("p"), block_of("j").alias("q"), "i", "j", F.col("w").cast("double").alias("w")).groupBy("p", "q").applyInArrow(_tile, "p int, q int, i binary, j binary, w binary"))
-    kind = "p int, ids binary, d binary, v binary, lv binary, x binary"
+    block_of = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
+    degrees = ids.join(similarity.degree(edges).withColumnRenamed("i", "id"), "id", "left").select("id", F.coalesce("d", F.lit(0.0)).alias("d"))
+    own = settle(degrees.withColumn("p", block_of("id")).groupBy("p").applyInArrow(_gathered, "p long, ids binary, d binary"))
+    raw = edges.select(block_of("i").alias("p"), block_of("j").alias("q"), "i", "j", F.col("w").cast("double").alias("w")).groupBy("p", "q").applyInArrow(_tile, "p long, q long, i binary, j binary, w binary")
+    both = raw.join(own.select("p", F.col("ids").alias("pids")), "p").join(own.select(F.col("p").alias("q"), F.col("ids").alias("qids")), "q")
+    tiles = settle(both.mapInArrow(_placed, "p long, q long, i binary, j binary, w binary"))
+    return _lanczos(tiles, own, n, vectors, steps, seed, tolerance, rounds)
+
+
+def graph_spectrum(graph: DataFrame, vectors: int, steps: int = 60, seed: int = 7, tolerance: float = 1e-7, rounds: int = 1000) -> DataFrame:
+    """As ``lanczos_spectrum`` of the affinity of a ``similarity.graph``, whose tiles come straight from its blocks."""
+    both = settle(similarity.tiles(graph))
+    own = both.where("q is null").select("p", "ids", F.col("w").alias("d"))
+    return _lanczos(both.where("q is not null").drop("ids"), own, graph.count(), vectors, steps, seed, tolerance, rounds)
+
+
+def _largest(batches):
+    for batch in batches:
+        for d in batch.column(0).to_pylist():
+            yield pa.RecordBatch.from_arrays([pa.array([np.frombuffer(d).max()])], names=["d"])
+
+
+def _lanczos(tiles: DataFrame, own: DataFrame, n: int, vectors: int, steps: int, seed: int, tolerance: float, rounds: int) -> DataFrame:
+    bound = 2.0 * (own.select("d").mapInArrow(_largest, "d double").agg(F.max("d")).first()[0] or 0.0) or 1.0
+    kind = "p long, ids binary, d binary, v binary, lv binary, x binary"
     vectors = min(vectors, n)
-    basis = degrees.withColumn("p", block_of("id")).groupBy("p").applyInArrow(_first(seed, vectors), kind)
+    basis = own.mapInArrow(_first(seed, vectors), kind)
     for _ in range(rounds):
-        basis = settle(basis)
-        parts = tiles.join(basis.select(F.col("p").alias("q"), "ids", "x"), "q").mapInArrow(_multiply, "p int, i binary, y binary")
-        basis = settle(basis.groupBy("p").cogroup(parts.groupBy("p")).applyInArrow(_append, kind))
+        # only the new vectors are written down for the product; all of the basis once a round
+        fresh = settle(basis.select("p", "ids", "x"))
+        parts = settle(tiles.mapInArrow(_multiply(fresh.inputFiles()), "p long, y binary"))
+        basis = settle(basis.mapInArrow(_append(sorted(parts.inputFiles())), kind))
         gram, product = _inner(basis)
         size = len(gram)
         half = np.linalg.inv(np.linalg.cholesky(gram))
@@ -192,6 +250,14 @@ def spectrum(edges: DataFrame, ids: DataFrame, vectors: int = MAX_SPEAKERS + 1)
     return dense_spectrum(edges, ids, vectors) if ids.count() <= DENSE_LIMIT else lanczos_spectrum(edges, ids, vectors)
 
 
+def affinity_spectrum(df: DataFrame, id_col: str = "id", vector: str = "v", pval: float = 0.02, min_pnum: int = 6, vectors: int = MAX_SPEAKERS + 1) -> DataFrame:
+    """(id, values, u) of the affinity graph of vectors; beyond DENSE_LIMIT no edge is shuffled."""
+    ids = df.select(F.col(id_col).cast("long").alias("id"))
+    if ids.count() <= DENSE_LIMIT:
+        return dense_spectrum(similarity.affinity(df, id_col, vector, pval, min_pnum), ids, vectors)
+    return graph_spectrum(similarity.graph(df, id_col, vector, pval, min_pnum), vectors)
+
+
 def eigenvalues(solved: DataFrame) -> DataFrame:
     """(ord, lambda) from a solved spectrum."""
     return solved.limit(1).select(F.posexplode("values").alias("ord", "lambda"))
@@ -244,7 +310,6 @@ def canonical(labels: DataFrame) -> DataFrame:
 
 def spectral_cluster(df: DataFrame, id_col: str = "id", vector: str = "v", nmin: int = MIN_SPEAKERS, nmax: int = MAX_SPEAKERS, pval: float = 0.02, min_pnum: int = 6, k: int | None = None, seed: int = 7) -> DataFrame:
     """(id, clust): similarity, pruning, Laplacian, eigengap, k-means."""
-    ids = df.select(F.col(id_col).cast("long").alias("id"))
-    solved = settle(spectrum(similarity.affinity(df, id_col, vector, pval, min_pnum), ids, nmax + 1 if k is None else max(k, 2)))
+    solved = settle(affinity_spectrum(df, id_col, vector, pval, min_pnum, nmax + 1 if k is None else max(k, 2)))
     chosen = choose_k(solved.first()["values"], nmin, nmax, k)
     return canonical(embedded_kmeans(solved, chosen, seed))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from timbrel.operators import density, postprocess, project, series, similarity, slices, spectral
+from timbrel.operators import density, postprocess, project, series, slices, spectral
 from timbrel.sources.tables import settle
 from timbrel.sources import readers, writers
 from timbrel.sources.cache import KEYS, FeatureCache
@@ -82,7 +82,7 @@ def split(spark: SparkSession, folder: str, out: str | None = None, encoder: str
 def sweep(spark: SparkSession, folder: str, encoder: str = "timbre", speaker: str = "", cache: str | None = None) -> DataFrame:
     """(nmin, k): the number of clusters that each nmin gives a folder's recordings, from one spectrum."""
     points = settle(embed_folder(spark, folder, encoder, speaker, cache))
-    return spectral.nmin_sweep(spectral.spectrum(similarity.affinity(points), points.select("id")))
+    return spectral.nmin_sweep(spectral.affinity_spectrum(points))
 
 
 def load_matrix(spark: SparkSession, path: str, vocabulary: str | None = None, reducer: str = "tsne", out: str | None = None) -> DataFrame:
