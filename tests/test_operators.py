@@ -1,6 +1,7 @@
 """Operators against dense restatements, planted data and properties."""
 
 import json
+import math
 import os
 import wave
 
@@ -52,6 +53,28 @@ def test_blocks_agree(spark):
     assert similarity.cosine_pairs(df, block=9).count() == 70 * 69 // 2
 
 
+def test_all_pairs_shuffle_no_copies_and_come_in_order(spark):
+    x = np.random.default_rng(2).normal(size=(90, 5))
+    df = frame(spark, x).unionByName(frame(spark, x[:1]).withColumn("id", F.lit(None).cast("long")))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for blocks in (1, 2, 5, 6):
+        pairs = similarity.cosine_pairs(df, block=math.ceil(91 / blocks))
+        # vectors were sent once for each block before
+        assert "Exchange" not in pairs._jdf.queryExecution().executedPlan().toString()
+        got = pairs.collect()
+        assert {(r["i"], r["j"]): round(r["c"], 9) for r in got} == {(a, b): round(float(unit[a] @ unit[b]), 9) for a in range(90) for b in range(a + 1, 90)}
+        assert len(got) == 90 * 89 // 2
+    cut = {(r["i"], r["j"]) for r in similarity.cosine_pairs(df, block=20, least=0.3).collect()}
+    assert cut == {(a, b) for a in range(90) for b in range(a + 1, 90) if unit[a] @ unit[b] >= 0.3}
+
+
+def test_small_numbers_round_as_decimals_do(spark):
+    values = [0.0, -0.0, 0.1234564, -0.1234566, 1 / 128, -1 / 128, -1e-9, 1.0, -1.0, float("nan"), None]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    got = df.select(V.tidy(F.col("x")).alias("a"), V.tidy_small(F.col("x")).alias("b")).collect()
+    assert [repr(r["a"]) for r in got] == [repr(r["b"]) for r in got]
+
+
 def test_laplacian_rows_sum_to_zero(spark):
     x, _ = planted(2)
     lap = similarity.laplacian(similarity.affinity(frame(spark, x)))
