@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -72,3 +73,60 @@ def test_rows_without_a_key_time_or_place(spark, tmp_path):
 def test_no_frames(spark, tmp_path, late):
     got = trailing.replayed(spark, [spark.createDataFrame([], SCHEMA)], str(tmp_path), "k", "ts", "place", "value", 2, late)
     assert got.count() == 0
+
+
+class Handle:
+    """State of one key in memory, that counts its calls."""
+
+    def __init__(self):
+        self.calls, self.timers = 0, []
+
+    def getListState(self, name, schema):
+        handle = self
+
+        class State:
+            rows: list = []
+
+            def get(self):
+                handle.calls += 1
+                return iter(self.rows)
+
+            def exists(self):
+                handle.calls += 1
+                return bool(self.rows)
+
+            def put(self, rows):
+                handle.calls += 1
+                self.rows = list(rows)
+
+            def appendList(self, rows):
+                handle.calls += 1
+                self.rows = self.rows + list(rows)
+
+            def clear(self):
+                handle.calls += 1
+                self.rows = []
+
+        return State()
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.append(at)
+
+
+class Watermark:
+    def getCurrentWatermarkInMs(self):
+        return 10
+
+
+def test_keys_make_few_calls_and_no_empty_tables():
+    processor, handle = trailing.Trailing(2, None), Handle()
+    processor.init(handle)
+    rows = pd.DataFrame({"at": [3000, 1000, 20000], "place": [1, 0, 2], "value": [4.0, 2.0, 6.0]})
+    assert list(processor.handleInputRows(("a",), iter([rows]), None)) == []
+    assert (handle.calls, handle.timers) == (2, [1])
+    (out,) = processor.handleExpiredTimer(("a",), Watermark(), None)
+    assert out["trailing"].tolist() == [2.0, 3.0] and out["key"].tolist() == ["a", "a"]
+    assert (handle.calls, handle.timers) == (7, [1, 20])  # 8 with a question for each state before
+    assert list(processor.handleExpiredTimer(("a",), Watermark(), None)) == []
+    assert (handle.calls, handle.timers) == (8, [1, 20])  # 13 before

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,13 +47,16 @@ class Trailing(StatefulProcessor):
         if fresh:
             self.pending.appendList(fresh)
             self._wake(min(fresh)[0])
-        yield self._frame(key, [])
+        return iter(())  # a table of no rows for each key takes longer than its state
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        waiting = [tuple(r) for r in self.pending.get()] if self.pending.exists() else []
-        before = [tuple(r) for r in self.last.get()] if self.last.exists() else []
+        # each call of the state is a round trip
+        waiting = [tuple(r) for r in self.pending.get()]
         ready = sorted((r for r in waiting if r[0] <= passed), key=lambda r: r[:2])
+        if waiting and not ready:
+            return  # an earlier timer told all that was due, and set one for the rest
+        before = [tuple(r) for r in self.last.get()]
         out = []
         for at, place, value in ready:
             if before and self.idle is not None and at - before[-1][0] > self.idle:
@@ -70,12 +74,13 @@ class Trailing(StatefulProcessor):
                 self.last.clear()  # the next frame would start anew anyhow
             else:
                 self._wake(before[-1][0] + self.idle + 1000)
-        yield self._frame(key, out)
+        if out:
+            yield self._frame(key, out)
 
     def _frame(self, key, rows: list[tuple]) -> pd.DataFrame:
-        columns = dict(zip(("at", "place", "value", "trailing"), zip(*rows, strict=True) if rows else ([], [], [], []), strict=True))
-        kinds = {"at": "int64", "place": "int64", "value": "float64", "trailing": "float64"}
-        return pd.DataFrame({"key": pd.Series([key[0]] * len(rows), dtype=object), **{n: pd.Series(list(v), dtype=kinds[n]) for n, v in columns.items()}})
+        at, place, value, trailing = zip(*rows, strict=True)
+        numbers = {n: np.array([np.nan if v is None else v for v in x]) for n, x in (("value", value), ("trailing", trailing))}
+        return pd.DataFrame({"key": np.full(len(rows), key[0], object), "at": np.array(at, np.int64), "place": np.array(place, np.int64), **numbers})
 
     def close(self) -> None:
         pass
