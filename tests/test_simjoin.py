@@ -64,3 +64,12 @@ def test_no_vectors(spark):
     assert found(simjoin.similar_pairs(odd, 0.5)) == {(3, 4)}
     with pytest.raises(ValueError):
         simjoin.similar_pairs(odd, 0.0)
+
+
+def test_vectors_are_sent_once(spark):
+    """However many cells a vector visits, pairs leave the tasks that read the blocks; nothing is exchanged."""
+    x = np.random.default_rng(9).normal(size=(400, 8))
+    join = simjoin.Join(frame(spark, x), 0.5, block=24)
+    pairs = join.distinct_pairs()
+    assert found(pairs) == exact(x, 0.5) and join.skipped() < 0.5
+    assert "Exchange" not in pairs._jdf.queryExecution().toString()

@@ -4,14 +4,15 @@ Angles obey the triangle inequality.  Each vector lies in the cell of its neares
 least and largest angle of its vectors to the pivot.  A pair within angle t of each other, one of them
 in cell B, differ by at most t in their angles to B's pivot: so a vector visits B only if its angle to
 that pivot lies within t of the cell's range, and within a cell a visitor meets only the vectors
-whose angle lies within t of its own.  Whole pairs of cells are thus never compared.  Equal vectors
-are one throughout and their pairs are listed at the end.
+whose angle lies within t of its own.  Whole pairs of cells are thus never compared.  Blocks are ranges
+of cells and angles in a settled table; a task reads the blocks that its own may have partners in, so no
+vector is sent more than once.  Equal vectors are one throughout and their pairs are listed at the end.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from timbrel.functions import vectors as V
+from timbrel.operators import similarity
 from timbrel.sources.tables import settle
 
 #: Pivots at most, rows they are chosen from, vectors of a block of a cell, cosines a task holds at a time.
@@ -62,98 +64,76 @@ def _homes(pivots: np.ndarray):
     return run
 
 
-def _visits(pivots: np.ndarray, low: np.ndarray, high: np.ndarray, blocks: np.ndarray, most: float):
-    """Kernel over (id, v, cell, angle, block): the blocks each vector is sent to, its own first.
+def _visits(pivots: np.ndarray, low: np.ndarray, high: np.ndarray, most: float):
+    """Kernel over (id, v, cell): the cells whose vectors each is compared with, its own first.
 
-    Of a pair in two cells the one of the smaller cell number visits the other's cell; of a pair in two blocks
-    of one cell, the one of the smaller block.
+    Of a pair in two cells the one of the smaller cell number visits the other's cell.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            home, own = batch.column("cell").to_numpy(), batch.column("block").to_numpy()
             for begin in range(0, batch.num_rows, 1024):
-                part = slice(begin, begin + 1024)
-                a = angles(_unit(batch.column("v").slice(begin, 1024)), pivots)
-                goes = (a <= high + most + SLACK) & (a >= low - most - SLACK) & (np.arange(len(pivots)) > home[part, None])
-                row, cell = np.nonzero(goes)
-                # to every block of the cells visited, and to the later blocks of its own
-                count = blocks[cell]
-                later = blocks[home[part]] - own[part] - 1
-                every = np.arange(len(a))
-                rows = np.concatenate([every, np.repeat(row, count), np.repeat(every, later)])
-                cells = np.concatenate([home[part], np.repeat(cell, count), np.repeat(home[part], later)])
-                number = lambda n: np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                to = np.concatenate([own[part], number(count), np.repeat(own[part] + 1, later) + number(later)])
-                angle = a[rows, cells]
-                visitor = np.concatenate([np.zeros(len(every), bool), np.ones(len(rows) - len(every), bool)])
-                for x in range(0, len(rows), 4096):
-                    some = slice(x, x + 4096)
-                    taken = batch.select(["id", "v"]).take(pa.array(rows[some] + begin))
-                    yield pa.RecordBatch.from_arrays([pa.array(cells[some], pa.int32()), pa.array(to[some], pa.int32()), pa.array(visitor[some]), pa.array(angle[some]), *taken.columns], names=["cell", "block", "visitor", "angle", "id", "v"])
+                part = batch.slice(begin, 1024)
+                a, home = angles(_unit(part.column("v")), pivots), part.column("cell").to_numpy()
+                row, cell = np.nonzero((a <= high + most + SLACK) & (a >= low - most - SLACK) & (np.arange(len(pivots)) > home[:, None]))
+                visitor = np.arange(len(home) + len(row)) >= len(home)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([home, cell]), pa.int32()), pa.array(visitor)], names=["cell", "visitor"])
 
     return run
 
 
-class _Home:
-    """A block's own vectors in order of their angle to the cell's pivot."""
+class _Cell:
+    """A block: vectors of one cell within a range of angles to its pivot, in order of these."""
 
-    def __init__(self, rows: pa.Table, least: float):
+    def __init__(self, rows: pa.Table):
         order = np.argsort(rows["angle"].to_numpy(), kind="stable")
-        self.angle, self.ids = rows["angle"].to_numpy()[order], rows["id"].to_numpy()[order]
-        self.m, self.least = _unit(rows["v"].combine_chunks())[order], least
-        self.width = math.acos(max(-1.0, min(1.0, least))) + SLACK
+        self.angle, self.ids, self.cell = rows["angle"].to_numpy()[order], rows["id"].to_numpy()[order], rows["cell"].to_numpy()[order]
+        self.m = _unit(rows["v"].combine_chunks())[order]
 
-    def pairs(self, ids: np.ndarray, angle: np.ndarray, unit: np.ndarray, within: bool) -> Iterator[pa.RecordBatch]:
-        step = max(1, CELLS // max(1, len(self.ids)))
-        order = np.argsort(angle, kind="stable")
-        for begin in range(0, len(order), step):
-            some = order[begin : begin + step]
-            # only those of a like angle
-            lo, hi = np.searchsorted(self.angle, [angle[some[0]] - self.width, angle[some[-1]] + self.width])
-            c = unit[some] @ self.m[lo:hi].T
-            ok = c >= self.least
-            if within:
-                ok &= ids[some][:, None] < self.ids[None, lo:hi]
-            x, y = np.nonzero(ok)
-            a, b = ids[some][x], self.ids[lo:hi][y]
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(c[x, y])], names=["i", "j", "c"])
-
-
-def _compared(least: float):
-    """Kernel over (cell, block, visitor, angle, id, v), sorted so that a block's own vectors come first."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, home = None, [], None
 
-        def settled() -> Iterator[pa.RecordBatch]:
-            nonlocal home, held
-            if held and home is None:
-                home, held = _Home(pa.Table.from_batches(held), least), []
-                yield from home.pairs(home.ids, home.angle, home.m, True)
+class _Meeting:
+    """The pairs of a block's vectors with those of other blocks; each two blocks meet once."""
 
-        for batch in batches:
-            keys = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
-            new = np.ones(batch.num_rows, bool)
-            new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
-            first = np.flatnonzero(new)
-            for a, b in zip(first, [*first[1:], batch.num_rows], strict=True):
-                rows = batch.slice(a, b - a)
-                if (keys[0][a], keys[1][a]) != now:
-                    yield from settled()
-                    now, held, home = (keys[0][a], keys[1][a]), [], None
-                if not keys[2][a]:
-                    held.append(rows)
-                    continue
-                yield from settled()
-                if home is not None:
-                    yield from home.pairs(rows.column("id").to_numpy(), rows.column("angle").to_numpy(), _unit(rows.column("v")), False)
-        yield from settled()
-
-    return run
+    def __init__(self, own: _Cell, least: float, pivots: np.ndarray, spans: dict[str, list[tuple]]):
+        self.own, self.least, self.pivots, self.spans = own, least, pivots, spans
+        self.width = math.acos(max(-1.0, min(1.0, least))) + SLACK
+        self.angles = np.sort(angles(own.m, pivots), axis=0)
+        self.now: list = []
+
+    def wants(self, path: str) -> bool:
+        """Whether any vector's angle to a pivot of the other block lies near enough to those of its cell there."""
+        for cell, low, high in self.spans[path.rsplit("/", 1)[-1]]:
+            first, end = np.searchsorted(self.angles[:, cell], [low - self.width, high + self.width])
+            if first < end:
+                return True
+        return False
+
+    def see(self, other: _Cell) -> None:
+        own, same = self.own, other is self.own
+        for cell in np.unique(other.cell):
+            # only those of a like angle to the other's pivot, of a block in order of these
+            there = np.flatnonzero(other.cell == cell)
+            angle = angles(own.m, self.pivots[cell : cell + 1])[:, 0]
+            order = np.argsort(angle, kind="stable")
+            order = order[slice(*np.searchsorted(angle[order], [other.angle[there[0]] - self.width, other.angle[there[-1]] + self.width]))]
+            step = max(1, CELLS // len(there))
+            for begin in range(0, len(order), step):
+                some = order[begin : begin + step]
+                lo, hi = np.searchsorted(other.angle[there], [angle[some[0]] - self.width, angle[some[-1]] + self.width])
+                c = own.m[some] @ other.m[there[lo:hi]].T
+                x, y = np.divmod(np.flatnonzero(c >= self.least), max(1, hi - lo))
+                a, b, c = own.ids[some][x], other.ids[there[lo:hi]][y], c[x, y]
+                if same:
+                    a, b, c = a[a < b], b[a < b], c[a < b]
+                if len(a):
+                    self.now.append(pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(c)], names=["i", "j", "c"]))
+
+    def told(self) -> Iterator[pa.RecordBatch]:
+        out, self.now = self.now, []
+        yield from out
+
+    def end(self, others: Callable) -> Iterator[pa.RecordBatch]:
+        yield from ()
 
 
 class Join:
@@ -178,17 +158,15 @@ class Join:
             self.homes = self.cells = None
             return
         homes = settle(distinct.mapInArrow(_homes(self.pivots), "id long, v array<double>, cell int, angle double"))
-        self.cells = settle(homes.groupBy("cell").agg(F.count("*").alias("n"), F.min("angle").alias("low"), F.max("angle").alias("high")).withColumn("blocks", F.ceil(F.col("n") / block).cast("int")))
+        self.cells = settle(homes.groupBy("cell").agg(F.count("*").alias("n"), F.min("angle").alias("low"), F.max("angle").alias("high")))
         known = {r["cell"]: r for r in self.cells.collect()}  # one row a pivot
-        pick = lambda name, other: np.array([known[k][name] if k in known else other for k in range(len(self.pivots))])
-        low, high, blocks = pick("low", np.inf), pick("high", -np.inf), pick("blocks", 0)
-        dealt = homes.join(self.cells.select("cell", "blocks"), "cell").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).select("id", "v", "cell", "angle", "block")
-        self.sent = dealt.mapInArrow(_visits(self.pivots, low, high, blocks, self.angle), "cell int, block int, visitor boolean, angle double, id long, v array<double>")
-        self.n = n
+        low, high = (np.array([known[k][name] if k in known else other for k in range(len(self.pivots))]) for name, other in (("low", np.inf), ("high", -np.inf)))
+        self.sent = homes.mapInArrow(_visits(self.pivots, low, high, self.angle), "cell int, visitor boolean")
+        self.n, self.homes, self.block = n, homes, block
 
     def skipped(self) -> float:
-        """The share of all pairs of different vectors that lie in blocks that never meet."""
-        met = self.sent.groupBy("cell", "block").agg(F.sum((~F.col("visitor")).cast("long")).alias("own"), F.sum(F.col("visitor").cast("long")).alias("guests"))
+        """The share of all pairs of different vectors that lie in cells that never meet."""
+        met = self.sent.groupBy("cell").agg(F.sum((~F.col("visitor")).cast("long")).alias("own"), F.sum(F.col("visitor").cast("long")).alias("guests"))
         compared = met.agg(F.sum(F.col("own") * (F.col("own") - 1) / 2 + F.col("own") * F.col("guests"))).first()[0] or 0.0
         return 1 - compared / max(1.0, self.n * (self.n - 1) / 2)
 
@@ -196,8 +174,14 @@ class Join:
         """(i, j, c) of different vectors, each named by its smallest id."""
         if self.cells is None:
             return self.spark.createDataFrame([], "i long, j long, c double")
-        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        return self.sent.repartition(n, "cell", "block").sortWithinPartitions("cell", "block", "visitor").mapInArrow(_compared(self.least), "i long, j long, c double")
+        # small tables have blocks enough for the cluster; half the others fall to each block
+        width = max(1, min(self.block, max(256, math.ceil(self.n / (4 * self.spark.sparkContext.defaultParallelism)))))
+        table = settle(self.homes.repartitionByRange(max(1, math.ceil(self.n / width)), "cell", "angle", "id"))
+        spans: dict[str, list[tuple]] = {}
+        for r in table.groupBy(F.input_file_name().alias("file"), "cell").agg(F.min("angle").alias("low"), F.max("angle").alias("high")).toLocalIterator():  # one row a block, and one more a cell
+            spans.setdefault(r["file"].rsplit("/", 1)[-1], []).append((r["cell"], r["low"], r["high"]))
+        least, pivots = self.least, self.pivots
+        return similarity.met(table, lambda own: _Meeting(own, least, pivots, spans), "i long, j long, c double", half=True, kind=_Cell)
 
     def pairs(self) -> DataFrame:
         """(i, j, c) of all rows, i < j: those of different vectors for each of their copies, and copies among one another."""
