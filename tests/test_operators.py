@@ -739,3 +739,16 @@ def test_spectrum_from_blocks_agrees(spark):
     # one row a block leaves the product, however many edges there are
     tiles = similarity.tiles(similarity.graph(df, block=32))
     assert tiles.count() <= 4 * 4 + 4 and "Exchange" not in tiles._jdf.queryExecution().toString()
+
+
+def test_spectrum_of_noise_needs_few_rounds(spark):
+    """The first eigenvectors of near noise lie close together: coordinates and degrees find them in a few products."""
+    x = np.random.default_rng(5).normal(size=(2000, 64))
+    graph = similarity.graph(frame(spark, x), block=512)
+    found = spectral.graph_spectrum(graph, 15, rounds=28).first()["values"]
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    c = u @ u.T
+    c = np.where(c >= -np.partition(-c, similarity.keep_count(2000) - 1, axis=1)[:, [similarity.keep_count(2000) - 1]], c, 0)
+    c = (c + c.T) / 2
+    np.fill_diagonal(c, 0)
+    assert np.allclose(found, np.linalg.eigvalsh(np.diag(np.abs(c).sum(axis=1)) - c)[:15], atol=1e-6)

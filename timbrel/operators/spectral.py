@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -14,16 +16,22 @@ from pyspark.sql import functions as F
 
 from timbrel.operators import similarity
 from timbrel.sources.stores import reached
-from timbrel.sources.tables import settle
+from timbrel.sources.tables import forget, settle
 
 MIN_SPEAKERS, MAX_SPEAKERS = 1, 14
-#: Points up to which the Laplacian is solved densely in one task (N * N doubles); Lanczos beyond.
+#: Points up to which the Laplacian is solved densely in one task (N * N doubles); block Davidson beyond.
 DENSE_LIMIT = 5000
 
 TILE = pa.schema([("p", pa.int64()), ("q", pa.int64()), ("i", pa.binary()), ("j", pa.binary()), ("w", pa.binary())])
-PART = pa.schema([("p", pa.int64()), ("y", pa.binary())])
-#: A block of nodes with its rows of the basis, of the basis times L, and of the vectors that join next.
-BASIS = pa.schema([("p", pa.int64()), ("ids", pa.binary()), ("d", pa.binary()), ("v", pa.binary()), ("lv", pa.binary()), ("x", pa.binary())])
+#: A block of nodes with its vectors that join the basis next, their inner products, those with the basis, and squared residuals.
+FRESH = pa.schema([("p", pa.int64()), ("x", pa.binary()), ("a", pa.binary()), ("b", pa.binary()), ("r", pa.binary())])
+#: A block of nodes with its rows of the basis v and of L times it, their inner products v'v and v'lv, and the largest degree.
+BASIS = pa.schema([("p", pa.int64()), ("ids", pa.binary()), ("d", pa.binary()), ("v", pa.binary()), ("lv", pa.binary()), ("a", pa.binary()), ("b", pa.binary()), ("top", pa.float64())])
+FRESH_COLUMNS, BASIS_COLUMNS = "p long, x binary, a binary, b binary, r binary", "p long, ids binary, d binary, v binary, lv binary, a binary, b binary, top double"
+#: Residuals beyond those asked for that join in a round, and residuals are divided by degrees less the value, no nearer to 0 than this share of the largest degree.
+GUARD, NEAREST = 10, 0.005
+#: Cells for each edge of a tile from which it is multiplied edge by edge.
+SPARSE = 250
 
 
 def dense_spectrum(edges: DataFrame, ids: DataFrame, vectors: int) -> DataFrame:
@@ -74,94 +82,133 @@ def _gathered(key: tuple, rows: pa.Table) -> pa.Table:
     return pa.table({"p": [key[0].as_py()], "ids": [rows.column("id").to_numpy().tobytes()], "d": [rows.column("d").to_numpy().tobytes()]}, pa.schema([("p", pa.int64()), ("ids", pa.binary()), ("d", pa.binary())]))
 
 
+def _random(seed: int, p: int, n: int, width: int) -> np.ndarray:
+    return np.random.default_rng([seed, p % (1 << 63)]).normal(size=(n, width))
+
+
+def _fresh(p: int, x: np.ndarray, v: np.ndarray, r: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist([{"p": p, "x": x.tobytes(), "a": (x.T @ x).tobytes(), "b": (v.T @ x).tobytes(), "r": (r * r).sum(axis=0).tobytes()}], FRESH)
+
+
 def _first(seed: int, width: int):
+    """Random vectors of a graph that is given by its edges."""
+
     def run(batches):
         for batch in batches:
             for r in batch.to_pylist():
-                x = np.random.default_rng([seed, r["p"] % (1 << 63)]).normal(size=(len(r["ids"]) // 8, width))
-                yield pa.RecordBatch.from_pylist([r | {"v": b"", "lv": b"", "x": x.tobytes()}], BASIS)
+                x = _random(seed, r["p"], len(r["ids"]) // 8, width)
+                yield _fresh(r["p"], x, x[:, :0], x[:, :0])
 
     return run
 
 
-def _multiply(files: list[str]):
-    """Sums of tiles times the vectors x, which a task reads from the basis: one row a block, whatever the edges."""
+class _Coordinates:
+    """Unit vectors' coordinates, of which the first eigenvectors of their graph are nearly made, a constant and random vectors, for what is not."""
 
-    def run(batches):
-        x: dict[int, np.ndarray] = {}
-        for name in files:
-            store, at = reached(name)
-            for r in pq.read_table(at, columns=["p", "ids", "x"], filesystem=store).to_pylist():
-                x[r["p"]] = _cells(r["x"], len(r["ids"]) // 8)
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
+    def __init__(self, own, seed: int, width: int):
+        self.own, self.seed, self.width = own, seed, width
+
+    def end(self, others):
+        m = np.nan_to_num(self.own.m, nan=0.0, posinf=0.0, neginf=0.0)
+        p = int(self.own.ids[0])
+        x = np.hstack([np.ones((len(m), 1)), m, _random(self.seed, p, len(m), self.width)])
+        yield _fresh(p, x, x[:, :0], x[:, :0])
+
+    def wants(self, file: str) -> bool:
+        return False
+
+    def see(self, other) -> None:
+        pass
+
+    def told(self):
+        yield from ()
+
+
+def _by_task(files: list[str]) -> dict[int, str]:
+    """Files of a settled table by the number of the task that wrote them; one that had no rows has none."""
+    return {int(re.search(r"part-(\d+)", f.rsplit("/", 1)[-1])[1]): f for f in files}
+
+
+def _rows(name: str, columns: list[str], at_once: int = 4):
+    store, at = reached(name)
+    with store.open_input_file(at) as f:
+        for batch in pq.ParquetFile(f).iter_batches(at_once, columns=columns):
             for k in range(batch.num_rows):
-                r = {c: batch.column(c)[k].as_py() for c in ("p", "q", "i", "j", "w")}
-                row, at = np.frombuffer(r["i"], np.int32), np.frombuffer(r["j"], np.int32)
-                cut = np.flatnonzero(np.diff(row, prepend=-1))
-                near = np.take(x[r["q"]], at, axis=0)
-                near *= np.frombuffer(r["w"], np.float64)[:, None]
-                sums.setdefault(r["p"], np.zeros_like(x[r["p"]]))[row[cut]] += np.add.reduceat(near, cut, axis=0)
-        for p, y in sums.items():
-            yield pa.RecordBatch.from_pylist([{"p": p, "y": y.tobytes()}], PART)
+                yield {c: batch.column(c)[k].as_py() for c in columns}
 
-    return run
 
+def _joined(tiles: list[str], tasks: int, fresh: list[str], basis: dict[int, str], chosen: np.ndarray, kept: np.ndarray, along: np.ndarray, mix: np.ndarray):
+    """Each task's blocks: the new vectors less their part in the basis, times ``mix``, and their products with L, join the basis turned by ``kept``.
 
-def _append(files: list[str]):
-    """The block's vectors x and their products with L, of which the parts are read, join its basis."""
+    A task reads the new vectors of all blocks, and the tiles of its own one by one.
+    """
 
     def run(batches):
-        for batch in batches:
-            for r in batch.to_pylist():
-                ids, d = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["d"], np.float64)
-                x = _cells(r["x"], len(ids))
-                y = d[:, None] * x
-                for name in files:
-                    store, at = reached(name)
-                    for part in pq.read_table(at, filesystem=store, filters=[("p", "=", r["p"])]).column("y").to_pylist():
-                        y -= _cells(part, len(ids))
-                r |= {"v": np.hstack([_cells(r["v"], len(ids)), x]).tobytes(), "lv": np.hstack([_cells(r["lv"], len(ids)), y]).tobytes(), "x": b""}
-                yield pa.RecordBatch.from_pylist([r], BASIS)
+        x: dict[int, np.ndarray] = {}
+        place = np.zeros(0)
+        mine = [task for batch in batches for task in batch.column(0).to_pylist()]
+        old = {r["p"]: r for task in mine if task in basis for r in _rows(basis[task], ["p", "v", "lv"])}
+        for name in fresh:
+            for r in _rows(name, ["p", "x"]):
+                x[r["p"]] = np.ascontiguousarray(np.frombuffer(r["x"]).reshape(-1, len(chosen))[:, chosen])
+        for name in (name for task in mine for name in tiles[task::tasks]):
+            sums, own = {}, {}
+            for r in _rows(name, ["p", "q", "i", "j", "w", "ids"]):
+                if r["q"] is None:
+                    own[r["p"]] = r
+                    continue
+                row, at, w = np.frombuffer(r["i"], np.int32), np.frombuffer(r["j"], np.int32), np.frombuffer(r["w"], np.float64)
+                y, other = sums.setdefault(r["p"], np.zeros_like(x[r["p"]])), x[r["q"]]
+                if SPARSE * len(w) > len(y) * len(other):
+                    if len(place) < len(y) * len(other):
+                        place = np.zeros(len(y) * len(other))
+                    cells = row.astype(np.int64) * len(other) + at
+                    np.add.at(place, cells, w)
+                    y += place[: len(y) * len(other)].reshape(len(y), -1) @ other
+                    place[cells] = 0
+                else:
+                    cut = np.flatnonzero(np.diff(row, prepend=-1))
+                    y[row[cut]] += np.add.reduceat(np.take(other, at, axis=0) * w[:, None], cut, axis=0)
+            for p, r in own.items():
+                d = np.frombuffer(r["w"])
+                n = len(d)
+                y = d[:, None] * x[p] - sums.get(p, 0.0)
+                v, lv = (_cells(old[p][c], n) @ kept if p in old else np.zeros((n, 0)) for c in ("v", "lv"))
+                v, lv = np.hstack([v, (x[p] - v @ along) @ mix]), np.hstack([lv, (y - lv @ along) @ mix])
+                yield pa.RecordBatch.from_pylist([{"p": p, "ids": r["ids"], "d": r["w"], "v": v.tobytes(), "lv": lv.tobytes(), "a": (v.T @ v).tobytes(), "b": (v.T @ lv).tobytes(), "top": float(d.max(initial=0.0))}], BASIS)
 
     return run
 
 
-def _mixed(turn: np.ndarray | None, mix: np.ndarray):
-    """x = [v, lv] mix for each block; then ``turn`` makes the basis smaller, if given."""
+def _residuals(turn: np.ndarray, values: np.ndarray, nearest: float):
+    """Residuals of the vectors v turn, and these divided by what the degrees are beyond the values."""
 
     def run(batches):
         for batch in batches:
-            for r in batch.to_pylist():
-                n = len(r["ids"]) // 8
-                v, lv = _cells(r["v"], n), _cells(r["lv"], n)
-                r["x"] = (np.hstack([v, lv]) @ mix).tobytes()
-                if turn is not None:
-                    r["v"], r["lv"] = (v @ turn).tobytes(), (lv @ turn).tobytes()
-                yield pa.RecordBatch.from_pylist([r], BASIS)
+            for b in batch.to_pylist():
+                d = np.frombuffer(b["d"])
+                v, lv = _cells(b["v"], len(d)), _cells(b["lv"], len(d))
+                r = lv @ turn - (v @ turn) * values
+                beyond = d[:, None] - values
+                yield _fresh(b["p"], r / np.where(np.abs(beyond) < nearest, np.where(beyond < 0, -nearest, nearest), beyond), v, r)
 
     return run
 
 
-def _inner(basis: DataFrame, mix: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """v'v and v'lv; with ``mix`` x'x and v'x of x = [v, lv] mix.  Each task adds up its blocks."""
+def _summed(df: DataFrame, *columns: str) -> list[np.ndarray]:
+    """Sums over the blocks of small matrices, by tasks first."""
 
     def run(batches):
         sums = None
         for batch in batches:
-            for r in batch.to_pylist():
-                n = len(r["ids"]) // 8
-                v, lv = _cells(r["v"], n), _cells(r["lv"], n)
-                x = v if mix is None else np.hstack([v, lv]) @ mix
-                now = [x.T @ x, v.T @ (lv if mix is None else x)]
+            for r in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+                now = [np.frombuffer(x) for x in r]
                 sums = now if sums is None else [a + b for a, b in zip(sums, now, strict=True)]
         if sums is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([s.tobytes()], pa.binary()) for s in sums], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in sums], names=list(columns))
 
-    found = basis.mapInArrow(run, "a binary, b binary").collect()
-    a, b = (sum(np.frombuffer(r[c]) for r in found) for c in ("a", "b"))
-    width = round(len(a) ** 0.5)
-    return a.reshape(width, width), b.reshape(-1, width)
+    found = df.select(*columns).mapInArrow(run, ", ".join(f"{c} binary" for c in columns)).collect()
+    return [sum(np.frombuffer(r[c]) for r in found) for c in columns]
 
 
 def _spelled(values: list[float], mix: np.ndarray):
@@ -176,14 +223,15 @@ def _spelled(values: list[float], mix: np.ndarray):
 
 
 def lanczos_spectrum(edges: DataFrame, ids: DataFrame, vectors: int, steps: int = 60, seed: int = 7, tolerance: float = 1e-7, rounds: int = 1000) -> DataFrame:
-    """As ``dense_spectrum`` for large graphs, by block Lanczos with thick restarts.
-
-    A block has as many vectors as are asked for, so an eigenvalue repeated that often is found that
-    often: the zeros of a graph of several components are all there.  Rounds go on until each
-    residual is at most ``tolerance`` times the bound 2 * max degree of the spectrum; RuntimeError
-    after ``rounds``.  A basis of over ``steps`` vectors (eight blocks at least) is restarted from its
-    best three blocks.  Each round is one distributed product of edge tiles with the block's vectors;
-    only small matrices come to the driver.  Bases are written down each round.
+    """As ``dense_spectrum`` for large graphs, by block Davidson with thick restarts.
+
+    A block has more vectors than are asked for, so an eigenvalue repeated that often is found that
+    often: the zeros of a graph of several components are all there.  In each round the residuals join the space,
+    each node's divided by its degree less the value (Davidson), for many of the first vectors lie on nodes
+    of low degree.  Rounds go on until each residual is at most ``tolerance`` times the bound 2 * max degree of the
+    spectrum; RuntimeError after ``rounds``.  A basis of over ``steps`` vectors (eight blocks at least) is
+    restarted from its best three blocks.  Each round is one distributed product of edge tiles with the block's vectors;
+    only small matrices come to the driver.  Of the bases only the last is kept.
     """
     n = ids.count()
     blocks = max(1, -(-n // similarity.BLOCK))
@@ -192,61 +240,60 @@ def lanczos_spectrum(edges: DataFrame, ids: DataFrame, vectors: int, steps: int
     own = settle(degrees.withColumn("p", block_of("id")).groupBy("p").applyInArrow(_gathered, "p long, ids binary, d binary"))
     raw = edges.select(block_of("i").alias("p"), block_of("j").alias("q"), "i", "j", F.col("w").cast("double").alias("w")).groupBy("p", "q").applyInArrow(_tile, "p long, q long, i binary, j binary, w binary")
     both = raw.join(own.select("p", F.col("ids").alias("pids")), "p").join(own.select(F.col("p").alias("q"), F.col("ids").alias("qids")), "q")
-    tiles = settle(both.mapInArrow(_placed, "p long, q long, i binary, j binary, w binary"))
-    return _lanczos(tiles, own, n, vectors, steps, seed, tolerance, rounds)
+    none = F.lit(None).cast("binary")
+    tiles = both.mapInArrow(_placed, "p long, q long, i binary, j binary, w binary").withColumn("ids", none)
+    tiles = tiles.unionByName(own.select("p", F.lit(None).cast("long").alias("q"), none.alias("i"), none.alias("j"), F.col("d").alias("w"), "ids"))
+    start = own.mapInArrow(_first(seed, min(n, vectors + GUARD)), FRESH_COLUMNS)
+    return _eigenvectors(settle(tiles.repartition(blocks, "p")), settle(start), n, vectors, steps, tolerance, rounds)
 
 
 def graph_spectrum(graph: DataFrame, vectors: int, steps: int = 60, seed: int = 7, tolerance: float = 1e-7, rounds: int = 1000) -> DataFrame:
-    """As ``lanczos_spectrum`` of the affinity of a ``similarity.graph``, whose tiles come straight from its blocks."""
-    both = settle(similarity.tiles(graph))
-    own = both.where("q is null").select("p", "ids", F.col("w").alias("d"))
-    return _lanczos(both.where("q is not null").drop("ids"), own, graph.count(), vectors, steps, seed, tolerance, rounds)
-
-
-def _largest(batches):
-    for batch in batches:
-        for d in batch.column(0).to_pylist():
-            yield pa.RecordBatch.from_arrays([pa.array([np.frombuffer(d).max()])], names=["d"])
-
-
-def _lanczos(tiles: DataFrame, own: DataFrame, n: int, vectors: int, steps: int, seed: int, tolerance: float, rounds: int) -> DataFrame:
-    bound = 2.0 * (own.select("d").mapInArrow(_largest, "d double").agg(F.max("d")).first()[0] or 0.0) or 1.0
-    kind = "p long, ids binary, d binary, v binary, lv binary, x binary"
-    vectors = min(vectors, n)
-    basis = own.mapInArrow(_first(seed, vectors), kind)
+    """As ``lanczos_spectrum`` of the affinity of a ``similarity.graph``, whose tiles come straight from its blocks; it starts from the points' coordinates."""
+    n = graph.count()
+    start = similarity.met(graph, lambda own: _Coordinates(own, seed, min(n, vectors + GUARD)), FRESH_COLUMNS)
+    return _eigenvectors(settle(similarity.tiles(graph)), settle(start), n, vectors, steps, tolerance, rounds)
+
+
+def _eigenvectors(tiles: DataFrame, start: DataFrame, n: int, vectors: int, steps: int, tolerance: float, rounds: int) -> DataFrame:
+    """The rounds: ``tiles`` are as of ``similarity.tiles``, all of a block in one file, ``start`` the first vectors."""
+    spark = tiles.sparkSession
+    files = sorted(tiles.inputFiles())
+    block, vectors = min(n, vectors + GUARD), min(vectors, n)
+    tasks = min(len(files), 4 * spark.sparkContext.defaultParallelism)
+    fresh, basis, turn, bound = start, None, np.zeros((0, 0)), None
+    inner, shadow = _summed(fresh, "a")[0], np.zeros(0)
+    chosen = np.ones(round(len(inner) ** 0.5), bool)
     for _ in range(rounds):
-        # only the new vectors are written down for the product; all of the basis once a round
-        fresh = settle(basis.select("p", "ids", "x"))
-        parts = settle(tiles.mapInArrow(_multiply(fresh.inputFiles()), "p long, y binary"))
-        basis = settle(basis.mapInArrow(_append(sorted(parts.inputFiles())), kind))
-        gram, product = _inner(basis)
-        size = len(gram)
+        inner, shadow = inner.reshape(len(chosen), -1)[np.ix_(chosen, chosen)], shadow.reshape(-1, len(chosen))[:, chosen]
+        along = turn.T @ shadow
+        root, way = np.linalg.eigh(inner - along.T @ along)
+        real = np.flatnonzero(root > 1e-12 * root[-1])[-(n - turn.shape[1]) :]
+        old = [fresh] if basis is None else [fresh, basis]
+        basis = settle(spark.range(0, tasks, 1, tasks).mapInArrow(_joined(files, tasks, sorted(fresh.inputFiles()), {} if basis is None else _by_task(basis.inputFiles()), chosen, turn, along, way[:, real] / np.sqrt(root[real])), BASIS_COLUMNS))
+        for table in old:
+            forget(table)
+        bound = bound or 2.0 * basis.agg(F.max("top")).first()[0] or 1.0
+        gram, product = _summed(basis, "a", "b")
+        size = round(len(gram) ** 0.5)
+        gram, product = gram.reshape(size, size), product.reshape(size, size)
         half = np.linalg.inv(np.linalg.cholesky(gram))
         product = half @ (product + product.T) @ half.T / 2
         values, turn = np.linalg.eigh(product)
         turn = half.T @ turn
-        mix = np.vstack([-turn[:, :vectors] * values[:vectors], turn[:, :vectors]])
-        length = np.sqrt(np.diag(_inner(basis, mix)[0]))
-        open_ = length > tolerance * bound
-        if not open_.any() or size >= n:
+        fresh = settle(basis.select("p", "d", "v", "lv").mapInArrow(_residuals(turn[:, :block], values[:block], NEAREST * bound), FRESH_COLUMNS))
+        inner, shadow, square = _summed(fresh, "a", "b", "r")
+        length = np.sqrt(square)
+        chosen = length > tolerance * bound
+        if not chosen[:vectors].any() or size >= n:
             break
-        mix = mix[:, open_] / length[open_]
-        ortho = np.vstack([turn @ turn.T, np.zeros((size, size))])
-        for _ in range(2):  # orthogonal to the basis, then to each other
-            square, shadow = _inner(basis, mix)
-            mix = mix - ortho @ shadow
-            root, way = np.linalg.eigh(square - shadow.T @ turn @ turn.T @ shadow)
-            real = root > 1e-12 * root[-1]
-            mix = mix @ way[:, real][:, -(n - size) :] / np.sqrt(root[real][-(n - size) :])
-        kept = turn[:, : 3 * vectors] if size + vectors > max(steps, 8 * vectors) else None
-        basis = basis.mapInArrow(_mixed(kept, mix), kind)
+        turn = turn[:, : 3 * block] if size + block > max(steps, 8 * block) else turn
     else:
-        raise RuntimeError(f"the spectrum did not converge: residuals {length[open_].tolist()} of a bound of {bound}")
-    return basis.mapInArrow(_spelled(values[:vectors].tolist(), turn[:, :vectors]), "id long, values array<double>, u array<double>")
+        raise RuntimeError(f"the spectrum did not converge: residuals {length[:vectors][chosen[:vectors]].tolist()} of a bound of {bound}")
+    return basis.select("ids", "v").mapInArrow(_spelled(values[:vectors].tolist(), turn[:, :vectors]), "id long, values array<double>, u array<double>")
 
 
 def spectrum(edges: DataFrame, ids: DataFrame, vectors: int = MAX_SPEAKERS + 1) -> DataFrame:
-    """(id, values, u), dense up to DENSE_LIMIT nodes (the count is checked), block Lanczos beyond."""
+    """(id, values, u), dense up to DENSE_LIMIT nodes (the count is checked), block Davidson beyond."""
     return dense_spectrum(edges, ids, vectors) if ids.count() <= DENSE_LIMIT else lanczos_spectrum(edges, ids, vectors)
 
 
