@@ -752,3 +752,12 @@ def test_spectrum_of_noise_needs_few_rounds(spark):
     c = (c + c.T) / 2
     np.fill_diagonal(c, 0)
     assert np.allclose(found, np.linalg.eigvalsh(np.diag(np.abs(c).sum(axis=1)) - c)[:15], atol=1e-6)
+
+
+def test_embedding_takes_all_points_at_every_size(spark, monkeypatch):
+    """No landmarks stand for the others: all points are embedded by blocks, whatever their number."""
+    x, truth = planted(3, each=40, spread=0.3)
+    monkeypatch.setattr(density, "embedded", None)
+    monkeypatch.setattr(density, "PLACES", 32)
+    got = labels_of(density.umap_hdbscan(frame(spark, x), min_samples=5, min_cluster_size=8, limit=20_000))
+    assert same_partition(got, list(truth))

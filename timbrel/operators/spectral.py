@@ -7,7 +7,6 @@ import re
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.parquet as pq
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -15,7 +14,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from timbrel.operators import similarity
-from timbrel.sources.stores import reached
 from timbrel.sources.tables import forget, settle
 
 MIN_SPEAKERS, MAX_SPEAKERS = 1, 14
@@ -129,14 +127,6 @@ def _by_task(files: list[str]) -> dict[int, str]:
     return {int(re.search(r"part-(\d+)", f.rsplit("/", 1)[-1])[1]): f for f in files}
 
 
-def _rows(name: str, columns: list[str], at_once: int = 4):
-    store, at = reached(name)
-    with store.open_input_file(at) as f:
-        for batch in pq.ParquetFile(f).iter_batches(at_once, columns=columns):
-            for k in range(batch.num_rows):
-                yield {c: batch.column(c)[k].as_py() for c in columns}
-
-
 def _joined(tiles: list[str], tasks: int, fresh: list[str], basis: dict[int, str], chosen: np.ndarray, kept: np.ndarray, along: np.ndarray, mix: np.ndarray):
     """Each task's blocks: the new vectors less their part in the basis, times ``mix``, and their products with L, join the basis turned by ``kept``.
 
@@ -147,13 +137,13 @@ def _joined(tiles: list[str], tasks: int, fresh: list[str], basis: dict[int, str
         x: dict[int, np.ndarray] = {}
         place = np.zeros(0)
         mine = [task for batch in batches for task in batch.column(0).to_pylist()]
-        old = {r["p"]: r for task in mine if task in basis for r in _rows(basis[task], ["p", "v", "lv"])}
+        old = {r["p"]: r for task in mine if task in basis for r in similarity.rows(basis[task], ["p", "v", "lv"])}
         for name in fresh:
-            for r in _rows(name, ["p", "x"]):
+            for r in similarity.rows(name, ["p", "x"]):
                 x[r["p"]] = np.ascontiguousarray(np.frombuffer(r["x"]).reshape(-1, len(chosen))[:, chosen])
         for name in (name for task in mine for name in tiles[task::tasks]):
             sums, own = {}, {}
-            for r in _rows(name, ["p", "q", "i", "j", "w", "ids"]):
+            for r in similarity.rows(name, ["p", "q", "i", "j", "w", "ids"]):
                 if r["q"] is None:
                     own[r["p"]] = r
                     continue
@@ -238,13 +228,34 @@ def lanczos_spectrum(edges: DataFrame, ids: DataFrame, vectors: int, steps: int
     block_of = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
     degrees = ids.join(similarity.degree(edges).withColumnRenamed("i", "id"), "id", "left").select("id", F.coalesce("d", F.lit(0.0)).alias("d"))
     own = settle(degrees.withColumn("p", block_of("id")).groupBy("p").applyInArrow(_gathered, "p long, ids binary, d binary"))
+    start = own.mapInArrow(_first(seed, min(n, vectors + GUARD)), FRESH_COLUMNS)
+    return _eigenvectors(edge_tiles(edges, own, blocks), settle(start), n, vectors, steps, tolerance, rounds)
+
+
+def edge_tiles(edges: DataFrame, own: DataFrame, blocks: int) -> DataFrame:
+    """Settled tiles, as of ``similarity.tiles``, of edges (i, j, w) between blocks of ids by hash; ``own`` is settled and has (p, ids, d) of these."""
+    block_of = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
     raw = edges.select(block_of("i").alias("p"), block_of("j").alias("q"), "i", "j", F.col("w").cast("double").alias("w")).groupBy("p", "q").applyInArrow(_tile, "p long, q long, i binary, j binary, w binary")
     both = raw.join(own.select("p", F.col("ids").alias("pids")), "p").join(own.select(F.col("p").alias("q"), F.col("ids").alias("qids")), "q")
     none = F.lit(None).cast("binary")
     tiles = both.mapInArrow(_placed, "p long, q long, i binary, j binary, w binary").withColumn("ids", none)
     tiles = tiles.unionByName(own.select("p", F.lit(None).cast("long").alias("q"), none.alias("i"), none.alias("j"), F.col("d").alias("w"), "ids"))
+    return settle(tiles.repartition(blocks, "p"))
+
+
+def normalised_spectrum(edges: DataFrame, ids: DataFrame, vectors: int, blocks: int, seed: int = 7, tolerance: float = 0.05, rounds: int = 1000) -> DataFrame:
+    """(id, values, u): the first eigenvectors of 1 - D^-1/2 W D^-1/2 of symmetric edges, to residuals of ``tolerance`` times 2; every id has an edge."""
+    n = ids.count()
+    degrees = settle(degree_roots(edges))
+    scaled = edges.join(degrees, "i").join(degrees.select(F.col("i").alias("j"), F.col("root").alias("root_j")), "j").select("i", "j", (F.col("w") / (F.col("root") * F.col("root_j"))).alias("w"))
+    block_of = F.pmod(F.xxhash64("id"), F.lit(blocks))
+    own = settle(ids.select("id", F.lit(1.0).alias("d")).withColumn("p", block_of).groupBy("p").applyInArrow(_gathered, "p long, ids binary, d binary"))
     start = own.mapInArrow(_first(seed, min(n, vectors + GUARD)), FRESH_COLUMNS)
-    return _eigenvectors(settle(tiles.repartition(blocks, "p")), settle(start), n, vectors, steps, tolerance, rounds)
+    return _eigenvectors(edge_tiles(scaled, own, blocks), settle(start), n, vectors, 0, tolerance, rounds)
+
+
+def degree_roots(edges: DataFrame) -> DataFrame:
+    return edges.groupBy("i").agg(F.sqrt(F.sum("w")).alias("root"))
 
 
 def graph_spectrum(graph: DataFrame, vectors: int, steps: int = 60, seed: int = 7, tolerance: float = 1e-7, rounds: int = 1000) -> DataFrame:
